@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op5_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .secret_scan import op10_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op3_url_filter": op3_url_filter,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {
     "op3_url_filter": OP3_SQL,
