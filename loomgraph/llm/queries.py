@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .minhash import op1_minhash_near_dedup
 from .packing import op9_best_fit_packing
 from .secret_scan import op10_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
