@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
+from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .minhash import op1_minhash_near_dedup
 from .packing import op9_best_fit_packing
@@ -12,6 +13,7 @@ from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_url_filter": op3_url_filter,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
@@ -20,6 +22,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {
+    "op2_embedding_near_dedup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_warc": OP7_SQL,
