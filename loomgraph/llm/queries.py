@@ -7,6 +7,7 @@ from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .minhash import op1_minhash_near_dedup
 from .packing import op9_best_fit_packing
+from .quality import op4_quality_classifier
 from .secret_scan import op10_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
 from .warc import OP7_SQL, op7_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc": op7_warc,
