@@ -5,6 +5,7 @@ from __future__ import annotations
 from .byte_bpe import op5_byte_bpe
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .license_scan import op8_license_scan
 from .minhash import op1_minhash_near_dedup
 from .packing import op9_best_fit_packing
 from .quality import op4_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_warc": op7_warc,
+    "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
 }
