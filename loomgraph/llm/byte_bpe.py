@@ -9,7 +9,8 @@ from a bucket whose pair has changed meanwhile is stale and skipped. Work grows
 with the length of a pre-token, which is what very long ones need.
 
 Pre-tokens recur, so each worker keeps a bounded map from chunks (a run of white space
-and the run of other characters after it) to their ids; the map is emptied when full.
+and the run of other characters after it) to their ids, in two generations: a full one
+replaces the older, whose entries move back when they are used again.
 
 Defined cases: a null text is the empty text and has no ids; texts are encoded whole;
 the text of a special token is ordinary text; decoding gives the bytes back exactly.
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: Entries of a worker's map of chunks, and of that of pre-tokens, before it is emptied.
-CACHE_ENTRIES = 400_000
+#: Entries of a generation of a worker's map of chunks, and of that of pre-tokens.
+CACHE_ENTRIES = 300_000
 _BIT = [1 << k for k in range(256)]
 
 
@@ -52,6 +53,8 @@ class ByteBPE:
         self.low = [0] * (self.size // 256 + 1)
         self.words: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_tokens: dict[str, bytes] = {}
         self.table = [b""] * self.size
         for token, rank in ranks.items():
             self.table[rank] = token
@@ -75,20 +78,16 @@ class ByteBPE:
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # the rank that the pair at a position has now
 
-        def push(rank, i):
-            pair[i] = rank
-            if rank in buckets:
-                buckets[rank].append(i)
-            else:
-                buckets[rank] = [i]
-                low[rank >> 8] |= bit[rank & 255]
-                return 1 << (rank >> 8)
-            return 0
-
         for i in range(n - 1):
             r = get(token[i : i + 2])
             if r is not None:
-                high |= push(r, i)
+                pair[i] = r
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    low[r >> 8] |= bit[r & 255]
+                    high |= 1 << (r >> 8)
         while high:
             w = (high & -high).bit_length() - 1
             word = low[w]
@@ -99,14 +98,13 @@ class ByteBPE:
             found = buckets.pop(rank)
             if len(found) > 1:
                 found.sort()
-            lower = False
+            new = []  # pairs that the merges of this rank make
+            lowest = rank
             for at, i in enumerate(found):
                 if pair[i] != rank:
                     continue  # stale
-                if lower:  # a merge made a pair of lower rank, which goes first
-                    for x in found[at:]:
-                        if pair[x] == rank:
-                            high |= push(rank, x)
+                if lowest < rank:  # a merge made a pair of lower rank, which goes first
+                    new += [(rank, x) for x in found[at:] if pair[x] == rank]
                     break
                 j = after[i]
                 k = after[j]
@@ -116,16 +114,28 @@ class ByteBPE:
                 if k < n:
                     r = get(token[i : after[k]])
                     if r is not None:
-                        high |= push(r, i)
-                        lower = r < rank
+                        pair[i] = r
+                        new.append((r, i))
+                        if r < lowest:
+                            lowest = r
                 if i:
                     h = before[i]
                     r = get(token[h:k])
                     if r is not None:
-                        high |= push(r, h)
-                        lower = lower or r < rank
+                        pair[h] = r
+                        new.append((r, h))
+                        if r < lowest:
+                            lowest = r
                     else:
                         pair[h] = -1
+            for r, i in new:
+                if pair[i] == r:
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        buckets[r] = [i]
+                        low[r >> 8] |= bit[r & 255]
+                        high |= 1 << (r >> 8)
         out, i = [], 0
         while i < n:
             k = after[i]
@@ -134,14 +144,16 @@ class ByteBPE:
         return out
 
     def _ids(self, text: str) -> bytes:
+        if len(self.tokens) > CACHE_ENTRIES:
+            self.old_tokens, self.tokens = self.tokens, {}
         tokens = self.tokens
         out = []
         for token in self.pattern.findall(text):
             ids = tokens.get(token)
             if ids is None:
-                if len(tokens) > CACHE_ENTRIES:
-                    tokens.clear()
-                ids = _pack(self.merge(token.encode()))
+                ids = self.old_tokens.get(token)
+                if ids is None:
+                    ids = _pack(self.merge(token.encode()))
                 if len(token) < 64:
                     tokens[token] = ids
             out.append(ids)
@@ -153,19 +165,20 @@ class ByteBPE:
             return b""
         if _ODD_SPACE.search(text):  # chunks would cut runs of white space
             return self._ids(text)
+        if len(self.words) > CACHE_ENTRIES:
+            self.old_words, self.words = self.words, {}
         words = self.words
         chunks = _CHUNK.findall(text)
         try:
             return b"".join(map(words.__getitem__, chunks))
         except KeyError:
             pass
-        if len(words) > CACHE_ENTRIES:
-            words.clear()
+        old = self.old_words
         out = []
         for c in chunks:
             ids = words.get(c)
             if ids is None:
-                ids = self._ids(c)
+                ids = old.get(c) or self._ids(c)
                 if len(c) < 64:
                     words[c] = ids
             out.append(ids)
