@@ -1,3 +1,3 @@
 """Queries over the driver tables and their SQL counterparts."""
 
-from . import graph  # noqa: F401  the import registers its queries
+from . import graph, quality, relate, windows  # noqa: F401  the imports register their queries

@@ -29,8 +29,8 @@ def nodes(spark, sf_dir) -> DataFrame:
     return p.select(F.col("p_partkey").cast("long").alias("id"), kind.alias("type"), tier.alias("tier"), F.col("p_name").alias("name"))
 
 
-def endpoints(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select(
+def endpoints(spark, sf_dir, where: str = "true") -> DataFrame:
+    return read(spark, sf_dir, "lineitem").where(where).select(
         F.col("l_suppkey").cast("long").alias("component"),
         F.col("l_partkey").cast("long").alias("topic"),
         F.when(F.col("l_returnflag") == "R", "publishes").otherwise("subscribes").alias("role"),

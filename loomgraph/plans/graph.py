@@ -107,8 +107,8 @@ def g7_algorithms_under(spark, sf_dir):
       AND len(list_filter(needs.needs, lambda x: NOT list_contains(w.done, x))) = 0) n WHERE n.pick IS NOT NULL),
   every AS (SELECT target, step AS pos, pick AS id FROM walk WHERE pick IS NOT NULL
     UNION ALL SELECT id, 2147483647, id FROM t WHERE id NOT IN (SELECT id FROM k)),
-  firsts AS (SELECT id, min({{'t': target, 'p': pos}}) AS at FROM every GROUP BY id)
-  SELECT row_number() OVER (ORDER BY at)::INTEGER AS pos, id FROM firsts""")
+  firsts AS (SELECT id, min({{'t': target, 'p': pos}}) AS spot FROM every GROUP BY id)
+  SELECT row_number() OVER (ORDER BY spot)::INTEGER AS pos, id FROM firsts""")
 def g8_learning_path(spark, sf_dir):
     n = nodes(spark, sf_dir)
     algorithms = n.where("type = 'algorithm' and id % 13 = 0")
@@ -135,10 +135,10 @@ def g9_layer_violations(spark, sf_dir):
     return g.violations(n, e)
 
 
-@query(f"""WITH {REQ}, {NODES}, used AS (SELECT l_partkey::BIGINT AS id FROM lineitem WHERE l_returnflag = 'R')
+@query(f"""WITH {REQ}, {NODES}, used AS (SELECT l_partkey::BIGINT AS id FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)
   SELECT id FROM nodes WHERE tier <> 'assumed' AND id NOT IN (SELECT id FROM used)""")
 def g10_orphans(spark, sf_dir):
-    used = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"))
+    used = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst"))
     part_ends = used.select(F.col("dst").alias("src"), "dst")
     return g.orphans(nodes(spark, sf_dir), part_ends)
 
