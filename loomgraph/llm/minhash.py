@@ -10,13 +10,15 @@ reaches ``percent`` hundredths. The steps:
    in at most ``2 * CHUNKS - 1`` symbols differ in at most one symbol of some chunk
    (pigeonhole); enumerating the one allowed error, by leaving out each symbol of a chunk
    in turn, gives four exact keys per chunk, and every such pair meets under a key. Keys
-   that one node has are dropped first. Pairs that meet must also be close in size (a
-   necessary condition) and in their one-bit signatures, and a pair is taken only under
-   its first common key, so it comes out once however many keys it shares.
-3. Confirmation on full sets. Nodes of candidate pairs fall into blocks by a locality
-   label, a large family into several; a task gets the texts of two blocks and the pairs
-   between them, so a text is sent once per block pair rather than once per pair. Of the
-   confirmed links a block pair returns a spanning forest, which loses no connection.
+   that one node has are dropped first. Nodes that share keys fall into families. Pairs
+   within a family are not listed at all; pairs across families are, under the first key
+   that they share only, if close in size (a necessary condition) and in their one-bit
+   signatures.
+3. Confirmation on full sets. A family is cut into blocks, and a task gets the texts of two
+   blocks, compares the signatures in memory and confirms those close enough, most similar
+   first, skipping pairs that are connected already. So a text is sent once per block pair,
+   and a task returns a spanning forest of its links, which loses no connection. Listed
+   pairs are confirmed likewise.
 4. Connected components over the links and the equal sets.
 
 A pair at the threshold exceeds the symbol bound with probability 6e-6 and the bit bound
@@ -43,12 +45,17 @@ WORDS = 5
 CHUNKS = 8
 SYMBOLS = 4 * CHUNKS
 BITS = 256
-#: Words of text that a block of the confirmation holds, about.
-BLOCK_WORDS = 200_000
+#: Words of text and nodes that a block of the confirmation holds, about.
+BLOCK_WORDS, BLOCK_NODES = 500_000, 1000
+#: Up to so many ids of nodes with near ones are broadcast to the scan of the texts.
+BROADCAST_IDS = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _ODD = (np.random.default_rng(20240229).integers(0, 2**31, BITS, np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 
+#: Bits of the other symbols, for each symbol of a chunk that is left out.
+_KEEP = [int(np.int64(~np.int64(np.uint64(0xFFFF << 16 * j).astype(np.int64)))) for j in range(4)]
+
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a text.
@@ -114,23 +121,35 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _candidates(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b), a < b, that the multi-index join finds, once each."""
-    mask = [~(0xFFFF << 16 * j) & (2**64 - 1) for j in range(4)]
-    mask = [m - 2**64 if m >= 2**63 else m for m in mask]
+def _families(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Writes ``met`` (key, chunk, gap, id of shared keys); returns (id, family).
+
+    A family is a neighbourhood of the graph of nodes and shared keys: two rounds of
+    passing on the least id. It only decides where pairs are compared, not which.
+    """
     key = [
-        F.struct(F.lit(i).cast("byte").alias("chunk"), F.lit(j).cast("byte").alias("gap"), F.xxhash64(F.lit(4 * i + j), F.col(f"c{i}").bitwiseAND(F.lit(mask[j]))).alias("key"))
+        F.struct(F.lit(i).cast("byte").alias("chunk"), F.lit(j).cast("byte").alias("gap"), F.xxhash64(F.lit(4 * i + j), F.col(f"c{i}").bitwiseAND(F.lit(_KEEP[j]))).alias("key"))
         for i in range(CHUNKS)
         for j in range(4)
     ]
     keys = nodes.select("id", F.explode(F.array(*key)).alias("k")).select("id", "k.*")
-    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1").drop("m")
+    met = scratch.save(keys.join(busy, "key"), "met")
+    near = met.groupBy("id").agg(F.min("hub").alias("label"))
+    least = met.select("key", "id").join(near, "id").groupBy("key").agg(F.min("label").alias("label"))
+    return scratch.save(met.select("key", "id").join(least, "key").groupBy("id").agg(F.min("label").alias("family")), "families")
+
+
+def _cross_pairs(nodes: DataFrame, met: DataFrame, families: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), a < b, of different families that the multi-index join finds, once each."""
+    placed = met.select("key", "chunk", "gap", "id").join(families, "id")
+    mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
     signed = nodes.select("id", "n", *(f"c{i}" for i in range(CHUNKS)), *(f"s{k}" for k in range(BITS // 64)))
-    met = scratch.save(keys.join(busy, "key").join(signed, "id"), "met")
-    x, y = met.alias("x"), met.alias("y")
+    ready = scratch.save(placed.join(mixed, "key").join(signed, "id"), "mixed")
+    x, y = ready.alias("x"), ready.alias("y")
 
     def same(i, j):  # symbol j of chunk i is equal
-        return (F.col(f"x.c{i}").bitwiseXOR(F.col(f"y.c{i}"))).bitwiseAND(F.lit(~mask[j])) == 0
+        return (F.col(f"x.c{i}").bitwiseXOR(F.col(f"y.c{i}"))).bitwiseAND(F.lit(~_KEEP[j])) == 0
 
     def equal(i):
         return sum((same(i, j).cast("int") for j in range(1, 4)), same(i, 0).cast("int"))
@@ -150,6 +169,7 @@ def _candidates(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
         & (F.col("x.chunk") == F.col("y.chunk"))
         & (F.col("x.gap") == F.col("y.gap"))
         & (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.family") != F.col("y.family"))
         & (F.col("x.n") * 100 >= F.col("y.n") * percent)
         & (F.col("y.n") * 100 >= F.col("x.n") * percent)
         & (distance <= bit_bound(percent))
@@ -159,50 +179,95 @@ def _candidates(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     return scratch.save(pairs, "pairs")
 
 
-def _confirm(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """A spanning forest, per block pair, of the pairs whose full sets are similar enough."""
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    one = ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("one"))
-    one = scratch.save(one, "one")
-    two = ends.join(one.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("m")).toDF("id", "m")
-    local = one.join(two, "id").select("id", F.least("one", "m").alias("family"))
-    local = scratch.save(local.join(nodes.select("id", "n"), "id"), "local")
-    room = local.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_WORDS).alias("blocks"))
-    blocks = scratch.save(
-        local.join(room, "family").select("id", F.xxhash64("family", F.pmod(F.xxhash64("id"), "blocks")).alias("block")), "blocks"
+def _confirm(docs: DataFrame, nodes: DataFrame, families: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """A spanning forest, per task, of the links that full sets confirm.
+
+    A task is a pair of blocks of one family, whose members are all compared by signature
+    in memory, or a pair of blocks of two families with the listed pairs between them.
+    """
+    spark = docs.sparkSession
+    local = families.join(nodes.select("id", "n"), "id")
+    room = local.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_WORDS), F.ceil(F.count(F.lit(1)) / BLOCK_NODES)).alias("blocks"), F.count(F.lit(1)).alias("size"))
+    blocks = local.join(room, "family").select("id", "family", "size", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
+    blocks = scratch.save(blocks, "blocks")
+    inner = blocks.where("size > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    inner = inner.select(
+        F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
+        "id",
+        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    placed = pairs.join(blocks.toDF("a", "ba"), "a").join(blocks.toDF("b", "bb"), "b")
-    placed = scratch.save(placed.select("a", "b", F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("task")), "placed")
-    need = placed.select("task", F.col("a").alias("id")).unionByName(placed.select("task", F.col("b").alias("id"))).distinct()
+    at = blocks.select("id", F.xxhash64("family", "block").alias("place"))
+    listed = pairs.join(at.toDF("a", "pa"), "a").join(at.toDF("b", "pb"), "b")
+    listed = scratch.save(listed.select("a", "b", F.xxhash64(F.lit(1), F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task")), "listed")
+    crossed = listed.select("task", F.col("a").alias("id")).unionByName(listed.select("task", F.col("b").alias("id"))).distinct()
+    need = scratch.save(inner.unionByName(crossed.withColumn("side", F.lit(3))), "need")
+    ids = need.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    if ids.count() <= BROADCAST_IDS:  # else the texts that nothing needs go through the shuffle as well
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     loaded = need.join(texts, "id")
 
     def check(left, right):
         import pandas as pd
 
-        sets: dict[int, list[np.ndarray]] = {}
-        for i, t in zip(left["id"].tolist(), left["text"].tolist()):
-            sets.setdefault(i, []).append(shingles(t))
-        root: dict[int, int] = {}
-
-        def find(v):
-            while (p := root.get(v, v)) != v:
-                root[v] = root.get(p, p)
-                v = p
-            return v
-
-        found = []
-        for a, b in zip(right["a"].tolist(), right["b"].tolist()):
-            ra, rb = find(a), find(b)
-            if ra != rb and any(similar(x, y, percent) for x in sets.get(a, ()) for y in sets.get(b, ())):
-                root[max(ra, rb)] = min(ra, rb)
-                found.append((a, b))
+        ids, side = left["id"].to_numpy(), left["side"].to_numpy()
+        sets = [shingles(t) for t in left["text"]]
+        found = linked_pairs(ids, sets, right[["a", "b"]].to_numpy(), percent) if len(right) or (side == 3).any() else linked_blocks(ids, sets, side, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    again = docs.sparkSession.read.schema(placed.schema).parquet(scratch.path("placed"))
+    again = spark.read.schema(listed.schema).parquet(scratch.path("listed"))
     return scratch.save(loaded.groupBy("task").cogroup(again.groupBy("task")).applyInPandas(check, "a long, b long"), "links")
 
 
+def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Those of the listed pairs that are links, without the ones that close a cycle."""
+    where: dict[int, list[int]] = {}
+    for k, i in enumerate(ids.tolist()):
+        where.setdefault(i, []).append(k)
+    root: dict[int, int] = {}
+
+    def find(v):
+        while (p := root.get(v, v)) != v:
+            root[v] = root.get(p, p)
+            v = p
+        return v
+
+    found = []
+    for a, b in pairs.tolist():
+        ra, rb = find(a), find(b)
+        if ra != rb and any(similar(sets[x], sets[y], percent) for x in where.get(a, ()) for y in where.get(b, ())):
+            root[max(ra, rb)] = min(ra, rb)
+            found.append((a, b))
+    return found
+
+
+def linked_blocks(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between all members (side 0) or between sides 1 and 2, without those that close a cycle."""
+    if len(ids) < 2:
+        return []
+    size = np.array([len(s) for s in sets])
+    symbols, bits = zip(*(signature(s) for s in sets))
+    symbols = np.stack(symbols).view(np.uint16)
+    bits = np.stack(bits).view(np.uint64)
+    label = np.arange(len(ids))
+    bound = bit_bound(percent)
+    found = []
+    for i in np.flatnonzero(side < 2).tolist():
+        rest = np.arange(i + 1, len(ids)) if side[i] == 0 else np.flatnonzero(side == 2)
+        rest = rest[label[rest] != label[i]]
+        rest = rest[(100 * size[rest] >= percent * size[i]) & (100 * size[i] >= percent * size[rest])]
+        distance = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1)
+        close = distance <= bound
+        rest, distance = rest[close], distance[close]
+        close = (symbols[rest] != symbols[i]).sum(axis=1) < 2 * CHUNKS
+        rest = rest[close][np.argsort(distance[close], kind="stable")]
+        for j in rest.tolist():
+            if label[j] != label[i] and similar(sets[i], sets[j], percent):
+                label[label == label[j]] = label[i]
+                found.append((int(ids[i]), int(ids[j])))
+    return found
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, on full sets."""
     if not len(x) or not len(y):
@@ -219,15 +284,17 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id and kept."""
-    scratch = Scratch(docs.sparkSession, "minhash")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "minhash")
     rows = scratch.save(_signatures(docs, id_col, text_col), "rows")
     known = rows.where("id is not null and n > 0")
     carried = [c for c in rows.columns if c[0] in "cs" and c[1:].isdigit()]
     nodes = known.groupBy("set_hi", "set_lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in carried))
     nodes = scratch.save(nodes, "nodes")
-    pairs = _candidates(nodes, percent, scratch)
-    scratch.drop("met")
-    links = _confirm(docs, nodes, pairs, percent, id_col, text_col, scratch)
+    families = _families(nodes, scratch)
+    pairs = _cross_pairs(nodes, spark.read.parquet(scratch.path("met")), families, percent, scratch)
+    scratch.drop("met", "mixed")
+    links = _confirm(docs, nodes, families, pairs, percent, id_col, text_col, scratch)
     # Rows with equal sets, and a doc_id whose rows differ, belong together.
     own = known.join(nodes.select("set_hi", "set_lo", F.col("id").alias("node")), ["set_hi", "set_lo"]).select("id", "node")
     equal = own.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct()
