@@ -82,13 +82,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url_col: s
     )
     hits = expanded.join(prepared, F.substring("own", 1, 8) == F.col("short")).where("own = full")
     best = hits.groupBy("host", "path").agg(
-        F.min(F.struct((-F.length("rule_text")).alias("n"), F.col("rule_text"), F.col("rule_verdict"))).alias("best")
+        F.min(F.struct((-F.length("rule_text")).alias("n"), F.col("rule_text"), F.col("rule_verdict"))).alias("_best")
     )
     return (
         pages.join(best, ["host", "path"], "left")
-        .withColumn("rule", F.col("best.rule_text"))
-        .withColumn("verdict", F.coalesce("best.rule_verdict", F.lit(default)))
-        .drop("best")
+        .withColumn("rule", F.col("_best.rule_text"))
+        .withColumn("verdict", F.coalesce("_best.rule_verdict", F.lit(default)))
+        .drop("_best")
     )
 
 
