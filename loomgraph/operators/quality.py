@@ -70,7 +70,7 @@ def check_sheets(sheets: DataFrame, sources: DataFrame, edges: DataFrame, known:
     invoked = step.select("id", F.explode("invokes").alias("item")).distinct()
     unknown = invoked.join(ids.select(F.col("id").alias("item")).distinct(), "item", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("unknown"))
     resolved = invoked.join(ids.select(F.col("id").alias("item")).distinct(), "item", "left_semi")
-    useful = resolved.where(~F.col("item").isin(*UNINFORMATIVE)).groupBy("id").agg(F.count(F.lit(1)).alias("useful"))
+    useful = resolved.where(~F.col("item").cast("string").isin(*UNINFORMATIVE)).groupBy("id").agg(F.count(F.lit(1)).alias("useful"))
     hole = holes(resolved, edges, known).groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("holes"))
     s = sheets.join(bad, "id", "left").join(unknown, "id", "left").join(hole, "id", "left").join(useful, "id", "left")
     n_steps = F.coalesce(F.size("steps"), F.lit(0))
