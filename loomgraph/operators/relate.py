@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.tables import small
 
 
 def distinct_endpoints(ends: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def notation_conflicts(symbols: DataFrame, conventions: DataFrame) -> DataFrame:
     c = conventions.select("family", "letter").distinct()
     mine = s.join(c.withColumnRenamed("letter", "own"), ["family", "own"], "left_semi")
     other = conventions.where("pattern <> ''").select("family", F.col("letter").alias("other"), "pattern", "prio")
-    clash = mine.join(F.broadcast(other), "family").where((F.col("own") != F.col("other")) & F.regexp_like(F.lower("meaning"), F.col("pattern")))
+    clash = mine.join(small(other), "family").where((F.col("own") != F.col("other")) & F.regexp_like(F.lower("meaning"), F.col("pattern")))
     return clash.groupBy("id", "symbol").agg(F.min(F.struct("prio", "other")).alias("b")).select("id", "symbol", F.col("b.other").alias("clashes_with"))
 
 
@@ -244,7 +245,7 @@ def evidence(lines: DataFrame, terms: DataFrame, gap: int = 5, context: int = 5,
     rank, strength and path, and ``limit`` of them stay. Only lines that hold a term reach
     the ordered step, one group per (doc, path).
     """
-    hits = lines.join(F.broadcast(terms), F.lower(lines["text"]).contains(F.lower(terms["term"])))
+    hits = lines.join(small(terms), F.lower(lines["text"]).contains(F.lower(terms["term"])))
     kind = dict(lines.dtypes)["doc"]
 
     def claim(pdf):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.tables import running_total
 
 
 def capped(rows: DataFrame, by: str, order: list, cap: int = 5) -> DataFrame:
@@ -32,8 +33,7 @@ def saturation(items: DataFrame) -> DataFrame:
     """
     first = items.groupBy("item").agg(F.min("pos").alias("pos"))
     added = items.select("pos").distinct().join(first.groupBy("pos").agg(F.count(F.lit(1)).alias("added")), "pos", "left").select("pos", F.coalesce("added", F.lit(0)).alias("added"))
-    size = F.sum("added").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    out = added.select("pos", size.alias("canon_size"), "added")
+    out = running_total(added, "pos", "added", "canon_size").select("pos", "canon_size", "added")
     return out.withColumn("added_pct", t.added_percent(F.col("canon_size"), F.col("added")))
 
 
@@ -222,5 +222,5 @@ def common_prefix(names: Column) -> Column:
 
 def growth(curve: DataFrame, limit: float = 5.0) -> DataFrame:
     """saturation rows with the previous size and whether growth fell under ``limit`` per cent."""
-    w = Window.orderBy("pos")
-    return curve.select("pos", "canon_size", F.lag("canon_size").over(w).alias("before"), (F.col("added_pct") < limit).alias("flat"))
+    before = F.nullif(F.col("canon_size") - F.col("added"), F.lit(0))
+    return curve.select("pos", "canon_size", before.alias("before"), (F.col("added_pct") < limit).alias("flat"))

@@ -61,10 +61,7 @@ def g4_syllabus(spark, sf_dir):
   b AS (SELECT path FROM w WHERE id = 3 ORDER BY n, ords LIMIT 1)
   SELECT (i - 1)::INTEGER AS pos, path[i] AS id FROM b, LATERAL (SELECT unnest(range(1, len(path) + 1)) AS i)""")
 def g5_chain(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = requires(spark, sf_dir)
-    e = e.withColumn("ord", F.row_number().over(Window.orderBy("src", "dst")).cast("long"))
+    e = requires(spark, sf_dir).withColumn("ord", F.col("src") * 2**31 + F.col("dst"))  # in order of (src, dst)
     return g.shortest_chain(e, _last(spark, sf_dir).first()["id"], 3)
 
 

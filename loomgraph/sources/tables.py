@@ -55,3 +55,28 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(frame: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``frame`` marked for broadcast if a count shows at most ``rows`` rows, else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def running_total(frame: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``frame`` with the running sum of ``value`` along ``order``, without one task for all rows.
+
+    Rows are range-partitioned and written with their partition's number; the partitions'
+    sums give each one its offset, and the window runs within a partition. Rows of equal
+    order fall into one partition and count together.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    scratch = Scratch(frame.sparkSession, "running")
+    parts = scratch.save(frame.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "parts")
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))  # a row for each partition
+    offsets = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inner = F.sum(value).over(Window.partitionBy("_part").orderBy(order))
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, inner + F.col("_before")).drop("_part", "_before")
