@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOPWORDS = frozenset("the and for with that this from are was has have not you but its can one all any how why what when".split())
-#: Words of a title that stay lower-case, and those that are acronyms.
-SMALL_WORDS = ("a", "an", "and", "the", "of", "in", "on", "for", "to", "by", "with")
-ACRONYMS = ("ekf", "ukf", "mpc", "pid", "imu", "gps", "lidar", "slam", "amcl", "tf")
+from .fixed import ACRONYMS, CONTENT_STOPWORDS, SMALL_WORDS, TECHNIQUE_STOPWORDS
 
 
 def slug(name: Column) -> Column:
@@ -30,13 +27,13 @@ def compact(name: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """Distinct ASCII identifiers of three characters or more, lower case, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z_][a-z0-9_]{2,})"), F.lit(1))
-    return F.array_except(found, F.array(*[F.lit(w) for w in sorted(STOPWORDS)]))
+    return F.array_except(found, F.array(*[F.lit(w) for w in sorted(CONTENT_STOPWORDS)]))
 
 
 def technique_terms(name: Column) -> Column:
     """Search terms of a technique: its words over two characters, sorted, without stop words."""
     words = F.split(F.lower(name), "[^a-z0-9]+")
-    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOPWORDS)))
+    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*sorted(TECHNIQUE_STOPWORDS)))
     return F.array_sort(F.array_distinct(kept))
 
 
@@ -50,17 +47,18 @@ def display_title(identifier: Column) -> Column:
     words = F.split(identifier, "_")
 
     def one(w, i):
-        return F.when(w.isin(*ACRONYMS), F.upper(w)).when(w.isin(*SMALL_WORDS) & (i > 0), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))
+        return F.when(w.isin(*ACRONYMS), F.upper(w)).when(w.isin(*SMALL_WORDS) & (i > 0), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000))))
 
     return F.array_join(F.transform(words, one), " ")
 
 
 def trim_sentence(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters, ending after the last full sentence beyond 40 % of it, else cut with an ellipsis."""
+    """At most ``limit`` characters and an ellipsis, ending with the last sentence if that is beyond 40 % of them."""
+    text = F.trim(text)
     head = F.substring(text, 1, limit)
     stop = F.when(F.locate(" .", F.reverse(head)) > 0, F.length(head) - F.locate(" .", F.reverse(head))).otherwise(0)
-    short = F.when(stop > limit * 0.4, F.substring(head, F.lit(1), stop)).otherwise(F.concat(F.rtrim(head), F.lit("...")))
-    return F.when(F.length(text) <= limit, text).otherwise(short)
+    short = F.when(stop - 1 > limit * 0.4, F.substring(head, F.lit(1), stop)).otherwise(F.rtrim(head))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(short, F.lit(" \u2026")))
 
 
 def is_matrix(value: Column) -> Column:
@@ -85,13 +83,14 @@ def flags(values: Column, names: Column) -> Column:
 
 
 def bare_letter(symbol: Column) -> Column:
-    """The letter of a symbol such as ``x_k`` or ``\\hat{x}``: the first one after any command."""
-    return F.regexp_extract(F.regexp_replace(symbol, r"\\[A-Za-z]+", ""), "([A-Za-z])", 1)
+    """The letter of a symbol such as ``x_k`` or a bold ``R``: one that no other letter follows."""
+    plain = F.trim(F.regexp_replace(symbol, r"\\(?:mathbf|boldsymbol|bm)\{([A-Za-z0-9_]+)\}", "$1"))
+    return F.regexp_extract(plain, "^([A-Za-z])(?![A-Za-z])", 1)
 
 
 def section_numbers(text: Column) -> Column:
     """Dotted numbers that follow "section", "sec." or a section sign."""
-    return F.regexp_extract_all(F.lower(text), F.lit("(?:section|sec\\.|§) ?([0-9]+(?:\\.[0-9]+)*)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit("(?:section|sec\\.|\u00a7) ?([0-9]+(?:\\.[0-9]+)*)"), F.lit(1))
 
 
 def base_document(identifier: Column) -> Column:
@@ -122,7 +121,7 @@ def header_notice(text: Column) -> Column:
 
 def html_safe(text: Column) -> Column:
     """JSON text safe inside a script element."""
-    for c, r in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for c, r in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         text = F.replace(text, F.lit(c), F.lit(r))
     return text
 

@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fixed import DEFINES, DERIVATION_TITLE, MOVES, OUT_OF_SCOPE_TITLE, UNINFORMATIVE
 from . import graph as g
 
-#: Resolved invocations that say nothing about a step.
-UNINFORMATIVE = ("algebra", "arithmetic")
-
-
 def ungrounded(cites: DataFrame, sources: DataFrame) -> DataFrame:
     """cites (id, cite) and sources (id, source) -> citations without a retrieved source."""
     return cites.select("id", "cite").distinct().join(sources.select("id", F.col("source").alias("cite")).distinct(), ["id", "cite"], "left_anti")
@@ -108,12 +105,7 @@ def prune_reason(corrupt: Column, known: Column, grounded: Column, ok: Column, p
     return F.when(corrupt, "unreadable").when(~known, "no such node").when(private, "private").when(~grounded, "ungrounded").when(~ok, "failing").when(stale, "stale")
 
 
-#: Words that state a derivation, and those that merely define.
-MOVES = r"\b(substitut|expand|rearrang|integrat|differentiat|simplif|factor|multiply|take the)"
-DEFINES = r"\b(is defined as|is called|denotes|we call|definition)"
-
-
-def source_derives(sections: DataFrame, title: str = r"(?i)\b(derivation|proof)\b", out_of_scope: str = r"(?i)\b(history|example)\b") -> DataFrame:
+def source_derives(sections: DataFrame, title: str = DERIVATION_TITLE, out_of_scope: str = OUT_OF_SCOPE_TITLE) -> DataFrame:
     """sections (id, title, body) -> (id, derives): any derivation section that is not mere definition."""
     own = sections.where(F.col("title").rlike(title) & ~F.col("title").rlike(out_of_scope))
     low = F.lower("body")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fixed import TELLING
 from ..sources.tables import small
 from .graph import GLOBAL_TYPES
 
@@ -103,13 +104,13 @@ def excerpts(lines: DataFrame, parameters: DataFrame, budget: int) -> DataFrame:
 
 
 def render_components(names: DataFrame, parameters: DataFrame, limit: int = 22) -> DataFrame:
-    """(slug, line): parameters of components named by slug, telling ones first, matrices among them first.
+    """(slug, line): parameters of components named by slug, telling ones first, matrices last among them.
 
     Both sides are joined on the slug, so names in camel case keep their parameters.
     """
     p = parameters.withColumn("slug", t.slug(F.col("component")))
-    telling = F.when(F.lower("name").rlike("topic|frame|rate|weight|cost|max|min"), 0).otherwise(1)
-    w = Window.partitionBy("slug").orderBy(telling, F.when(t.is_matrix(F.col("value")), 0).otherwise(1), "name", "value")
+    telling = F.when(F.lower("name").rlike(TELLING), 0).otherwise(1)
+    w = Window.partitionBy("slug").orderBy(telling, F.when(t.is_matrix(F.col("value")), 1).otherwise(0), "name", "value")
     top = p.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
     g = top.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("rn", F.concat("name", F.lit("="), "value").alias("s")))).alias("x"))
     j = names.select(t.slug(F.col("name")).alias("slug")).distinct().join(g, "slug", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fixed import BRIDGE, NEVER_EVIDENCE, OUTPUT_NAME, TOPIC, WIRING_FILE
 from ..sources.tables import small
 
 
@@ -69,24 +70,20 @@ def bridge_endpoints(arguments: DataFrame) -> DataFrame:
 
     ``TOPIC@TYPE[TYPE`` publishes, ``TOPIC@TYPE]TYPE`` subscribes, ``TOPIC@TYPE@TYPE`` both.
     """
-    topic = F.regexp_extract("argument", r"^(/?[^@\[\]]+)@[^@\[\]]+([@\[\]])", 1)
-    mark = F.regexp_extract("argument", r"^(/?[^@\[\]]+)@[^@\[\]]+([@\[\]])", 2)
+    topic, mark = F.regexp_extract("argument", BRIDGE, 1), F.regexp_extract("argument", BRIDGE, 2)
     role = F.when(mark == "[", "publishes").when(mark == "]", "subscribes").otherwise("both")
     full = F.concat(F.lit("/"), F.regexp_replace(topic, "^/", ""))
     return arguments.where(topic != "").select("component", full.alias("topic"), role.alias("role"), F.col("argument").alias("evidence"), "ord")
 
 
 def parameter_endpoints(parameters: DataFrame) -> DataFrame:
-    """Endpoints from parameters (component, name, value, ord) whose name speaks of a topic.
+    """Endpoints from parameters (component, name, value, ord) whose value is a topic.
 
-    A value that starts with a slash and a name with ``topic`` or ``frame`` absent of it; names
-    with output, publish or out are publishers, the others subscribers.
+    Names that speak of an output are publishers, the others subscribers.
     """
-    named = F.lower("name")
-    role = F.when(named.rlike("output|publish|(^|_)out(_|$)"), "publishes").otherwise("subscribes")
-    return parameters.where(named.contains("topic") & F.col("value").rlike("^/?[A-Za-z][A-Za-z0-9_/]*$")).select(
-        "component", F.concat(F.lit("/"), F.regexp_replace("value", "^/", "")).alias("topic"), role.alias("role"), F.concat("name", F.lit("="), "value").alias("evidence"), "ord"
-    )
+    role = F.when(F.lower("name").rlike(OUTPUT_NAME), "publishes").otherwise("subscribes")
+    value = F.regexp_replace(F.trim("value"), "^[\"']+|[\"']+$", "")
+    return parameters.where(value.rlike(TOPIC)).select("component", value.alias("topic"), role.alias("role"), F.concat("name", F.lit("="), "value").alias("evidence"), "ord")
 
 
 def library_endpoints(components: DataFrame, defaults: DataFrame) -> DataFrame:
@@ -240,12 +237,16 @@ def file_hashes(files: DataFrame) -> DataFrame:
 def evidence(lines: DataFrame, terms: DataFrame, gap: int = 5, context: int = 5, limit: int = 3) -> DataFrame:
     """lines (doc, path, rank, ln, text), terms (term, strength, prio) -> best spans per doc.
 
-    Terms go in order of prio. In each file of a doc a term claims its first line that is
+    Terms go in order of prio, parameters with strength 2 and words of a name with 1, which
+    don't count in tests, manifests and launch files. In each file of a doc a term claims its first line that is
     not within ``gap`` lines of one claimed before; the spans of a doc are ranked by file
     rank, strength and path, and ``limit`` of them stay. Only lines that hold a term reach
     the ordered step, one group per (doc, path).
     """
-    hits = lines.join(small(terms), F.lower(lines["text"]).contains(F.lower(terms["term"])))
+    usable = lines.where(~F.col("text").rlike(NEVER_EVIDENCE))
+    held = F.lower("text").contains(F.lower("term"))
+    weak_in_wiring = (F.col("strength") < 2) & F.col("path").rlike(WIRING_FILE)
+    hits = usable.join(small(terms), held & ~weak_in_wiring)
     kind = dict(lines.dtypes)["doc"]
 
     def claim(pdf):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fixed import DERIVATION_MARKERS, DISAMBIGUATION_PHRASES
 from ..sources.tables import running_total
 
 
@@ -92,7 +93,10 @@ def substantive(n_chars: Column, kind: Column) -> Column:
 
 def disambiguation(text: Column, flag: Column) -> Column:
     """A flagged page, or a short one whose first 400 characters say that it may refer to several things."""
-    phrase = F.lower(F.substring(text, 1, 400)).contains("may refer to")
+    head = F.lower(F.substring(text, 1, 400))
+    phrase = head.contains(DISAMBIGUATION_PHRASES[0])
+    for p in DISAMBIGUATION_PHRASES[1:]:
+        phrase = phrase | head.contains(p)
     return F.coalesce(flag, F.lit(False)) | ((F.length(text) < 6000) & phrase)
 
 
@@ -112,7 +116,7 @@ def passages(docs: DataFrame, terms: list[str], limit: int = 4, min_hits: int =
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("doc", "place", "pos", "hits", "occurrences", "passage")
 
 
-def best_window(docs: DataFrame, markers: list[str], budget: int) -> DataFrame:
+def best_window(docs: DataFrame, markers: tuple[str, ...] = DERIVATION_MARKERS, budget: int = 24_000) -> DataFrame:
     """docs (doc, text) -> (doc, first, last, score): the best contiguous paragraphs within a budget.
 
     Texts within the budget are one window of everything. Otherwise blank paragraphs go,

@@ -101,11 +101,11 @@ def j30_excerpts(spark, sf_dir):
     return r.excerpts(lines_of(spark, sf_dir), names, 1500)
 
 
-@query("SELECT slug, coalesce(line, '') AS line FROM (SELECT DISTINCT lower(replace(n_name, ' ', '_')) AS slug, n_nationkey AS k FROM nation) LEFT JOIN (SELECT c_nationkey, string_agg(nm || '=' || v, ', ' ORDER BY rn) AS line FROM (SELECT c_nationkey, 'max_' || c_custkey AS nm, c_mktsegment AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'max_' || c_custkey, c_mktsegment) AS rn FROM customer QUALIFY rn <= 22) GROUP BY c_nationkey) ON c_nationkey = k")
+@query("SELECT slug, coalesce(line, '') AS line FROM (SELECT DISTINCT lower(replace(n_name, ' ', '_')) AS slug, n_nationkey AS k FROM nation) LEFT JOIN (SELECT c_nationkey, string_agg(nm || '=' || v, ', ' ORDER BY rn) AS line FROM (SELECT c_nationkey, 'map_' || c_custkey AS nm, c_mktsegment AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'map_' || c_custkey, c_mktsegment) AS rn FROM customer QUALIFY rn <= 22) GROUP BY c_nationkey) ON c_nationkey = k")
 def j36_render_components(spark, sf_dir):
     n = read(spark, sf_dir, "nation")
     p = read(spark, sf_dir, "customer").join(n.withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
-    return r.render_components(n.select(F.col("n_name").alias("name")), p.select(F.col("n_name").alias("component"), F.concat(F.lit("max_"), "c_custkey").alias("name"), F.col("c_mktsegment").alias("value")))
+    return r.render_components(n.select(F.col("n_name").alias("name")), p.select(F.col("n_name").alias("component"), F.concat(F.lit("map_"), "c_custkey").alias("name"), F.col("c_mktsegment").alias("value")))
 
 
 @query("SELECT n_name AS component FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 > 0")

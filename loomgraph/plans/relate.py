@@ -238,14 +238,14 @@ def f7_title_variants(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), t.title_variant(F.col("p_name")).alias("variant"))
 
 
-@query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 200) AS head FROM documents),
+@query("""WITH h AS (SELECT doc_id, trim(text, ' ') AS text, substr(trim(text, ' '), 1, 200) AS head FROM documents),
   c AS (SELECT *, CASE WHEN contains(head, '. ') THEN 200 - strpos(reverse(head), ' .') ELSE 0 END AS stop FROM h)
-  SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN stop > 80 THEN substr(head, 1, stop) ELSE rtrim(head, ' ') || '...' END AS short FROM c""")
+  SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN stop - 1 > 80 THEN substr(head, 1, stop) || ' \u2026' ELSE rtrim(head, ' ') || ' \u2026' END AS short FROM c""")
 def f9_trim(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", t.trim_sentence(F.col("text"), 200).alias("short"))
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'EKF of the Map' WHEN 1 THEN 'The MPC for Planning' ELSE 'Particle Filter' END AS title FROM supplier""")
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN 'PID of the Map' WHEN 1 THEN 'The LQR For Planning' ELSE 'Particle Filter' END AS title FROM supplier""")
 def g20_title(spark, sf_dir):
-    ident = F.element_at(F.array(*map(F.lit, ("ekf_of_the_map", "the_mpc_for_planning", "particle_filter"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    ident = F.element_at(F.array(*map(F.lit, ("pid_of_the_map", "the_lqr_for_planning", "particle_filter"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), t.display_title(ident).alias("title"))

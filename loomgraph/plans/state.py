@@ -14,6 +14,7 @@ from ..sources.tables import read
 from ..streaming import events as s
 from .bindings import NODES, REQ, nodes, requires
 from .registry import query
+from .windows import STOP
 
 
 def profile_events(frame, nodes_: int = 40):
@@ -108,8 +109,8 @@ def _steps(spark, sf_dir):
 
 
 @query(
-    """WITH sw AS (SELECT unnest(['and','the','for','with','that','this','from','are','was','has','have','not','but','you','its','can','one','all','any','how','why','what','when']) AS w),
-  tok AS (SELECT DISTINCT conv_id AS doc, turn::INTEGER AS item, unnest(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{2,})', 1)) AS token FROM conversations),
+    f"""WITH sw AS (SELECT unnest({STOP}) AS w),
+  tok AS (SELECT DISTINCT conv_id AS doc, turn::INTEGER AS item, unnest(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{{2,}})', 1)) AS token FROM conversations),
   un AS (SELECT doc, item FROM (SELECT * FROM tok WHERE token NOT IN (SELECT w FROM sw) QUALIFY count(*) OVER (PARTITION BY doc, token) = 1)),
   g AS (SELECT doc, item, count(*) AS k FROM un GROUP BY ALL HAVING count(*) >= 2),
   best AS (SELECT doc, item, row_number() OVER (PARTITION BY doc ORDER BY k DESC, item DESC) AS place FROM g QUALIFY place <= 2)
@@ -173,7 +174,7 @@ def f2_ascii_slug(spark, sf_dir):
 
 
 @query("""WITH h AS (SELECT page_id AS page, regexp_extract_all(html, 'href=["''](https?://[^"'']+)["'']', 1) AS u FROM (SELECT page_id, replace(replace(replace(html, 'href="/t', 'href="https://a.example.com/t'), 'href="/a', 'href="https://b.example.org/a'), 'href="/', 'href="https://c.example.net/') AS html FROM pages)), r AS (SELECT page, i AS ord, u[i] AS url FROM h, LATERAL (SELECT unnest(range(1, len(u) + 1)) AS i)),
-  k AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM r WHERE NOT regexp_matches(url, '(?i)(login|signup|\\.(png|jpg|gif|svg|css|js)$|/tag/|mailto:)')),
+  k AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM r WHERE NOT regexp_matches(url, '(?i)(web\\.archive\\.org|books\\.google|amazon\\.|youtube\\.com|twitter\\.com|facebook\\.com|/rss|\\.xml$|archive\\.today)')),
   c AS (SELECT *, CASE WHEN contains(host, 'example.com') THEN 'paper' WHEN contains(host, 'example.org') THEN 'course' WHEN contains(host, 'example.net') THEN 'code' END AS kind, regexp_extract(url, '^https?://([^?#]*)', 1) AS key FROM k),
   f AS (SELECT page, key, min(ord) AS ord, arg_min(url, ord) AS url, arg_min(kind, ord) AS kind FROM c WHERE kind IS NOT NULL GROUP BY page, key),
   n AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY ord) AS rn, min(ord) OVER (PARTITION BY page, kind) AS first FROM f)

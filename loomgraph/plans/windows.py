@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fixed import CONTENT_STOPWORDS, DEFINES, MOVES
 from ..operators import quality as q
 from ..operators import windows as w
 from ..sources.tables import read
@@ -95,7 +96,7 @@ def w2_passages(spark, sf_dir):
   SELECT d.doc, coalesce(k.first, 1)::INTEGER AS first, CASE WHEN length(d.text) <= 2000 THEN len(d.ps) ELSE coalesce(k.last, 1) END::INTEGER AS last,
     coalesce(k.score, CASE WHEN length(d.text) <= 2000 THEN (SELECT sum(score) FROM x WHERE x.doc = d.doc) ELSE 0 END)::INTEGER AS score FROM d LEFT JOIN k ON k.doc = d.doc""")
 def w3_best_window(spark, sf_dir):
-    best = w.best_window(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), ["proof", "ing"], 2000)
+    best = w.best_window(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), ("proof", "ing"), 2000)
     return best.select("doc", *(F.col(c).cast("int").alias(c) for c in ("first", "last", "score")))
 
 
@@ -120,8 +121,9 @@ def w6_carry_forward(spark, sf_dir):
     return w.carry_forward(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "scope").select("event_id", "scope")
 
 
-_TOK = """st AS (SELECT unnest(['and','the','for','with','that','this','from','are','was','has','have','not','but','you','its','can','one','all','any','how','why','what','when']) AS w),
-  tok AS (SELECT DISTINCT conv_id AS doc, turn AS item, unnest(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{2,})', 1)) AS token FROM conversations),
+STOP = "[" + ", ".join(f"'{w}'" for w in sorted(CONTENT_STOPWORDS)) + "]"
+_TOK = f"""st AS (SELECT unnest({STOP}) AS w),
+  tok AS (SELECT DISTINCT conv_id AS doc, turn AS item, unnest(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{{2,}})', 1)) AS token FROM conversations),
   ok AS (SELECT * FROM tok WHERE token NOT IN (SELECT w FROM st)),
   un AS (SELECT doc, item, token FROM ok QUALIFY count(*) OVER (PARTITION BY doc, token) = 1),
   g AS (SELECT doc, item, count(*) AS n, array_to_string(list_sort(list(token)), ' ') AS tokens FROM un GROUP BY doc, item)"""
@@ -211,12 +213,12 @@ def f23_earned_state(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), t.earned_state(F.col("o_custkey") % 4, F.col("o_orderkey") % 4, F.lit(1)).alias("state"))
 
 
-@query("""WITH s AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Derivation' WHEN 1 THEN 'Proof of it' ELSE 'History' END AS title, lower(text || CASE doc_id % 4 WHEN 0 THEN ' It is defined as. It is called so.' WHEN 1 THEN ' substitute and expand' ELSE '' END) AS body FROM documents)
-  SELECT id, title <> 'History' AND NOT (len(regexp_extract_all(body, '\\b(is defined as|is called|denotes|we call|definition)')) >= 2 AND len(regexp_extract_all(body, '\\b(is defined as|is called|denotes|we call|definition)')) > len(regexp_extract_all(body, '\\b(substitut|expand|rearrang|integrat|differentiat|simplif|factor|multiply|take the)'))) AS derives FROM s""")
+@query(f"""WITH s AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Derivation' WHEN 1 THEN 'Proof by it' ELSE 'Proof' END AS title, lower(text || CASE doc_id % 4 WHEN 0 THEN ' It is called a map. It is defined to be so.' WHEN 1 THEN ' substitute and expand' ELSE '' END) AS body FROM documents)
+  SELECT id, title <> 'Proof by it' AND NOT (len(regexp_extract_all(body, '{DEFINES}')) >= 2 AND len(regexp_extract_all(body, '{DEFINES}')) > len(regexp_extract_all(body, '{MOVES}'))) AS derives FROM s""")
 def f22_source_derives(spark, sf_dir):
     i = F.col("doc_id")
-    title = F.when(i % 3 == 0, "Derivation").when(i % 3 == 1, "Proof of it").otherwise("History")
-    extra = F.when(i % 4 == 0, " It is defined as. It is called so.").when(i % 4 == 1, " substitute and expand").otherwise("")
+    title = F.when(i % 3 == 0, "Derivation").when(i % 3 == 1, "Proof by it").otherwise("Proof")
+    extra = F.when(i % 4 == 0, " It is called a map. It is defined to be so.").when(i % 4 == 1, " substitute and expand").otherwise("")
     return q.source_derives(read(spark, sf_dir, "documents").select(i.alias("id"), title.alias("title"), F.concat("text", extra).alias("body")))
 
 

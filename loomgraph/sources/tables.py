@@ -45,8 +45,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
+    def save(self, frame: DataFrame, name: str, width: int | None = None) -> DataFrame:
+        """Writes a table, in at most ``width`` tasks and files where that is given."""
         path = self.path(name)
+        if width is not None:
+            frame = frame.coalesce(width)
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
@@ -57,6 +60,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def width_for(rows: int, each: int = 200_000, least: int = 4) -> int:
+    """Tasks for so many rows: files and tasks in proportion to the data, not to a setting."""
+    return max(least, -(-rows // each))
+
+
 def small(frame: DataFrame, rows: int = 100_000) -> DataFrame:
     """``frame`` marked for broadcast if a count shows at most ``rows`` rows, else as it is."""
     from pyspark.sql import functions as F

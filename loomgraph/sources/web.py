@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.fixed import JUNK_LINKS, TRUSTED_DOMAINS
+
 _SILENT = {"script", "style", "nav", "header", "footer"}
 _BLOCK = {"p", "div", "li", "ul", "ol", "tr", "table", "br", "section", "article", "pre", "blockquote"}
 
@@ -108,17 +110,12 @@ def pinned_section(docs: DataFrame, pins: DataFrame) -> DataFrame:
     return j.withColumn("body", F.when(F.col("body").isNotNull(), F.col("body")).otherwise(missing))
 
 
-#: Domains that are trusted for further reading, by kind.
-TRUSTED = (("arxiv.org", "paper"), ("doi.org", "paper"), ("github.com", "code"), ("youtube.com", "video"), (".edu", "course"), ("example.org", "course"))
-JUNK = r"(?i)(login|signup|\.(png|jpg|gif|svg|css|js)$|/tag/|mailto:)"
-
-
-def external_links(pages: DataFrame, trusted=TRUSTED, limit: int = 6) -> DataFrame:
+def external_links(pages: DataFrame, trusted=TRUSTED_DOMAINS, limit: int = 6) -> DataFrame:
     """pages (page, html) -> (page, place, url, kind): trusted links, one per host and path, kinds in turn."""
     from ..operators.windows import round_robin
 
     hrefs = pages.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(r"""href=["'](https?://[^"']+)["']"""), F.lit(1))).alias("ord", "url"))
-    hrefs = hrefs.where(~F.col("url").rlike(JUNK))
+    hrefs = hrefs.where(~F.col("url").rlike(JUNK_LINKS))
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     kind = F.lit(None).cast("string")
     for domain, k in reversed(trusted):

@@ -39,7 +39,7 @@ def test_topic_resolution(spark):
 def test_endpoint_sources(spark):
     a = spark.createDataFrame([("c", "/t@a/B[c.D", 0), ("c", "u@a/B]c.D", 1), ("c", "v@a/B@c.D", 2), ("c", "--flag", 3)], "component string, argument string, ord long")
     assert {(x.topic, x.role) for x in r.bridge_endpoints(a).collect()} == {("/t", "publishes"), ("/u", "subscribes"), ("/v", "both")}
-    params = spark.createDataFrame([("c", "output_topic", "cmd", 0), ("c", "scan_topic", "/scan", 1), ("c", "rate", "5", 2)], "component string, name string, value string, ord long")
+    params = spark.createDataFrame([("c", "output", "/cmd", 0), ("c", "scan", "/scan", 1), ("c", "rate", "5", 2)], "component string, name string, value string, ord long")
     assert {(x.topic, x.role) for x in r.parameter_endpoints(params).collect()} == {("/cmd", "publishes"), ("/scan", "subscribes")}
     comps = spark.createDataFrame([("c", "lib", "exe", [("scan", "/front")])], "component string, library string, executable string, remappings array<struct<inside:string,outside:string>>")
     defaults = spark.createDataFrame([("lib/exe", "scan", "subscribes", 0)], "key string, topic string, role string, ord long")
@@ -89,9 +89,9 @@ def test_sections_and_notation(spark):
     refs = spark.createDataFrame([(1, "3.1", "see there"), (2, "3.1.2", "see ekf"), (3, "9", "no"), (4, "3", "x")], "ref_id int, number string, text string")
     owners = spark.createDataFrame([("ekf", "kalman", "3.1", 1), ("mpc", "control", "3.2", 2)], "owner string, name string, section string, prio int")
     assert {(x.ref_id, x.owner) for x in r.section_owners(refs, owners).collect()} == {(1, "ekf"), (4, "ekf")}
-    symbols = spark.createDataFrame([("n", r"\hat{x}_k", "the control input", "F"), ("n", "q", "state", "F")], "id string, symbol string, meaning string, family string")
+    symbols = spark.createDataFrame([("n", r"\mathbf{x}_k", "the control input", "F"), ("n", "q", "state", "F")], "id string, symbol string, meaning string, family string")
     conv = spark.createDataFrame([("F", "x", "state", 1), ("F", "u", "control|input", 2)], "family string, letter string, pattern string, prio int")
-    assert [tuple(x) for x in r.notation_conflicts(symbols, conv).collect()] == [("n", r"\hat{x}_k", "u")]
+    assert [tuple(x) for x in r.notation_conflicts(symbols, conv).collect()] == [("n", r"\mathbf{x}_k", "u")]
 
 
 def test_stale_paths(spark):
@@ -213,11 +213,11 @@ def test_guards(spark):
 def test_text_functions(spark):
     assert one(spark, t.slug(F.col("s")), s=" Smac Planner-2D! ") == "smac_planner_2d"
     assert one(spark, t.camel_words(F.col("s")), s="SmacPlanner2D_node") == ["smac", "planner2", "d", "node"]
-    assert one(spark, t.trim_sentence(F.col("s"), 20), s="One two three. Four five six") == "One two three."
+    assert one(spark, t.trim_sentence(F.col("s"), 20), s="One two three. Four five six") == "One two three. \u2026"
     assert one(spark, t.trim_sentence(F.col("s"), 20), s="short") == "short"
     assert one(spark, t.header_notice(F.col("s")), s="/* (c) me */ int x;") == " (c) me "
     assert one(spark, t.outer_json(F.col("s")), s='```json\n{"a": {"b": 1}}\n```') == '{"a": {"b": 1}}'
-    assert one(spark, t.display_title(F.col("s")), s="the_ekf_of_a_map") == "The EKF of a Map"
+    assert one(spark, t.display_title(F.col("s")), s="the_pid_of_a_map") == "The PID of A Map"
     assert one(spark, t.bare_letter(F.col("s")), s=r"\mathbf{P}_k") == "P"
 
 
