@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Scratch
+from ..sources.tables import Scratch, width_for
 
 MAX_ROUNDS = 200
 
@@ -25,15 +25,16 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None, name:
     scratch = scratch or Scratch(edges.sparkSession, "components")
     e = edges.select("a", "b").dropna()
     both = scratch.save(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    width = width_for(both.count())
     labels = scratch.save(
-        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), f"{name}-0"
+        both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), f"{name}-0", width
     )
     for k in range(1, MAX_ROUNDS):
         near = both.join(labels.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("m")).toDF("id", "m")
         spread = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = labels.toDF("label", "next")
         moved = spread.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
-        moved = scratch.save(moved, f"{name}-{k}")
+        moved = scratch.save(moved, f"{name}-{k}", width)
         done = moved.where("was <> label").isEmpty()
         labels = moved.select("id", "label")
         scratch.drop(f"{name}-{k - 1}")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Scratch
+from ..sources.tables import Scratch, width_for
 from .components import connected_components
 
 WORDS = 5
@@ -135,17 +135,19 @@ def _families(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     keys = nodes.select("id", F.explode(F.array(*key)).alias("k")).select("id", "k.*")
     busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("hub")).where("m > 1").drop("m")
     met = scratch.save(keys.join(busy, "key"), "met")
+    width = width_for(met.count())
     near = met.groupBy("id").agg(F.min("hub").alias("label"))
     least = met.select("key", "id").join(near, "id").groupBy("key").agg(F.min("label").alias("label"))
-    return scratch.save(met.select("key", "id").join(least, "key").groupBy("id").agg(F.min("label").alias("family")), "families")
+    return scratch.save(met.select("key", "id").join(least, "key").groupBy("id").agg(F.min("label").alias("family")), "families", width)
 
 
 def _cross_pairs(nodes: DataFrame, met: DataFrame, families: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a < b, of different families that the multi-index join finds, once each."""
+    width = width_for(met.count())
     placed = met.select("key", "chunk", "gap", "id").join(families, "id")
     mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("key")
     signed = nodes.select("id", "n", *(f"c{i}" for i in range(CHUNKS)), *(f"s{k}" for k in range(BITS // 64)))
-    ready = scratch.save(placed.join(mixed, "key").join(signed, "id"), "mixed")
+    ready = scratch.save(placed.join(mixed, "key").join(signed, "id"), "mixed", width)
     x, y = ready.alias("x"), ready.alias("y")
 
     def same(i, j):  # symbol j of chunk i is equal
@@ -189,7 +191,8 @@ def _confirm(docs: DataFrame, nodes: DataFrame, families: DataFrame, pairs: Data
     local = families.join(nodes.select("id", "n"), "id")
     room = local.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_WORDS), F.ceil(F.count(F.lit(1)) / BLOCK_NODES)).alias("blocks"), F.count(F.lit(1)).alias("size"))
     blocks = local.join(room, "family").select("id", "family", "size", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block"))
-    blocks = scratch.save(blocks, "blocks")
+    width = width_for(families.count())
+    blocks = scratch.save(blocks, "blocks", width)
     inner = blocks.where("size > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     inner = inner.select(
         F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
@@ -198,9 +201,9 @@ def _confirm(docs: DataFrame, nodes: DataFrame, families: DataFrame, pairs: Data
     )
     at = blocks.select("id", F.xxhash64("family", "block").alias("place"))
     listed = pairs.join(at.toDF("a", "pa"), "a").join(at.toDF("b", "pb"), "b")
-    listed = scratch.save(listed.select("a", "b", F.xxhash64(F.lit(1), F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task")), "listed")
+    listed = scratch.save(listed.select("a", "b", F.xxhash64(F.lit(1), F.least("pa", "pb"), F.greatest("pa", "pb")).alias("task")), "listed", width_for(pairs.count()))
     crossed = listed.select("task", F.col("a").alias("id")).unionByName(listed.select("task", F.col("b").alias("id"))).distinct()
-    need = scratch.save(inner.unionByName(crossed.withColumn("side", F.lit(3))), "need")
+    need = scratch.save(inner.unionByName(crossed.withColumn("side", F.lit(3))), "need", width)
     ids = need.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     if ids.count() <= BROADCAST_IDS:  # else the texts that nothing needs go through the shuffle as well
