@@ -139,3 +139,11 @@ def with_messages(report: DataFrame, messages: DataFrame) -> DataFrame:
     j = report.join(m, "id", "left")
     shape = F.concat_ws("; ", F.nullif(F.col("shape"), F.lit("")), "_more")
     return j.withColumn("shape", shape).withColumn("ok", F.col("ok") & F.col("_more").isNull()).drop("_more")
+
+
+def scan_scope(units: DataFrame, limit: int = 120) -> DataFrame:
+    """(total, kept, complete, caveat) of a scan that keeps the first ``limit`` units."""
+    g = units.agg(F.count(F.lit(1)).alias("total"))
+    kept = F.least(F.col("total"), F.lit(limit))
+    caveat = F.when(F.col("total") > limit, F.concat(kept.cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" units were read"))).otherwise("")
+    return g.select("total", kept.alias("kept"), (F.col("total") <= limit).alias("complete"), caveat.alias("caveat"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.fixed import BRIDGE, NEVER_EVIDENCE, OUTPUT_NAME, TOPIC, WIRING_FILE
+from ..functions.fixed import BRIDGE, GENERIC_WORDS, NEVER_EVIDENCE, OUTPUT_NAME, TOPIC, WIRING_FILE
 from ..sources.tables import small
 
 
@@ -234,6 +234,20 @@ def file_hashes(files: DataFrame) -> DataFrame:
     return files.select("path", F.substring(F.sha2(F.col("content"), 256), 1, 16).alias("hash"))
 
 
+def terms_for(nodes: DataFrame, knobs: DataFrame) -> DataFrame:
+    """nodes (id, name), knobs (id, ord, parameter) -> (id, prio, term, strength): what to search for.
+
+    Parameters come first, then the words of a name over four letters that are not
+    generic; of terms that differ in case alone the first counts.
+    """
+    words = F.filter(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]+)"), F.lit(1)), lambda w: (F.length(w) > 4) & ~w.isin(*sorted(GENERIC_WORDS)))
+    named = nodes.select("id", F.posexplode(words).alias("ord", "term"), F.lit(1).alias("strength"))
+    own = knobs.where(F.trim("parameter") != "").select("id", F.col("ord").cast("int").alias("ord"), F.trim("parameter").alias("term"), F.lit(2).alias("strength"))
+    first = own.unionByName(named).groupBy("id", F.lower("term").alias("_l")).agg(F.min(F.struct((-F.col("strength")).alias("s"), "ord", "term")).alias("t"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("t"))
+    return first.select("id", place.alias("prio"), F.col("t.term").alias("term"), (-F.col("t.s")).alias("strength"))
+
+
 def evidence(lines: DataFrame, terms: DataFrame, gap: int = 5, context: int = 5, limit: int = 3) -> DataFrame:
     """lines (doc, path, rank, ln, text), terms (term, strength, prio) -> best spans per doc.
 

@@ -144,3 +144,8 @@ def d4_appended_messages(spark, sf_dir):
     lab = read(spark, sf_dir, "labels")
     report = lab.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "low").otherwise("").alias("shape"), (F.col("quality") == 1).alias("ok"))
     return r.with_messages(report, lab.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("notation").alias("message")))
+
+
+@query("SELECT count(*) AS total, least(count(*), 120) AS kept, count(*) <= 120 AS complete, CASE WHEN count(*) > 120 THEN '120 of ' || count(*) || ' units were read' ELSE '' END AS caveat FROM conversations")
+def p8_scan_scope(spark, sf_dir):
+    return r.scan_scope(read(spark, sf_dir, "conversations"))

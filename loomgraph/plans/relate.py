@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.fixed import GENERIC_WORDS
 from ..operators import graph as g
 from ..operators import relate as r
 from ..sources.tables import read
@@ -249,3 +250,20 @@ def f9_trim(spark, sf_dir):
 def g20_title(spark, sf_dir):
     ident = F.element_at(F.array(*map(F.lit, ("pid_of_the_map", "the_lqr_for_planning", "particle_filter"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), t.display_title(ident).alias("title"))
+
+
+_GENERIC = "[" + ", ".join(f"'{w}'" for w in sorted(GENERIC_WORDS)) + "]"
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS id, regexp_extract_all(lower(p_name || ' Matrix Kalman ' || p_brand), '[a-z]+') AS ws FROM part),
+  x AS (SELECT id, i - 1 AS ord, ws[i] AS term, 1 AS strength FROM n, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)),
+  w AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY ord)) - 1 AS ord, term, strength FROM x WHERE length(term) > 4 AND NOT list_contains({_GENERIC}, term)),
+  u AS (SELECT p_partkey AS id, 0 AS ord, p_brand AS term, 2 AS strength FROM part UNION ALL SELECT p_partkey, 1, 'kalman', 2 FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT * FROM w),
+  f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id, lower(term) ORDER BY strength DESC, ord) = 1)
+  SELECT id, (row_number() OVER (PARTITION BY id ORDER BY strength DESC, ord, term))::INTEGER AS prio, term, strength FROM f""")
+def f6_terms(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    knobs = p.select(F.col("p_partkey").alias("id"), F.lit(0).alias("ord"), F.col("p_brand").alias("parameter")).unionByName(
+        p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit(1).alias("ord"), F.lit("kalman").alias("parameter"))
+    )
+    return r.terms_for(p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Matrix Kalman "), "p_brand").alias("name")), knobs)
