@@ -1,7 +1,8 @@
 """Assignment-aware secret scan.
 
 A text is lexed into name-literal pairs: ``name = literal``, ``name: literal``, quoted
-keys, ``export NAME=...`` and adjacent literals joined by ``+``. Constants propagate: a
+keys, ``export NAME=...`` and adjacent literals joined by ``+``. A quoted literal ends at its
+closing quote on the same line, however long it is. Constants propagate: a
 pair whose value is a bare name takes the literal last bound to that name earlier in the
 text, so ``k = "..."; api_key = k`` reports the literal of ``k``. A literal is scored by
 what the names bound to it say (sensitive words, whole or as parts of a compound name)
@@ -49,11 +50,11 @@ THRESHOLD = 1.2
 
 _LEX = re.compile(
     r"""(?P<name>["']?[A-Za-z_][A-Za-z0-9_.-]{0,80}["']?)[ \t]*(?::=|[:=])(?!=)[ \t]*"""
-    r"""(?:(?P<q>["'])(?P<lit>[^"'\n]{0,400})(?P=q)(?P<more>(?:[ \t]*\+[ \t]*["'][^"'\n]{0,400}["'])*)"""
+    r"""(?:(?P<q>["'])(?P<lit>[^"'\n]*+)(?P=q)(?P<more>(?:[ \t]*\+[ \t]*["'][^"'\n]*+["'])*)"""
     r"""|(?P<bare>[A-Za-z0-9+/_.=-]+))"""
 )
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_QUOTED = re.compile(r"""["']([^"'\n]{0,400})["']""")
+_QUOTED = re.compile(r"""["']([^"'\n]*+)["']""")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
 

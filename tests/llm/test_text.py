@@ -171,6 +171,26 @@ def test_lexed_secrets_follow_names_and_constants():
     assert lexed("Note: the token of the matter is: simple prose, as ever: here.") == []
 
 
+def test_long_literals_are_lexed_whole():
+    import random
+    import time
+
+    def lexed(t):
+        return [t[a:b] for k, a, b in secret_scan.scan(t) if k == "lexed"]
+
+    rng = random.Random(3)
+    for n in (400, 401, 801, 5000):
+        key = "".join(rng.choices("ABCDEFGHJKLMNPQRTUVWXYZabcdefghjkmnpqrstuvwxyz23456789+/", k=n))
+        assert lexed(f'private_key = "{key}"') == [key]
+        assert lexed(f"k = '{key}'\nclient_credentials = k\n") == [key]
+        assert lexed(f'private_key = "Zk3vQ9xL" + "{key}" + "x7"') == ["Zk3vQ9xL", key, "x7"]
+        assert secret_scan.redact(f'a\nprivate_key = "{key}"\nb') == 'a\nprivate_key = "[SECRET]"\nb'
+        assert lexed(f'private_key = "{key}\n"') == []
+    began = time.process_time()
+    assert lexed("a_long_enough_name = '" * 3000 + "x" * 200000) == []
+    assert time.process_time() - began < 20
+
+
 def test_secret_rows_and_redaction(spark):
     rows = [(1, "x password=abcdefgh1 y"), (2, None), (3, ""), (4, "clean: text"), (1, "x password=abcdefgh1 y")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "length(text) + 0L as n_chars", "1 as spans", "2 as id")
