@@ -11,7 +11,7 @@ from ..operators import graph as g
 from ..operators import relate as r
 from ..sources.tables import read
 from .bindings import ENDS, REQ, endpoints, requires
-from .registry import query
+from .registry import query, without
 
 _FIRST = """fe AS (SELECT component, topic, role, arg_min(evidence, ord) AS evidence FROM ends GROUP BY ALL)"""
 _LINKS = f"""{ENDS}, {_FIRST}, links AS (SELECT p.component AS pub, s.component AS sub, p.topic, p.evidence AS pub_evidence, s.evidence AS sub_evidence
@@ -28,6 +28,11 @@ def j2_dataflow(spark, sf_dir):
     return r.dataflow(endpoints(spark, sf_dir).where("ord % 10 = 1"))
 
 
+@query(without("j2_dataflow", " WHERE ord % 10 = 1"))
+def j2_dataflow_all(spark, sf_dir):
+    return r.dataflow(endpoints(spark, sf_dir))
+
+
 _SPARSE = ENDS.replace("FROM lineitem", "FROM lineitem WHERE l_quantity > 45")
 
 
@@ -86,8 +91,8 @@ _FLOW = """fl AS (SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l
   l_linestatus AS evidence FROM lineitem WHERE l_suppkey <> l_partkey AND l_partkey < 100)"""
 
 
-def _flow_edges(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").where("l_partkey < 100").select(
+def _flow_edges(spark, sf_dir, where: str = "l_partkey < 100"):
+    return read(spark, sf_dir, "lineitem").where(where).select(
         F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_linestatus").alias("evidence")
     )
 
@@ -97,12 +102,22 @@ def j8_flows(spark, sf_dir):
     return r.flows(_flow_edges(spark, sf_dir))
 
 
+@query(without("j8_flows", " AND l_partkey < 100"))
+def j8_flows_all(spark, sf_dir):
+    return r.flows(_flow_edges(spark, sf_dir, "true"))
+
+
 @query(f"""WITH {_FLOW}, {_LINKS}, p AS (SELECT least(pub, sub) AS a, greatest(pub, sub) AS b, array_to_string(list_sort(list(DISTINCT topic::VARCHAR)), ',') AS topics FROM links GROUP BY 1, 2)
   SELECT f.a, f.b, f.relation, coalesce(p.topics, '') AS topics, p.topics IS NOT NULL AS confirmed FROM (SELECT DISTINCT a, b, relation FROM fl) f LEFT JOIN p USING (a, b)""")
 def j9_confirmed(spark, sf_dir):
     return r.confirm_flows(r.flows(_flow_edges(spark, sf_dir)), r.links(endpoints(spark, sf_dir)))
 
 
+@query(without("j9_confirmed", " AND l_partkey < 100"))
+def j9_confirmed_all(spark, sf_dir):
+    return r.confirm_flows(r.flows(_flow_edges(spark, sf_dir, "true")), r.links(endpoints(spark, sf_dir)))
+
+
 @query(f"WITH RECURSIVE {REQ}, k AS (SELECT p_partkey::BIGINT AS id FROM part WHERE p_size > 5) SELECT DISTINCT id FROM (SELECT src AS id FROM req UNION SELECT dst FROM req) WHERE id NOT IN (SELECT id FROM k)")
 def j19_supporting(spark, sf_dir):
     return r.supporting(requires(spark, sf_dir), read(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").cast("long").alias("id")))
@@ -136,7 +151,16 @@ def j17_name_cascade(spark, sf_dir):
   u AS (SELECT 'c' || l_suppkey AS component, l_partkey::BIGINT AS algorithm FROM lineitem WHERE l_partkey % 41 = 40)
   SELECT DISTINCT component, dst AS node FROM u JOIN r ON r.src = algorithm UNION SELECT component, algorithm FROM u""")
 def j18_components_reaching(spark, sf_dir):
-    uses = read(spark, sf_dir, "lineitem").where("l_partkey % 41 = 40").select(F.concat(F.lit("c"), F.col("l_suppkey")).alias("component"), F.col("l_partkey").cast("long").alias("algorithm")).distinct()
+    return _components_reaching(spark, sf_dir, "l_partkey % 41 = 40")
+
+
+@query(without("j18_components_reaching", " WHERE src % 41 = 40", " WHERE l_partkey % 41 = 40"))
+def j18_components_reaching_all(spark, sf_dir):
+    return _components_reaching(spark, sf_dir, "true")
+
+
+def _components_reaching(spark, sf_dir, where: str):
+    uses = read(spark, sf_dir, "lineitem").where(where).select(F.concat(F.lit("c"), F.col("l_suppkey")).alias("component"), F.col("l_partkey").cast("long").alias("algorithm")).distinct()
     reach = g.closure(requires(spark, sf_dir), uses.select(F.col("algorithm").alias("id"))).select(F.col("src").alias("algorithm"), F.col("dst").alias("node"))
     own = uses.select("component", F.col("algorithm").alias("node"))
     return uses.join(reach, "algorithm").select("component", "node").unionByName(own).distinct()
