@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as g
 from ..sources.tables import read
 from .bindings import NODES, REQ, nodes, requires
-from .registry import query
+from .registry import query, without
 
 ROOTS = "p_partkey % 97 = 96"
 
@@ -33,6 +33,16 @@ def g19_closure_cost(spark, sf_dir):
     return g.closure(requires(spark, sf_dir), _roots(spark, sf_dir)).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cost"))
 
 
+@query(without("g3_closure_targets", " WHERE src % 97 = 96"))
+def g3_closure_targets_all(spark, sf_dir):
+    return g.closure(requires(spark, sf_dir)).select("src", "dst")
+
+
+@query(without("g19_closure_cost", " WHERE src % 97 = 96"))
+def g19_closure_cost_all(spark, sf_dir):
+    return g.closure(requires(spark, sf_dir)).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cost"))
+
+
 _ORDER = """deg AS (SELECT dst AS id, count(*) AS w FROM req GROUP BY dst),
   included AS (SELECT id, row_number() OVER (ORDER BY -coalesce(w, 0), id) AS rank FROM {set} LEFT JOIN deg USING (id)),
   needs AS (SELECT i.id, i.rank, coalesce(list(e.dst) FILTER (WHERE j.id IS NOT NULL), []) AS needs

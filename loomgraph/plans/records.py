@@ -8,7 +8,7 @@ from ..operators import records as r
 from ..sources import sinks
 from ..sources.tables import read
 from .bindings import NODES, REQ, nodes, requires
-from .registry import query
+from .registry import query, without
 from .relate import _LINES, lines_of
 
 
@@ -85,9 +85,18 @@ def j23_panels(spark, sf_dir):
 @query(f"""WITH RECURSIVE {REQ}, r AS (SELECT src, dst FROM req WHERE src % 97 = 96 UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst)
   SELECT DISTINCT src AS id, dst AS owner, 'doc' || dst % 7 AS document, s AS section FROM r, (SELECT unnest(['1.1', '2.3']) AS s) WHERE dst % 3 = 0 AND dst % 7 < 4""")
 def j24_owners(spark, sf_dir):
+    return _owners(spark, sf_dir, "id % 97 = 96")
+
+
+@query(without("j24_owners", " WHERE src % 97 = 96"))
+def j24_owners_all(spark, sf_dir):
+    return _owners(spark, sf_dir, "true")
+
+
+def _owners(spark, sf_dir, where: str):
     from ..operators.graph import closure
 
-    reach = closure(requires(spark, sf_dir), nodes(spark, sf_dir).where("id % 97 = 96")).select(F.col("src").alias("id"), F.col("dst").alias("needs"))
+    reach = closure(requires(spark, sf_dir), nodes(spark, sf_dir).where(where)).select(F.col("src").alias("id"), F.col("dst").alias("needs"))
     aliases = nodes(spark, sf_dir).where("id % 3 = 0").select("id", F.concat(F.lit("doc"), F.col("id") % 7, F.lit("#x")).alias("title"))
     documents = spark.createDataFrame([(f"doc{k}", s) for k in range(4) for s in ("1.1", "2.3")], "document string, section string")
     return r.owners(reach, aliases, documents)

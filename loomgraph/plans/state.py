@@ -13,7 +13,7 @@ from ..sources import sinks, web
 from ..sources.tables import read
 from ..streaming import events as s
 from .bindings import NODES, REQ, nodes, requires
-from .registry import query
+from .registry import query, without
 from .windows import STOP
 
 
@@ -145,8 +145,17 @@ def e3_exercises(spark, sf_dir):
     CASE n.id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'declared' ELSE '' END AS state, CASE n.id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS state_rank, CASE WHEN n.id % 6 = 0 THEN 'because' END AS why
   FROM nodes n LEFT JOIN d USING (id) LEFT JOIN c USING (id) LEFT JOIN u USING (id)""")
 def k1_export_nodes(spark, sf_dir):
+    return _export_nodes(spark, sf_dir, "id % 97 = 96")
+
+
+@query(without("k1_export_nodes", " WHERE src % 97 = 96"))
+def k1_export_nodes_all(spark, sf_dir):
+    return _export_nodes(spark, sf_dir, "true")
+
+
+def _export_nodes(spark, sf_dir, where: str):
     n, e = nodes(spark, sf_dir), requires(spark, sf_dir)
-    cost = g.closure(e, n.where("id % 97 = 96")).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cost"))
+    cost = g.closure(e, n.where(where)).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cost"))
     use = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.countDistinct("l_suppkey").alias("n"))
     profile = n.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "read").otherwise("declared").alias("state"))
     notes = n.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "mine").otherwise("other").alias("project"), F.lit("because").alias("why"))

@@ -61,3 +61,15 @@ def test_joins_over_all_line_items(spark):
     want = {(c, d) for c, ps in using.items() for p in ps for d in {p} | below.get(p, set())}
     got = rows(spark, "j18_components_reaching_all")
     assert len(got) == len(want) and set(got) == want
+
+
+def test_closures_from_all_parts(spark):
+    below = reach(needs())
+    assert sorted(rows(spark, "g3_closure_targets_all")) == sorted((k, d) for k, ds in below.items() for d in ds)
+    assert sorted(rows(spark, "g19_closure_cost_all")) == sorted((k, len(ds)) for k, ds in below.items())
+    parts = {p["p_partkey"] for p in table("part")}
+    owned = {(k, d, f"doc{d % 7}", s) for k, ds in below.items() for d in ds & parts if d % 3 == 0 and d % 7 < 4 for s in ("1.1", "2.3")}
+    got = registry.QUERIES["j24_owners_all"](spark, SF).select("id", "owner", "document", "section").collect()
+    assert len(got) >= len(owned) and owned <= {tuple(r) for r in got}
+    costs = {r["id"]: r["cost"] for r in registry.QUERIES["k1_export_nodes_all"](spark, SF).select("id", "cost").collect()}
+    assert costs == {k: len(below.get(k, ())) for k in parts}
