@@ -132,7 +132,16 @@ def j38_cited(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey::INTEGER AS line FROM lineitem WHERE l_orderkey % 100 = 0")
 def o4_line_order(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0")
+    return _line_order(spark, sf_dir, "l_orderkey % 100 = 0")
+
+
+@query(without("o4_line_order", " WHERE l_orderkey % 100 = 0"))
+def o4_line_order_all(spark, sf_dir):
+    return _line_order(spark, sf_dir, "true")
+
+
+def _line_order(spark, sf_dir, where: str):
+    li = read(spark, sf_dir, "lineitem").where(where)
     return li.select("l_orderkey", "l_linenumber", r.line_order(F.concat(F.lit("L"), "l_partkey")).alias("line"))
 
 

@@ -173,9 +173,18 @@ def _components_reaching(spark, sf_dir, where: str):
   b AS (SELECT *, row_number() OVER (PARTITION BY ref_id, number, text ORDER BY prio, owner) AS k FROM h)
   SELECT DISTINCT ref_id, number, owner, section FROM b WHERE k = 1 AND NOT contains(lower(text), lower(owner)) AND NOT contains(lower(text), name)""")
 def j25_section_refs(spark, sf_dir):
+    return _section_refs(spark, sf_dir, "l_orderkey % 50 = 0")
+
+
+@query(without("j25_section_refs", " WHERE l_orderkey % 50 = 0"))
+def j25_section_refs_all(spark, sf_dir):
+    return _section_refs(spark, sf_dir, "true")
+
+
+def _section_refs(spark, sf_dir, where: str):
     n = read(spark, sf_dir, "nation")
     owners = n.select(F.concat(F.lit("own"), F.col("n_nationkey")).alias("owner"), F.lower("n_name").alias("name"), F.concat(F.col("n_nationkey") % 4 + 1, F.lit("."), F.col("n_nationkey") % 3 + 1).alias("section"), F.col("n_nationkey").alias("prio"))
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    li = read(spark, sf_dir, "lineitem").where(where)
     number = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_partkey") % 5 + 1).cast("string")).otherwise(F.concat(F.col("l_partkey") % 5 + 1, F.lit("."), F.col("l_suppkey") % 4 + 1, F.lit("."), F.col("l_linenumber")))
     text = F.concat(F.lit("see "), F.when(F.col("l_linenumber") == 3, F.concat(F.lit("own"), F.col("l_partkey") % 25)).otherwise("there"))
     return r.section_owners(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), number.alias("number"), text.alias("text")), owners)
@@ -231,7 +240,16 @@ def a11_hashes(spark, sf_dir):
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN '/part' || l_partkey ELSE '/to' || l_suppkey END AS topic FROM lineitem WHERE l_orderkey % 20 = 0""")
 def j21_resolve_topic(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    return _resolve_topic(spark, sf_dir, "l_orderkey % 20 = 0")
+
+
+@query(without("j21_resolve_topic", " WHERE l_orderkey % 20 = 0"))
+def j21_resolve_topic_all(spark, sf_dir):
+    return _resolve_topic(spark, sf_dir, "true")
+
+
+def _resolve_topic(spark, sf_dir, where: str):
+    li = read(spark, sf_dir, "lineitem").where(where)
     name = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "/").otherwise(""), F.lit("part"), F.col("l_partkey"))
     inside = F.when(F.col("l_linenumber") % 2 == 0, "other").otherwise(F.concat(F.lit("part"), F.col("l_partkey")))
     maps = F.array(F.struct(inside.alias("inside"), F.lit("lost").alias("outside")), F.struct(inside.alias("inside"), F.concat(F.lit("to"), F.col("l_suppkey")).alias("outside")))

@@ -73,3 +73,13 @@ def test_closures_from_all_parts(spark):
     assert len(got) >= len(owned) and owned <= {tuple(r) for r in got}
     costs = {r["id"]: r["cost"] for r in registry.QUERIES["k1_export_nodes_all"](spark, SF).select("id", "cost").collect()}
     assert costs == {k: len(below.get(k, ())) for k in parts}
+
+
+def test_every_line_item_has_its_row(spark):
+    items = table("lineitem")
+    topics = [(x["l_orderkey"] * 10 + x["l_linenumber"], f"/to{x['l_suppkey']}" if x["l_linenumber"] % 2 else f"/part{x['l_partkey']}") for x in items]
+    assert sorted(rows(spark, "j21_resolve_topic_all")) == sorted(topics)
+    order = sorted((x["l_orderkey"], x["l_linenumber"], x["l_partkey"]) for x in items)
+    assert sorted(rows(spark, "o4_line_order_all")) == order
+    part = {r[0] for r in rows(spark, "j25_section_refs")}
+    assert part < {r[0] for r in rows(spark, "j25_section_refs_all")} <= {t[0] for t in topics}
