@@ -117,8 +117,17 @@ def g7_algorithms_under(spark, sf_dir):
   firsts AS (SELECT id, min({{'t': target, 'p': pos}}) AS spot FROM every GROUP BY id)
   SELECT row_number() OVER (ORDER BY spot)::INTEGER AS pos, id FROM firsts""")
 def g8_learning_path(spark, sf_dir):
+    return _learning_path(spark, sf_dir, "id % 13 = 0")
+
+
+@query()
+def g8_learning_path_all(spark, sf_dir):
+    return _learning_path(spark, sf_dir, "true")
+
+
+def _learning_path(spark, sf_dir, where: str):
     n = nodes(spark, sf_dir)
-    algorithms = n.where("type = 'algorithm' and id % 13 = 0")
+    algorithms = n.where("type = 'algorithm'").where(where)
     return g.learning_path(requires(spark, sf_dir), algorithms, n.where("tier = 'assumed'"))
 
 

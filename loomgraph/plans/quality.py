@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as q
 from ..sources.tables import read
 from .bindings import REQ, requires
-from .registry import query
+from .registry import query, without
 
 
 @query("""WITH c AS (SELECT doc_id AS id, 's' || (doc_id % 7) AS cite FROM documents UNION SELECT doc_id, 's' || (n_chars % 9) FROM documents),
@@ -23,8 +23,16 @@ def j10_ungrounded(spark, sf_dir):
   r AS (SELECT src, dst FROM req WHERE src % 23 = 5 UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst)
   SELECT id, item FROM i WHERE id <> item AND item % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = i.id AND r.dst = i.item)""")
 def j11_holes(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    i = p.where("p_partkey % 23 = 5").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") * 3).cast("long").alias("item"))
+    return _holes(spark, sf_dir, "p_partkey % 23 = 5")
+
+
+@query(without("j11_holes", " WHERE p_partkey % 23 = 5", " WHERE src % 23 = 5"))
+def j11_holes_all(spark, sf_dir):
+    return _holes(spark, sf_dir, "true")
+
+
+def _holes(spark, sf_dir, where: str):
+    i = read(spark, sf_dir, "part").where(where).select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") * 3).cast("long").alias("item"))
     known = spark.range(0, 1000, 10).select("id")
     return q.holes(i, requires(spark, sf_dir), known)
 
@@ -67,11 +75,11 @@ def j15_diff(spark, sf_dir):
     return both_side_misses(a, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-def _sheets(spark, sf_dir):
+def _sheets(spark, sf_dir, where: str):
     i = F.col("p_partkey")
     step = F.struct(F.lit(1).alias("n"), F.array((i % 7).cast("long"), F.lit(10**9).cast("long")).alias("invokes"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("s"), i % 3))).alias("cites"))
     steps = F.when(i % 2 == 0, F.array(step)).otherwise(F.array().cast("array<struct<n:int,invokes:array<bigint>,cites:array<string>>>"))
-    return read(spark, sf_dir, "part").where("p_partkey % 11 = 1").select(
+    return read(spark, sf_dir, "part").where(where).select(
         i.cast("long").alias("id"),
         F.when(i % 2 == 0, "derivation").otherwise("definition").alias("kind"),
         F.when(i % 4 == 0, "definition").otherwise("derivation").alias("expected"),
@@ -96,7 +104,16 @@ def _sheets(spark, sf_dir):
     FROM s LEFT JOIN bad USING (id) LEFT JOIN h USING (id))
   SELECT id, ungrounded, uncited, unknown, holes, shape, notes, FALSE AS vacuous, ungrounded = '' AND uncited = '' AND shape = '' AND i % 13 <> 0 AS ok FROM x""")
 def d1_check(spark, sf_dir):
-    s = _sheets(spark, sf_dir)
+    return _check(spark, sf_dir, "p_partkey % 11 = 1")
+
+
+@query(without("d1_check", " WHERE p_partkey % 11 = 1", " WHERE src % 11 = 1"))
+def d1_check_all(spark, sf_dir):
+    return _check(spark, sf_dir, "true")
+
+
+def _check(spark, sf_dir, where: str):
+    s = _sheets(spark, sf_dir, where)
     src = s.select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("source")).unionByName(s.where("id % 3 = 1").select("id", F.lit("s3").alias("source")))
     ids = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"))
     return q.check_sheets(s, src, requires(spark, sf_dir), spark.createDataFrame([(3,)], "id long"), ids)

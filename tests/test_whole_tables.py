@@ -83,3 +83,26 @@ def test_every_line_item_has_its_row(spark):
     assert sorted(rows(spark, "o4_line_order_all")) == order
     part = {r[0] for r in rows(spark, "j25_section_refs")}
     assert part < {r[0] for r in rows(spark, "j25_section_refs_all")} <= {t[0] for t in topics}
+
+
+def test_paths_and_reports_over_all_parts(spark):
+    edges, parts = needs(), {p["p_partkey"]: p["p_size"] for p in table("part")}
+    below, known = reach(edges), {k for k, size in parts.items() if size <= 10}
+    weight = defaultdict(int)
+    for ds in edges.values():
+        for d in ds:
+            weight[d] += 1
+    want, seen = [], set()
+    for target in sorted(k for k, size in parts.items() if size > 40):
+        left, order = below.get(target, set()) - known, []
+        while left:
+            order.append(min((k for k in left if not edges.get(k, set()) & left), key=lambda k: (-weight[k], k)))
+            left = left - {order[-1]}
+        for k in [*order, target]:
+            if k not in seen and k not in known:
+                seen.add(k)
+                want.append(k)
+    assert sorted(rows(spark, "g8_learning_path_all")) == list(enumerate(want, 1))
+    holes = {(k, size * 3) for k, size in parts.items() if k != size * 3 and size % 10 and size * 3 not in below.get(k, ())}
+    assert set(rows(spark, "j11_holes_all")) == holes
+    assert {r["id"] for r in registry.QUERIES["d1_check_all"](spark, SF).collect()} == set(parts)
