@@ -10,7 +10,7 @@ from ..operators import quality as q
 from ..operators import windows as w
 from ..sources.tables import read
 from .bindings import REQ, nodes, requires
-from .registry import query
+from .registry import query, without
 from .relate import lines_of
 
 
@@ -63,8 +63,17 @@ def a8_corroborated(spark, sf_dir):
   SELECT i AS id, CASE WHEN i % 25 = 7 THEN 'known_absent' WHEN best IS NOT NULL THEN 'grounded' WHEN error THEN 'error' ELSE 'ungrounded' END AS state, best::VARCHAR AS best
   FROM (SELECT unnest(range(0, 100)) AS i) LEFT JOIN g ON g.id = i""")
 def a9_grounding(spark, sf_dir):
+    return _grounding(spark, sf_dir, "doc_id % 100 < 60 and n_chars < 1500")
+
+
+@query(without("a9_grounding", " WHERE doc_id % 100 < 60 AND n_chars < 1500"))
+def a9_grounding_all(spark, sf_dir):
+    return _grounding(spark, sf_dir, "true")
+
+
+def _grounding(spark, sf_dir, where: str):
     i = F.col("doc_id")
-    s = read(spark, sf_dir, "documents").where("doc_id % 100 < 60 and n_chars < 1500").select((i % 100).alias("id"), i.cast("string").alias("source"), i.alias("ord"), "n_chars", F.when(i % 3 == 0, "derived").alias("kind"), (i % 11 == 0).alias("error"))
+    s = read(spark, sf_dir, "documents").where(where).select((i % 100).alias("id"), i.cast("string").alias("source"), i.alias("ord"), "n_chars", F.when(i % 3 == 0, "derived").alias("kind"), (i % 11 == 0).alias("error"))
     n = spark.range(100)
     aliases = n.select("id", F.when(F.col("id") % 25 == 7, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("titles")).where("id % 2 = 1 or id % 25 = 7")
     return w.grounding_states(n, s, aliases)

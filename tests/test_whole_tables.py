@@ -106,3 +106,26 @@ def test_paths_and_reports_over_all_parts(spark):
     holes = {(k, size * 3) for k, size in parts.items() if k != size * 3 and size % 10 and size * 3 not in below.get(k, ())}
     assert set(rows(spark, "j11_holes_all")) == holes
     assert {r["id"] for r in registry.QUERIES["d1_check_all"](spark, SF).collect()} == set(parts)
+
+
+def test_grounding_reads_all_documents(spark):
+    best = defaultdict(list)
+    for d in table("documents"):
+        best[d["doc_id"] % 100].append((d["n_chars"] >= (350 if d["doc_id"] % 3 == 0 else 1200), d["doc_id"] % 11 == 0, d["doc_id"]))
+    want = set()
+    for k in range(100):
+        good = [i for ok, _, i in best[k] if ok]
+        state = "known_absent" if k % 25 == 7 else "grounded" if good else "error" if any(e for _, e, _ in best[k]) else "ungrounded"
+        want.add((k, state, str(min(good)) if good else None))
+    got = registry.QUERIES["a9_grounding_all"](spark, SF).select("id", "state", "best").collect()
+    assert len(got) == 100 and {tuple(r) for r in got} == want
+
+
+def test_reopened_nodes_flag_the_same_by_all_edges(spark):
+    from loomgraph.operators import profile
+    from loomgraph.plans.bindings import requires
+    from loomgraph.plans.state import profile_events
+
+    events = profile_events(spark.read.parquet(f"{SF}/events.parquet"))
+    every = profile.fold(profile.with_suspicions(events, requires(spark, SF)))
+    assert sorted(map(repr, every.collect())) == sorted(repr(r) for r in registry.QUERIES["t3_reopen"](spark, SF).collect())
