@@ -38,7 +38,11 @@ def invented(notes: DataFrame, allowed: DataFrame) -> DataFrame:
     return notes.select("id", "kind", "value").where("value is not null").distinct().join(whole.unionByName(parts).distinct(), ["id", "kind", "value"], "left_anti")
 
 
-def invented_tokens(prose: DataFrame, names: DataFrame, pattern: str = "([a-z][a-z0-9]*_[a-z0-9_]+)") -> DataFrame:
+#: Segments joined by _ or /, with dotted suffixes: snake_case names and paths, never a part of a longer word.
+IDENTIFIER = r"(?<![\p{L}\p{N}_])([a-z][a-z0-9]*(?:[_/][a-z0-9]+)+(?:\.[a-z0-9]+)*)(?![\p{L}\p{N}_])"
+
+
+def invented_tokens(prose: DataFrame, names: DataFrame, pattern: str = IDENTIFIER) -> DataFrame:
     """prose (id, text) -> (id, token): identifier-shaped tokens that are no known name."""
     tok = prose.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1))).alias("token")).distinct()
     return tok.join(names.select(F.lower("name").alias("token")).distinct(), "token", "left_anti").select("id", "token")

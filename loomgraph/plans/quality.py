@@ -67,6 +67,12 @@ def j14_invented_tokens(spark, sf_dir):
     return q.invented_tokens(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), names, "([a-z]{4,7})")
 
 
+@query()
+def j14_invented_tokens_all(spark, sf_dir):
+    names = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(q.IDENTIFIER), F.lit(1))).alias("name")).distinct()
+    return q.invented_tokens(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), names)
+
+
 @query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 > 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
 def j15_diff(spark, sf_dir):
     from ..operators.relate import both_side_misses

@@ -129,3 +129,20 @@ def test_reopened_nodes_flag_the_same_by_all_edges(spark):
     events = profile_events(spark.read.parquet(f"{SF}/events.parquet"))
     every = profile.fold(profile.with_suspicions(events, requires(spark, SF)))
     assert sorted(map(repr, every.collect())) == sorted(repr(r) for r in registry.QUERIES["t3_reopen"](spark, SF).collect())
+
+
+def test_identifiers_are_tokens_as_a_whole(spark):
+    import re
+
+    from loomgraph.operators import quality
+
+    shape = r"\b[a-z][a-z0-9]*(?:[_/][a-z0-9]+)+(?:\.[a-z0-9]+)*\b"
+    texts = ["see config/nav.yaml and launch/main.py", "nav_params.yaml, nav_params", "map_server knows restaurant", "éa_b c_dé x_y.z_w a__b 9a_b", "localization.launch.py in a/b.launch.py."]
+    prose = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    names = spark.createDataFrame([("map_server",)], "name string")
+    got = {tuple(r) for r in quality.invented_tokens(prose, names).collect()}
+    assert {(0, "config/nav.yaml"), (0, "launch/main.py"), (1, "nav_params.yaml"), (1, "nav_params")} <= got
+    assert got == {(i, t) for i, x in enumerate(texts) for t in re.findall(shape, x)} - {(2, "map_server")}
+    known = {t for b in table("benchmark") for t in re.findall(shape, (b["text"] or "").lower())}
+    want = {(d["doc_id"], t) for d in table("documents") for t in re.findall(shape, (d["text"] or "").lower()) if t not in known}
+    assert set(rows(spark, "j14_invented_tokens_all")) == want
