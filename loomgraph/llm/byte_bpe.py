@@ -13,7 +13,10 @@ and the run of other characters after it) to their ids, in two generations: a fu
 replaces the older, whose entries move back when they are used again.
 
 Defined cases: a null text is the empty text and has no ids; texts are encoded whole;
-the text of a special token is ordinary text; decoding gives the bytes back exactly.
+the text of a special token is ordinary text; decoding gives the bytes back exactly. Which
+characters are letters, numbers and white space is read off the tokenizer library itself,
+since Unicode tables differ by version; texts with a character that this expression engine
+would class otherwise are split by explicit character classes.
 """
 
 from __future__ import annotations
@@ -30,24 +33,63 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space as the tokenizer's regular expressions have it (Unicode White_Space).
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Entries of a generation of a worker's map of chunks, and of that of pre-tokens.
 CACHE_ENTRIES = 300_000
 _BIT = [1 << k for k in range(256)]
 
 
+def _ranges(codes: set[int]) -> str:
+    """Code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(codes):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
+
+
+@lru_cache(1)
+def classes() -> dict[str, str]:
+    """Letters, numbers and white space as the tokenizer library has them, and ``odd``: the
+    characters that ``regex`` classes otherwise, and white space beyond ASCII.
+
+    The library drops what its pattern does not match, so a byte vocabulary under the
+    pattern of one class gives that class back.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)))
+    own = {k: set(map(ord, regex.findall(k, every))) for k in (r"\p{L}", r"\p{N}", r"\s")}
+    ranks = {bytes([b]): b for b in range(256)}
+    found = {}
+    for k in own:
+        library = tiktoken.Encoding("class", pat_str=k, mergeable_ranks=ranks, special_tokens={})
+        found[k] = set(map(ord, library.decode_bytes(library.encode_ordinary(every)).decode()))
+    odd = {c for k in own for c in own[k] ^ found[k]} | {c for c in found[r"\s"] if c > 127}
+    return {k: _ranges(v) for k, v in found.items()} | {"odd": _ranges(odd)}
+
+
+def explicit(pattern: str, own: dict[str, str]) -> str:
+    """A pattern with its classes spelled out, inside other classes and alone."""
+    inside = re.sub(r"\[[^\]]*\]", lambda m: re.sub(r"\\p\{[LN]\}|\\s", lambda k: own[k[0]], m[0]), pattern)
+    return re.sub(r"\\p\{[LN]\}|\\s|\\S", lambda k: f"[^{own[chr(92) + 's']}]" if k[0] == r"\S" else f"[{own[k[0]]}]", inside)
+
+
 def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ByteBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, own: dict[str, str] | None = None):
+        own = own or classes()
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 1
-        self.pattern = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+        # Without odd characters both patterns match alike, and the first one is faster.
+        self.pattern = regex.compile(pattern)
+        self.exact = re.compile(explicit(pattern, own))
+        self.odd = re.compile(f"[{own['odd']}]")
         # The rank queue: positions per rank, and two levels of 256-bit words of non-empty ranks.
         self.buckets: dict[int, list[int]] = {}
         self.low = [0] * (self.size // 256 + 1)
@@ -60,10 +102,10 @@ class ByteBPE:
             self.table[rank] = token
 
     @classmethod
-    def from_file(cls, path: str, pattern: str) -> ByteBPE:
+    def from_file(cls, path: str, pattern: str, own: dict[str, str] | None = None) -> ByteBPE:
         with open(path, "rb") as lines:
             pairs = (line.split() for line in lines)
-            return cls({base64.b64decode(p[0]): int(p[1]) for p in pairs if p}, pattern)
+            return cls({base64.b64decode(p[0]): int(p[1]) for p in pairs if p}, pattern, own)
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -143,12 +185,12 @@ class ByteBPE:
             i = k
         return out
 
-    def _ids(self, text: str) -> bytes:
+    def _ids(self, text: str, pattern) -> bytes:
         if len(self.tokens) > CACHE_ENTRIES:
             self.old_tokens, self.tokens = self.tokens, {}
         tokens = self.tokens
         out = []
-        for token in self.pattern.findall(text):
+        for token in pattern.findall(text):
             ids = tokens.get(token)
             if ids is None:
                 ids = self.old_tokens.get(token)
@@ -163,8 +205,8 @@ class ByteBPE:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _ODD_SPACE.search(text):  # chunks would cut runs of white space
-            return self._ids(text)
+        if not text.isascii() and self.odd.search(text):  # chunks would cut runs of white space
+            return self._ids(text, self.exact)
         if len(self.words) > CACHE_ENTRIES:
             self.old_words, self.words = self.words, {}
         words = self.words
@@ -178,7 +220,7 @@ class ByteBPE:
         for c in chunks:
             ids = words.get(c)
             if ids is None:
-                ids = old.get(c) or self._ids(c)
+                ids = old.get(c) or self._ids(c, self.pattern)
                 if len(c) < 64:
                     words[c] = ids
             out.append(ids)
@@ -188,17 +230,22 @@ class ByteBPE:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
-def codec(path: str, pattern: str) -> ByteBPE:
-    """One codec per worker process."""
-    return ByteBPE.from_file(path, pattern)
+_CODECS: dict[tuple[str, str], ByteBPE] = {}
+
+
+def codec(path: str, pattern: str, own: dict[str, str] | None = None) -> ByteBPE:
+    """One codec per worker process; ``own`` holds the classes that the driver found."""
+    if (path, pattern) not in _CODECS:
+        _CODECS[path, pattern] = ByteBPE.from_file(path, pattern, own)
+    return _CODECS[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and ``ids``, the token ids as an array."""
+    own = classes()
 
     def run(batches):
-        bpe = codec(path, pattern)
+        bpe = codec(path, pattern, own)
         for b in batches:
             for part in range(0, b.num_rows, 256):
                 x = b.slice(part, 256)
@@ -210,9 +257,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, number of ids, and digests of the ids and of the decoded bytes."""
+    own = classes()
 
     def run(batches):
-        bpe = codec(path, pattern)
+        bpe = codec(path, pattern, own)
         for b in batches:
             for part in range(0, b.num_rows, 256):
                 x = b.slice(part, 256)

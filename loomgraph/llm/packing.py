@@ -6,13 +6,13 @@ plan is made from the histogram of piece lengths alone: best-fit decreasing over
 where all bins with the same content are one group, so its cost and size depend on the
 number of distinct lengths (at most ``capacity``) and not on the number of documents. The
 plan is a list of slot runs ``(length, first rank, count, first sequence, slots per
-sequence, offset)``. Pieces are ranked within their length (in hashed sub-buckets whose
-counts give the offsets, so a frequent length is no single task) and take the slot of
-their rank.
+sequence, offset)``. Pieces are ranked within their length (in hashed sub-buckets, as many
+as its count asks for, whose counts give the offsets) and take the slot of their rank.
 
 Defined cases: a null or empty text is the one separator token; every row of the input
 is packed, repeated ones too; an empty input gives an empty output; a piece of full length
-has a sequence of its own; ids are null where the id is null.
+has a sequence of its own; ids are null where the id is null; the text of a token that the
+vocabulary file adds (such as ``<|endoftext|>``) is that token, as the tokenizer has it.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from ..sources.tables import Scratch
 
 CAPACITY = 4096
 SEPARATOR = 1
-#: Sub-buckets of a length for ranking.
-RANK_BUCKETS = 64
+#: Pieces of a length that one ranking task orders, about.
+RANK_ROWS = 1_000_000
 CACHE_ENTRIES = 400_000
 
 # In texts of these characters alone, normalisation is lower-casing and pre-tokens are
@@ -52,7 +52,8 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold one of these go through the tokenizer whole: each is one id of its own.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = bytearray(max(vocabulary.values(), default=0) + 3)
         for token, i in vocabulary.items():
@@ -75,7 +76,7 @@ class WordBPE:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _OTHER.search(text):
+        if _OTHER.search(text) or any(t in text for t in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         words = self.words
@@ -178,16 +179,19 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int")
-    cut = scratch.save(pieces(docs, path, capacity, id_col, text_col).withColumn("bucket", bucket), "pieces")
-    counts = scratch.save(cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "counts")
+    cut = scratch.save(pieces(docs, path, capacity, id_col, text_col), "pieces")
     # At most ``capacity`` rows: one for each length.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Sub-buckets of a length in proportion to its own count, so that no length is one large task.
+    parts = spark.createDataFrame([(k, -(-n // RANK_ROWS)) for k, n in histogram.items()], "length long, parts long")
+    cut = cut.join(F.broadcast(parts), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")))
+    counts = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     runs = plan(histogram, capacity)
     columns = ["length", "first_rank", "run", "first_sequence", "each", "at"]
     slots = spark.createDataFrame(
         pa.table([pa.array(c, pa.int64()) for c in zip(*runs)] if runs else [pa.array([], pa.int64())] * 6, names=columns)
     )
+    counts = scratch.save(counts, "counts")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (

@@ -101,7 +101,6 @@ def test_op9(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want, lengths = Counter(), []
     for i, t in docs.items():
         ids = [*tok.encode(t, add_special_tokens=False).ids, 1]

@@ -47,6 +47,21 @@ def test_byte_bpe_agrees_with_the_library(bpe):
         assert bpe.decode(ids) == t.encode()
 
 
+def test_byte_bpe_classes_are_the_librarys(bpe):
+    """Every code point before an apostrophe and within white space, and random mixtures of odd ones."""
+    enc = reference_encoding(bpe)
+    every = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(every), 4096):
+        t = "".join(f"{chr(c)}'s  " for c in every[at : at + 4096])
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == enc.encode_ordinary(t), hex(every[at])
+    rng = random.Random(17)
+    odd = [chr(c) for c in every if c > 127 and bpe.odd.match(chr(c))]
+    assert len(odd) > 1000
+    for _ in range(10_000):
+        t = "".join(rng.choice(odd) if rng.random() < 0.3 else rng.choice(ODD) for _ in range(rng.randint(1, 40)))
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
+
+
 def test_byte_bpe_with_ranks_that_fall_after_a_merge():
     ranks = {bytes([c]): c for c in range(256)} | {b"bc": 300, b"abc": 290, b"cd": 310, b"abcd": 256}
     own = byte_bpe.ByteBPE(ranks, r"\S+")
@@ -71,8 +86,11 @@ def test_word_bpe_agrees_with_the_library():
 
     own = packing.WordBPE(public_tokenizers.path("word_bpe_49k.json"))
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
-    for t in [*odd_texts(3000, 7), "The Quick don't!! 12 Été", "x" * 3000]:
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "hello ", "Été", " x", "\n", "é", "漢"]
+    rng = random.Random(11)
+    special = ["hello <|startoftext|> x <|endoftext|> y", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(500))]
+    assert lib.encode(special[0], add_special_tokens=False).ids[1] == lib.token_to_id("<|startoftext|>")
+    for t in [*odd_texts(3000, 7), *special, "The Quick don't!! 12 Été", "x" * 3000]:
         b = own.encode(t)
         assert list(struct.unpack(f"<{len(b) // 4}I", b)) == lib.encode(t, add_special_tokens=False).ids
 
