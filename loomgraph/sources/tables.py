@@ -19,13 +19,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``, else the context's; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm.isDefined():
         return jvm.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -60,6 +62,18 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``frame`` has it in any case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def width_for(rows: int, each: int = 200_000, least: int = 4) -> int:
     """Tasks for so many rows: files and tasks in proportion to the data, not to a setting."""
     return max(least, -(-rows // each))
