@@ -13,7 +13,8 @@ doc_id, of the rows outside the held-out fold (crc32 of the doc_id as text, modu
 Defined cases: null and empty texts have zero statistics and get a score as any other; no
 usable label, or labels of one class, give the smoothed base rate as the score of every
 row; a document labelled twice counts twice; repeated rows are scored alike; null doc_ids
-are scored and not held out; clashing column names are not touched in ``score``.
+are scored and not held out; ``score`` replaces a column of the name given for the score
+and touches no other, whatever it is called.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import unused
+
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS = 30, 3, 24
 MAX_RULES = 60
@@ -194,9 +197,10 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score added under ``name``."""
     s = statistics(F.col(text_col))
-    nested = docs.withColumn("_statistics", F.struct(*(s[k].alias(k) for k in STATISTICS)))
-    names = {k: F.col(f"_statistics.{k}") for k in STATISTICS}
-    return nested.withColumn(name, compiled(model, names)).drop("_statistics")
+    own = unused(docs, "statistics")[0]
+    nested = docs.withColumn(own, F.struct(*(s[k].alias(k) for k in STATISTICS)))
+    names = {k: F.col(f"{own}.{k}") for k in STATISTICS}
+    return nested.withColumn(name, compiled(model, names)).drop(own)
 
 
 def compiled(model: RuleEnsemble, names: dict[str, Column]) -> Column:
@@ -217,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    return score(docs, train(docs, labels), name="_score").where(F.col("_score") >= cut).drop("_score")
+    own = unused(docs, "score")[0]
+    return score(docs, train(docs, labels), name=own).where(F.col(own) >= cut).drop(own)
 
 
 def op4_quality_classifier(spark, sf_dir):

@@ -1,13 +1,21 @@
 """Assignment-aware secret scan.
 
-A text is lexed into name-literal pairs: ``name = literal``, ``name: literal``, quoted
-keys, ``export NAME=...`` and adjacent literals joined by ``+``. A quoted literal ends at its
-closing quote on the same line, however long it is. Constants propagate: a
-pair whose value is a bare name takes the literal last bound to that name earlier in the
-text, so ``k = "..."; api_key = k`` reports the literal of ``k``. A literal is scored by
-what the names bound to it say (sensitive words, whole or as parts of a compound name)
-and by its own form (length, character classes, entropy); literals above ``THRESHOLD``
-become ``lexed`` spans. Three base kinds are always reported:
+A text is lexed into tokens: names (dotted ones whole), string literals of every common
+quoting (single, double, back-quoted, tripled, with escapes and prefixes), operators,
+brackets, marks of comments and line ends. A parser over the tokens finds name-literal
+pairs: ``name = literal``, ``name: literal``, ``name := literal``, ``name => literal``,
+quoted and subscripted names, annotated and declared ones, ``export NAME=...``,
+``#define NAME literal``, ``setenv NAME literal``, ``<name>literal</name>`` and
+``("name", "literal")``. A value is a sequence of literals and names joined by ``+`` or set
+side by side, also behind a cast, a conversion call or a comment. Constants propagate: a
+name takes the literals last bound to it earlier in the text, dotted names by their last
+part if need be, so ``self.k = "..."; api_key = self.k`` reports the literal of ``k``.
+Comments and the insides of strings are lexed as text of their own, so what is assigned
+there counts. A literal is scored by what the names bound to it say (sensitive words,
+whole or as parts of a compound name) and by its own form (length, character classes,
+entropy, a private key's head line); literals above ``THRESHOLD`` become ``lexed`` spans.
+Every step is linear in the text and nothing has a length limit. Three base kinds are
+always reported:
 
 * assign: ``(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)``
   in either case of ASCII letters, kept where group 2 has 8 characters or more;
@@ -18,7 +26,8 @@ each found leftmost and without overlaps, the short ones dropped afterwards. Spa
 code points, end exclusive.
 
 Defined cases: a null text is the empty text and has no spans; texts are scanned whole;
-repeated rows are scanned each; further columns are ignored.
+repeated rows are scanned each; a string that its line does not close is no string; of
+several bindings of a name the last one before its use counts; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -48,14 +58,34 @@ NAME_WEIGHT = {
 }
 THRESHOLD = 1.2
 
-_LEX = re.compile(
-    r"""(?P<name>["']?[A-Za-z_][A-Za-z0-9_.-]{0,80}["']?)[ \t]*(?::=|[:=])(?!=)[ \t]*"""
-    r"""(?:(?P<q>["'])(?P<lit>[^"'\n]*+)(?P=q)(?P<more>(?:[ \t]*\+[ \t]*["'][^"'\n]*+["'])*)"""
-    r"""|(?P<bare>[A-Za-z0-9+/_.=-]+))"""
+#: A text without one of these can't have a sensitive name.
+STEMS = tuple(w for w in NAME_WEIGHT if not any(v in w for v in NAME_WEIGHT if v != w))
+
+_NAME = r"[A-Za-z_$][A-Za-z0-9_]*+(?:(?:\.|->|::|-|\?\.)[A-Za-z_][A-Za-z0-9_]*+)*+"
+_TOKEN = re.compile(
+    r"""(?P<skip>\\[\s\S])"""
+    r"""|(?P<string>(?<![A-Za-z0-9_])(?:[bBrRfFuUL]{1,2}|@)?(?:"""
+    r'''"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}'''
+    r"""|'{3}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{3}"""
+    r'''|"(?:[^"\\\n]|\\[\s\S])*+"'''
+    r"""|'(?:[^'\\\n]|\\[\s\S])*+'"""
+    r"""|`(?:[^`\\]|\\[\s\S])*+`))"""
+    r"""|(?P<word>\#[ \t]*define\b|\b(?:setenv|ENV)[ \t])"""
+    rf"""|(?P<name>{_NAME})"""
+    r"""|(?P<open>/\*|<!--)|(?P<close>\*/|-->)"""
+    r"""|(?P<op>:=|=>|\+=|[=!<>]=|[=:])"""
+    r"""|(?P<mark>[+(){}\[\],;<>])"""
+    r"""|(?P<end>\n)"""
+    r"""|(?P<other>[^\s"'`\\A-Za-z_$#/<*:=!>+(){}\[\],;-]++)""",
+    re.ASCII,
 )
+_BARE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_TAG = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>]*+)</\1\s*>")
+_INSIDE = re.compile(r"[:=<]")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_QUOTED = re.compile(r"""["']([^"'\n]*+)["']""")
-_IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
+#: Calls that hand their argument on.
+CONVERSIONS = frozenset("str string bytes bytearray unicode text secret secretstr secretstring b64decode encode decode trim strip from valueof".split())
+_PEM = re.compile(r"\s*-----BEGIN [A-Z ]*PRIVATE KEY-----")
 
 
 def name_score(name: str) -> float:
@@ -66,38 +96,233 @@ def name_score(name: str) -> float:
 
 
 def literal_score(text: str) -> float:
-    """How much a literal looks like a credential, 0 to 1."""
+    """How much a literal looks like a credential, 0 to 1; its line breaks and their indents don't count."""
+    if "\n" in text:
+        if _PEM.match(text):
+            return 1.0
+        text = "".join(line.strip().removesuffix("\\") for line in text.split("\n"))
     n = len(text)
     if n < 8 or " " in text:
-        return 0.0
+        return 1.0 if _PEM.match(text) else 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
     classes = sum(any(f(c) for c in text) for f in (str.islower, str.isupper, str.isdigit))
     return min(1.0, entropy / 4.5) * (0.4 + 0.2 * classes)
 
 
-def lexed_spans(text: str) -> list[tuple[int, int]]:
+Span = tuple[int, int]
+#: Literals of one value whose form is judged together.
+WINDOW = 16
+
+
+class Lexer:
+    """Tokens of one piece of text and the pairs that they make.
+
+    ``kind`` and ``at`` hold the kinds and spans of the tokens that matter; ``text`` is the
+    whole document, so spans need no shifting for pieces inside comments and strings.
+    """
+
+    def __init__(self, text: str, begin: int, end: int, made: int = 0):
+        self.text, self.kind, self.at = text, [], []
+        self.inside: list[Span] = []
+        for m in _TOKEN.finditer(text, begin, end):
+            kind = m.lastgroup
+            if kind == "string":
+                body = self._body(*m.span())
+                if _INSIDE.search(text, *body):
+                    self.inside.append(body)
+            elif kind in ("skip", "other"):
+                continue
+            self.kind.append(kind if kind != "mark" and kind != "op" else m[0])
+            self.at.append(m.span())
+        self.kind.append("end")
+        self.at.append((end, end))
+        self.begins = [a for a, _ in self.at]
+        #: Literals in the text so far, of all pieces.
+        self.made = made + self.kind.count("string") + self.kind.count("=") + self.kind.count(":")
+        #: For an opening mark of a comment, the token after its closing mark.
+        self.after: dict[int, int] = {}
+        last = None
+        for k in range(len(self.kind) - 1, -1, -1):
+            if self.kind[k] == "close":
+                last = k + 1
+            elif self.kind[k] == "open" and last is not None:
+                self.after[k] = last
+
+    def _body(self, a: int, b: int) -> Span:
+        """The inside of a string token, without prefix and quotes."""
+        quote = self.text[b - 1]
+        a = self.text.index(quote, a, b)
+        n = 3 if b - a >= 6 and self.text.startswith(quote * 3, a) and self.text.endswith(quote * 3, a + 3, b) else 1
+        return a + n, b - n
+
+    def _near(self, k: int) -> bool:
+        """Whether token k follows the one before it on the same line, but for blanks."""
+        return k > 0 and not self.text[self.at[k - 1][1] : self.at[k][0]].strip(" \t")
+
+    def _target(self, k: int) -> str | None:
+        """The name that the operator at token k assigns to."""
+        kind, text = self.kind, self.text
+        if k == 0 or not self._near(k):
+            return None
+        j = k - 1
+        if kind[j] == "]":  # name["key"] or name[] or name[3]
+            if j >= 2 and kind[j - 1] == "string" and kind[j - 2] == "[":
+                return text[slice(*self._body(*self.at[j - 1]))]
+            while j >= 0 and kind[j] != "[" and k - j < 4:
+                j -= 1
+            j -= 1
+        if j < 0:
+            return None
+        if kind[j] == "name":
+            return text[slice(*self.at[j])]
+        return text[slice(*self._body(*self.at[j]))] if kind[j] == "string" else None
+
+    def _skip(self, k: int) -> int:
+        """The first token from k on that is no comment."""
+        while k in self.after:
+            k = self.after[k]
+        return k
+
+    def value(self, k: int, bound: dict[str, list[Span]]) -> tuple[list[Span], int]:
+        """(spans of the literals of the expression at token k, the token after it)."""
+        kind, text = self.kind, self.text
+        spans: list[Span] = []
+        while True:
+            k = self._skip(k)
+            # Casts, brackets and conversion calls before a term.
+            while True:
+                if kind[k] == "(" and kind[k + 1 : k + 3] == ["name", ")"]:
+                    k += 3
+                elif kind[k] == "(":
+                    k += 1
+                elif kind[k] == "name" and kind[k + 1] == "(" and _last(text[slice(*self.at[k])]).lower() in CONVERSIONS:
+                    k += 2
+                else:
+                    break
+                k = self._skip(k)
+            if kind[k] == "string":
+                spans.append(self._body(*self.at[k]))
+                k += 1
+                while kind[k] == "string" and self._near(k):  # literals side by side
+                    spans.append(self._body(*self.at[k]))
+                    k += 1
+            elif kind[k] == "name":
+                name = text[slice(*self.at[k])]
+                known = bound.get(name) or bound.get(_last(name))
+                if known is None or kind[k + 1] in ("(", "["):
+                    return spans, k
+                if not spans and kind[k + 1] != "+":
+                    return known, k + 1
+                spans += known
+                if len(spans) > 2 * self.made + 64:  # a name added to itself again and again
+                    spans = list(dict.fromkeys(spans))
+                k += 1
+            else:
+                return spans, k
+            more = k
+            while kind[more] == ")":
+                more += 1
+            if kind[more] == "end" and kind[more + 1 : more + 2] == ["+"]:
+                more += 1
+            if kind[more] != "+":
+                return spans, k
+            k = more + 1
+            if kind[k] == "end" and k + 1 < len(kind):
+                k += 1
+
+    def bare(self, at: int, end: int) -> Span | None:
+        """An unquoted value that begins at ``at``; no call, index or tag."""
+        m = _BARE.match(self.text, at, end)
+        if not m or self.text[m.end() : m.end() + 1] in ("(", "[", "{", "<"):
+            return None
+        return m.span()
+
+
+def _last(name: str) -> str:
+    return re.split(r"\.|->|::", name)[-1]
+
+
+def pairs(text: str):
+    """(name, spans of its literals, whether the name's own former literals lead) in order."""
+    bound: dict[str, list[Span]] = {}
+    todo = [(0, len(text))]
+    made = 0
+    for begin, end in todo:
+        lex = Lexer(text, begin, end, made)
+        made = lex.made
+        todo += lex.inside
+        kind, at = lex.kind, lex.at
+        k = 0
+        while k < len(kind) - 1:
+            what = kind[k]
+            name = None
+            start = k + 1
+            stated = None
+            if what in ("=", ":", ":=", "=>", "+="):
+                name = lex._target(k)
+                if what == ":" and name is not None:  # an annotation: the value comes after its equals sign
+                    j = k + 1
+                    while kind[j] in ("name", "[", "]", ",") and j - k < 8:
+                        j += 1
+                    if kind[j] == "=" and j > k + 1:
+                        start, stated = j + 1, j
+            elif what == "word" and kind[k + 1] == "name":
+                name, start = text[slice(*at[k + 1])], k + 2
+            elif what == "," and k >= 2 and kind[k - 1] == "string" and kind[k - 2] in ("(", "[", "{") and kind[k + 1] == "string":
+                name = text[slice(*lex._body(*at[k - 1]))]
+            if name is None:
+                k += 1
+                continue
+            first = lex._skip(start)
+            blank = text[at[start - 1][1] : at[first][0]] if first == start else ""
+            spans, after = lex.value(first, bound)
+            if not spans:
+                # Unquoted: what stands right after the operator on its line.
+                a = at[start - 1][1]
+                while a < end and text[a] in " \t":
+                    a += 1
+                value = lex.bare(a, end)
+                if value and "\n" not in blank:
+                    spans = [value]
+                    after = max(after, bisect_right(lex.begins, value[1] - 1))
+            grown = name in bound and (what == "+=" or text[slice(*at[first])] == name)
+            if what == "+=" and spans:
+                spans = bound.get(name, []) + spans
+            k = max(after, start) if stated is None else stated  # what stands before the equals sign is a target, too
+            if spans:
+                bound[name] = spans
+                bound[_last(name)] = spans
+                yield name, spans, grown
+            else:
+                bound.pop(name, None)
+    for m in _TAG.finditer(text):
+        a, b = m.span(2)
+        while a < b and text[a].isspace():
+            a += 1
+        while a < b and text[b - 1].isspace():
+            b -= 1
+        if a < b:
+            yield m[1], [(a, b)], False
+
+
+def lexed_spans(text: str) -> list[Span]:
     """Literals whose names and form score at least THRESHOLD together."""
-    if "=" not in text and ":" not in text:
+    low = text.lower()
+    if not any(w in low for w in STEMS):
         return []
-    bound: dict[str, list[tuple[int, int]]] = {}
-    score: dict[tuple[int, int], float] = {}
-    for m in _LEX.finditer(text):
-        name = m["name"].strip("\"'")
-        if m["q"]:
-            spans = [m.span("lit")]
-            if m["more"]:
-                spans += [(m.start("more") + x.start(1), m.start("more") + x.end(1)) for x in _QUOTED.finditer(m["more"])]
-        else:
-            bare = m["bare"]
-            spans = bound.get(bare) if _IDENT.match(bare) else None
-            if spans is None:
-                spans = [m.span("bare")]
-        bound[name] = spans
+    score: dict[Span, float] = {}
+    done: dict[int, tuple[float, list[Span]]] = {}
+    for name, spans, grown in pairs(text):
         weight = name_score(name)
-        if weight:
-            whole = "".join(text[a:b] for a, b in spans)
-            form = literal_score(whole)
-            for s in spans:
+        if not weight or done.get(id(spans), (0.0, spans))[0] >= weight:
+            continue
+        if not grown:
+            done[id(spans)] = weight, spans
+        # Values of very many literals are scored by windows; a grown one by its end, the rest has been.
+        for at in range(max(0, len(spans) - WINDOW) if grown else 0, len(spans), WINDOW):
+            part = spans[at : at + WINDOW]
+            form = literal_score("".join(text[a:b] for a, b in part))
+            for s in part:
                 if form and s[1] > s[0]:
                     score[s] = max(score.get(s, 0.0), weight + form)
     return sorted(s for s, x in score.items() if x >= THRESHOLD)
@@ -153,14 +378,17 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def redact_documents(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced in the text and the count of characters renewed.
 
-    Only rows that the base kinds or an assignment could touch pass through Python.
+    Only rows that a base kind or a sensitive name could touch pass through Python.
     """
 
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(redact)
 
-    suspect = F.col(text_col).rlike(r"[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
+    low = F.lower(F.col(text_col))
+    suspect = F.col(text_col).rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
+    for w in STEMS:
+        suspect = suspect | low.contains(w)
     out = docs.withColumn(text_col, F.when(suspect, clean(F.col(text_col))).otherwise(F.col(text_col)))
     return out.withColumn(count_col, F.length(text_col).cast("long")) if count_col in docs.columns else out
 

@@ -9,7 +9,12 @@ rules; equality of the full digests confirms a hit, and the longest rule wins.
 Defined cases: a null URL or one without ``://`` has empty host and path; an empty path
 starts with no rule path but the empty one; URLs no rule fits get the default verdict and
 a null rule; of rules of equal length the one that sorts first wins, and of one rule
-given twice with both verdicts, block. Repeated rows each get their verdict.
+given twice with both verdicts, block. Repeated rows each get their verdict. Columns host,
+path, rule and verdict of the input are replaced, no others are touched.
+
+Only (host, path) pairs that some rule fits have a verdict of their own. They are
+broadcast back to the pages if a count allows it; else the pairs that many pages share are
+broadcast (their number is bounded by their share) and the others joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import Scratch, unused
+
 RULES = (
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -29,6 +36,10 @@ RULES = (
 DEFAULT = "allow"
 #: Rule tables up to this many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_RULES = 100_000
+#: Up to so many fitting (host, path) pairs are broadcast to the pages.
+BROADCAST_PAIRS = 500_000
+#: Share of all pages above which a (host, path) pair is broadcast in any case.
+HOT_SHARE = 0.0005
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -74,21 +85,32 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url_col: s
     )
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]))
     expanded = (
-        pages.select("host", "path")
-        .distinct()
-        .select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
-        .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
+        pages.groupBy("host", "path")
+        .agg(F.count(F.lit(1)).alias("pages"))
+        .select("host", "path", "pages", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
+        .select("host", "path", "pages", "suffix", F.explode("prefixes").alias("prefix"))
         .withColumn("own", _digest(F.col("suffix"), F.col("prefix")))
     )
     hits = expanded.join(prepared, F.substring("own", 1, 8) == F.col("short")).where("own = full")
-    best = hits.groupBy("host", "path").agg(
-        F.min(F.struct((-F.length("rule_text")).alias("n"), F.col("rule_text"), F.col("rule_verdict"))).alias("_best")
+    best = hits.groupBy("host", "path", "pages").agg(
+        F.min(F.struct((-F.length("rule_text")).alias("n"), F.col("rule_text"), F.col("rule_verdict"))).alias("best")
     )
+    best = Scratch(pages.sparkSession, "urls").save(best, "best")
+    h, p, n, top = unused(pages, "h", "p", "n", "top")
+    best = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("pages").alias(n), F.col("best").alias(top))
+    same = (F.col("host") == F.col(h)) & (F.col("path") == F.col(p))
+    if best.count() <= BROADCAST_PAIRS:
+        joined = pages.join(F.broadcast(best), same, "left")
+    else:
+        often = pages.groupBy("host", "path").count().where(F.col("count") > max(1000, int(pages.count() * HOT_SHARE)))
+        often = often.select(F.col("host").alias(h), F.col("path").alias(p))
+        often = often.join(best, [h, p], "left")  # at most 1 / HOT_SHARE pairs, also those that no rule fits
+        hot = pages.join(F.broadcast(often), same)
+        joined = hot.unionByName(pages.join(F.broadcast(often), same, "left_anti").join(best, same, "left"))
     return (
-        pages.join(best, ["host", "path"], "left")
-        .withColumn("rule", F.col("_best.rule_text"))
-        .withColumn("verdict", F.coalesce("_best.rule_verdict", F.lit(default)))
-        .drop("_best")
+        joined.withColumn("rule", F.col(f"{top}.rule_text"))
+        .withColumn("verdict", F.coalesce(f"{top}.rule_verdict", F.lit(default)))
+        .drop(h, p, n, top)
     )
 
 

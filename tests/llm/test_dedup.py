@@ -61,8 +61,34 @@ def test_exact_edges(spark):
     assert empty.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"] and empty.count() == 0
     twice = exact_dedup.exact_groups(frame(spark, [(1, "a"), (1, "a"), (2, "a"), (None, "a"), (None, "b")])).collect()
     assert sorted((r["doc_id"] or 0, r["kept"], r["group_size"]) for r in twice) == [(0, False, 4), (0, True, 1), (1, True, 4), (1, True, 4), (2, False, 4)]
-    extra = frame(spark, [(1, "a"), (2, "a")]).selectExpr("*", "'x' as digest", "1 as hot", "2 as keep_id", "3 as id")
-    assert [r["doc_id"] for r in exact_dedup.deduplicate(extra).collect()] == [1]
+    extra = frame(spark, [(1, "a"), (2, "a")]).selectExpr("*", "'x' as digest", "1 as hot", "2 as keep_id", "3 as id", "4 as own", "5 as lost", "6 as gone", "7 as _own")
+    kept = exact_dedup.deduplicate(extra)
+    assert [r["doc_id"] for r in kept.collect()] == [1] and kept.columns == extra.columns
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_exact_deduplication_keeps_the_first_of_each_text(spark, monkeypatch, bound):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_LOST", bound)
+    rng = random.Random(12)
+    texts = [(i, "hot" if i % 3 == 0 else rng.choice([f"t{rng.randrange(150)}", "hot  text", None, "", "\t"])) for i in range(600)]
+    texts += [(7, "another text under an id"), (7, "hot"), (None, "hot"), (None, "t1"), (3, "hot")]
+    rng.shuffle(texts)
+    kept = exact_dedup.deduplicate(frame(spark, texts), support=0.05).collect()
+    norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in texts]
+    least = {}
+    for i, t in norm:
+        least[t] = min(least.get(t, 10**9), 10**9 if i is None else i)
+    want = sorted((-1 if i is None else i, t) for i, t in norm if i is None or least[t] == i)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in kept) == want
+
+
+def test_frequent_digests_are_candidates(spark):
+    rows = [("a",)] * 300 + [("b",)] * 120 + [(f"c{k}",) for k in range(3000)]
+    random.Random(13).shuffle(rows)
+    digests = spark.createDataFrame(rows, "t string").selectExpr("unhex(sha2(t, 256)) as digest").repartition(7)
+    found = exact_dedup.frequent_hashes(digests, 0.02).collect()
+    want = {r[0] for r in spark.sql("select xxhash64(unhex(sha2(t, 256))) from values ('a'), ('b') as v(t)").collect()}
+    assert want <= {r["h"] for r in found} and len(found) <= 50
 
 
 def test_components_of_long_chains(spark):
