@@ -85,6 +85,8 @@ _INSIDE = re.compile(r"[:=<]")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Calls that hand their argument on.
 CONVERSIONS = frozenset("str string bytes bytearray unicode text secret secretstr secretstring b64decode encode decode trim strip from valueof".split())
+#: Words after which a name and a colon begin a block.
+STATEMENTS = frozenset("if elif while for in is not and or except with case class def lambda else return".split())
 _PEM = re.compile(r"\s*-----BEGIN [A-Z ]*PRIVATE KEY-----")
 
 
@@ -174,6 +176,8 @@ class Lexer:
         if j < 0:
             return None
         if kind[j] == "name":
+            if kind[k] == ":" and self._near(j) and kind[j - 1] == "name" and text[slice(*self.at[j - 1])] in STATEMENTS:
+                return None
             return text[slice(*self.at[j])]
         return text[slice(*self._body(*self.at[j]))] if kind[j] == "string" else None
 
