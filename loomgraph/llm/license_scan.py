@@ -1,18 +1,27 @@
 """Licence scan: a trained paragraph classifier confirmed by template comparison.
 
 A multinomial logistic regression over sparse word n-grams (words and word pairs) is
-trained here, on the driver, from short notices of each licence family (``TEMPLATES``) in
-noisy variants and from paragraphs that are none: invented prose, sentences that use the
-same words otherwise, and a bounded sample of corpus paragraphs without licence words. Its
-probabilities are calibrated by a temperature fitted on held-out variants; a paragraph
-whose best family stays under ``MIN_PROBABILITY`` is of the unknown class. A prediction
-counts only if the paragraph also contains most of the word pairs of one of the family's
-templates. Only n-grams with a word of the vocabulary are features, so a text without any
-such word is unknown throughout and is skipped after one look at its words.
-
-Paragraphs are lines; spans are code points, end exclusive. Defined cases: null and empty
-texts have no licence; texts are scanned whole and lines of any length are one paragraph;
-repeated rows are scanned each; further columns are ignored.
+trained here, on the driver, from notices and sentences of licence bodies (``TEMPLATES``)
+in noisy variants and from paragraphs that are none: invented prose, sentences that use
+the same words otherwise, and a bounded sample of corpus paragraphs without licence words.
+Its probabilities are calibrated by a temperature fitted across folds of the templates: a
+fold's variants are scored by a model that has seen neither them nor their templates. A
+window whose best family stays under ``MIN_PROBABILITY`` is of the unknown class. A
+prediction counts only if the window also contains most of the word pairs of one of the
+family's templates, no negation stands right before them and nothing is "reserved for". Only n-grams with a word of
+the vocabulary are features, so a text without any such word is unknown throughout and is
+skipped after one look at its words.
+
+A paragraph is a run of lines that are not blank; marks of comments at the line's start
+count as blanks, so a wrapped notice in a source file is one paragraph. It is classified in
+windows of ``WINDOW`` words, each ``STRIDE`` after the last, so that every run of
+``WINDOW - STRIDE`` words lies in one of them and long paragraphs are read whole. A span
+reaches from the first to the last line that the confirmed words touch; overlapping spans
+of one family are one. Spans are code points, end exclusive.
+
+Defined cases: null and empty texts have no licence; texts are scanned whole, paragraphs
+and lines of any length; repeated rows are scanned each; further columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +36,12 @@ from pyspark.sql import functions as F
 
 #: Notices by which licences are commonly stated, by family.
 TEMPLATES = {
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit license", "spdx license identifier mit"],
-    "apache": ["licensed under the apache license version 2.0", "apache license version 2.0", "you may not use this file except in compliance with the license", "spdx license identifier apache 2.0"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "gnu general public license", "under the terms of the gnu general public license as published by the free software foundation", "gpl version 2", "licensed under the gpl v3", "spdx license identifier gpl 3.0"],
+    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit license", "spdx license identifier mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
+    "apache": ["licensed under the apache license version 2.0", "apache license version 2.0", "you may not use this file except in compliance with the license", "spdx license identifier apache 2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"],
+    "gpl": ["this work is licensed under the gnu general public license version 3", "gnu general public license", "under the terms of the gnu general public license as published by the free software foundation", "gpl version 2", "licensed under the gpl v3", "spdx license identifier gpl 3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"],
     "lgpl": ["gnu lesser general public license", "licensed under the lgpl", "under the terms of the gnu lesser general public license", "spdx license identifier lgpl 2.1"],
     "agpl": ["gnu affero general public license", "licensed under the agpl", "under the terms of the gnu affero general public license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "bsd 3 clause license", "bsd 2 clause license", "licensed under the bsd license", "use of this source code is governed by a bsd style license"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "bsd 3 clause license", "bsd 2 clause license", "licensed under the bsd license", "use of this source code is governed by a bsd style license", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"],
     "mpl": ["mozilla public license version 2.0", "this source code form is subject to the terms of the mozilla public license", "licensed under the mpl 2.0"],
     "cc-by": ["licensed under cc by 4.0", "creative commons attribution 4.0 international license", "licensed under a creative commons attribution license"],
     "cc-by-sa": ["licensed under cc by sa 4.0", "creative commons attribution sharealike license", "available under the creative commons attribution share alike license"],
@@ -41,6 +50,12 @@ TEMPLATES = {
     "cc0": ["cc0 1.0 universal", "dedicated to the public domain under cc0", "to the extent possible under law the author has waived all copyright and related rights"],
     "unlicense": ["this is free and unencumbered software released into the public domain", "released under the unlicense"],
     "isc": ["isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "epl": ["eclipse public license version 2.0", "eclipse public license", "made available under the terms of the eclipse public license", "spdx license identifier epl 2.0"],
+    "eupl": ["european union public licence version 1.2", "european union public licence", "licensed under the eupl", "licensed under the european union public licence"],
+    "zlib": ["zlib license", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"],
+    "boost": ["boost software license version 1.0", "distributed under the boost software license"],
+    "artistic": ["artistic license 2.0", "under the terms of the artistic license"],
+    "cddl": ["common development and distribution license", "subject to the terms of the common development and distribution license"],
     "proprietary": ["all rights reserved", "copyright all rights reserved no part may be reproduced without permission"],
 }
 #: Sentences that use the same words and state no licence.
@@ -48,14 +63,19 @@ NEGATIVES = [
     "the driver had no license with her", "a licensed nurse was released from work", "general elections are public", "the apache tribe lived here", "he studied at mit in cambridge",
     "under the terms of the treaty", "free of charge for any person", "the software was published in version 2.0", "version 3 of the draft was released", "the commons voted on creative uses",
     "copies of this source are rare", "public attribution of the work", "please reserve all rights to speak", "license plates are issued by the state", "the gnu grazed by the river",
-    "mozilla and other animals", "by nature and by night", "a general public library", "this work is under way", "the permission was granted without fee",
+    "mozilla and other animals", "by nature and by night", "a general public library", "this work is under way", "the permission was granted without fee", "all rights reserved for the mayor", "all rights were reserved for members of the club", "all rights reserved for use by the tenants",
+    "the eclipse was visible to the public", "the european union has a public office", "an artistic distribution of common goods", "boost the development of software",
 ]
 STOP = frozenset("a an the of to in is are and or by for this that with without any as may you not be from under on at it".split())
 UNKNOWN = "unknown"
 MIN_PROBABILITY = 0.6
 MIN_CONTAINED = 0.6
-#: Corpus paragraphs in the training set, at most.
+#: Words of a window and between the beginnings of windows.
+WINDOW, STRIDE = 48, 16
+NEGATIONS = frozenset("not never nor isn wasn cannot no longer".split())
+#: Corpus paragraphs in the training set, and characters of each, at most; longer ones are no examples.
 SAMPLE_PARAGRAPHS = 1000
+SAMPLE_CHARACTERS = 2000
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -66,8 +86,11 @@ def words_of(text: str) -> list[str]:
 ANCHORS = frozenset(w for ts in TEMPLATES.values() for t in ts for w in words_of(t)) - STOP
 #: A text with none of these is of the unknown class: every template holds one.
 MARKS = frozenset(
-    "license licensed licence licenced mit apache gpl lgpl agpl gnu bsd mpl mozilla cc cc0 commons unlicense isc copyright rights permission permitted redistribution spdx unencumbered domain compliance waived".split()
+    "license licensed licence licenced mit apache gpl lgpl agpl gnu bsd mpl mozilla cc cc0 commons unlicense isc copyright rights permission permitted redistribution redistributions spdx unencumbered domain compliance waived eupl epl eclipse zlib cddl altered".split()
 )
+_MARK = re.compile(r"\b(?:" + "|".join(sorted(MARKS)) + r")\b", re.ASCII)
+#: Marks of comments at the beginning of a line, and what makes a line blank.
+_COMMENT = re.compile(r"[ \t\r\f\v]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|<!--|%+|>+|\"{3}|'{3}|(?:rem|dnl)\b)[ \t\r\f\v]*)*", re.IGNORECASE)
 
 
 def grams(words: list[str]) -> set[str]:
@@ -90,33 +113,78 @@ class LicenceModel:
         return e / e.sum()
 
     def classify(self, text: str) -> tuple[str, float]:
-        """(family or unknown, probability) of a paragraph; unconfirmed families are unknown."""
-        words = words_of(text)
+        """(family or unknown, probability) of a short paragraph; unconfirmed families are unknown."""
+        family, p, _ = self.judge(words_of(text))
+        return family, p
+
+    def judge(self, words: list[str]) -> tuple[str, float, tuple[int, int]]:
+        """(family or unknown, probability, first and last word of the template) of a window."""
         if MARKS.isdisjoint(words):
-            return UNKNOWN, 1.0
+            return UNKNOWN, 1.0, (0, -1)
         p = self.probabilities(words)
-        own = set(zip(words, words[1:]))
         k = int(p.argmax())
         family = self.families[k]
         if family == UNKNOWN or p[k] < MIN_PROBABILITY:
-            return UNKNOWN, float(p[self.families.index(UNKNOWN)])
-        if max((len(own & t) / len(t) for t in self.pairs[family]), default=0.0) < MIN_CONTAINED:
-            return UNKNOWN, float(1 - p[k])
-        return family, float(p[k])
+            return UNKNOWN, float(p[self.families.index(UNKNOWN)]), (0, -1)
+        own = list(zip(words, words[1:]))
+        have = set(own)
+        best = max(self.pairs[family], key=lambda t: (len(have & t) / len(t), len(t)))
+        if len(have & best) < MIN_CONTAINED * len(best):
+            return UNKNOWN, float(1 - p[k]), (0, -1)
+        at = [i for i, x in enumerate(own) if x in best]
+        reserved_for = words[at[-1] + 1 : at[-1] + 3] == ["reserved", "for"]  # kept for somebody, no notice
+        if reserved_for or not NEGATIONS.isdisjoint(words[max(0, at[0] - 2) : at[0]]):
+            return UNKNOWN, float(1 - p[k]), (0, -1)
+        return family, float(p[k]), (at[0], at[-1] + 1)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """(family, start, end, probability) of every licence paragraph."""
-        if not text or MARKS.isdisjoint(words_of(text)):
+        """(family, start, end, probability) of every licence notice."""
+        if not text or not _MARK.search(text.lower()):
             return []
-        out, at = [], 0
-        for line in text.split("\n"):
-            family, p = self.classify(line)
-            if family != UNKNOWN:
-                out.append((family, at, at + len(line), p))
-            at += len(line) + 1
+        out = []
+        for words, places in paragraphs(text):
+            found: list[list] = []
+            for at in range(0, max(1, len(words) - STRIDE), STRIDE):
+                family, p, (a, z) = self.judge(words[at : at + WINDOW])
+                if family == UNKNOWN:
+                    continue
+                start = text.rfind("\n", 0, places[at + a][0]) + 1
+                end = text.find("\n", places[at + z][1])
+                end = len(text) if end < 0 else end
+                last = next((f for f in reversed(found) if f[0] == family), None)
+                if last and start <= last[2]:
+                    last[2], last[3] = max(last[2], end), max(last[3], p)
+                else:
+                    found.append([family, start, end, p])
+            out += [tuple(f) for f in found]
         return out
 
 
+def paragraphs(text: str):
+    """(words, their spans) of every run of lines that are not blank and hold a word of MARKS."""
+    low = text.lower()
+    if len(low) != len(text):  # some letters grow in lower case; only ASCII counts here
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+    words: list[str] = []
+    places: list[tuple[int, int]] = []
+    at, end = 0, len(text)
+    while at <= end:
+        stop = text.find("\n", at)
+        stop = end if stop < 0 else stop
+        begin = _COMMENT.match(low, at, stop).end()
+        if begin >= stop or not low[begin:stop].strip():
+            if words and not MARKS.isdisjoint(words):
+                yield words, places
+            words, places = [], []
+        else:
+            for m in _WORD.finditer(low, begin, stop):
+                words.append(m[0])
+                places.append(m.span())
+        at = stop + 1
+    if words and not MARKS.isdisjoint(words):
+        yield words, places
+
+
 def _variants(rng, sentence: str, filler: list[str], n: int) -> list[list[str]]:
     words = words_of(sentence)
     out = [words]
@@ -128,70 +196,86 @@ def _variants(rng, sentence: str, filler: list[str], n: int) -> list[list[str]]:
     return out
 
 
-def train(paragraphs: list[str] = (), seed: int = 5, rounds: int = 300, ridge: float = 1e-3) -> LicenceModel:
+def _fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of the regression by accelerated gradient steps; classes count alike."""
+    w, b = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
+    target = np.eye(k, dtype=np.float32)[y]
+    share = 1 / np.maximum(1, np.bincount(y, minlength=k))
+    weight = (share[y] / share[y].mean()).astype(np.float32)[:, None]
+    v, vb = w.copy(), b.copy()
+    for r in range(rounds):
+        z = x @ v + vb
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = (p - target) * weight / len(y)
+        nw, nb = v - 4.0 * (x.T @ g + ridge * v), vb - 4.0 * g.sum(axis=0)
+        m = r / (r + 3)
+        v, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
+    return w, b
+
+
+def train(paragraphs: list[str] = (), seed: int = 5, rounds: int = 300, ridge: float = 1e-3, folds: int = 3) -> LicenceModel:
     """The classifier; ``paragraphs`` are further examples of the unknown class."""
     rng = np.random.default_rng(seed)
     parts = ["an", "the", "er", "ti", "on", "of", "re", "sh", "lo", "ma", "de", "qu", "is", "and", "ing"]
     filler = ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(400)] + sorted(STOP)
     families = [*TEMPLATES, UNKNOWN]
-    examples: list[tuple[list[str], int]] = []
-    for k, f in enumerate(families[:-1]):
-        for t in TEMPLATES[f]:
-            examples += [(w, k) for w in _variants(rng, t, filler, 24)]
     unknown = len(families) - 1
-    for t in NEGATIVES:
-        examples += [(w, unknown) for w in _variants(rng, t, filler, 8)]
-    for w in sorted(ANCHORS):  # a single word is no notice
-        examples += [(w_, unknown) for w_ in _variants(rng, w, filler, 2)]
-    examples += [(list(rng.choice(filler, rng.integers(3, 30))), unknown) for _ in range(300)]
-    examples += [(words_of(p), unknown) for p in paragraphs if MARKS.isdisjoint(words_of(p))]
-    order = rng.permutation(len(examples))
-    examples = [examples[i] for i in order]
+    examples: list[tuple[list[str], int, int]] = []  # words, class, fold of the template
+
+    def add(texts, k, n, before=()):
+        for fold, t in enumerate(texts):
+            examples.extend(([*before, *w], k, fold % folds) for w in _variants(rng, t, filler, n))
+
+    for k, f in enumerate(families[:-1]):
+        add(TEMPLATES[f], k, 24)
+        add([t for t in TEMPLATES[f] if t.startswith(("licensed", "released", "under", "available", "distributed"))], unknown, 3, ("not",))
+    add(NEGATIVES, unknown, 24)
+    add(sorted(ANCHORS), unknown, 2)  # a single word is no notice
+    examples += [(list(rng.choice(filler, rng.integers(3, 30))), unknown, i % folds) for i in range(300)]
+    examples += [(words_of(p), unknown, i % folds) for i, p in enumerate(paragraphs) if MARKS.isdisjoint(words_of(p))]
     vocabulary: dict[str, int] = {}
-    sparse = []
-    for w, _ in examples:
-        sparse.append([vocabulary.setdefault(g, len(vocabulary)) for g in grams(w)])
+    sparse = [[vocabulary.setdefault(g, len(vocabulary)) for g in grams(w)] for w, _, _ in examples]
     x = np.zeros((len(examples), len(vocabulary)), np.float32)
     for i, at in enumerate(sparse):
         x[i, at] = 1
-    y = np.array([k for _, k in examples])
+    y = np.array([k for _, k, _ in examples])
+    fold = np.array([f for _, _, f in examples])
     keep = x.sum(axis=0) >= 3
-    vocabulary = {g: int(keep[:k].sum()) for g, k in vocabulary.items() if keep[k]}
+    place = np.cumsum(keep) - 1
+    vocabulary = {g: int(place[k]) for g, k in vocabulary.items() if keep[k]}
     x = x[:, keep]
-    cut = len(y) * 4 // 5
-    w, b = np.zeros((x.shape[1], len(families)), np.float32), np.zeros(len(families), np.float32)
-    target = np.eye(len(families), dtype=np.float32)[y]
-    share = 1 / np.maximum(1, np.bincount(y, minlength=len(families)))
-    weight = (share[y] / share[y].mean()).astype(np.float32)[:, None]
-    v, vb = w.copy(), b.copy()
-    for r in range(rounds):
-        z = x[:cut] @ v + vb
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - target[:cut]) * weight[:cut] / cut
-        nw, nb = v - 4.0 * (x[:cut].T @ g + ridge * v), vb - 4.0 * g.sum(axis=0)
-        m = r / (r + 3)
-        v, vb, w, b = nw + m * (nw - w), nb + m * (nb - b), nw, nb
-    z = x[cut:] @ w + b
+    scores, truth = [], []
+    for f in range(folds):
+        w, b = _fit(x[fold != f], y[fold != f], len(families), rounds // 3, ridge)
+        scores.append(x[fold == f] @ w + b)
+        truth.append(y[fold == f])
+    z, own = np.concatenate(scores), np.concatenate(truth)
     best = (np.inf, 1.0)
     for t in np.linspace(0.3, 3, 28):
         q = z / t
         q = q - q.max(axis=1, keepdims=True)
-        loss = -(q[np.arange(len(q)), y[cut:]] - np.log(np.exp(q).sum(axis=1))).mean()
+        loss = -(q[np.arange(len(q)), own] - np.log(np.exp(q).sum(axis=1))).mean()
         best = min(best, (float(loss), float(t)))
+    w, b = _fit(x, y, len(families), rounds, ridge)
     return LicenceModel(vocabulary, families, w, b, best[1])
 
 
 def sample_paragraphs(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_PARAGRAPHS) -> list[str]:
-    """A bounded sample of corpus paragraphs, those with the smallest hash of the text.
+    """A bounded sample of distinct corpus lines from anywhere in the texts, those of the smallest hash.
 
-    A hash bound that about twice the wanted rows pass comes first, so that tasks have
-    little to order and send.
+    A hash bound that about twice the wanted rows pass comes first, by an estimate of the
+    number of distinct lines, so that tasks have little to order and send; if too few pass,
+    all of them are ordered.
     """
-    n = docs.count()
-    line = F.substring(F.substring_index(F.coalesce(F.col(text_col), F.lit("")), "\n", 1), 1, 500)
-    lines = docs.select(line.alias("line")).where("line <> ''").where(F.pmod(F.xxhash64("line"), F.lit(max(n, 1))) < 2 * rows)
-    return [r[0] for r in lines.orderBy(F.xxhash64("line"), "line").limit(rows).collect()]
+    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
+    lines = lines.where((F.trim("line") != "") & (F.length("line") <= SAMPLE_CHARACTERS)).withColumn("h", F.xxhash64("line"))
+    n = lines.agg(F.approx_count_distinct("h")).first()[0]
+    few = lines.where(F.pmod("h", F.lit(max(n, 1))) < 2 * rows).select("line", "h").distinct()
+    found = few.orderBy("h", "line").limit(rows).collect()
+    if len(found) < min(rows, n // 2):
+        found = lines.select("line", "h").distinct().orderBy("h", "line").limit(rows).collect()
+    return [r["line"] for r in found]
 
 
 @lru_cache(1)
