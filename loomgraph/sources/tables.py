@@ -61,6 +61,15 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Removes all tables of this call but the named ones."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        system = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in system.listStatus(root):
+            if status.getPath().getName() not in names:
+                system.delete(status.getPath(), True)
+
 
 def unused(frame: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores before it until no column of ``frame`` has it in any case."""
