@@ -4,7 +4,7 @@ Each round gives every vertex the least label among its own and its neighbours',
 lets each vertex take its label's label (pointer jumping), so labels spread along paths in
 a number of rounds about logarithmic in their length. Labels are written to the shared
 folder every round, which cuts the lineage; a vertex of any degree is only ever
-aggregated, never gathered into one group.
+aggregated, never gathered into one group. An empty edge relation has no vertices.
 """
 
 from __future__ import annotations

@@ -105,9 +105,13 @@ def test_components_of_nothing(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near_duplicates_match_brute_force(spark, percent, monkeypatch):
+@pytest.mark.parametrize("percent,small", [(80, False), (85, True)])
+def test_near_duplicates_match_brute_force(spark, percent, small, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_NODES", 7)  # several blocks for each family
+    if small:  # several blocks of signatures, dense families, joins of keys in blocks, broadcast sets
+        monkeypatch.setattr(minhash, "SIGNATURE_NODES", 5)
+        monkeypatch.setattr(minhash, "DENSE", -10)
+        monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
     rng = random.Random(percent)
     texts = []
     for k in range(6):
@@ -139,21 +143,49 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 9] and "family" in kept.columns
 
 
-def test_signature_bound_holds_pairs_at_the_threshold():
+@pytest.mark.parametrize("percent", [80, 85])
+def test_signature_bound_holds_pairs_at_the_threshold(percent):
     rng = np.random.default_rng(3)
+    chunks = minhash.chunks_for(percent)
     lost = 0
-    for _ in range(300):
-        base = rng.integers(0, 2**64, 1000, np.uint64)
-        a, b = np.unique(base[:925]), np.unique(np.concatenate([base[:850], base[925:]]))  # 850 of 1000
-        (sa, ba), (sb, bb) = minhash.signature(a), minhash.signature(b)
-        lost += int(np.bitwise_count(ba.view(np.uint64) ^ bb.view(np.uint64)).sum()) > minhash.bit_bound(85)
+    for _ in range(2000):
+        base = rng.integers(0, 2**64, 400, np.uint64)
+        both = 4 * percent  # of 400
+        half = (400 - both) // 2
+        a, b = np.unique(base[: both + half]), np.unique(np.concatenate([base[:both], base[both + half :]]))
+        (sa, ba), (sb, bb) = minhash.signature(a, chunks), minhash.signature(b, chunks)
+        lost += int(np.bitwise_count(ba.view(np.uint64) ^ bb.view(np.uint64)).sum()) > minhash.bit_bound(percent)
         differ = sa.view(np.uint16) != sb.view(np.uint16)
-        lost += differ.sum() >= 2 * minhash.CHUNKS
-        if differ.sum() < 2 * minhash.CHUNKS:  # pigeonhole: some chunk has one error at most
-            assert (differ.reshape(minhash.CHUNKS, 4).sum(axis=1) <= 1).any()
+        lost += differ.sum() >= 2 * chunks
+        if differ.sum() < 2 * chunks:  # pigeonhole: some chunk has one error at most
+            assert (differ.reshape(chunks, 4).sum(axis=1) <= 1).any()
     assert lost == 0
 
 
+def test_blocks_list_near_pairs_once():
+    """Near pairs of a family by blocks against all pairs in plain Python."""
+    import pandas as pd
+
+    rng = random.Random(5)
+    texts = noisy_family(rng, 40, 120, 6) + noisy_family(rng, 3, 120, 2)
+    sets = [minhash.shingles(t) for t in texts]
+    sigs = [minhash.signature(s, 8) for s in sets]
+    rows = []
+    for k, (s, (c, b)) in enumerate(zip(sets, sigs)):
+        for other in range(3):
+            rows.append((1, min(k % 3, other), max(k % 3, other), k, len(s), k // 2, k % 3, *c, *b))
+    frame_ = pd.DataFrame(rows, columns=["family", "i", "j", "id", "n", "label", "block", *minhash._columns(8)])
+    got = sorted((min(a, b), max(a, b)) for _, a, b in minhash.near_in_blocks(frame_, 80, 8))
+    want = []
+    for a, b in combinations(range(len(sets)), 2):
+        symbols = (sigs[a][0].view(np.uint16) != sigs[b][0].view(np.uint16)).sum()
+        bits = np.bitwise_count(sigs[a][1].view(np.uint64) ^ sigs[b][1].view(np.uint64)).sum()
+        n, m = sorted((len(sets[a]), len(sets[b])))
+        if a // 2 != b // 2 and symbols < 16 and bits <= minhash.bit_bound(80) and 100 * n >= 80 * m:
+            want.append((a, b))
+    assert len(want) > 20 and got == want
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
