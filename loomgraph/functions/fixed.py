@@ -64,3 +64,38 @@ TELLING = r"(frame|topic|_config$|mode|enable|publish|broadcast|source|child|wor
 # Fixed values. Lines and files that are never evidence.
 NEVER_EVIDENCE = r"^\s*(#|//|\*|import\b|from\b\s+\S+\s+import\b|\s*<!--)"
 WIRING_FILE = r"((^|/)test_[^/]*$|/test/|\.xml$|\.launch\.py$)"
+
+# Fixed values. A heading that promises a derivation, with its marks, and what it adds to a paragraph's score.
+DERIVATION_HEADING = r"(?i)^\s*=+\s*(proof|derivation|deriving)"
+HEADING_BONUS = 400
+
+# Fixed values. Relations of a code graph that are flows, and files that start nodes.
+FLOW_RELATIONS = ("shares_data_with", "rationale_for", "calls")
+LAUNCH_FILE = r"\.launch\.(py|xml|ya?ml)$"
+
+# Fixed values. The parameter of an address that carries a key.
+KEY_PARAMETER = r"(key=)[A-Za-z0-9_\-]+"
+
+# Fixed values. Why a proposed edge is rejected, in the order of the tests.
+REJECTIONS = (
+    "unknown source id", "unknown target id", "self-edge", "edge out of a floor node", "edge out of a seed algorithm",
+    "dropped by amendment", "duplicate", "over branching cap of",
+)
+
+# Fixed values. Why a record goes, in the order of the tests.
+PRUNE_REASONS = (
+    "unreadable", "predates kind branching", "definition with no properties", "technique stated instead of performed",
+    "every step invokes only floor-level trivia", "no substantive invocations, closure check was vacuous",
+)
+
+# Fixed values. What a hand-written brief may claim that is not there.
+BRIEF_PROBLEMS = (
+    "components in a subsystem but never described", "components described but in no subsystem", "algorithms not in the canon", "files not found in the repo",
+)
+
+# Fixed values. Titles that name a server's state or a section, and site names after a title.
+NOT_A_TITLE = (
+    r"(?i)^(home|index of|404|page not found|not found|access denied|just a moment|redirect|error|attention required|untitled|document|"
+    r"client challenge|are you a robot|captcha|wyszukiwanie)\b|^[\w.-]+\.[a-z]{2,}$|^(search|computer science|mathematics|statistics|physics)$"
+)
+SITE_SUFFIX = r"\s+(?:\||--)\s+.*$"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import ACRONYMS, CONTENT_STOPWORDS, SMALL_WORDS, TECHNIQUE_STOPWORDS
+from .fixed import ACRONYMS, CONTENT_STOPWORDS, KEY_PARAMETER, SMALL_WORDS, TECHNIQUE_STOPWORDS
 
 
 def slug(name: Column) -> Column:
@@ -52,12 +52,25 @@ def display_title(identifier: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
+#: White space at either end of a text, as Python strips it.
+_BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
+
+
 def trim_sentence(text: Column, limit: int) -> Column:
-    """At most ``limit`` characters and an ellipsis, ending with the last sentence if that is beyond 40 % of them."""
-    text = F.trim(text)
+    """At most ``limit`` characters and an ellipsis, ending with the last sentence if that is beyond 40 % of them.
+
+    A sentence ends with a full stop and a space or a line feed.
+    """
+    text = strip(text)
     head = F.substring(text, 1, limit)
-    stop = F.when(F.locate(" .", F.reverse(head)) > 0, F.length(head) - F.locate(" .", F.reverse(head))).otherwise(0)
-    short = F.when(stop - 1 > limit * 0.4, F.substring(head, F.lit(1), stop)).otherwise(F.rtrim(head))
+    back = F.regexp_instr(F.reverse(head), F.lit(r"[ \n]\."))
+    stop = F.when(back > 0, F.length(head) - back).otherwise(0)
+    short = F.when(stop - 1 > limit * 0.4, F.substring(head, F.lit(1), stop)).otherwise(F.regexp_replace(head, f"{_BLANK}$", ""))
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(short, F.lit(" \u2026")))
 
 
@@ -99,11 +112,15 @@ def base_document(identifier: Column) -> Column:
 
 
 def outer_json(text: Column) -> Column:
-    """From the first brace to the last one, fences and prose around it dropped."""
-    return F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    """The text itself if it is JSON, else from the first brace to the last one, fences and prose around it dropped."""
+    whole = strip(text)
+    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(whole.startswith("{") & F.try_parse_json(whole).isNotNull(), whole).otherwise(inner)
 
 
-def redact(text: Column, secrets: list[str], mark: str = "***") -> Column:
+def redact(text: Column, secrets: tuple[str, ...] = (), mark: str = "***") -> Column:
+    """Values of ``key=`` parameters in a text masked, and any listed secrets."""
+    text = F.regexp_replace(text, KEY_PARAMETER, f"$1{mark}")
     for s in secrets:
         text = F.replace(text, F.lit(s), F.lit(mark))
     return text
@@ -115,8 +132,11 @@ def added_percent(size: Column, added: Column) -> Column:
 
 
 def header_notice(text: Column) -> Column:
-    """The comment block that opens a source text."""
-    return F.regexp_extract(text, r"(?s)^\s*/\*(.*?)\*/", 1)
+    """The comment block that opens a source text without its marks, null if there is none or it names no copyright."""
+    block = F.regexp_extract(text, r"(?s)^\s*/\*(.*?)\*/", 1)
+    lines = F.transform(F.split(block, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*\* ?", ""), r"\s+$", ""))
+    notice = strip(F.array_join(lines, "\n"))
+    return F.when(notice.contains("Copyright"), notice)
 
 
 def html_safe(text: Column) -> Column:
@@ -127,8 +147,8 @@ def html_safe(text: Column) -> Column:
 
 
 def earned_state(passed: Column, presented: Column, available: Column) -> Column:
-    """demonstrated for all presented passed and something available, read for some, else declared."""
-    return F.when((presented > 0) & (passed == presented) & (available > 0), "demonstrated").when(passed > 0, "read").otherwise("declared")
+    """demonstrated for as many presented and passed as are available, read for some passed, else null: nothing is earned."""
+    return F.when(passed <= 0, F.lit(None).cast("string")).when((presented >= available) & (passed >= available), "demonstrated").when(passed > 0, "read")
 
 
 def excerpt(text: Column, n: int = 400) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import BRIEF_PROBLEMS
 from ..functions.text import slug
 from . import relate
 
@@ -68,9 +69,21 @@ def attach(proposal: DataFrame, nodes: DataFrame, project: str) -> tuple[DataFra
     return n, e
 
 
-def brief_differences(brief: DataFrame, project: DataFrame) -> DataFrame:
-    """(component, side) of components that only the brief or only the repository names."""
-    return relate.both_side_misses(brief.select("component"), project.select("component"), "component")
+def brief_unknown(described: DataFrame, grouped: DataFrame, algorithms: DataFrame, nodes: DataFrame, cited: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(problem, name): what a hand-written brief claims that is not there.
+
+    described (component), grouped (component) by the subsystems, algorithms (algorithm)
+    against nodes (id), and, where a repository is at hand, cited (path) against files (path).
+    """
+    a, b = described.select(F.col("component").alias("name")).distinct(), grouped.select(F.col("component").alias("name")).distinct()
+    checks = [b.join(a, "name", "left_anti"), a.join(b, "name", "left_anti"), algorithms.select(F.col("algorithm").alias("name")).distinct().join(nodes.select(F.col("id").alias("name")), "name", "left_anti")]
+    if cited is not None:
+        checks.append(cited.select(F.col("path").alias("name")).distinct().join(files.select(F.col("path").alias("name")), "name", "left_anti"))
+    out = None
+    for problem, found in zip(BRIEF_PROBLEMS, checks):
+        rows = found.select(F.lit(problem).alias("problem"), "name")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def build_scope(ids: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -38,24 +39,38 @@ def complete_all(rows: DataFrame, complete: Callable[[str], str], prompt: str =
     return rows.mapInPandas(run, out)
 
 
-def rotating(providers: list[Callable[[str], str]]) -> Callable[[str], str]:
-    """One generator of several: a provider that has run out is not asked again."""
+def rotating(providers: list[Callable[[str], str]], tries: int = 3, pause: float = 1.0, sleeper: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+    """One generator of several: a provider that has run out is not asked again.
+
+    A failure of the connection is tried again after growing pauses, then the next provider is asked.
+    """
     spent: set[int] = set()
 
     def complete(prompt: str) -> str:
         for k, p in enumerate(providers):
-            if k not in spent:
+            for again in range(tries):
+                if k in spent:
+                    break
                 try:
                     return p(prompt)
                 except QuotaExhausted:
                     spent.add(k)
+                except OSError:
+                    if again < tries - 1:
+                        sleeper(pause * 2**again)
         raise Dropped("no provider is left")
 
     return complete
 
 
 def json_of(reply: str) -> dict:
-    """The JSON object of a reply, fences and prose around it ignored; raises ValueError if there is none."""
+    """The JSON object of a reply: all of it, else from its first brace to its last; raises ValueError if there is none."""
+    try:
+        whole = json.loads(re.sub(r"(?m)^\s*```\w*\s*$", "", reply))
+        if isinstance(whole, dict):
+            return whole
+    except json.JSONDecodeError:
+        pass
     m = re.search(r"\{.*\}", reply, re.DOTALL)
     if not m:
         raise ValueError("no JSON object")

@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import Scratch
+from ..functions.fixed import REJECTIONS
+from ..sources.tables import Scratch, running_total, width_for
+from .components import connected_components
 
 MAX_ROUNDS = 10_000
+#: Relations of up to so many edges are peeled in one task instead of by rounds.
+ONE_TASK_EDGES = 1_000_000
 
 
 class CycleError(ValueError):
@@ -179,51 +183,107 @@ def algorithms_under(hierarchy: DataFrame, algorithms: DataFrame, roots: DataFra
     return below.join(a, "id", "left_semi").select("root", "id").unionByName(own)
 
 
-def learning_path(edges: DataFrame, algorithms: DataFrame, known: DataFrame) -> DataFrame:
+def floor(nodes: DataFrame, known: DataFrame | None = None, not_known: DataFrame | None = None) -> DataFrame:
+    """(id): what a reader needs no path to: assumed nodes (id, tier) but those that the reader denies, and what the reader knows."""
+    base = nodes.where(F.col("tier") == "assumed").select("id")
+    if not_known is not None:
+        base = base.join(not_known.select("id").distinct(), "id", "left_anti")
+    return base if known is None else base.unionByName(known.select("id")).distinct()
+
+
+def learning_path(edges: DataFrame, algorithms: DataFrame, known: DataFrame, node: DataFrame | None = None) -> DataFrame:
     """(pos, id): syllabuses of the algorithms (id) in order of id, each node at its first place.
 
-    Every algorithm follows its own prerequisites, unless known.
+    Every algorithm follows its own prerequisites, unless known. Without any algorithm the
+    path is the syllabus of ``node`` (id) itself.
     """
+    if node is not None and algorithms.isEmpty():
+        return syllabus(edges, node, known).select("pos", "id")
     kind = dict(edges.dtypes)["src"]
     each = syllabus(edges, algorithms, known).select("target", "pos", "id")
     last = algorithms.select(F.col("id").alias("target"), F.lit(2_147_483_647).alias("pos"), F.col("id").cast(kind).alias("id")).distinct()
     rows = each.unionByName(last.join(known.select("id").distinct(), "id", "left_anti").select("target", "pos", "id"))
     first = rows.groupBy("id").agg(F.min(F.struct("target", "pos")).alias("at"))
-    # One row for each node of one learner's path: a single ordering task holds it.
-    return first.select(F.row_number().over(Window.orderBy("at")).alias("pos"), "id")
+    return running_total(first.withColumn("one", F.lit(1)), "at", "one", "place").select(F.col("place").cast("int").alias("pos"), "id")
+
+
+def _peeled(pdf):
+    """Depths of the ends of all edges by peeling leaves; -1 for what lies on or above a cycle."""
+    import numpy as np
+    import pandas as pd
+
+    both, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
+    src, dst = both[: len(pdf)], both[len(pdf) :]
+    left = np.bincount(src, minlength=len(names))
+    order = np.argsort(dst, kind="stable")
+    start = np.searchsorted(dst[order], np.arange(len(names) + 1))
+    depth = np.full(len(names), -1)
+    layer, k = np.flatnonzero(left == 0), 0
+    while len(layer):
+        depth[layer] = k
+        up = np.concatenate([src[order[start[v] : start[v + 1]]] for v in layer])
+        np.subtract.at(left, up, 1)
+        layer, k = np.unique(up[left[up] == 0]), k + 1
+    return pd.DataFrame({"id": names, "depth": depth})
 
 
 def depths(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(id, depth): edges on the longest path below each node, leaves 0; raises on cycles."""
+    """(id, depth): edges on the longest path below each node, leaves 0; raises on cycles.
+
+    Leaves are peeled: a node is done in the round after its last child, so each node and
+    each edge is written once, whatever the depth. A small relation is peeled in one task.
+    """
     spark = edges.sparkSession
     scratch = Scratch(spark, "depth")
     e = scratch.save(edges.select("src", "dst").distinct(), "edges")
+    size = e.count()
+    width = width_for(size)
     every = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
     every = (every if nodes is None else every.unionByName(nodes.select("id"))).distinct()
-    layer = scratch.save(every.withColumn("depth", F.lit(0)), "l0")
-    paths = [scratch.path("l0")]
+    if size <= ONE_TASK_EDGES:
+        kind = dict(e.dtypes)["src"]
+        own = scratch.save(e.groupBy(F.lit("all").alias("_all")).applyInPandas(_peeled, f"id {kind}, depth int"), "own")
+        if not own.where("depth < 0").isEmpty():
+            raise CycleError("the relation holds a cycle")
+        return every.join(own, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
+    wanted = scratch.save(e.groupBy("src").agg(F.count(F.lit(1)).alias("wanted")), "wanted", width)
+    layer = scratch.save(every.join(wanted.select(F.col("src").alias("id")), "id", "left_anti").withColumn("depth", F.lit(0)), "l0", width)
+    layers, hits = [scratch.path("l0")], []
     for k in range(1, max_rounds + 1):
-        up = e.join(layer.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-        layer = scratch.save(up.withColumn("depth", F.lit(k)), f"l{k}")
+        hit = scratch.save(e.join(layer.select(F.col("id").alias("dst")), "dst").groupBy("src").agg(F.count(F.lit(1)).alias("n")), f"h{k}", width)
+        hits.append(scratch.path(f"h{k}"))
+        so_far = spark.read.schema(hit.schema).parquet(*hits).join(hit.select("src"), "src", "left_semi").groupBy("src").agg(F.sum("n").alias("n"))
+        done = so_far.join(wanted, "src").where("n = wanted").select(F.col("src").alias("id"), F.lit(k).alias("depth"))
+        layer = scratch.save(done, f"l{k}", width)
         if layer.isEmpty():
             break
-        paths.append(scratch.path(f"l{k}"))
-        if k % 64 == 0 and k > every.count():
-            raise CycleError("the relation holds a cycle")
-    else:
+        layers.append(scratch.path(f"l{k}"))
+    out = spark.read.schema(layer.schema).parquet(*layers)
+    if out.count() < every.count():
         raise CycleError("the relation holds a cycle")
-    return spark.read.schema(layer.schema).parquet(*paths).groupBy("id").agg(F.max("depth").alias("depth"))
+    return out
 
 
-def levels(edges: DataFrame, nodes: DataFrame, root) -> DataFrame:
-    """(id, level): hops from the root over all edges; unreachable nodes one below the deepest."""
+def levels(edges: DataFrame, nodes: DataFrame, root, components: DataFrame | None = None, supporting: DataFrame | None = None) -> DataFrame:
+    """(id, level): hops from the root over all edges; unreachable nodes one below the deepest.
+
+    ``supporting`` nodes (id) have no parent; they are drawn at the level of the highest of
+    the ``components`` (id), 2 if there is none.
+    """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
     start = spark.createDataFrame([(root,)], f"id {kind}")
     hops = closure(edges, start).where("src <> dst").select(F.col("dst").alias("id"), F.col("hops").alias("level"))
     hops = hops.unionByName(start.select("id", F.lit(0).alias("level")))
     deepest = hops.agg(F.max("level").alias("deepest"))
-    return nodes.select("id").distinct().join(hops, "id", "left").crossJoin(F.broadcast(deepest)).select("id", F.coalesce("level", F.col("deepest") + 1).alias("level"))
+    out = nodes.select("id").distinct().join(hops, "id", "left").crossJoin(F.broadcast(deepest)).select("id", F.coalesce("level", F.col("deepest") + 1).alias("level"))
+    if supporting is None:
+        return out
+    extra = supporting.select("id").distinct()
+    own = out.join(components.select("id").distinct(), "id", "left_semi") if components is not None else out.limit(0)
+    top = own.join(extra, "id", "left_anti").agg(F.coalesce(F.min("level"), F.lit(2)).alias("top"))
+    marked = out.join(extra.withColumn("extra", F.lit(True)), "id", "left").crossJoin(F.broadcast(top))
+    return marked.select("id", F.when(F.col("extra"), F.col("top")).otherwise(F.col("level")).alias("level"))
 
 
 GLOBAL_TYPES = ("algorithm", "concept", "technique", "failure_mode")
@@ -233,20 +293,22 @@ PROJECT_TYPES = ("system", "subsystem", "component")
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(rule, src, dst): edges (src, dst, rel) that break the layer rules over nodes (id, type).
 
-    contains joins project nodes only; uses goes from a project node to an algorithm;
-    requires joins global nodes only. Self-edges of requires are cycles of their own.
+    contains leaves a project node and ends at no concept or technique; uses goes from a
+    project node to an algorithm; requires ends at a global node; no requires edge lies on a cycle.
     """
     typed = edges.join(nodes.select(F.col("id").alias("src"), F.col("type").alias("st")), "src", "left").join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("dt")), "dst", "left")
-    project_s, project_d = F.col("st").isin(*PROJECT_TYPES), F.col("dt").isin(*PROJECT_TYPES)
-    global_s, global_d = F.col("st").isin(*GLOBAL_TYPES), F.col("dt").isin(*GLOBAL_TYPES)
+    project = F.col("st").isin(*PROJECT_TYPES)
     bad = (
         F.when(F.col("st").isNull() | F.col("dt").isNull(), "unknown end")
-        .when((F.col("rel") == "contains") & ~(project_s & project_d), "contains outside the project")
-        .when((F.col("rel") == "uses") & ~(project_s & (F.col("dt") == "algorithm")), "uses something else than an algorithm")
-        .when((F.col("rel") == "requires") & ~(global_s & global_d), "requires outside the canon")
-        .when((F.col("rel") == "requires") & (F.col("src") == F.col("dst")), "requires itself")
+        .when((F.col("rel") == "contains") & ~(project & ~F.col("dt").isin("concept", "technique")), "contains outside the architecture")
+        .when((F.col("rel") == "uses") & ~(project & (F.col("dt") == "algorithm")), "uses something else than an algorithm")
+        .when((F.col("rel") == "requires") & ~F.col("dt").isin(*GLOBAL_TYPES), "requires outside the canon")
     )
-    return typed.withColumn("rule", bad).where("rule is not null").select("rule", "src", "dst")
+    needs = edges.where("rel = 'requires'").select("src", "dst").distinct()
+    core = cyclic_core(needs)
+    back = closure(core).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    rings = core.join(back, ["src", "dst"], "left_semi").select(F.lit("requires on a cycle").alias("rule"), "src", "dst")
+    return typed.withColumn("rule", bad).where("rule is not null").select("rule", "src", "dst").unionByName(rings)
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -267,11 +329,24 @@ def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:
     return out.where("src <> dst").select("src", "dst", "rel").distinct()
 
 
+def _core(pdf):
+    """The edges that peeling from both sides leaves."""
+    while True:
+        kept = pdf[pdf["dst"].isin(pdf["src"]) & pdf["src"].isin(pdf["dst"])]
+        if len(kept) == len(pdf):
+            return kept[["src", "dst"]]
+        pdf = kept
+
+
 def cyclic_core(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """The edges left when nodes without edges in or out are peeled away again and again."""
     scratch = Scratch(edges.sparkSession, "core")
     now = scratch.save(edges, "c0")
     n = now.count()
+    if n <= ONE_TASK_EDGES:
+        kind = dict(edges.dtypes)["src"]
+        left = now.select("src", "dst").groupBy(F.lit("all").alias("_all")).applyInPandas(_core, f"src {kind}, dst {kind}")
+        return scratch.save(now.join(left.distinct(), ["src", "dst"], "left_semi"), "core")
     for k in range(1, max_rounds):
         out, into = now.select(F.col("src").alias("dst")).distinct(), now.select(F.col("dst").alias("src")).distinct()
         now = scratch.save(now.join(out, "dst", "left_semi").join(into, "src", "left_semi"), f"c{k}")
@@ -282,83 +357,119 @@ def cyclic_core(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     return now
 
 
-def add_edges(batch: DataFrame, max_core: int = 5_000_000) -> DataFrame:
+def add_edges(batch: DataFrame, nodes: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Edges (src, dst, ord) taken in order -> (src, dst, ord, rel, demoted).
 
-    An edge that would close a cycle of requires edges becomes related_to. Only edges
-    within cycles of the whole batch can be; those are found by distributed peeling, and
-    only that core is folded in order, in one group. A core over ``max_core`` edges is an
-    error rather than a task without bounds. Self-edges raise; of equal edges the first
-    one counts.
+    Both ends are resolved by ``aliases`` (alias, target) first; an end that is none of the
+    ``nodes`` (id) raises, as does a self-edge. An edge that would close a cycle of requires
+    edges becomes related_to; of equal edges the first one counts. Only edges within cycles
+    of the whole batch can be demoted; those are found by distributed peeling, and each
+    connected part of that core is folded in order in a group of its own, under an
+    incrementally kept topological order, so an edge that fits the order costs nothing.
     """
+    if aliases is not None:
+        full = resolve_aliases(aliases)
+        for end in ("src", "dst"):
+            batch = batch.join(full.select(F.col("alias").alias(end), F.col("target").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    if nodes is not None:
+        ends = batch.select(F.col("src").alias("id")).unionByName(batch.select(F.col("dst").alias("id"))).distinct()
+        lost = ends.join(nodes.select("id"), "id", "left_anti").limit(20).collect()
+        if lost:
+            raise KeyError("unknown nodes: " + ", ".join(sorted(str(r["id"]) for r in lost)))
     if not batch.where("src = dst").isEmpty():
         raise ValueError("a node can't require itself")
     kind = dict(batch.dtypes)["src"]
     first = batch.groupBy("src", "dst").agg(F.min("ord").alias("ord"))
     core = cyclic_core(first)
-    if core.limit(max_core + 1).count() > max_core:
-        raise ValueError(f"more than {max_core} edges lie on cycles")
+    parts = connected_components(core.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    placed = core.join(parts.select(F.col("id").alias("src"), F.col("component").alias("_part")), "src")
 
     def fold(pdf):
         import pandas as pd
 
-        out: dict = {}
-        demoted = []
         order = sorted(range(len(pdf)), key=lambda k: _plain(pdf["ord"].iloc[k]))
-        for s, d in zip(pdf["src"].iloc[order], pdf["dst"].iloc[order]):
-            stack, seen = [d], {d}
-            while stack and s not in seen:
-                for n in out.get(stack.pop(), ()):
-                    if n not in seen:
-                        seen.add(n)
-                        stack.append(n)
-            if s in seen:
-                demoted.append((s, d))
-            else:
-                out.setdefault(s, []).append(d)
-        return pd.DataFrame(demoted, columns=["src", "dst"])
-
-    demoted = core.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(fold, f"src {kind}, dst {kind}").withColumn("demoted", F.lit(True))
+        found = demotions(zip(pdf["src"].iloc[order], pdf["dst"].iloc[order]))
+        return pd.DataFrame(found, columns=["src", "dst"])
+
+    demoted = placed.groupBy("_part").applyInPandas(fold, f"src {kind}, dst {kind}").withColumn("demoted", F.lit(True))
     out = first.join(demoted, ["src", "dst"], "left").withColumn("demoted", F.coalesce("demoted", F.lit(False)))
     return out.select("src", "dst", "ord", F.when(F.col("demoted"), "related_to").otherwise("requires").alias("rel"), "demoted")
 
 
+def demotions(edges) -> list[tuple]:
+    """Those of the edges, taken in order, that close a cycle with those before them that don't.
+
+    Nodes hold places such that every edge goes upwards. An edge that goes downwards searches
+    only between its ends' places, and moves what it finds.
+    """
+    place: dict = {}
+    out: dict = {}
+    into: dict = {}
+    bad = []
+
+    def reach(start, step, inside):
+        found, stack = {start}, [start]
+        while stack:
+            for n in step.get(stack.pop(), ()):
+                if n not in found and inside(place[n]):
+                    found.add(n)
+                    stack.append(n)
+        return found
+
+    for s, d in edges:
+        for n in (s, d):
+            place.setdefault(n, len(place))
+        low, high = place[d], place[s]
+        if low < high:
+            above = reach(d, out, lambda p: p <= high)  # noqa: B023
+            if s in above:
+                bad.append((s, d))
+                continue
+            below = reach(s, into, lambda p: p >= low)  # noqa: B023
+            moved = sorted(below, key=place.get) + sorted(above, key=place.get)
+            for n, p in zip(moved, sorted(place[n] for n in moved)):
+                place[n] = p
+        out.setdefault(s, []).append(d)
+        into.setdefault(d, []).append(s)
+    return bad
+
+
 def _plain(value):
     """A struct that pandas holds as a mapping or row, as a tuple; other values as they are."""
     return tuple(value.values()) if isinstance(value, dict) else tuple(value) if isinstance(value, (tuple, list)) else value
 
 
-def merge_proposals(proposals: DataFrame, nodes: DataFrame, dropped: DataFrame, existing: DataFrame, cap: int = 5) -> DataFrame:
+def merge_proposals(proposals: DataFrame, nodes: DataFrame, dropped: DataFrame, existing: DataFrame, cap: int = 5, aliases: DataFrame | None = None) -> DataFrame:
     """Proposed edges (cluster, ord, src, dst) -> the same with ``status`` and ``reason``.
 
-    Reasons in order: unknown source, unknown target, self-edge, floor source, algorithm
-    source, dropped, duplicate, branching cap. The cap counts every eligible edge of a
-    source in (cluster, ord) order, demoted ones as well. Survivors that close a cycle
-    with edges before them are demoted.
+    Merged ids are resolved by ``aliases`` (alias, target) before anything is tested. Reasons
+    come in the order of ``REJECTIONS``. Taken in (cluster, ord) order, the first ``cap``
+    different targets of a source are taken, demoted ones among them; a copy of a taken edge
+    is a duplicate, every other eligible edge is over the cap. ``existing`` edges only take
+    part in cycles: a taken edge that closes one with edges before it is demoted.
     """
+    if aliases is not None:
+        full = resolve_aliases(aliases)
+        for end in ("src", "dst"):
+            proposals = proposals.join(full.select(F.col("alias").alias(end), F.col("target").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     n = nodes.select("id", "type", "tier")
     p = (
         proposals.join(n.select(F.col("id").alias("src"), F.col("type").alias("st"), F.col("tier").alias("sr")), "src", "left")
         .join(n.select(F.col("id").alias("dst"), F.col("type").alias("dt")), "dst", "left")
         .join(dropped.select("src", "dst").distinct().withColumn("gone", F.lit(True)), ["src", "dst"], "left")
-        .join(existing.select("src", "dst").distinct().withColumn("there", F.lit(True)), ["src", "dst"], "left")
-    )
-    early = (
-        F.when(F.col("st").isNull(), "unknown source")
-        .when(F.col("dt").isNull(), "unknown target")
-        .when(F.col("src") == F.col("dst"), "self-edge")
-        .when(F.col("sr") == "assumed", "floor source")
-        .when(F.col("st") == "algorithm", "algorithm source")
-        .when(F.col("gone"), "dropped")
-        .when(F.col("there"), "duplicate")
     )
-    p = p.withColumn("early", early)
-    again = Window.partitionBy("src", "dst", F.col("early").isNull()).orderBy("cluster", "ord")
-    p = p.withColumn("early", F.when(F.col("early").isNull() & (F.row_number().over(again) > 1), "duplicate").otherwise(F.col("early")))
-    quota = Window.partitionBy("src", F.col("early").isNull()).orderBy("cluster", "ord")
-    p = p.withColumn("reason", F.when(F.col("early").isNull() & (F.row_number().over(quota) > cap), "over branching cap").otherwise(F.col("early")))
+    tests = (F.col("st").isNull(), F.col("dt").isNull(), F.col("src") == F.col("dst"), F.col("sr") == "assumed", F.col("st") == "algorithm", F.col("gone"))
+    early = F.lit(None).cast("string")
+    for test, reason in reversed(list(zip(tests, REJECTIONS))):
+        early = F.when(test, reason).otherwise(early)
+    p = p.withColumn("early", early).withColumn("open", F.col("early").isNull())
+    at = F.struct("cluster", "ord")
+    pair = Window.partitionBy("src", "dst", "open")
+    p = p.withColumn("first", F.min(at).over(pair)).withColumn("copy", F.row_number().over(pair.orderBy("cluster", "ord")))
+    p = p.withColumn("rank", F.dense_rank().over(Window.partitionBy("src", "open").orderBy("first")))
+    late = F.when(F.col("rank") > cap, F.lit(f"{REJECTIONS[7]} {cap}")).when(F.col("copy") > 1, F.lit(REJECTIONS[6]))
     scratch = Scratch(proposals.sparkSession, "proposals")
-    p = scratch.save(p.select("cluster", "ord", "src", "dst", "reason"), "p")
+    p = scratch.save(p.select("cluster", "ord", "src", "dst", F.coalesce("early", late).alias("reason")), "p")
     taken = p.where("reason is null")
     base = existing.select("src", "dst", F.struct(F.lit("").alias("cluster"), F.lit(-1).cast("long").alias("ord")).alias("ord"))
     batch = base.unionByName(taken.select("src", "dst", F.struct(F.col("cluster").cast("string").alias("cluster"), F.col("ord").cast("long").alias("ord")).alias("ord")))

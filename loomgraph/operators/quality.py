@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as t
-from ..functions.fixed import DEFINES, DERIVATION_TITLE, MOVES, OUT_OF_SCOPE_TITLE, UNINFORMATIVE
+from ..functions.fixed import DEFINES, DERIVATION_TITLE, MOVES, OUT_OF_SCOPE_TITLE, PRUNE_REASONS, UNINFORMATIVE
 from . import graph as g
 
 def ungrounded(cites: DataFrame, sources: DataFrame) -> DataFrame:
@@ -43,9 +42,13 @@ IDENTIFIER = r"(?<![\p{L}\p{N}_])([a-z][a-z0-9]*(?:[_/][a-z0-9]+)+(?:\.[a-z0-9]+
 
 
 def invented_tokens(prose: DataFrame, names: DataFrame, pattern: str = IDENTIFIER) -> DataFrame:
-    """prose (id, text) -> (id, token): identifier-shaped tokens that are no known name."""
-    tok = prose.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1))).alias("token")).distinct()
-    return tok.join(names.select(F.lower("name").alias("token")).distinct(), "token", "left_anti").select("id", "token")
+    """prose (id, text) -> (id, token): identifier-shaped tokens that are no known name.
+
+    Names are those of parameters, files, components and algorithms, and the words of
+    parameter values; tokens and names are compared as they are written.
+    """
+    tok = prose.select("id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("token")).distinct()
+    return tok.join(names.select(F.col("name").alias("token")).distinct(), "token", "left_anti").select("id", "token")
 
 
 def claims_of(text: Column, pattern: str) -> Column:
@@ -104,9 +107,30 @@ def recheck(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFram
     return j.select("id", (~F.col("b").eqNullSafe(F.col("a"))).alias("changed"), (~F.col("ok1").eqNullSafe(F.col("ok2"))).alias("flipped"), (~F.coalesce("ok2", F.lit(False))).alias("failing"))
 
 
-def prune_reason(corrupt: Column, known: Column, grounded: Column, ok: Column, private: Column, stale: Column) -> Column:
-    """Why a record goes: the first of six reasons, null to keep it."""
-    return F.when(corrupt, "unreadable").when(~known, "no such node").when(private, "private").when(~grounded, "ungrounded").when(~ok, "failing").when(stale, "stale")
+def prune_reason(corrupt: Column, kind: Column, n_properties: Column, technique: Column, vacuous: Column, n_steps: Column, n_useful: Column) -> Column:
+    """Why a record goes: the first of six reasons, null to keep it.
+
+    ``technique`` says whether the record's node is one, ``vacuous`` what its check found,
+    ``n_useful`` how many of its steps invoke something that identifies anything.
+    """
+    definition, derivation = kind.eqNullSafe("definition"), kind.eqNullSafe("derivation")
+    tests = (
+        corrupt,
+        kind.isNull(),
+        definition & (F.coalesce(n_properties, F.lit(0)) == 0),
+        definition & F.coalesce(technique, F.lit(False)),
+        F.coalesce(vacuous, F.lit(False)),
+        derivation & (F.coalesce(n_steps, F.lit(0)) > 0) & (F.coalesce(n_useful, F.lit(0)) == 0),
+    )
+    out = F.lit(None).cast("string")
+    for test, reason in reversed(list(zip(tests, PRUNE_REASONS))):
+        out = F.when(test, reason).otherwise(out)
+    return out
+
+
+def useful_steps(steps: Column) -> Column:
+    """How many steps (an array of structs with ``invokes``) invoke something that identifies anything."""
+    return F.size(F.filter(steps, lambda s: F.size(F.filter(s["invokes"], lambda i: ~i.isin(*UNINFORMATIVE))) > 0))
 
 
 def source_derives(sections: DataFrame, title: str = DERIVATION_TITLE, out_of_scope: str = OUT_OF_SCOPE_TITLE) -> DataFrame:
@@ -125,7 +149,3 @@ def expected_kind(nodes: DataFrame, edges: DataFrame, derives: DataFrame) -> Dat
     j = nodes.join(needs, "id", "left").join(derives, "id", "left")
     yes = (F.col("type") == "technique") | F.coalesce("needs", F.lit(False)) | F.coalesce("derives", F.lit(False))
     return j.select("id", F.when(yes, "derivation").otherwise("definition").alias("expected"))
-
-
-def content_words(text: Column) -> Column:
-    return t.content_tokens(text)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.fixed import TELLING
-from ..sources.tables import small
+from ..functions.fixed import LAUNCH_FILE, TELLING
 from .graph import GLOBAL_TYPES
+from .relate import containing
 
 _ID = r"^[a-z][a-z0-9_]*$"
 
@@ -61,17 +61,24 @@ def targets(nodes: DataFrame, sheets: DataFrame, tier: str | None = None, names:
     """Nodes to generate records for: named ones, failing ones, a tier's, else all without a record."""
     if names:
         return nodes.where(F.col("id").isin(*names))
-    if failing:
-        return nodes.join(sheets.where(~F.coalesce("ok", F.lit(False))).select("id"), "id", "left_semi")
+    if failing:  # a record without a verdict counts as fine
+        return nodes.join(sheets.where(~F.coalesce("ok", F.lit(True))).select("id"), "id", "left_semi")
     rest = nodes if tier is None else nodes.where(F.col("tier") == tier)
     return rest.join(sheets.select("id"), "id", "left_anti")
 
 
-def launched_by(unmatched: DataFrame, labels: DataFrame) -> DataFrame:
-    """unmatched (name) and labels (label, semantic) -> (name, label): equal labels, or for semantic ones labels that hold the name."""
-    same = unmatched.join(labels.where("not semantic"), F.lower("name") == F.lower("label")).select("name", "label")
-    held = labels.where("semantic").join(small(unmatched), F.lower("label").contains(F.lower("name"))).select("name", "label")
-    return same.unionByName(held).distinct()
+def launched_by(components: DataFrame, nodes: DataFrame) -> DataFrame:
+    """components (component, source) and nodes (id, label, source_file, deterministic, external) -> (component, id).
+
+    Nodes for the launch files that start a component: one of the code that is the file
+    itself, or a described one whose label holds the file's name.
+    """
+    name = F.regexp_extract("source", r"([^/]+)$", 1)
+    files = components.where(F.col("source").rlike(LAUNCH_FILE)).select("component", "source", name.alias("name")).distinct()
+    own = nodes.where("not external")
+    exact = own.where("deterministic").join(files, (F.col("source_file") == F.col("source")) & (F.col("label") == F.col("name"))).select("component", "id")
+    named = containing(files.select("name").distinct(), "name", own.where("not deterministic").select("id", "label"), "label")
+    return exact.unionByName(named.join(files, "name").select("component", "id")).distinct()
 
 
 def panels(components: DataFrame, matches: DataFrame) -> DataFrame:
@@ -89,18 +96,28 @@ def owners(reach: DataFrame, aliases: DataFrame, documents: DataFrame) -> DataFr
     return reach.select("id", F.col("needs").alias("owner")).join(a, "owner").join(documents, "document").select("id", "owner", "document", "section").distinct()
 
 
-def excerpts(lines: DataFrame, parameters: DataFrame, budget: int) -> DataFrame:
-    """lines (doc, ln, text) that name a parameter (doc, name) as a word, four lines before to one after, within a budget.
+def excerpts(spans: DataFrame, parameters: DataFrame, budget: int) -> DataFrame:
+    """spans (node, ord, path, start, term, lines, own), parameters (node, name) -> (node, place, block).
 
-    The budget is of characters in line order; the first line that overflows ends the excerpt.
+    A node's own spans are shown whole. Of the others, every line that names a parameter as
+    a word (an underscore may follow) is shown with four lines before and one after. Blocks
+    are taken in that order until the first that overflows the budget of characters.
     """
-    words = lines.select("doc", "ln", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z_][a-z0-9_]*)"), F.lit(1)))).alias("word"))
-    named = parameters.select("doc", F.explode(F.array(F.lower("name"), F.concat(F.lower("name"), F.lit("_")))).alias("word")).distinct()
-    hits = words.join(named, ["doc", "word"]).select("doc", "ln").distinct()
-    near = hits.select("doc", F.explode(F.sequence(F.col("ln") - 4, F.col("ln") + 1)).alias("ln")).distinct()
-    w = Window.partitionBy("doc").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    shown = lines.join(near, ["doc", "ln"]).withColumn("spent", F.sum(F.length("text") + 1).over(w))
-    return shown.where(F.col("spent") <= budget).select("doc", "ln", "text")
+    quoted = F.regexp_replace("name", r"([^A-Za-z0-9_])", r"\\$1")
+    names = parameters.where("name <> ''").select("node", quoted.alias("q")).groupBy("node").agg(F.array_join(F.collect_set("q"), "|").alias("q"))
+    s = spans.join(names, "node", "left")
+    pattern = F.concat(F.lit(r"\b(?:"), "q", F.lit(r")_?\b"))
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    hits = F.when(F.col("own"), F.array(F.lit(-1))).when((F.size("lines") > 0) & F.col("q").isNotNull(), F.filter(at, lambda i: F.regexp_like(F.get("lines", i), pattern)))
+    e = s.withColumn("hit", F.explode(hits))
+    whole = F.concat(F.lit("-"), F.col("start") + F.size("lines") - 1, F.lit("  ("), F.coalesce("term", F.lit("")), F.lit(")\n"), F.array_join("lines", "\n"))
+    first = F.greatest(F.col("hit") - 4, F.lit(0))
+    near = F.concat(F.lit("\n"), F.array_join(F.slice("lines", first + 1, F.col("hit") + 2 - first), "\n"))
+    block = F.concat("path", F.lit(":"), F.when(F.col("own"), F.concat(F.col("start").cast("string"), whole)).otherwise(F.concat((F.col("start") + F.col("hit")).cast("string"), near)))
+    b = e.select("node", F.struct((~F.col("own")).alias("rest"), "ord", "hit").alias("at_"), block.alias("block"))
+    w = Window.partitionBy("node").orderBy("at_")
+    shown = b.withColumn("spent", F.sum(F.length("block")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
+    return shown.where(F.col("spent") <= budget).select("node", "place", "block")
 
 
 def render_components(names: DataFrame, parameters: DataFrame, limit: int = 22) -> DataFrame:
@@ -141,9 +158,16 @@ def with_messages(report: DataFrame, messages: DataFrame) -> DataFrame:
     return j.withColumn("shape", shape).withColumn("ok", F.col("ok") & F.col("_more").isNull()).drop("_more")
 
 
-def scan_scope(units: DataFrame, limit: int = 120) -> DataFrame:
-    """(total, kept, complete, caveat) of a scan that keeps the first ``limit`` units."""
+def scan_scope(units: DataFrame, files: DataFrame, excluded: tuple[str, ...] = (), limit: int = 120) -> DataFrame:
+    """(files_scanned, files_skipped, total, kept, complete, caveat) of a scan that keeps the first ``limit`` units.
+
+    files (path, skipped): a scan is complete only if no file was skipped and every unit kept.
+    """
     g = units.agg(F.count(F.lit(1)).alias("total"))
+    f = files.agg(F.count_if(~F.col("skipped")).alias("files_scanned"), F.count_if("skipped").alias("files_skipped"))
     kept = F.least(F.col("total"), F.lit(limit))
-    caveat = F.when(F.col("total") > limit, F.concat(kept.cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" units were read"))).otherwise("")
-    return g.select("total", kept.alias("kept"), (F.col("total") <= limit).alias("complete"), caveat.alias("caveat"))
+    complete = (F.col("files_skipped") == 0) & (F.col("total") <= limit)
+    said = F.concat(F.lit("partial scan: "), kept.cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" code units from "), F.col("files_scanned").cast("string"), F.lit(" files"))
+    skipped = F.lit(f", skipped {', '.join(sorted(excluded))}" if excluded else "")
+    one = g.withColumn("k", F.lit(1)).join(f.withColumn("k", F.lit(1)), "k")  # a row each
+    return one.select("files_scanned", "files_skipped", "total", kept.alias("kept"), complete.alias("complete"), F.when(complete, "").otherwise(F.concat(said, skipped)).alias("caveat"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.fixed import BRIDGE, GENERIC_WORDS, NEVER_EVIDENCE, OUTPUT_NAME, TOPIC, WIRING_FILE
+from ..functions.fixed import BRIDGE, FLOW_RELATIONS, GENERIC_WORDS, NEVER_EVIDENCE, OUTPUT_NAME, TOPIC, WIRING_FILE
 from ..sources.tables import small
 
 
@@ -43,47 +43,100 @@ def dataflow(ends: DataFrame) -> DataFrame:
 
 
 def topic_edges(linked: DataFrame) -> DataFrame:
-    """(pub, sub, n, topics, sentence): links grouped by pair, topics sorted."""
-    g = linked.groupBy("pub", "sub").agg(F.array_sort(F.collect_set(F.col("topic").cast("string"))).alias("topics"))
+    """(pub, sub, n, topics, sentence): links, each once as ``links`` makes them, grouped by pair, topics sorted."""
+    g = linked.groupBy("pub", "sub").agg(F.array_sort(F.collect_list(F.col("topic").cast("string"))).alias("topics"))
     joined = F.array_join("topics", ", ")
     return g.select("pub", "sub", F.size("topics").alias("n"), joined.alias("topics"), F.concat(F.col("pub").cast("string"), F.lit(" feeds "), F.col("sub").cast("string"), F.lit(" through "), joined).alias("sentence"))
 
 
-def upstream(linked: DataFrame, component) -> DataFrame:
-    """(pub): components that feed one, each once."""
-    return linked.where(F.col("sub") == F.lit(component)).select("pub").distinct()
+def upstream(linked: DataFrame, names: DataFrame) -> DataFrame:
+    """links and names (component) -> (line): who sends each topic that the components read, each line once."""
+    text = F.concat(F.lit("- "), F.col("pub").cast("string"), F.lit(" publishes "), F.col("topic").cast("string"), F.lit("; "), F.col("sub").cast("string"), F.lit(" reads it ("), F.col("sub_evidence"), F.lit(")"))
+    return linked.join(names.select(F.col("component").alias("sub")).distinct(), "sub", "left_semi").select(text.alias("line")).distinct()
 
 
 def resolve_topic(name: Column, remappings: Column) -> Column:
     """A topic name after remapping (array of (inside, outside)), always with a leading slash.
 
-    Names match with and without the slash; of several remappings of a name the last wins.
+    A name with a slash takes the last remapping of exactly that name, else every name
+    takes the last one of it with or without the slash.
     """
-    bare = F.regexp_replace(name, "^/", "")
-    hits = F.filter(remappings, lambda r: F.regexp_replace(r["inside"], "^/", "") == bare)
-    to = F.when(F.size(hits) > 0, F.element_at(hits, -1)["outside"]).otherwise(name)
-    return F.concat(F.lit("/"), F.regexp_replace(to, "^/", ""))
+    bare = F.regexp_replace(name, "^/+", "")
+    exact = F.filter(remappings, lambda r: r["inside"] == name)
+    either = F.filter(remappings, lambda r: F.regexp_replace(r["inside"], "^/+", "") == bare)
+    to = F.when(name.startswith("/") & (F.size(exact) > 0), F.element_at(exact, -1)["outside"]).when(F.size(either) > 0, F.element_at(either, -1)["outside"]).otherwise(name)
+    return F.when(to.startswith("/"), to).otherwise(F.concat(F.lit("/"), to))
+
+
+#: The type of ``remappings`` in component rows.
+REMAPPINGS = "array<struct<inside:string,outside:string>>"
 
 
 def bridge_endpoints(arguments: DataFrame) -> DataFrame:
-    """(component, argument, ord) bridge specifications -> endpoints.
+    """(component, executable, argument, remappings, ord) bridge specifications -> endpoints.
 
-    ``TOPIC@TYPE[TYPE`` publishes, ``TOPIC@TYPE]TYPE`` subscribes, ``TOPIC@TYPE@TYPE`` both.
+    ``TOPIC@TYPE[TYPE`` publishes, ``TOPIC@TYPE]TYPE`` subscribes, ``TOPIC@TYPE@TYPE`` does both;
+    only the bridge's own executable counts.
     """
     topic, mark = F.regexp_extract("argument", BRIDGE, 1), F.regexp_extract("argument", BRIDGE, 2)
-    role = F.when(mark == "[", "publishes").when(mark == "]", "subscribes").otherwise("both")
-    full = F.concat(F.lit("/"), F.regexp_replace(topic, "^/", ""))
-    return arguments.where(topic != "").select("component", full.alias("topic"), role.alias("role"), F.col("argument").alias("evidence"), "ord")
+    roles = F.when(mark == "[", F.array(F.lit("publishes"))).when(mark == "]", F.array(F.lit("subscribes"))).otherwise(F.array(F.lit("publishes"), F.lit("subscribes")))
+    own = arguments.where((F.col("executable") == "parameter_bridge") & (topic != ""))
+    return own.select("component", resolve_topic(topic, F.col("remappings")).alias("topic"), F.explode(roles).alias("role"), F.concat(F.lit("bridge argument "), "argument").alias("evidence"), "ord")
 
 
 def parameter_endpoints(parameters: DataFrame) -> DataFrame:
-    """Endpoints from parameters (component, name, value, ord) whose value is a topic.
+    """Endpoints from parameters (component, name, value, source, remappings, ord) whose value is a topic.
 
     Names that speak of an output are publishers, the others subscribers.
     """
     role = F.when(F.lower("name").rlike(OUTPUT_NAME), "publishes").otherwise("subscribes")
-    value = F.regexp_replace(F.trim("value"), "^[\"']+|[\"']+$", "")
-    return parameters.where(value.rlike(TOPIC)).select("component", value.alias("topic"), role.alias("role"), F.concat("name", F.lit("="), "value").alias("evidence"), "ord")
+    value = F.regexp_replace(t.strip(F.col("value")), "^[\"']+|[\"']+$", "")
+    topic = resolve_topic(value, F.col("remappings"))
+    return parameters.where(value.rlike(TOPIC)).select("component", topic.alias("topic"), role.alias("role"), F.concat("source", F.lit(" "), "name").alias("evidence"), "ord")
+
+
+def code_endpoints(components: DataFrame, files: DataFrame) -> DataFrame:
+    """Endpoints that components (component, executable, remappings) open in their own modules.
+
+    files (path, text): a module is a ``.py`` file named as the executable. Its syntax tree
+    is read, never run: ``create_publisher(type, topic)`` and ``create_subscription``.
+    """
+    import pyarrow as pa
+
+    modules = files.where(F.col("path").endswith(".py")).withColumn("executable", F.regexp_extract("path", r"([^/]+)\.py$", 1))
+    modules = modules.join(components.select("executable").distinct(), "executable", "left_semi").select("executable", "path", "text")
+
+    def run(batches):
+        from ..sources.parsers import topic_calls
+
+        for b in batches:
+            rows = [(e, p, *c) for e, p, text in zip(*(x.to_pylist() for x in b.columns)) for c in topic_calls(text or "")]
+            yield pa.record_batch([pa.array([r[k] for r in rows], ty) for k, ty in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["executable", "path", "topic", "role", "line", "method"])
+
+    calls = modules.mapInArrow(run, "executable string, path string, topic string, role string, line long, method string")
+    evidence = F.concat("path", F.lit(":"), F.col("line").cast("string"), F.lit(" "), "method")
+    return calls.join(components, "executable").select("component", resolve_topic(F.col("topic"), F.col("remappings")).alias("topic"), "role", evidence.alias("evidence"), F.col("line").alias("ord"))
+
+
+def containing(needles: DataFrame, needle: str, hay: DataFrame, text: str, few: int = 1000) -> DataFrame:
+    """The join of ``needles`` and ``hay`` on ``text`` containing ``needle``, without a product of both.
+
+    Few needles are broadcast. Otherwise a needle's first characters, three at most, are
+    looked up among the distinct pieces of that length of each text, and then the whole
+    needle is tested.
+    """
+    held = F.col(text).contains(F.col(needle)) & (F.length(needle) > 0)
+    if needles.limit(few + 1).count() <= few:
+        return hay.join(F.broadcast(needles), held)
+    keyed = needles.where(F.length(needle) > 0).withColumn("_piece", F.substring(needle, 1, 3))
+    sizes = [r[0] for r in keyed.select(F.length("_piece").alias("n")).distinct().collect()]  # three at most
+
+    def cut(n):
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.concat(F.array().cast("array<string>"), *map(cut, sizes))
+    return hay.withColumn("_piece", F.explode(F.array_distinct(pieces))).join(keyed, "_piece").where(held).drop("_piece")
 
 
 def library_endpoints(components: DataFrame, defaults: DataFrame) -> DataFrame:
@@ -91,7 +144,7 @@ def library_endpoints(components: DataFrame, defaults: DataFrame) -> DataFrame:
     (key, topic, role, ord), where the key is ``library/executable``; topics are remapped."""
     key = F.concat_ws("/", "library", "executable")
     joined = components.withColumn("key", key).join(defaults, "key")
-    return joined.select("component", resolve_topic(F.col("topic"), F.col("remappings")).alias("topic"), "role", F.concat(F.lit("default of "), "key").alias("evidence"), "ord")
+    return joined.select("component", resolve_topic(F.col("topic"), F.col("remappings")).alias("topic"), "role", F.concat("key", F.lit(" default '"), "topic", F.lit("'")).alias("evidence"), "ord")
 
 
 def stem_matches(components: DataFrame, files: DataFrame) -> DataFrame:
@@ -133,17 +186,35 @@ def both_side_misses(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").where("l is null or r is null").select(key, F.when(F.col("l").isNull(), "right").otherwise("left").alias("side"))
 
 
-def flows(edges: DataFrame) -> DataFrame:
-    """(a, b, relation, evidence): undirected edges, of equal ones the first by ``ord``; no self-edges."""
-    e = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "relation", "ord", "evidence")
-    return e.groupBy("a", "b", "relation").agg(F.min(F.struct("ord", "evidence")).alias("f")).select("a", "b", "relation", "f.evidence")
+def flows(edges: DataFrame, owners: DataFrame, nodes: DataFrame, relations: tuple[str, ...] = FLOW_RELATIONS) -> DataFrame:
+    """Edges that leave a component for another part of the system.
+
+    edges (src, dst, relation, confidence, ord), owners (component, id), nodes (id, external)
+    -> (component, src, dst, relation, confidence, ord, other): of a component's edges between
+    the same two nodes with one relation the first; the other end is none of its own nodes,
+    exists and is not external.
+    """
+    e = edges.where(F.col("relation").isin(*relations))
+    own = owners.select("component", "id").distinct()
+    out = e.join(own.withColumnRenamed("id", "src"), "src").withColumn("other", F.col("dst"))
+    into = e.join(own.withColumnRenamed("id", "dst"), "dst").withColumn("other", F.col("src"))
+    away = out.unionByName(into).join(own.withColumnRenamed("id", "other"), ["component", "other"], "left_anti")
+    known = away.join(nodes.where("not external").select(F.col("id").alias("other")).distinct(), "other", "left_semi")
+    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    first = known.groupBy("component", *pair, "relation").agg(F.min(F.struct("ord", "src", "dst", "confidence", "other")).alias("f"))
+    return first.select("component", "f.src", "f.dst", "relation", "f.confidence", "f.ord", "f.other")
+
 
+def confirm_flows(flow: DataFrame, owners: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b, relation, confidence, topics, confirmed): pairs of components with a flow, and the topics that link them either way.
 
-def confirm_flows(flow: DataFrame, linked: DataFrame) -> DataFrame:
-    """(a, b, relation, topics, confirmed): flows with the topics linking their ends either way."""
+    Of a pair's flows of one relation the first counts, by component and order.
+    """
     pair = linked.select(F.least("pub", "sub").alias("a"), F.greatest("pub", "sub").alias("b"), F.col("topic").cast("string").alias("topic")).distinct()
-    topics = pair.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("topic")), ",").alias("topics"))
-    return flow.select("a", "b", "relation").distinct().join(topics, ["a", "b"], "left").select("a", "b", "relation", F.coalesce("topics", F.lit("")).alias("topics"), F.col("topics").isNotNull().alias("confirmed"))
+    topics = pair.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("topic")), ",").alias("topics"))
+    met = flow.join(owners.select(F.col("component").alias("to"), F.col("id").alias("other")).distinct(), "other").where("to <> component")
+    first = met.groupBy(F.least("component", "to").alias("a"), F.greatest("component", "to").alias("b"), "relation").agg(F.min(F.struct("component", "ord", "confidence")).alias("f"))
+    return first.join(topics, ["a", "b"], "left").select("a", "b", "relation", "f.confidence", F.coalesce("topics", F.lit("")).alias("topics"), F.col("topics").isNotNull().alias("confirmed"))
 
 
 def supporting(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -196,6 +267,16 @@ def section_owners(refs: DataFrame, owners: DataFrame) -> DataFrame:
     return best.where(~named).select("ref_id", "number", "b.owner", "b.section").distinct()
 
 
+def families(nodes: DataFrame, conventions: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (id), conventions (family, root, prio), edges -> (id, family): the first family one of whose roots is the node or requires it."""
+    from .graph import closure
+
+    roots = conventions.select(F.col("root").alias("id")).distinct()
+    below = closure(edges, roots).select(F.col("src").alias("root"), F.col("dst").alias("id")).unionByName(roots.select(F.col("id").alias("root"), "id"))
+    named = below.join(conventions, "root").groupBy("id").agg(F.min(F.struct("prio", "family")).alias("f"))
+    return nodes.select("id").distinct().join(named, "id").select("id", "f.family")
+
+
 def notation_conflicts(symbols: DataFrame, conventions: DataFrame) -> DataFrame:
     """symbols (id, symbol, meaning, family) and conventions (family, letter, pattern, prio) -> clashes.
 
@@ -211,15 +292,22 @@ def notation_conflicts(symbols: DataFrame, conventions: DataFrame) -> DataFrame:
 
 
 def look_back(lines: DataFrame, hits: DataFrame, reach: int = 15) -> DataFrame:
-    """hits (doc, ln, name) -> (doc, ln, from_ln): lines (doc, ln, text) up to ``reach`` before that start with the name.
+    """hits (doc, ln, name) -> (doc, ln, from_ln): lines (doc, ln, text) up to ``reach`` before that begin with the name as a word.
 
-    The range join is an equi-join on (doc, block of ``reach`` lines), each hit in the two
-    blocks that its range can touch.
+    White space may come before it. The range join is an equi-join on (doc, block of
+    ``reach`` lines, first word), each hit in the two blocks that its range can touch.
     """
-    l = lines.select("doc", F.col("ln").alias("from_ln"), "text", F.floor(F.col("ln") / reach).alias("blk"))
+    first = F.regexp_extract("text", r"^\s*([A-Za-z_][A-Za-z0-9_]*)", 1)
+    l = lines.select("doc", F.col("ln").alias("from_ln"), first.alias("name"), F.floor(F.col("ln") / reach).alias("blk")).where("name <> ''")
     h = hits.withColumn("blk", F.explode(F.array(F.floor(F.col("ln") / reach), F.floor(F.col("ln") / reach) - 1)))
-    near = (F.col("from_ln") >= F.col("ln") - reach) & (F.col("from_ln") < F.col("ln")) & F.col("text").startswith(F.col("name"))
-    return h.join(l, ["doc", "blk"]).where(near).select("doc", "ln", "from_ln")
+    near = (F.col("from_ln") >= F.col("ln") - reach) & (F.col("from_ln") < F.col("ln"))
+    return h.join(l, ["doc", "blk", "name"]).where(near).select("doc", "ln", "from_ln")
+
+
+def covariance_assignments(lines: DataFrame) -> DataFrame:
+    """lines (doc, ln, text) -> (doc, ln, name): the name that a covariance is set to at a line's end."""
+    name = F.regexp_extract(t.strip(F.col("text")), r"covariance\w*\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*$", 1)
+    return lines.select("doc", "ln", name.alias("name")).where("name <> ''")
 
 
 def stale_paths(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -248,19 +336,21 @@ def terms_for(nodes: DataFrame, knobs: DataFrame) -> DataFrame:
     return first.select("id", place.alias("prio"), F.col("t.term").alias("term"), (-F.col("t.s")).alias("strength"))
 
 
-def evidence(lines: DataFrame, terms: DataFrame, gap: int = 5, context: int = 5, limit: int = 3) -> DataFrame:
+def evidence(lines: DataFrame, terms: DataFrame, gap: int = 5, context: int = 5, limit: int = 3, reached: bool = True) -> DataFrame:
     """lines (doc, path, rank, ln, text), terms (term, strength, prio) -> best spans per doc.
 
     Terms go in order of prio, parameters with strength 2 and words of a name with 1, which
-    don't count in tests, manifests and launch files. In each file of a doc a term claims its first line that is
+    don't count in tests, manifests and launch files, nor at all unless the project's
+    components reach the node (``reached``). In each file of a doc a term claims its first line that is
     not within ``gap`` lines of one claimed before; the spans of a doc are ranked by file
     rank, strength and path, and ``limit`` of them stay. Only lines that hold a term reach
     the ordered step, one group per (doc, path).
     """
-    usable = lines.where(~F.col("text").rlike(NEVER_EVIDENCE))
-    held = F.lower("text").contains(F.lower("term"))
+    usable = lines.where(~F.col("text").rlike(NEVER_EVIDENCE)).withColumn("_low", F.lower("text"))
     weak_in_wiring = (F.col("strength") < 2) & F.col("path").rlike(WIRING_FILE)
-    hits = usable.join(small(terms), held & ~weak_in_wiring)
+    wanted = terms if reached else terms.where("strength >= 2")
+    found = containing(wanted.withColumn("_term", F.lower("term")), "_term", usable, "_low")
+    hits = found.where(~weak_in_wiring).drop("_low", "_term")
     kind = dict(lines.dtypes)["doc"]
 
     def claim(pdf):

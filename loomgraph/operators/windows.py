@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.fixed import DERIVATION_MARKERS, DISAMBIGUATION_PHRASES
+from ..functions.fixed import DERIVATION_HEADING, DERIVATION_MARKERS, DISAMBIGUATION_PHRASES, HEADING_BONUS
 from ..sources.tables import running_total
 
+_HEADING = re.compile(DERIVATION_HEADING)
+
 
 def capped(rows: DataFrame, by: str, order: list, cap: int = 5) -> DataFrame:
     """The first ``cap`` rows of each ``by`` in the given order."""
@@ -38,22 +43,15 @@ def saturation(items: DataFrame) -> DataFrame:
     return out.withColumn("added_pct", t.added_percent(F.col("canon_size"), F.col("added")))
 
 
-def mean_curve(spark, items: DataFrame, trials: int = 500, seed: int = 7) -> DataFrame:
+def mean_curve(items: DataFrame, trials: int = 500, seed: int = 7) -> DataFrame:
     """(k, mean_size): canon size after k seeds, averaged over shuffled orders of the seeds.
 
-    The shuffles are Python's, on the driver, over the seed names alone; the curves of all
-    trials are computed together.
+    A trial's order is that of a hash of the trial and the seed's name, so the orders are
+    made where the rows are and are the same on every cluster.
     """
-    import random
-
-    seeds = [r[0] for r in items.select("seed").distinct().orderBy("seed").collect()]
-    rng = random.Random(seed)
-    rows = []
-    for trial in range(trials):
-        order = list(seeds)
-        rng.shuffle(order)
-        rows += [(trial, k + 1, s) for k, s in enumerate(order)]
-    orders = spark.createDataFrame(rows, f"trial int, k int, seed {dict(items.dtypes)['seed']}")
+    each = items.select("seed").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), "trial", F.col("seed").cast("string")))
+    orders = each.withColumn("k", F.row_number().over(Window.partitionBy("trial").orderBy(drawn, "seed")))
     first = orders.join(items.select("seed", "item").distinct(), "seed").groupBy("trial", "item").agg(F.min("k").alias("k"))
     added = first.groupBy("trial", "k").agg(F.count(F.lit(1)).alias("added"))
     full = orders.select("trial", "k").join(added, ["trial", "k"], "left").na.fill(0, ["added"])
@@ -105,55 +103,70 @@ def passages(docs: DataFrame, terms: list[str], limit: int = 4, min_hits: int =
 
     A paragraph is a stripped line of ``min_chars`` or more; distinct terms count first,
     then occurrences (as substrings of the lower-case text), then the earlier place.
+    Without terms there is no passage.
     """
-    p = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "passage")).withColumn("passage", F.trim("passage")).where(F.length("passage") >= min_chars)
+    p = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "passage")).withColumn("passage", t.strip(F.col("passage"))).where(F.length("passage") >= min_chars)
     low = F.lower("passage")
     counts = [(F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in terms]
-    hits = sum((F.when(c > 0, 1).otherwise(0) for c in counts[1:]), F.when(counts[0] > 0, 1).otherwise(0))
-    total = sum(counts[1:], counts[0]).cast("int")
-    scored = p.withColumn("hits", hits).withColumn("occurrences", total).where(F.col("hits") >= min_hits)
+    hits = sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0))
+    total = sum(counts, F.lit(0)).cast("int")
+    scored = p.withColumn("hits", hits).withColumn("occurrences", total).where((F.col("hits") >= min_hits) & F.lit(bool(terms)))
     best = Window.partitionBy("doc").orderBy(F.desc("hits"), F.desc("occurrences"), "pos")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("doc", "place", "pos", "hits", "occurrences", "passage")
 
 
-def best_window(docs: DataFrame, markers: tuple[str, ...] = DERIVATION_MARKERS, budget: int = 24_000) -> DataFrame:
-    """docs (doc, text) -> (doc, first, last, score): the best contiguous paragraphs within a budget.
-
-    Texts within the budget are one window of everything. Otherwise blank paragraphs go,
-    the window's own budget is max(budget - first two paragraphs, budget div 2), and from
-    each start the window grows while the paragraph fits, at a cost of its length and one.
-    Highest total score wins, the earliest start on ties; if none fits, the first one.
-    All within arrays of one document: prefix sums by ``aggregate``, no join and no shuffle.
-    """
-    paragraphs = F.split("text", "\n")
-    d = docs.select("doc", "text", F.when(F.length("text") <= budget, paragraphs).otherwise(F.filter(paragraphs, lambda p: F.trim(p) != "")).alias("ps"))
+def best_region(text: str | None, markers: tuple[str, ...], budget: int) -> tuple[int, int, int, bool]:
+    """(first, last, score, headed) for one text; see ``best_window``."""
+    text = text or ""
+    low_marks = tuple(markers)
 
     def score(p):
-        low = F.lower(p)
-        marks = sum((F.when(low.contains(m), 3).otherwise(0) for m in markers), F.lit(0))
-        return marks + F.length(p) - F.length(F.replace(p, F.lit("="), F.lit(""))) + F.length(p) - F.length(F.replace(p, F.lit("\\"), F.lit("")))
+        low = p.lower()
+        bonus = HEADING_BONUS if "=" in p and _HEADING.match(p) else 0
+        return sum(3 for m in low_marks if m in low) + p.count("=") + p.count("\\") + bonus
+
+    parts = text.split("\n")
+    if len(text) <= budget:
+        return 1, len(parts), sum(map(score, parts)), False
+    parts = [p for p in parts if p.strip()]
+    if not parts:
+        return 1, 1, 0, False
+    room = max(budget - len("\n".join(parts[:2])), budget // 2)
+    size = [len(p) for p in parts]
+    gain = [score(p) for p in parts]
+    best, end, used, total = (-1, 0, 1), 0, 0, 0
+    for start in range(len(parts)):
+        if end < start:  # nothing fitted from the start before
+            end, used, total = start, 0, 0
+        while end < len(parts) and used + size[end] <= room:
+            used += size[end] + 1
+            total += gain[end]
+            end += 1
+        if end > start:
+            if total > best[0]:
+                best = (total, start, end)
+            used -= size[start] + 1
+            total -= gain[start]
+    return best[1] + 1, best[2], max(best[0], 0), best[1] > 2
 
-    d = d.withColumn("lens", F.transform("ps", F.length)).withColumn("scores", F.transform("ps", score))
 
-    def prefix(column):
-        return F.aggregate(column, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+def best_window(docs: DataFrame, markers: tuple[str, ...] = DERIVATION_MARKERS, budget: int = 24_000) -> DataFrame:
+    """docs (doc, text) -> (doc, first, last, score, headed): the best contiguous paragraphs within a budget.
 
-    d = d.withColumn("n", F.size("ps")).withColumn("cost", prefix(F.transform("lens", lambda x: x + 1))).withColumn("gain", prefix(F.col("scores")))
-    head = F.aggregate(F.slice("lens", 1, 2), F.lit(0), lambda a, x: a + x)
-    room = F.greatest(F.lit(budget) - head, F.lit(budget // 2))
-    # Paragraph e (1-based) is admitted from start s while cost[e-1] - cost[s] + len[e] <= room, that is cost[e] - cost[s] - 1 <= room.
-    starts = F.sequence(F.lit(1), F.col("n"))
+    Texts within the budget are one window of everything. Otherwise blank paragraphs go,
+    the window's own budget is what the first two paragraphs leave, half of all at least, and
+    from each start the window grows while the paragraph fits, at a cost of its length and
+    one. A paragraph scores for markers, signs of formulas and, by far most, as the heading
+    of a derivation. Highest total wins, the earliest start on ties; if none fits, the first
+    paragraph. ``headed`` says that the window starts after the third paragraph, so that the
+    first two go before it. Two ends move over a text's paragraphs, so work is linear.
+    """
 
-    def window(s):
-        base = F.element_at("cost", s)
-        fits = F.filter(F.sequence(s, F.col("n")), lambda e: F.element_at("cost", e + 1) - base - 1 <= room)
-        last = F.when(F.size(fits) > 0, F.element_at(fits, -1)).otherwise(s - 1)
-        gained = F.element_at("gain", last + 1) - F.element_at("gain", s)
-        return F.struct(F.when(last >= s, gained).otherwise(-1).alias("score"), (-s).alias("first"), last.alias("last"))
+    @F.pandas_udf("first int, last int, score long, headed boolean")
+    def region(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_region(x, tuple(markers), budget) for x in texts], columns=["first", "last", "score", "headed"])
 
-    best = F.array_max(F.transform(starts, window))
-    d = d.withColumn("b", F.when(F.length("text") <= budget, F.struct(F.element_at("gain", -1).alias("score"), F.lit(-1).alias("first"), F.col("n").alias("last"))).otherwise(best))
-    return d.select("doc", (-F.col("b.first")).alias("first"), F.greatest("b.last", F.lit(1)).alias("last"), F.greatest("b.score", F.lit(0)).alias("score"))
+    return docs.select("doc", region("text").alias("b")).select("doc", "b.first", "b.last", "b.score", "b.headed")
 
 
 def budget_take(rows: DataFrame, by: str, order: str, cost: Column, budget: int) -> DataFrame:
@@ -201,9 +214,9 @@ def rank_masks(unique: DataFrame, minimum: int = 2) -> DataFrame:
 
 
 def forward_leaks(steps: DataFrame) -> DataFrame:
-    """steps (doc, n, text) -> (doc, n, leak): later steps that name an earlier one as "step N"."""
-    named = steps.select("doc", F.col("n").alias("leak"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("step ([0-9]+)"), F.lit(1))).alias("named"))
-    refs = named.select("doc", "leak", F.try_to_number("named", F.lit("999999999")).cast("int").alias("n")).distinct()
+    """steps (doc, n, text) -> (doc, n, leak): later steps that name an earlier one as "step N", the word on its own, with or without space."""
+    named = steps.select("doc", F.col("n").alias("leak"), F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\bstep\s*([0-9]+)\b"), F.lit(1))).alias("named"))
+    refs = named.select("doc", "leak", F.try_to_number(F.regexp_replace("named", "^0+(?=.)", ""), F.lit("999999999")).cast("int").alias("n")).distinct()
     return steps.select("doc", "n").join(refs, ["doc", "n"]).where("leak > n")
 
 

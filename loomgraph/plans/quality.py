@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as q
 from ..sources.tables import read
 from .bindings import REQ, requires
-from .registry import query, without
+from .registry import query
 
 
 @query("""WITH c AS (SELECT doc_id AS id, 's' || (doc_id % 7) AS cite FROM documents UNION SELECT doc_id, 's' || (n_chars % 9) FROM documents),
@@ -19,20 +19,11 @@ def j10_ungrounded(spark, sf_dir):
     return q.ungrounded(c, s)
 
 
-@query(f"""WITH RECURSIVE {REQ}, i AS (SELECT DISTINCT p_partkey::BIGINT AS id, (p_size * 3)::BIGINT AS item FROM part WHERE p_partkey % 23 = 5),
-  r AS (SELECT src, dst FROM req WHERE src % 23 = 5 UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst)
+@query(f"""WITH RECURSIVE {REQ}, i AS (SELECT DISTINCT p_partkey::BIGINT AS id, (p_size * 3)::BIGINT AS item FROM part),
+  r AS (SELECT src, dst FROM req UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst)
   SELECT id, item FROM i WHERE id <> item AND item % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = i.id AND r.dst = i.item)""")
 def j11_holes(spark, sf_dir):
-    return _holes(spark, sf_dir, "p_partkey % 23 = 5")
-
-
-@query(without("j11_holes", " WHERE p_partkey % 23 = 5", " WHERE src % 23 = 5"))
-def j11_holes_all(spark, sf_dir):
-    return _holes(spark, sf_dir, "true")
-
-
-def _holes(spark, sf_dir, where: str):
-    i = read(spark, sf_dir, "part").where(where).select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") * 3).cast("long").alias("item"))
+    i = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") * 3).cast("long").alias("item"))
     known = spark.range(0, 1000, 10).select("id")
     return q.holes(i, requires(spark, sf_dir), known)
 
@@ -60,17 +51,16 @@ def j13_invented(spark, sf_dir):
     return q.invented(n, allowed)
 
 
-@query("""WITH k AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '([a-z]{4,7})', 1)) AS token FROM documents),
-  n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z]{4,7})', 1)) AS name FROM benchmark) SELECT id, token FROM k WHERE token NOT IN (SELECT name FROM n)""")
-def j14_invented_tokens(spark, sf_dir):
-    names = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,7})"), F.lit(1))).alias("name")).distinct()
-    return q.invented_tokens(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), names, "([a-z]{4,7})")
+_SHAPE = r"\b[a-z][a-z0-9]*(?:[_/][a-z0-9]+)+(?:\.[a-z0-9]+)*\b"
 
 
-@query()
-def j14_invented_tokens_all(spark, sf_dir):
-    names = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(q.IDENTIFIER), F.lit(1))).alias("name")).distinct()
-    return q.invented_tokens(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), names)
+@query(f"""WITH k AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text || ' by nav_' || (doc_id % 40) || ' in config/part' || (n_chars % 90) || '.launch.py, as Map_' || doc_id, '{_SHAPE}')) AS token FROM documents),
+  n AS (SELECT 'nav_' || (item_id % 25) AS name FROM benchmark UNION SELECT 'config/part' || (item_id % 80) || '.launch.py' FROM benchmark) SELECT id, token FROM k WHERE token NOT IN (SELECT name FROM n)""")
+def j14_invented_tokens(spark, sf_dir):
+    d, b = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    said = F.concat("text", F.lit(" by nav_"), F.col("doc_id") % 40, F.lit(" in config/part"), F.col("n_chars") % 90, F.lit(".launch.py, as Map_"), F.col("doc_id"))
+    names = b.select(F.concat(F.lit("nav_"), F.col("item_id") % 25).alias("name")).unionByName(b.select(F.concat(F.lit("config/part"), F.col("item_id") % 80, F.lit(".launch.py")).alias("name")))
+    return q.invented_tokens(d.select(F.col("doc_id").alias("id"), said.alias("text")), names)
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 > 0) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""")
@@ -81,11 +71,11 @@ def j15_diff(spark, sf_dir):
     return both_side_misses(a, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-def _sheets(spark, sf_dir, where: str):
+def _sheets(spark, sf_dir):
     i = F.col("p_partkey")
     step = F.struct(F.lit(1).alias("n"), F.array((i % 7).cast("long"), F.lit(10**9).cast("long")).alias("invokes"), F.when(i % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("s"), i % 3))).alias("cites"))
     steps = F.when(i % 2 == 0, F.array(step)).otherwise(F.array().cast("array<struct<n:int,invokes:array<bigint>,cites:array<string>>>"))
-    return read(spark, sf_dir, "part").where(where).select(
+    return read(spark, sf_dir, "part").select(
         i.cast("long").alias("id"),
         F.when(i % 2 == 0, "derivation").otherwise("definition").alias("kind"),
         F.when(i % 4 == 0, "definition").otherwise("derivation").alias("expected"),
@@ -98,11 +88,11 @@ def _sheets(spark, sf_dir, where: str):
     )
 
 
-@query(f"""WITH RECURSIVE {REQ}, s AS (SELECT p_partkey::BIGINT AS id, p_partkey AS i, p_partkey % 2 = 0 AS der FROM part WHERE p_partkey % 11 = 1),
+@query(f"""WITH RECURSIVE {REQ}, s AS (SELECT p_partkey::BIGINT AS id, p_partkey AS i, p_partkey % 2 = 0 AS der FROM part),
   src AS (SELECT id, 's' || (i % 3) AS source FROM s UNION ALL SELECT id, 's3' FROM s WHERE i % 3 = 1),
   c AS (SELECT id, 's' || (i % 3) AS cite FROM s WHERE der AND i % 5 <> 0 UNION SELECT id, 's' || (i % 4) FROM s),
   bad AS (SELECT id, array_to_string(list_sort(list(cite)), ',') AS u FROM c WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.id = c.id AND src.source = c.cite) GROUP BY id),
-  r AS (SELECT src, dst FROM req WHERE src % 11 = 1 UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst),
+  r AS (SELECT src, dst FROM req UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst),
   h AS (SELECT id, (i % 7)::VARCHAR AS hole FROM s WHERE der AND id <> i % 7 AND i % 7 <> 3 AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = s.id AND r.dst = s.i % 7)),
   x AS (SELECT s.*, coalesce(bad.u, '') AS ungrounded, CASE WHEN der AND i % 5 = 0 THEN '1' ELSE '' END AS uncited, CASE WHEN der THEN '1000000000' ELSE '' END AS unknown, coalesce(h.hole, '') AS holes,
     array_to_string(list_filter([CASE WHEN NOT der AND i % 3 = 0 THEN 'no statement' END, CASE WHEN NOT der AND i % 5 = 0 THEN 'no properties' END, CASE WHEN i % 6 = 0 THEN 'no symbols' END,
@@ -110,16 +100,7 @@ def _sheets(spark, sf_dir, where: str):
     FROM s LEFT JOIN bad USING (id) LEFT JOIN h USING (id))
   SELECT id, ungrounded, uncited, unknown, holes, shape, notes, FALSE AS vacuous, ungrounded = '' AND uncited = '' AND shape = '' AND i % 13 <> 0 AS ok FROM x""")
 def d1_check(spark, sf_dir):
-    return _check(spark, sf_dir, "p_partkey % 11 = 1")
-
-
-@query(without("d1_check", " WHERE p_partkey % 11 = 1", " WHERE src % 11 = 1"))
-def d1_check_all(spark, sf_dir):
-    return _check(spark, sf_dir, "true")
-
-
-def _check(spark, sf_dir, where: str):
-    s = _sheets(spark, sf_dir, where)
+    s = _sheets(spark, sf_dir)
     src = s.select("id", F.concat(F.lit("s"), F.col("id") % 3).alias("source")).unionByName(s.where("id % 3 = 1").select("id", F.lit("s3").alias("source")))
     ids = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"))
     return q.check_sheets(s, src, requires(spark, sf_dir), spark.createDataFrame([(3,)], "id long"), ids)

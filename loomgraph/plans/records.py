@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import records as r
 from ..sources import sinks
-from ..sources.tables import read
+from ..sources.tables import Scratch, read
 from .bindings import NODES, REQ, nodes, requires
-from .registry import query, without
-from .relate import _LINES, lines_of
+from .registry import query
 
 
 @query("SELECT id, name, CASE WHEN NOT regexp_matches(id, '^[a-z][a-z0-9_]*$') THEN 'bad id' ELSE 'no name' END AS reason FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(lower(p_name), ' ', '_') END AS id, CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_name END AS name FROM part) WHERE NOT regexp_matches(id, '^[a-z][a-z0-9_]*$') OR trim(name) = ''")
@@ -41,9 +40,10 @@ def p9_outside(spark, sf_dir):
     return read(spark, sf_dir, "pages").where(r.outside(F.col("url"), ("en", "www.example.com"))).select("page_id")
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html END AS html FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 4 IN (0, 3) THEN html END AS html FROM pages")
 def p18_private(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").withColumn("project", (F.col("page_id") % 3).cast("string"))
+    k = F.col("page_id") % 4
+    p = read(spark, sf_dir, "pages").withColumn("project", F.when(k < 3, k.cast("string")))
     return sinks.strip_private(p, "html", "project", ["0"]).select("page_id", "html")
 
 
@@ -67,13 +67,17 @@ def a14_reason_samples(spark, sf_dir):
     return r.reason_samples(read(spark, sf_dir, "orders").withColumn("reason", F.col("o_orderstatus")), F.col("o_orderkey"), "o_orderkey")
 
 
-@query("""WITH u AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS name FROM part), l AS (SELECT DISTINCT upper(split_part(p_name, ' ', 2)) AS label, FALSE AS semantic FROM part UNION SELECT DISTINCT p_name, TRUE FROM part)
-  SELECT DISTINCT name, label FROM u, l WHERE (semantic AND contains(lower(label), lower(name))) OR (NOT semantic AND lower(label) = lower(name))""")
+@query("""WITH c AS (SELECT DISTINCT 'c_' || split_part(p_name, ' ', 1) AS component, 'launch/' || split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 5 = 0 THEN '.yaml' ELSE '.launch.py' END AS source FROM part),
+  f AS (SELECT DISTINCT component, source, substr(source, 8) AS name FROM c WHERE regexp_matches(source, '[.]launch[.](py|xml|ya?ml)$')),
+  n AS (SELECT 'n' || p_partkey AS id, split_part(p_name, ' ', 2) || '.launch.py' AS file, p_partkey % 3 = 0 AS det, p_partkey % 11 = 0 AS ext FROM part)
+  SELECT DISTINCT f.component, n.id FROM f JOIN n ON NOT n.ext AND ((n.det AND f.source = 'launch/' || n.file AND f.name = n.file) OR (NOT n.det AND contains('run ' || n.file || ' now', f.name)))""")
 def j7_launched_by(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    words = F.split("p_name", " ")
-    labels = p.select(F.upper(F.try_element_at(words, F.lit(2))).alias("label"), F.lit(False).alias("semantic")).unionByName(p.select(F.col("p_name").alias("label"), F.lit(True).alias("semantic"))).distinct()
-    return r.launched_by(p.select(F.lower(words[0]).alias("name")).distinct(), labels)
+    p, words, k = read(spark, sf_dir, "part"), F.split("p_name", " "), F.col("p_partkey")
+    components = p.select(F.concat(F.lit("c_"), words[0]).alias("component"), F.concat(F.lit("launch/"), words[0], F.when(k % 5 == 0, ".yaml").otherwise(".launch.py")).alias("source")).distinct()
+    file = F.concat(F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")), F.lit(".launch.py"))
+    coded = k % 3 == 0
+    graph = p.select(F.concat(F.lit("n"), k).alias("id"), F.when(coded, file).otherwise(F.concat(F.lit("run "), file, F.lit(" now"))).alias("label"), F.concat(F.lit("launch/"), file).alias("source_file"), coded.alias("deterministic"), (k % 11 == 0).alias("external"))
+    return r.launched_by(components, graph)
 
 
 @query("SELECT s_suppkey AS component, coalesce(f, '') AS files FROM supplier LEFT JOIN (SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT 'f' || l_partkey)), ',') AS f FROM lineitem WHERE l_quantity = 50 GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
@@ -82,32 +86,27 @@ def j23_panels(spark, sf_dir):
     return r.panels(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component")), m)
 
 
-@query(f"""WITH RECURSIVE {REQ}, r AS (SELECT src, dst FROM req WHERE src % 97 = 96 UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst)
+@query(f"""WITH RECURSIVE {REQ}, r AS (SELECT src, dst FROM req UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst)
   SELECT DISTINCT src AS id, dst AS owner, 'doc' || dst % 7 AS document, s AS section FROM r, (SELECT unnest(['1.1', '2.3']) AS s) WHERE dst % 3 = 0 AND dst % 7 < 4""")
 def j24_owners(spark, sf_dir):
-    return _owners(spark, sf_dir, "id % 97 = 96")
-
-
-@query(without("j24_owners", " WHERE src % 97 = 96"))
-def j24_owners_all(spark, sf_dir):
-    return _owners(spark, sf_dir, "true")
-
-
-def _owners(spark, sf_dir, where: str):
     from ..operators.graph import closure
 
-    reach = closure(requires(spark, sf_dir), nodes(spark, sf_dir).where(where)).select(F.col("src").alias("id"), F.col("dst").alias("needs"))
+    reach = closure(requires(spark, sf_dir), nodes(spark, sf_dir)).select(F.col("src").alias("id"), F.col("dst").alias("needs"))
     aliases = nodes(spark, sf_dir).where("id % 3 = 0").select("id", F.concat(F.lit("doc"), F.col("id") % 7, F.lit("#x")).alias("title"))
     documents = spark.createDataFrame([(f"doc{k}", s) for k in range(4) for s in ("1.1", "2.3")], "document string, section string")
     return r.owners(reach, aliases, documents)
 
 
-@query(f"""WITH {_LINES}, h AS (SELECT DISTINCT doc, ln FROM lines WHERE regexp_matches(lower(text), '(^|[^a-z0-9_])(that|token)_?($|[^a-z0-9_])')),
-  near AS (SELECT DISTINCT h.doc, l.ln, l.text FROM h JOIN lines l ON l.doc = h.doc AND l.ln BETWEEN h.ln - 4 AND h.ln + 1)
-  SELECT doc, ln::INTEGER AS ln, text FROM near QUALIFY sum(length(text) + 1) OVER (PARTITION BY doc ORDER BY ln) <= 1500""")
+@query("""WITH d AS (SELECT doc_id AS node, 'd' || doc_id AS path, string_split(text, chr(10)) AS arr, doc_id % 5 = 0 AS own FROM documents),
+  b AS (SELECT node, 0 AS rest, -1 AS hit, path || ':1-' || len(arr) || '  (whole)' || chr(10) || array_to_string(arr, chr(10)) AS block FROM d WHERE own
+    UNION ALL SELECT node, 1, i, path || ':' || (1 + i) || chr(10) || array_to_string(arr[greatest(i - 4, 0) + 1 : i + 2], chr(10)) FROM d, LATERAL (SELECT unnest(range(0, len(arr))) AS i) WHERE NOT own AND regexp_matches(arr[i + 1], '\\b(that|token)_?\\b'))
+  SELECT node, (row_number() OVER (PARTITION BY node ORDER BY rest, hit))::INTEGER AS place, block FROM b QUALIFY sum(length(block)) OVER (PARTITION BY node ORDER BY rest, hit) <= 1500""")
 def j30_excerpts(spark, sf_dir):
-    names = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.array(F.lit("that"), F.lit("token"))).alias("name"))
-    return r.excerpts(lines_of(spark, sf_dir), names, 1500)
+    i = F.col("doc_id")
+    d = read(spark, sf_dir, "documents")
+    spans = d.select(i.alias("node"), F.lit(1).alias("ord"), F.concat(F.lit("d"), i).alias("path"), F.lit(1).alias("start"), F.lit("whole").alias("term"), F.split("text", "\n").alias("lines"), (i % 5 == 0).alias("own"))
+    names = d.select(i.alias("node"), F.explode(F.array(F.lit("that"), F.lit("token"))).alias("name"))
+    return r.excerpts(spans, names, 1500)
 
 
 @query("SELECT slug, coalesce(line, '') AS line FROM (SELECT DISTINCT lower(replace(n_name, ' ', '_')) AS slug, n_nationkey AS k FROM nation) LEFT JOIN (SELECT c_nationkey, string_agg(nm || '=' || v, ', ' ORDER BY rn) AS line FROM (SELECT c_nationkey, 'map_' || c_custkey AS nm, c_mktsegment AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY 'map_' || c_custkey, c_mktsegment) AS rn FROM customer QUALIFY rn <= 22) GROUP BY c_nationkey) ON c_nationkey = k")
@@ -130,18 +129,9 @@ def j38_cited(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(cited, "doc_id", "left_semi").distinct()
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey::INTEGER AS line FROM lineitem WHERE l_orderkey % 100 = 0")
+@query("SELECT l_orderkey, l_linenumber, l_partkey::INTEGER AS line FROM lineitem")
 def o4_line_order(spark, sf_dir):
-    return _line_order(spark, sf_dir, "l_orderkey % 100 = 0")
-
-
-@query(without("o4_line_order", " WHERE l_orderkey % 100 = 0"))
-def o4_line_order_all(spark, sf_dir):
-    return _line_order(spark, sf_dir, "true")
-
-
-def _line_order(spark, sf_dir, where: str):
-    li = read(spark, sf_dir, "lineitem").where(where)
+    li = read(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", r.line_order(F.concat(F.lit("L"), "l_partkey")).alias("line"))
 
 
@@ -164,6 +154,93 @@ def d4_appended_messages(spark, sf_dir):
     return r.with_messages(report, lab.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("notation").alias("message")))
 
 
-@query("SELECT count(*) AS total, least(count(*), 120) AS kept, count(*) <= 120 AS complete, CASE WHEN count(*) > 120 THEN '120 of ' || count(*) || ' units were read' ELSE '' END AS caveat FROM conversations")
+@query("""WITH u AS (SELECT count(*) AS total FROM conversations), f AS (SELECT count(*) FILTER (WHERE page_id % 9 > 0) AS files_scanned, count(*) FILTER (WHERE page_id % 9 = 0) AS files_skipped FROM pages)
+  SELECT files_scanned, files_skipped, total, least(total, 120) AS kept, files_skipped = 0 AND total <= 120 AS complete,
+    CASE WHEN files_skipped = 0 AND total <= 120 THEN '' ELSE 'partial scan: ' || least(total, 120) || '/' || total || ' code units from ' || files_scanned || ' files, skipped build, docs' END AS caveat FROM u, f""")
 def p8_scan_scope(spark, sf_dir):
-    return r.scan_scope(read(spark, sf_dir, "conversations"))
+    files = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), (F.col("page_id") % 9 == 0).alias("skipped"))
+    return r.scan_scope(read(spark, sf_dir, "conversations"), files, ("docs", "build"))
+
+
+@query(f"WITH {NODES} SELECT id FROM nodes WHERE id IN (SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1)")
+def p20_failing(spark, sf_dir):
+    sheets = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, F.col("toxic") == 0).alias("ok"))
+    return r.targets(nodes(spark, sf_dir), sheets, failing=True).select("id")
+
+
+@query("SELECT p_partkey AS id, p_brand AS library FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 7) OR p_brand IN ('Brand#11', 'Brand#55')")
+def p17_library_gate(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    names = spark.createDataFrame([("Brand#11",), ("Brand#55",)], "name string")
+    return sinks.library_gate(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("library")), names, p.where("p_size = 7").select(F.col("p_brand").alias("library")))
+
+
+@query("""WITH a AS (SELECT split_part(p_name, ' ', 1) AS name, p_partkey AS k, p_brand AS alg, 'src/' || p_size || '.py' AS path FROM part)
+  SELECT 'components in a subsystem but never described' AS problem, name FROM (SELECT DISTINCT name FROM a WHERE k % 5 = 0 EXCEPT SELECT DISTINCT name FROM a WHERE k % 7 = 0)
+  UNION ALL SELECT 'components described but in no subsystem', name FROM (SELECT DISTINCT name FROM a WHERE k % 7 = 0 EXCEPT SELECT DISTINCT name FROM a WHERE k % 5 = 0)
+  UNION ALL SELECT 'algorithms not in the canon', alg FROM (SELECT DISTINCT alg FROM a EXCEPT SELECT DISTINCT p_brand FROM part WHERE p_size > 48)
+  UNION ALL SELECT 'files not found in the repo', path FROM (SELECT DISTINCT path FROM a EXCEPT SELECT DISTINCT 'src/' || p_size || '.py' FROM part WHERE p_size < 40)""")
+def j15_brief(spark, sf_dir):
+    from ..operators.architecture import brief_unknown
+
+    p = read(spark, sf_dir, "part")
+    name = F.split("p_name", " ")[0].alias("component")
+    path = F.concat(F.lit("src/"), F.col("p_size"), F.lit(".py")).alias("path")
+    return brief_unknown(p.where("p_partkey % 7 = 0").select(name), p.where("p_partkey % 5 = 0").select(name), p.select(F.col("p_brand").alias("algorithm")), p.where("p_size > 48").select(F.col("p_brand").alias("id")).distinct(), p.select(path), p.where("p_size < 40").select(path).distinct())
+
+
+@query("SELECT 'Copyright ' || source || ' and others' AS line, min(doc_id) AS ord FROM documents GROUP BY 1")
+def a15_holders(spark, sf_dir):
+    text = F.concat(F.lit("// Copyright "), "source", F.lit("   and others\n * not a copyright line\n"), F.lit("x Copyright z"))
+    return sinks.holders(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), text.alias("text")))
+
+
+@query("SELECT 'd' || doc_id AS path, 4::INTEGER AS first, 5::INTEGER AS last, 'Copyright ' || source AS notice, 'int x;' || chr(10) || lang AS excerpt FROM documents")
+def k9_library_slice(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.concat(F.lit("/*\n * Copyright "), "source", F.lit("\n */\nint x;\n"), "lang").alias("text"))
+    return sinks.library_slice(d, d.select("path", F.lit(4).alias("first"), F.lit(5).alias("last")))
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS no, 'q ' || n_name AS q, 'a ' || n_nationkey AS a FROM nation)
+  SELECT '# Questions' || chr(10) || string_agg(no || '. ' || q, chr(10) ORDER BY no) || chr(10) || '# Answers' || chr(10) || string_agg(no || '. ' || a, chr(10) ORDER BY no) AS worksheet FROM e""")
+def k11_worksheet(spark, sf_dir):
+    from ..operators.exercises import worksheet
+
+    n = read(spark, sf_dir, "nation")
+    return worksheet(n.select(F.col("n_regionkey").alias("doc"), F.col("n_nationkey").alias("place"), F.concat(F.lit("q "), "n_name").alias("question"), F.concat(F.lit("a "), F.col("n_nationkey")).alias("answer")))
+
+
+@query("SELECT o_orderkey AS src, o_custkey AS dst, o_orderpriority AS cluster FROM orders")
+def k3_write_edges(spark, sf_dir):
+    scratch = Scratch(spark, "edges")
+    e = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.col("o_orderpriority").alias("cluster"))
+    sinks.write_edges(e, scratch.path("edges"))
+    return spark.read.schema(e.schema).json(scratch.path("edges"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey < 10 THEN 'new' ELSE 'old' END AS state, c_nationkey AS node FROM customer")
+def k5_upsert(spark, sf_dir):
+    scratch = Scratch(spark, "upsert")
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("node"))
+    sinks.upsert(c.withColumn("state", F.lit("old")), scratch.path("rows"), "node")
+    sinks.upsert(c.where("node < 10").withColumn("state", F.lit("new")), scratch.path("rows"), "node")
+    return spark.read.parquet(scratch.path("rows")).select("id", "state", F.col("node").cast(dict(c.dtypes)["node"]).alias("node"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 2 END AS turn FROM supplier")
+def k8_resume(spark, sf_dir):
+    scratch = Scratch(spark, "resume")
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    sinks.resume(s.where("id % 3 = 0"), scratch.path("rows"), "id", lambda x: x.withColumn("turn", F.lit(1)))
+    sinks.resume(s, scratch.path("rows"), "id", lambda x: x.withColumn("turn", F.lit(2)))
+    return spark.read.parquet(scratch.path("rows"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN quality = 0 AND toxic = 0 THEN 'grounded' WHEN quality = 0 THEN 'error' ELSE 'known_absent' END AS state, CASE WHEN quality = 0 AND toxic = 0 THEN 'found' ELSE 'none' END AS source FROM labels")
+def t7_retry(spark, sf_dir):
+    from ..sources.web import retry
+
+    lab = read(spark, sf_dir, "labels")
+    first = lab.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "error").otherwise("known_absent").alias("state"), F.lit("none").alias("source"))
+    again = lab.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "grounded").otherwise("error").alias("state"), F.lit("found").alias("source"))
+    return retry(first, again)

@@ -17,13 +17,3 @@ def query(sql: str | None = None, name: str | None = None):
         return fn
 
     return add
-
-
-def without(name: str, *filters: str) -> str:
-    """The SQL of a query that reads a part of a table, with its filters taken out: the whole table."""
-    sql = ORACLES[name]
-    for f in filters:
-        if f not in sql:
-            raise ValueError(f"{name} has no filter {f!r}")
-        sql = sql.replace(f, "")
-    return sql

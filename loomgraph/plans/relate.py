@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..functions.fixed import GENERIC_WORDS
+from ..functions.fixed import CONTENT_STOPWORDS, GENERIC_WORDS, TECHNIQUE_STOPWORDS
 from ..operators import graph as g
 from ..operators import relate as r
 from ..sources.tables import read
 from .bindings import ENDS, REQ, endpoints, requires
-from .registry import query, without
+from .registry import query
 
 _FIRST = """fe AS (SELECT component, topic, role, arg_min(evidence, ord) AS evidence FROM ends GROUP BY ALL)"""
 _LINKS = f"""{ENDS}, {_FIRST}, links AS (SELECT p.component AS pub, s.component AS sub, p.topic, p.evidence AS pub_evidence, s.evidence AS sub_evidence
@@ -23,27 +23,27 @@ def j1_links(spark, sf_dir):
     return r.links(endpoints(spark, sf_dir))
 
 
-@query(f"WITH {ENDS}, n AS (SELECT DISTINCT component, topic FROM ends WHERE ord % 10 = 1) SELECT a.component AS a, b.component AS b, count(*) AS topics FROM n a JOIN n b ON a.topic = b.topic AND a.component < b.component GROUP BY ALL")
+@query(f"WITH {ENDS}, n AS (SELECT DISTINCT component, topic FROM ends) SELECT a.component AS a, b.component AS b, count(*) AS topics FROM n a JOIN n b ON a.topic = b.topic AND a.component < b.component GROUP BY ALL")
 def j2_dataflow(spark, sf_dir):
-    return r.dataflow(endpoints(spark, sf_dir).where("ord % 10 = 1"))
+    return r.dataflow(endpoints(spark, sf_dir))
 
 
-@query(without("j2_dataflow", " WHERE ord % 10 = 1"))
-def j2_dataflow_all(spark, sf_dir):
-    return r.dataflow(endpoints(spark, sf_dir))
+_SIDES = """ends AS (SELECT c_custkey AS component, '/t' || (c_custkey * 7 % 1000) AS topic, CASE WHEN c_nationkey % 2 = 0 THEN 'publishes' ELSE 'subscribes' END AS role, c_name AS evidence, c_custkey AS ord FROM customer)"""
 
 
-_SPARSE = ENDS.replace("FROM lineitem", "FROM lineitem WHERE l_quantity > 45")
+def _sides(spark, sf_dir):
+    c = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(c.alias("component"), F.concat(F.lit("/t"), c * 7 % 1000).alias("topic"), F.when(F.col("c_nationkey") % 2 == 0, "publishes").otherwise("subscribes").alias("role"), F.col("c_name").alias("evidence"), c.alias("ord"))
 
 
-@query(f"WITH {_SPARSE} SELECT component, topic, role, evidence, ord FROM ends WHERE role = 'publishes' AND topic NOT IN (SELECT topic FROM ends WHERE role = 'subscribes')")
+@query(f"WITH {_SIDES} SELECT component, topic, role, evidence, ord FROM ends WHERE role = 'publishes' AND topic NOT IN (SELECT topic FROM ends WHERE role = 'subscribes')")
 def j3_unread(spark, sf_dir):
-    return r.one_sided(endpoints(spark, sf_dir, "l_quantity > 45"))[0].select("component", "topic", "role", "evidence", "ord")
+    return r.one_sided(_sides(spark, sf_dir))[0].select("component", "topic", "role", "evidence", "ord")
 
 
-@query(f"WITH {_SPARSE} SELECT component, topic, role, evidence, ord FROM ends WHERE role = 'subscribes' AND topic NOT IN (SELECT topic FROM ends WHERE role = 'publishes')")
+@query(f"WITH {_SIDES} SELECT component, topic, role, evidence, ord FROM ends WHERE role = 'subscribes' AND topic NOT IN (SELECT topic FROM ends WHERE role = 'publishes')")
 def j3_unfed(spark, sf_dir):
-    return r.one_sided(endpoints(spark, sf_dir, "l_quantity > 45"))[1].select("component", "topic", "role", "evidence", "ord")
+    return r.one_sided(_sides(spark, sf_dir))[1].select("component", "topic", "role", "evidence", "ord")
 
 
 @query(f"""WITH {_LINKS}, g AS (SELECT pub, sub, list_sort(list(DISTINCT topic::VARCHAR)) AS ts FROM links GROUP BY pub, sub)
@@ -52,9 +52,10 @@ def j22_topic_edges(spark, sf_dir):
     return r.topic_edges(r.links(endpoints(spark, sf_dir)))
 
 
-@query(f"WITH {_LINKS} SELECT DISTINCT pub FROM links WHERE sub = 7")
+@query(f"WITH {_LINKS} SELECT DISTINCT '- ' || pub || ' publishes ' || topic || '; ' || sub || ' reads it (' || sub_evidence || ')' AS line FROM links WHERE sub IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)")
 def j32_upstream(spark, sf_dir):
-    return r.upstream(r.links(endpoints(spark, sf_dir)), 7)
+    names = read(spark, sf_dir, "supplier").where("s_nationkey = 7").select(F.col("s_suppkey").cast("long").alias("component"))
+    return r.upstream(r.links(endpoints(spark, sf_dir)), names)
 
 
 @query("""WITH n AS (SELECT p_name AS component, p_brand AS executable FROM part),
@@ -87,35 +88,43 @@ def j4_both_side_misses(spark, sf_dir):
     return r.both_side_misses(a, b, "custkey")
 
 
-_FLOW = """fl AS (SELECT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b, l_returnflag AS relation, l_orderkey::BIGINT * 10 + l_linenumber AS ord,
-  l_linestatus AS evidence FROM lineitem WHERE l_suppkey <> l_partkey AND l_partkey < 100)"""
-
+_FLOW = """e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'shares_data_with' ELSE 'contains' END AS relation,
+    l_linestatus AS confidence, l_orderkey::BIGINT * 10 + l_linenumber AS ord FROM lineitem),
+  o AS (SELECT 'c' || (s_suppkey % 20) AS component, 's' || s_suppkey AS id FROM supplier UNION SELECT 'c' || (p_partkey % 20), 'p' || p_partkey FROM part WHERE p_partkey % 3 > 0),
+  gn AS (SELECT 'p' || p_partkey AS id, p_partkey % 7 = 0 AS ext FROM part WHERE p_partkey % 13 > 0 UNION ALL SELECT 's' || s_suppkey, FALSE FROM supplier),
+  t AS (SELECT component, e.*, dst AS other FROM e JOIN o ON o.id = src UNION ALL SELECT component, e.*, src AS other FROM e JOIN o ON o.id = dst),
+  w AS (SELECT * FROM t WHERE relation IN ('calls', 'shares_data_with', 'rationale_for') AND (component, other) NOT IN (SELECT (component, id) FROM o) AND other IN (SELECT id FROM gn WHERE NOT ext)),
+  fl AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY component, least(src, dst), greatest(src, dst), relation ORDER BY ord, src, dst, confidence) = 1)"""
 
-def _flow_edges(spark, sf_dir, where: str = "l_partkey < 100"):
-    return read(spark, sf_dir, "lineitem").where(where).select(
-        F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_returnflag").alias("relation"), (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_linestatus").alias("evidence")
-    )
 
+def _flow_parts(spark, sf_dir):
+    def name(mark, column):
+        return F.concat(F.lit(mark), F.col(column))
 
-@query(f"WITH {_FLOW} SELECT a, b, relation, arg_min(evidence, ord) AS evidence FROM fl GROUP BY a, b, relation")
-def j8_flows(spark, sf_dir):
-    return r.flows(_flow_edges(spark, sf_dir))
+    flag = F.col("l_returnflag")
+    relation = F.when(flag == "A", "calls").when(flag == "N", "shares_data_with").otherwise("contains")
+    edges = read(spark, sf_dir, "lineitem").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), relation.alias("relation"), F.col("l_linestatus").alias("confidence"), (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("ord"))
+    s, p = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
+    owners = s.select(F.concat(F.lit("c"), F.col("s_suppkey") % 20).alias("component"), name("s", "s_suppkey").alias("id")).unionByName(p.where("p_partkey % 3 > 0").select(F.concat(F.lit("c"), F.col("p_partkey") % 20).alias("component"), name("p", "p_partkey").alias("id")))
+    nodes_ = p.where("p_partkey % 13 > 0").select(name("p", "p_partkey").alias("id"), (F.col("p_partkey") % 7 == 0).alias("external")).unionByName(s.select(name("s", "s_suppkey").alias("id"), F.lit(False).alias("external")))
+    return edges, owners, nodes_
 
 
-@query(without("j8_flows", " AND l_partkey < 100"))
-def j8_flows_all(spark, sf_dir):
-    return r.flows(_flow_edges(spark, sf_dir, "true"))
+@query(f"WITH {_FLOW} SELECT component, src, dst, relation, confidence, ord, other FROM fl")
+def j8_flows(spark, sf_dir):
+    return r.flows(*_flow_parts(spark, sf_dir))
 
 
-@query(f"""WITH {_FLOW}, {_LINKS}, p AS (SELECT least(pub, sub) AS a, greatest(pub, sub) AS b, array_to_string(list_sort(list(DISTINCT topic::VARCHAR)), ',') AS topics FROM links GROUP BY 1, 2)
-  SELECT f.a, f.b, f.relation, coalesce(p.topics, '') AS topics, p.topics IS NOT NULL AS confirmed FROM (SELECT DISTINCT a, b, relation FROM fl) f LEFT JOIN p USING (a, b)""")
+@query(f"""WITH {_FLOW}, en AS (SELECT DISTINCT 'c' || (l_suppkey % 20) AS component, '/t' || l_partkey % 50 AS topic, l_returnflag = 'R' AS pub FROM lineitem WHERE l_linenumber < 3),
+  ln AS (SELECT least(a.component, b.component) AS a, greatest(a.component, b.component) AS b, array_to_string(list_sort(list(DISTINCT a.topic)), ',') AS topics FROM en a JOIN en b ON a.topic = b.topic AND a.component <> b.component AND a.pub AND NOT b.pub GROUP BY 1, 2),
+  m AS (SELECT fl.*, o.component AS other_c FROM fl JOIN o ON o.id = other AND o.component <> fl.component),
+  f AS (SELECT least(component, other_c) AS a, greatest(component, other_c) AS b, relation, confidence FROM m QUALIFY row_number() OVER (PARTITION BY least(component, other_c), greatest(component, other_c), relation ORDER BY component, ord, confidence) = 1)
+  SELECT f.a, f.b, f.relation, f.confidence, coalesce(topics, '') AS topics, topics IS NOT NULL AS confirmed FROM f LEFT JOIN ln ON ln.a = f.a AND ln.b = f.b""")
 def j9_confirmed(spark, sf_dir):
-    return r.confirm_flows(r.flows(_flow_edges(spark, sf_dir)), r.links(endpoints(spark, sf_dir)))
-
-
-@query(without("j9_confirmed", " AND l_partkey < 100"))
-def j9_confirmed_all(spark, sf_dir):
-    return r.confirm_flows(r.flows(_flow_edges(spark, sf_dir, "true")), r.links(endpoints(spark, sf_dir)))
+    edges, owners, nodes_ = _flow_parts(spark, sf_dir)
+    li = read(spark, sf_dir, "lineitem").where("l_linenumber < 3")
+    ends = li.select(F.concat(F.lit("c"), F.col("l_suppkey") % 20).alias("component"), F.concat(F.lit("/t"), F.col("l_partkey") % 50).alias("topic"), F.when(F.col("l_returnflag") == "R", "publishes").otherwise("subscribes").alias("role"), F.lit("").alias("evidence"), F.col("l_orderkey").alias("ord"))
+    return r.confirm_flows(r.flows(edges, owners, nodes_), owners, r.links(ends))
 
 
 @query(f"WITH RECURSIVE {REQ}, k AS (SELECT p_partkey::BIGINT AS id FROM part WHERE p_size > 5) SELECT DISTINCT id FROM (SELECT src AS id FROM req UNION SELECT dst FROM req) WHERE id NOT IN (SELECT id FROM k)")
@@ -147,20 +156,11 @@ def j17_name_cascade(spark, sf_dir):
     return r.name_cascade(n.select(F.col("n_name").alias("name")), ids, al).select("name", "resolved")
 
 
-@query(f"""WITH RECURSIVE {REQ}, r AS (SELECT src, dst FROM req WHERE src % 41 = 40 UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst),
-  u AS (SELECT 'c' || l_suppkey AS component, l_partkey::BIGINT AS algorithm FROM lineitem WHERE l_partkey % 41 = 40)
+@query(f"""WITH RECURSIVE {REQ}, r AS (SELECT src, dst FROM req UNION SELECT r.src, req.dst FROM r JOIN req ON req.src = r.dst),
+  u AS (SELECT 'c' || l_suppkey AS component, l_partkey::BIGINT AS algorithm FROM lineitem)
   SELECT DISTINCT component, dst AS node FROM u JOIN r ON r.src = algorithm UNION SELECT component, algorithm FROM u""")
 def j18_components_reaching(spark, sf_dir):
-    return _components_reaching(spark, sf_dir, "l_partkey % 41 = 40")
-
-
-@query(without("j18_components_reaching", " WHERE src % 41 = 40", " WHERE l_partkey % 41 = 40"))
-def j18_components_reaching_all(spark, sf_dir):
-    return _components_reaching(spark, sf_dir, "true")
-
-
-def _components_reaching(spark, sf_dir, where: str):
-    uses = read(spark, sf_dir, "lineitem").where(where).select(F.concat(F.lit("c"), F.col("l_suppkey")).alias("component"), F.col("l_partkey").cast("long").alias("algorithm")).distinct()
+    uses = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), F.col("l_suppkey")).alias("component"), F.col("l_partkey").cast("long").alias("algorithm")).distinct()
     reach = g.closure(requires(spark, sf_dir), uses.select(F.col("algorithm").alias("id"))).select(F.col("src").alias("algorithm"), F.col("dst").alias("node"))
     own = uses.select("component", F.col("algorithm").alias("node"))
     return uses.join(reach, "algorithm").select("component", "node").unionByName(own).distinct()
@@ -168,23 +168,14 @@ def _components_reaching(spark, sf_dir, where: str):
 
 @query("""WITH o AS (SELECT 'own' || n_nationkey AS owner, lower(n_name) AS name, (n_nationkey % 4 + 1) || '.' || (n_nationkey % 3 + 1) AS section, n_nationkey AS prio FROM nation),
   q AS (SELECT l_orderkey * 10 + l_linenumber AS ref_id, CASE WHEN l_linenumber % 2 = 0 THEN (l_partkey % 5 + 1)::VARCHAR ELSE (l_partkey % 5 + 1) || '.' || (l_suppkey % 4 + 1) || '.' || l_linenumber END AS number,
-          'see ' || CASE WHEN l_linenumber = 3 THEN 'own' || (l_partkey % 25) ELSE 'there' END AS text FROM lineitem WHERE l_orderkey % 50 = 0),
+          'see ' || CASE WHEN l_linenumber = 3 THEN 'own' || (l_partkey % 25) ELSE 'there' END AS text FROM lineitem),
   h AS (SELECT q.*, o.* FROM q JOIN o ON number = section OR starts_with(section, number || '.') OR starts_with(number, section || '.')),
   b AS (SELECT *, row_number() OVER (PARTITION BY ref_id, number, text ORDER BY prio, owner) AS k FROM h)
   SELECT DISTINCT ref_id, number, owner, section FROM b WHERE k = 1 AND NOT contains(lower(text), lower(owner)) AND NOT contains(lower(text), name)""")
 def j25_section_refs(spark, sf_dir):
-    return _section_refs(spark, sf_dir, "l_orderkey % 50 = 0")
-
-
-@query(without("j25_section_refs", " WHERE l_orderkey % 50 = 0"))
-def j25_section_refs_all(spark, sf_dir):
-    return _section_refs(spark, sf_dir, "true")
-
-
-def _section_refs(spark, sf_dir, where: str):
     n = read(spark, sf_dir, "nation")
     owners = n.select(F.concat(F.lit("own"), F.col("n_nationkey")).alias("owner"), F.lower("n_name").alias("name"), F.concat(F.col("n_nationkey") % 4 + 1, F.lit("."), F.col("n_nationkey") % 3 + 1).alias("section"), F.col("n_nationkey").alias("prio"))
-    li = read(spark, sf_dir, "lineitem").where(where)
+    li = read(spark, sf_dir, "lineitem")
     number = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_partkey") % 5 + 1).cast("string")).otherwise(F.concat(F.col("l_partkey") % 5 + 1, F.lit("."), F.col("l_suppkey") % 4 + 1, F.lit("."), F.col("l_linenumber")))
     text = F.concat(F.lit("see "), F.when(F.col("l_linenumber") == 3, F.concat(F.lit("own"), F.col("l_partkey") % 25)).otherwise("there"))
     return r.section_owners(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref_id"), number.alias("number"), text.alias("text")), owners)
@@ -209,13 +200,23 @@ def lines_of(spark, sf_dir):
     return d.select("doc", (F.col("p") + 1).alias("ln"), "text")
 
 
-@query(f"WITH {_LINES}, h AS (SELECT doc, ln, substr(text, 1, 2) AS name FROM lines WHERE length(text) >= 2) SELECT h.doc, h.ln::INTEGER AS ln, l.ln::INTEGER AS from_ln FROM h JOIN lines l ON l.doc = h.doc AND l.ln BETWEEN h.ln - 15 AND h.ln - 1 AND starts_with(l.text, h.name)")
+_WORD = r"regexp_extract(text, '^\s*([A-Za-z_][A-Za-z0-9_]*)', 1)"
+
+
+@query(f"WITH {_LINES}, h AS (SELECT doc, ln, {_WORD} AS name FROM lines) SELECT h.doc, h.ln::INTEGER AS ln, l.ln::INTEGER AS from_ln FROM h JOIN h l ON l.doc = h.doc AND l.ln BETWEEN h.ln - 15 AND h.ln - 1 AND l.name = h.name WHERE h.name <> ''")
 def j31_lookback(spark, sf_dir):
     lines = lines_of(spark, sf_dir)
-    hits = lines.where("length(text) >= 2").select("doc", "ln", F.substring("text", 1, 2).alias("name"))
+    hits = lines.select("doc", "ln", F.regexp_extract("text", r"^\s*([A-Za-z_][A-Za-z0-9_]*)", 1).alias("name")).where("name <> ''")
     return r.look_back(lines, hits)
 
 
+@query(rf"""WITH {_LINES}, x AS (SELECT doc, ln, CASE WHEN ln % 3 = 0 THEN text || ' covariance_m = gain_' || (ln % 5) ELSE text END AS text FROM lines)
+  SELECT doc, ln::INTEGER AS ln, regexp_extract(trim(text), 'covariance\w*\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*$', 1) AS name FROM x WHERE regexp_matches(trim(text), 'covariance\w*\s*=\s*([A-Za-z_][A-Za-z0-9_]*)\s*$')""")
+def j31_assignments(spark, sf_dir):
+    text = F.when(F.col("ln") % 3 == 0, F.concat("text", F.lit(" covariance_m = gain_"), F.col("ln") % 5)).otherwise(F.col("text"))
+    return r.covariance_assignments(lines_of(spark, sf_dir).withColumn("text", text))
+
+
 @query()
 def j29_neighbourhood(spark, sf_dir):
     lines = lines_of(spark, sf_dir).withColumn("path", F.lit("text")).withColumn("rank", F.lit(0))
@@ -238,32 +239,62 @@ def a11_hashes(spark, sf_dir):
     return r.file_hashes(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content")))
 
 
-@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN '/part' || l_partkey ELSE '/to' || l_suppkey END AS topic FROM lineitem WHERE l_orderkey % 20 = 0""")
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN '/part' || l_partkey ELSE '/to' || l_suppkey END AS topic FROM lineitem""")
 def j21_resolve_topic(spark, sf_dir):
-    return _resolve_topic(spark, sf_dir, "l_orderkey % 20 = 0")
-
-
-@query(without("j21_resolve_topic", " WHERE l_orderkey % 20 = 0"))
-def j21_resolve_topic_all(spark, sf_dir):
-    return _resolve_topic(spark, sf_dir, "true")
-
-
-def _resolve_topic(spark, sf_dir, where: str):
-    li = read(spark, sf_dir, "lineitem").where(where)
+    li = read(spark, sf_dir, "lineitem")
     name = F.concat(F.when(F.col("l_linenumber") % 3 == 0, "/").otherwise(""), F.lit("part"), F.col("l_partkey"))
     inside = F.when(F.col("l_linenumber") % 2 == 0, "other").otherwise(F.concat(F.lit("part"), F.col("l_partkey")))
     maps = F.array(F.struct(inside.alias("inside"), F.lit("lost").alias("outside")), F.struct(inside.alias("inside"), F.concat(F.lit("to"), F.col("l_suppkey")).alias("outside")))
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), r.resolve_topic(name, maps).alias("topic"))
 
 
-@query("""SELECT c_custkey AS component, '/t' || c_nationkey AS topic, CASE c_custkey % 3 WHEN 0 THEN 'publishes' WHEN 1 THEN 'subscribes' ELSE 'both' END AS role,
-  't' || c_nationkey || '@a/B' || CASE c_custkey % 3 WHEN 0 THEN '[' WHEN 1 THEN ']' ELSE '@' END || 'c.D' AS evidence FROM customer""")
+@query("""WITH a AS (SELECT *, 't' || c_nationkey || '@a/B' || CASE c_custkey % 3 WHEN 0 THEN '[' WHEN 1 THEN ']' ELSE '@' END || 'c.D' AS argument, CASE WHEN c_custkey % 4 = 0 THEN '/r' ELSE '/t' END || c_nationkey AS topic FROM customer WHERE c_custkey % 5 > 0)
+  SELECT c_custkey AS component, topic, unnest(CASE c_custkey % 3 WHEN 0 THEN ['publishes'] WHEN 1 THEN ['subscribes'] ELSE ['publishes', 'subscribes'] END) AS role, 'bridge argument ' || argument AS evidence FROM a""")
 def j20_bridge_endpoints(spark, sf_dir):
-    mark = F.element_at(F.array(*map(F.lit, "[]@")), (F.col("c_custkey") % 3 + 1).cast("int"))
-    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("component"), F.concat(F.lit("t"), F.col("c_nationkey"), F.lit("@a/B"), mark, F.lit("c.D")).alias("argument"), F.col("c_custkey").alias("ord"))
+    c = F.col("c_custkey")
+    mark = F.element_at(F.array(*map(F.lit, "[]@")), (c % 3 + 1).cast("int"))
+    own = F.array(F.struct(F.concat(F.lit("/t"), F.col("c_nationkey")).alias("inside"), F.concat(F.lit("r"), F.col("c_nationkey")).alias("outside")))
+    a = read(spark, sf_dir, "customer").select(
+        c.alias("component"), F.when(c % 5 > 0, "parameter_bridge").otherwise("other").alias("executable"), F.concat(F.lit("t"), F.col("c_nationkey"), F.lit("@a/B"), mark, F.lit("c.D")).alias("argument"),
+        F.when(c % 4 == 0, own).otherwise(F.array().cast(r.REMAPPINGS)).alias("remappings"), c.alias("ord"),
+    )
     return r.bridge_endpoints(a).select("component", "topic", "role", "evidence")
 
 
+@query("""SELECT p_partkey AS component, CASE WHEN p_partkey % 4 = 0 THEN '/to' || p_size ELSE '/in' || p_size END AS topic, CASE WHEN p_partkey % 3 = 0 THEN 'publishes' ELSE 'subscribes' END AS role,
+  'nav.yaml ' || CASE WHEN p_partkey % 3 = 0 THEN 'cmd_out' ELSE 'scan_router' END AS evidence FROM part WHERE p_partkey % 5 > 0""")
+def j20_parameter_endpoints(spark, sf_dir):
+    p = F.col("p_partkey")
+    own = F.array(F.struct(F.concat(F.lit("in"), F.col("p_size")).alias("inside"), F.concat(F.lit("/to"), F.col("p_size")).alias("outside")))
+    value = F.when(p % 5 > 0, F.concat(F.lit(" '/in"), F.col("p_size"), F.lit("' "))).otherwise(F.lit("0.5"))
+    rows = read(spark, sf_dir, "part").select(
+        p.alias("component"), F.when(p % 3 == 0, "cmd_out").otherwise("scan_router").alias("name"), value.alias("value"), F.lit("nav.yaml").alias("source"), F.when(p % 4 == 0, own).otherwise(F.array().cast(r.REMAPPINGS)).alias("remappings"), p.alias("ord")
+    )
+    return r.parameter_endpoints(rows).select("component", "topic", "role", "evidence")
+
+
+@query("""SELECT s_suppkey AS component, CASE WHEN s_suppkey % 2 = 0 THEN '/odom' || s_nationkey ELSE '/odom' END AS topic, CASE WHEN t = 1 THEN 'publishes' ELSE 'subscribes' END AS role,
+  'src/n' || s_suppkey || '.py:' || (CASE WHEN t = 1 THEN 2 ELSE 3 END) || CASE WHEN t = 1 THEN ' create_publisher' ELSE ' create_subscription' END AS evidence FROM supplier, (SELECT unnest([1, 2]) AS t) WHERE s_suppkey % 3 > 0""")
+def j20_code_endpoints(spark, sf_dir):
+    s = F.col("s_suppkey")
+    node = F.concat(F.lit("n"), s)
+    text = F.when(s % 3 > 0, "def f(self):\n    self.create_publisher(Odometry, 'odom', 10)\n    self.create_subscription(Odometry, topic='odom', callback=g)\n    self.create_timer(1, 'x')\n").otherwise("def (")
+    rows = read(spark, sf_dir, "supplier")
+    own = F.array(F.struct(F.lit("/odom").alias("inside"), F.concat(F.lit("/odom"), F.col("s_nationkey")).alias("outside")))
+    comps = rows.select(s.alias("component"), node.alias("executable"), F.when(s % 2 == 0, own).otherwise(F.array().cast(r.REMAPPINGS)).alias("remappings"))
+    files = rows.select(F.concat(F.lit("src/"), node, F.lit(".py")).alias("path"), text.alias("text"))
+    return r.code_endpoints(comps, files).select("component", "topic", "role", "evidence")
+
+
+@query(f"""WITH RECURSIVE {REQ}, c AS (SELECT p_partkey::BIGINT AS root, 'f' || (p_size % 3) AS family, p_size % 3 AS prio FROM part WHERE p_size > 45),
+  b AS (SELECT root, root AS id FROM c UNION SELECT b.root, req.dst FROM b JOIN req ON req.src = b.id)
+  SELECT id, arg_min(family, prio) AS family FROM b JOIN c USING (root) WHERE id IN (SELECT p_partkey FROM part) GROUP BY id""")
+def j26_family(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    own = p.where("p_size > 45").select(F.concat(F.lit("f"), F.col("p_size") % 3).alias("family"), F.col("p_partkey").cast("long").alias("root"), (F.col("p_size") % 3).alias("prio"))
+    return r.families(p.select(F.col("p_partkey").cast("long").alias("id")), own, requires(spark, sf_dir))
+
+
 @query("SELECT p_partkey AS id, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]', '_', 'g'), '_') AS slug FROM part")
 def f1_slug(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), t.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
@@ -281,9 +312,10 @@ def f7_title_variants(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), t.title_variant(F.col("p_name")).alias("variant"))
 
 
-@query("""WITH h AS (SELECT doc_id, trim(text, ' ') AS text, substr(trim(text, ' '), 1, 200) AS head FROM documents),
-  c AS (SELECT *, CASE WHEN contains(head, '. ') THEN 200 - strpos(reverse(head), ' .') ELSE 0 END AS stop FROM h)
-  SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN stop - 1 > 80 THEN substr(head, 1, stop) || ' \u2026' ELSE rtrim(head, ' ') || ' \u2026' END AS short FROM c""")
+@query(r"""WITH h AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 200) AS head FROM documents),
+  g AS (SELECT *, replace(head, '.' || chr(10), '. ') AS flat FROM h),
+  c AS (SELECT *, CASE WHEN contains(flat, '. ') THEN 200 - strpos(reverse(flat), ' .') ELSE 0 END AS stop FROM g)
+  SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN stop - 1 > 80 THEN substr(head, 1, stop) || ' \u2026' ELSE regexp_replace(head, '\s+$', '') || ' \u2026' END AS short FROM c""".replace("\\u2026", "\u2026"))
 def f9_trim(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", t.trim_sentence(F.col("text"), 200).alias("short"))
 
@@ -309,3 +341,71 @@ def f6_terms(spark, sf_dir):
         p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit(1).alias("ord"), F.lit("kalman").alias("parameter"))
     )
     return r.terms_for(p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Matrix Kalman "), "p_brand").alias("name")), knobs)
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{{2,}})', 1), lambda w: NOT list_contains({_list(CONTENT_STOPWORDS)}, w)))), ' ') AS tokens FROM conversations""")
+def f4_content_tokens(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(t.content_tokens(F.col("text"))), " ").alias("tokens"))
+
+
+@query(f"""SELECT p_partkey AS id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' of the Method (' || p_brand || ')'), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_list(TECHNIQUE_STOPWORDS)}, w)))), ' ') AS terms FROM part""")
+def f5_technique_terms(spark, sf_dir):
+    name = F.concat("p_name", F.lit(" of the Method ("), "p_brand", F.lit(")"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(t.technique_terms(name), " ").alias("terms"))
+
+
+@query("SELECT vec_id, array_to_string(list_filter(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN embedding[i] > 0 THEN 'v' || i ELSE '' END), lambda x: x <> ''), ',') AS fused FROM embeddings")
+def f12_flags(spark, sf_dir):
+    e = F.col("embedding")
+    names = F.transform(F.sequence(F.lit(1), F.size(e)), lambda i: F.concat(F.lit("v"), i.cast("string")))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(t.flags(F.transform(e, lambda x: x > 0), names), ",").alias("fused"))
+
+
+@query(r"""WITH s AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN '\mathbf{R}_t' WHEN 1 THEN 'R_k' WHEN 2 THEN ' x' WHEN 3 THEN 'rate' ELSE '\bm{Q}' END AS symbol FROM customer)
+  SELECT id, CASE id % 5 WHEN 0 THEN 'R' WHEN 1 THEN 'R' WHEN 2 THEN 'x' WHEN 3 THEN '' ELSE 'Q' END AS letter FROM s""")
+def f13_letter(spark, sf_dir):
+    symbol = F.element_at(F.array(*map(F.lit, (r"\mathbf{R}_t", "R_k", " x", "rate", r"\bm{Q}"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), t.bare_letter(symbol).alias("letter"))
+
+
+@query("SELECT s_suppkey AS id, 'arxiv:' || s_nationkey AS document, s_nationkey || '.' || (s_suppkey % 9) || ',' || (s_suppkey % 4) AS numbers FROM supplier")
+def f14_numbers(spark, sf_dir):
+    s = F.col("s_suppkey")
+    number = F.concat(F.col("s_nationkey").cast("string"), F.lit("."), (s % 9).cast("string"))
+    text = F.concat(F.lit("See Section "), number, F.lit(" and sec. "), (s % 4).cast("string"), F.lit(", not step 3."))
+    return read(spark, sf_dir, "supplier").select(s.alias("id"), t.base_document(F.concat(F.lit("arxiv:"), F.col("s_nationkey"), F.lit("#"), s)).alias("document"), F.array_join(t.section_numbers(text), ",").alias("numbers"))
+
+
+@query("SELECT event_id, props AS object FROM events")
+def f17_outer_json(spark, sf_dir):
+    i = F.col("event_id") % 3
+    reply = F.when(i == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(i == 1, F.concat(F.lit("Here: "), "props", F.lit(" as asked."))).otherwise(F.concat(F.lit(" "), "props", F.lit("\n")))
+    return read(spark, sf_dir, "events").select("event_id", t.outer_json(reply).alias("object"))
+
+
+@query("SELECT page_id, 'GET ' || url || '?a=1&key=*** and api_key=*** done' AS line FROM pages")
+def f18_redact(spark, sf_dir):
+    p = F.col("page_id").cast("string")
+    line = F.concat(F.lit("GET "), "url", F.lit("?a=1&key="), p, F.lit("-x_Y and api_key=AB"), p, F.lit(" done"))
+    return read(spark, sf_dir, "pages").select("page_id", t.redact(line).alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'Copyright ' || source || chr(10) || 'All of it, ' || lang END AS notice FROM documents")
+def f20_notice(spark, sf_dir):
+    i = F.col("doc_id")
+    who = F.when(i % 3 > 0, "Copyright ").otherwise("By ")
+    text = F.concat(F.lit("\n/*\n * "), who, "source", F.lit("  \n * All of it, "), "lang", F.lit("\n */\nint x; /* later */\n"), "text")
+    return read(spark, sf_dir, "documents").select("doc_id", t.header_notice(text).alias("notice"))
+
+
+@query(f"WITH {_LINES} SELECT doc, count(*) FILTER (WHERE regexp_matches(x, '^\\s*(#|//|\\*|import\\b|from\\b\\s+\\S+\\s+import\\b|<!--)')) AS never, count(*) AS lines FROM (SELECT doc, CASE ln % 7 WHEN 0 THEN '  # ' WHEN 1 THEN 'import ' WHEN 2 THEN 'from a import b ' WHEN 3 THEN 'importance ' ELSE '' END || text AS x FROM lines) GROUP BY doc".replace("\\\\", "\\"))
+def p10_never_evidence(spark, sf_dir):
+    from ..functions.fixed import NEVER_EVIDENCE
+
+    k = F.col("ln") % 7
+    text = F.concat(F.when(k == 0, "  # ").when(k == 1, "import ").when(k == 2, "from a import b ").when(k == 3, "importance ").otherwise(""), "text")
+    return lines_of(spark, sf_dir).groupBy("doc").agg(F.count_if(text.rlike(NEVER_EVIDENCE)).alias("never"), F.count(F.lit(1)).alias("lines"))

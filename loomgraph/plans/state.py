@@ -13,7 +13,7 @@ from ..sources import sinks, web
 from ..sources.tables import read
 from ..streaming import events as s
 from .bindings import NODES, REQ, nodes, requires
-from .registry import query, without
+from .registry import query
 from .windows import STOP
 
 
@@ -62,8 +62,7 @@ def t1_profile_fold(spark, sf_dir):
 
 @query(f"{_WITH_DEPENDENTS} SELECT * FROM prof")
 def t3_reopen(spark, sf_dir):
-    edges = requires(spark, sf_dir).where("src < 40")
-    return p.fold(p.with_suspicions(profile_events(read(spark, sf_dir, "events")), edges))
+    return p.fold(p.with_suspicions(profile_events(read(spark, sf_dir, "events")), requires(spark, sf_dir)))
 
 
 @query(f"""{_PLAIN} SELECT "user", node FROM prof WHERE state IN ('read', 'demonstrated') AND NOT suspect""")
@@ -139,29 +138,29 @@ def e3_exercises(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {REQ}, {NODES}, dd AS (SELECT id, 0 AS k FROM (SELECT src AS id FROM req UNION SELECT dst FROM req) UNION SELECT req.src, k + 1 FROM dd JOIN req ON req.dst = dd.id),
-  d AS (SELECT id, max(k) AS depth FROM dd GROUP BY id), r AS (SELECT src, dst FROM req WHERE src % 97 = 96 UNION SELECT r.src, req.dst FROM r JOIN req ON r.dst = req.src),
+  d AS (SELECT id, max(k) AS depth FROM dd GROUP BY id), r AS (SELECT src, dst FROM req UNION SELECT r.src, req.dst FROM r JOIN req ON r.dst = req.src),
   c AS (SELECT src AS id, count(*) AS cost FROM r GROUP BY src), u AS (SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS reuse FROM lineitem GROUP BY l_partkey)
   SELECT n.id, n.name, n.type, n.tier, CASE tier WHEN 'assumed' THEN 0 ELSE 1 END AS tier_rank, coalesce(depth, 0)::INTEGER AS depth, coalesce(reuse, 0) AS reuse, coalesce(cost, 0) AS cost,
     CASE n.id % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'declared' ELSE '' END AS state, CASE n.id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS state_rank, CASE WHEN n.id % 6 = 0 THEN 'because' END AS why
   FROM nodes n LEFT JOIN d USING (id) LEFT JOIN c USING (id) LEFT JOIN u USING (id)""")
 def k1_export_nodes(spark, sf_dir):
-    return _export_nodes(spark, sf_dir, "id % 97 = 96")
-
-
-@query(without("k1_export_nodes", " WHERE src % 97 = 96"))
-def k1_export_nodes_all(spark, sf_dir):
-    return _export_nodes(spark, sf_dir, "true")
-
-
-def _export_nodes(spark, sf_dir, where: str):
     n, e = nodes(spark, sf_dir), requires(spark, sf_dir)
-    cost = g.closure(e, n.where(where)).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cost"))
+    cost = g.closure(e, n).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cost"))
     use = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.countDistinct("l_suppkey").alias("n"))
     profile = n.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "read").otherwise("declared").alias("state"))
     notes = n.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "mine").otherwise("other").alias("project"), F.lit("because").alias("why"))
     return sinks.export_nodes(n, g.depths(e), use, cost, profile, notes, "mine")
 
 
+@query(f"""WITH RECURSIVE {REQ}, {NODES}, dd AS (SELECT id, 0 AS k FROM (SELECT src AS id FROM req UNION SELECT dst FROM req) UNION SELECT req.src, k + 1 FROM dd JOIN req ON req.dst = dd.id)
+  SELECT 'robot' AS root, max(k)::INTEGER AS max_depth, 4::INTEGER AS max_level, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM req) AS edges, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderstatus = 'F') AS documents FROM dd""")
+def k1_export_summary(spark, sf_dir):
+    n, e, o = nodes(spark, sf_dir), requires(spark, sf_dir), read(spark, sf_dir, "orders")
+    drawn = n.join(g.depths(e), "id", "left").withColumn("level", (F.col("id") % 5).cast("int"))
+    documents = sinks.cited_documents(o.where("o_orderstatus = 'F'").select(F.array("o_orderpriority").alias("sources")), o.select(F.col("o_orderpriority").alias("document")).distinct())
+    return sinks.export_summary(drawn, e, documents, "robot")
+
+
 @query("SELECT doc_id, replace(replace(replace(text, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') AS safe FROM documents")
 def k2_html_safe(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", t.html_safe(F.col("text")).alias("safe"))
@@ -184,16 +183,19 @@ def f2_ascii_slug(spark, sf_dir):
 
 @query("""WITH h AS (SELECT page_id AS page, regexp_extract_all(html, 'href=["''](https?://[^"'']+)["'']', 1) AS u FROM (SELECT page_id, replace(replace(replace(html, 'href="/t', 'href="https://a.example.com/t'), 'href="/a', 'href="https://b.example.org/a'), 'href="/', 'href="https://c.example.net/') AS html FROM pages)), r AS (SELECT page, i AS ord, u[i] AS url FROM h, LATERAL (SELECT unnest(range(1, len(u) + 1)) AS i)),
   k AS (SELECT *, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM r WHERE NOT regexp_matches(url, '(?i)(web\\.archive\\.org|books\\.google|amazon\\.|youtube\\.com|twitter\\.com|facebook\\.com|/rss|\\.xml$|archive\\.today)')),
-  c AS (SELECT *, CASE WHEN contains(host, 'example.com') THEN 'paper' WHEN contains(host, 'example.org') THEN 'course' WHEN contains(host, 'example.net') THEN 'code' END AS kind, regexp_extract(url, '^https?://([^?#]*)', 1) AS key FROM k),
-  f AS (SELECT page, key, min(ord) AS ord, arg_min(url, ord) AS url, arg_min(kind, ord) AS kind FROM c WHERE kind IS NOT NULL GROUP BY page, key),
-  n AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY ord) AS rn, min(ord) OVER (PARTITION BY page, kind) AS first FROM f)
-  SELECT page, (row_number() OVER (PARTITION BY page ORDER BY rn, first, ord))::INTEGER AS place, url, kind FROM n QUALIFY place <= 6""")
+  c AS (SELECT *, CASE WHEN contains(url, 'example.org') THEN 1 WHEN contains(url, 'example.com') THEN 2 WHEN contains(url, 'example.net') THEN 3 END AS rank, CASE WHEN contains(url, 'example.org') THEN 'course' WHEN contains(url, 'example.com') THEN 'paper' WHEN contains(url, 'example.net') THEN 'code' END AS kind, regexp_extract(url, '^https?://([^?#]*)', 1) AS key FROM k),
+  f AS (SELECT page, key, min({'d': rank, 'o': ord}) AS ord, arg_min(url, {'d': rank, 'o': ord}) AS url, arg_min(kind, {'d': rank, 'o': ord}) AS kind FROM c WHERE kind IS NOT NULL GROUP BY page, key),
+  n AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY ord) AS rn, min(ord) OVER (PARTITION BY page, kind) AS first FROM f),
+  w AS (SELECT page, (row_number() OVER (PARTITION BY page ORDER BY rn, first, ord))::INTEGER AS place, url, kind FROM n QUALIFY place <= 6),
+  l AS (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) AS seg FROM w),
+  m AS (SELECT *, trim(regexp_replace(regexp_replace(CASE WHEN seg = '' THEN host ELSE seg END, '(?i)[.](pdf|html?|php|aspx)$', ''), '[_+-]+', ' ', 'g'), ' ') AS stem FROM l)
+  SELECT page, place, url, kind, CASE WHEN stem = '' THEN host ELSE stem || ' \u2014 ' || host END AS title FROM m""")
 def s20_external_links(spark, sf_dir):
     html = F.col("html")
     for a, b in (("t", "a.example.com/t"), ("a", "b.example.org/a"), ("", "c.example.net/")):
         html = F.replace(html, F.lit(f'href="/{a}'), F.lit(f'href="https://{b}'))
     pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), html.alias("html"))
-    return web.external_links(pages, (("example.com", "paper"), ("example.org", "course"), ("example.net", "code")))
+    return web.external_links(pages, (("example.org", "course"), ("example.com", "paper"), ("example.net", "code")))
 
 
 @query("""WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://arxiv.org/abs/2001.1' WHEN 1 THEN 'https://doi.org/10.1/x' WHEN 2 THEN url || '.pdf' WHEN 3 THEN 'https://www.jstor.org/stable/1' WHEN 4 THEN 'http://b.org/isbn/9780131103627' ELSE url END AS url FROM pages)
@@ -203,3 +205,13 @@ def s21_citation_kind(spark, sf_dir):
     i = F.col("page_id") % 6
     url = F.when(i == 0, "https://arxiv.org/abs/2001.1").when(i == 1, "https://doi.org/10.1/x").when(i == 2, F.concat("url", F.lit(".pdf"))).when(i == 3, "https://www.jstor.org/stable/1").when(i == 4, "http://b.org/isbn/9780131103627").otherwise(F.col("url"))
     return read(spark, sf_dir, "pages").select("page_id", web.citation_kind(url).alias("kind"))
+
+
+@query("""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://arxiv.org/pdf/2001.0' || page_id || 'v2.pdf' WHEN 1 THEN 'https://doi.org/10.1/x%2F' || page_id || '?q' WHEN 2 THEN 'https://www.jstor.org/stable/' || page_id WHEN 3 THEN 'http://b.org/isbn/978-0131103' || (100 + page_id % 900) ELSE url END AS url FROM pages)
+  SELECT page_id, CASE page_id % 5 WHEN 0 THEN '2001.0' || page_id WHEN 1 THEN '10.1/x/' || page_id WHEN 2 THEN '10.2307/' || page_id WHEN 3 THEN '9780131103' || (100 + page_id % 900) END AS key FROM u""")
+def s21_citation_key(spark, sf_dir):
+    p = F.col("page_id")
+    k, text = p % 5, p.cast("string")
+    url = F.when(k == 0, F.concat(F.lit("https://arxiv.org/pdf/2001.0"), text, F.lit("v2.pdf"))).when(k == 1, F.concat(F.lit("https://doi.org/10.1/x%2F"), text, F.lit("?q")))
+    url = url.when(k == 2, F.concat(F.lit("https://www.jstor.org/stable/"), text)).when(k == 3, F.concat(F.lit("http://b.org/isbn/978-0131103"), (100 + p % 900).cast("string"))).otherwise(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", web.citation_key(url).alias("key"))

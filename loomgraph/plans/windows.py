@@ -10,7 +10,7 @@ from ..operators import quality as q
 from ..operators import windows as w
 from ..sources.tables import read
 from .bindings import REQ, nodes, requires
-from .registry import query, without
+from .registry import query
 from .relate import lines_of
 
 
@@ -36,10 +36,15 @@ def a5_saturation(spark, sf_dir):
     return _curve(spark, sf_dir)
 
 
-@query()
+@query("""WITH i AS (SELECT DISTINCT o_orderpriority AS seed, l_partkey AS item FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  o AS (SELECT trial, seed, row_number() OVER (PARTITION BY trial ORDER BY md5('7:' || trial || ':' || seed), seed) AS k FROM (SELECT DISTINCT seed FROM i), (SELECT unnest(range(500)) AS trial)),
+  f AS (SELECT trial, item, min(k) AS k FROM o JOIN i USING (seed) GROUP BY trial, item), c AS (SELECT trial, k, count(*) AS added FROM f GROUP BY trial, k),
+  s AS (SELECT o.trial, o.k, sum(coalesce(added, 0)) OVER (PARTITION BY o.trial ORDER BY o.k) AS size FROM o LEFT JOIN c ON c.trial = o.trial AND c.k = o.k)
+  SELECT k::INTEGER AS k, round(avg(size), 6) AS mean_size FROM s GROUP BY k""")
 def a6_mean_curve(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("seed"))
-    return w.mean_curve(spark, read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")).join(o, "l_orderkey"))
+    curve = w.mean_curve(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")).join(o, "l_orderkey"))
+    return curve.select("k", F.round("mean_size", 6).alias("mean_size"))
 
 
 @query(f"WITH {_SEEDS} SELECT pos, canon_size, lag(canon_size) OVER (ORDER BY pos) AS before, CASE WHEN canon_size = added THEN 100.0 ELSE 100.0::DOUBLE * added / (canon_size - added) END < 5 AS flat FROM s")
@@ -58,22 +63,13 @@ def a8_corroborated(spark, sf_dir):
     return w.corroborated(read(spark, sf_dir, "documents").select(F.substring("text", 1, 40).alias("name"), F.col("doc_id").cast("string").alias("user")))
 
 
-@query("""WITH s AS (SELECT doc_id % 100 AS id, doc_id AS ord, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'derived' END AS kind, doc_id % 11 = 0 AS error FROM documents WHERE doc_id % 100 < 60 AND n_chars < 1500),
+@query("""WITH s AS (SELECT doc_id % 100 AS id, doc_id AS ord, n_chars, CASE WHEN doc_id % 3 = 0 THEN 'derived' END AS kind, doc_id % 11 = 0 AS error FROM documents),
   g AS (SELECT id, bool_or(error) AS error, min(ord) FILTER (WHERE n_chars >= CASE WHEN kind = 'derived' THEN 350 ELSE 1200 END) AS best FROM s GROUP BY id)
   SELECT i AS id, CASE WHEN i % 25 = 7 THEN 'known_absent' WHEN best IS NOT NULL THEN 'grounded' WHEN error THEN 'error' ELSE 'ungrounded' END AS state, best::VARCHAR AS best
   FROM (SELECT unnest(range(0, 100)) AS i) LEFT JOIN g ON g.id = i""")
 def a9_grounding(spark, sf_dir):
-    return _grounding(spark, sf_dir, "doc_id % 100 < 60 and n_chars < 1500")
-
-
-@query(without("a9_grounding", " WHERE doc_id % 100 < 60 AND n_chars < 1500"))
-def a9_grounding_all(spark, sf_dir):
-    return _grounding(spark, sf_dir, "true")
-
-
-def _grounding(spark, sf_dir, where: str):
     i = F.col("doc_id")
-    s = read(spark, sf_dir, "documents").where(where).select((i % 100).alias("id"), i.cast("string").alias("source"), i.alias("ord"), "n_chars", F.when(i % 3 == 0, "derived").alias("kind"), (i % 11 == 0).alias("error"))
+    s = read(spark, sf_dir, "documents").select((i % 100).alias("id"), i.cast("string").alias("source"), i.alias("ord"), "n_chars", F.when(i % 3 == 0, "derived").alias("kind"), (i % 11 == 0).alias("error"))
     n = spark.range(100)
     aliases = n.select("id", F.when(F.col("id") % 25 == 7, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"))).alias("titles")).where("id % 2 = 1 or id % 25 = 7")
     return w.grounding_states(n, s, aliases)
@@ -84,7 +80,7 @@ def w1_branching_cap(spark, sf_dir):
     return w.capped(read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey"), "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
-@query("""WITH p AS (SELECT doc_id AS doc, i - 1 AS pos, trim(arr[i], ' ') AS passage FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents), LATERAL (SELECT unnest(range(1, len(arr) + 1)) AS i)),
+@query("""WITH p AS (SELECT doc_id AS doc, i - 1 AS pos, regexp_replace(arr[i], '^\\s+|\\s+$', '', 'g') AS passage FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents), LATERAL (SELECT unnest(range(1, len(arr) + 1)) AS i)),
   c AS (SELECT *, (length(lower(passage)) - length(replace(lower(passage), 'tion', ''))) // 4 AS a, (length(lower(passage)) - length(replace(lower(passage), 'the ', ''))) // 4 AS b, (length(lower(passage)) - length(replace(lower(passage), 'que', ''))) // 3 AS d FROM p WHERE length(passage) >= 80),
   s AS (SELECT doc, pos, passage, (a > 0)::INTEGER + (b > 0)::INTEGER + (d > 0)::INTEGER AS hits, a + b + d AS occurrences FROM c)
   SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY hits DESC, occurrences DESC, pos))::INTEGER AS place, pos::INTEGER AS pos, hits, occurrences::INTEGER AS occurrences, passage FROM s WHERE hits >= 1
@@ -93,20 +89,23 @@ def w2_passages(spark, sf_dir):
     return w.passages(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), ["tion", "the ", "que"])
 
 
-@query("""WITH d AS (SELECT doc_id AS doc, text, CASE WHEN length(text) <= 2000 THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda p: trim(p, ' ') <> '') END AS ps FROM documents),
+_HEADED = "CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || ' == Derivation of it ==' || chr(10) || 'x = y' ELSE text END"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS doc, {_HEADED} AS text FROM documents), d AS (SELECT doc, text, CASE WHEN length(text) <= 2000 THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda p: regexp_matches(p, '\\S')) END AS ps FROM t),
   x AS (SELECT doc, length(text) <= 2000 AS whole, len(ps) AS n, i, length(ps[i]) AS len,
-          CASE WHEN contains(lower(ps[i]), 'proof') THEN 3 ELSE 0 END + CASE WHEN contains(lower(ps[i]), 'ing') THEN 3 ELSE 0 END + length(ps[i]) - length(replace(ps[i], '=', '')) AS score,
-          greatest(2000 - length(ps[1]) - coalesce(length(ps[2]), 0), 1000) AS room
+          CASE WHEN contains(lower(ps[i]), 'proof') THEN 3 ELSE 0 END + CASE WHEN contains(lower(ps[i]), 'ing') THEN 3 ELSE 0 END + length(ps[i]) - length(replace(ps[i], '=', '')) + CASE WHEN regexp_matches(ps[i], '(?i)^\\s*=+\\s*(proof|derivation|deriving)') THEN 400 ELSE 0 END AS score,
+          greatest(2000 - length(ps[1]) - CASE WHEN len(ps) > 1 THEN 1 + length(ps[2]) ELSE 0 END, 1000) AS room
         FROM d, LATERAL (SELECT unnest(range(1, len(ps) + 1)) AS i)),
   c AS (SELECT *, sum(len + 1) OVER (PARTITION BY doc ORDER BY i) AS cost, sum(score) OVER (PARTITION BY doc ORDER BY i) AS gain FROM x),
   p AS (SELECT a.doc, a.i AS first, max(b.i) AS last FROM c a JOIN c b ON a.doc = b.doc AND b.i >= a.i AND b.cost - (a.cost - a.len - 1) - 1 <= a.room WHERE NOT a.whole GROUP BY 1, 2),
   v AS (SELECT p.doc, p.first, p.last, b.gain - a.gain + a.score AS score FROM p JOIN c a ON a.doc = p.doc AND a.i = p.first JOIN c b ON b.doc = p.doc AND b.i = p.last),
   k AS (SELECT doc, first, last, score FROM v QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, first) = 1)
   SELECT d.doc, coalesce(k.first, 1)::INTEGER AS first, CASE WHEN length(d.text) <= 2000 THEN len(d.ps) ELSE coalesce(k.last, 1) END::INTEGER AS last,
-    coalesce(k.score, CASE WHEN length(d.text) <= 2000 THEN (SELECT sum(score) FROM x WHERE x.doc = d.doc) ELSE 0 END)::INTEGER AS score FROM d LEFT JOIN k ON k.doc = d.doc""")
+    coalesce(k.score, CASE WHEN length(d.text) <= 2000 THEN (SELECT sum(score) FROM x WHERE x.doc = d.doc) ELSE 0 END)::BIGINT AS score, coalesce(k.first, 1) > 3 AS headed FROM d LEFT JOIN k ON k.doc = d.doc""")
 def w3_best_window(spark, sf_dir):
-    best = w.best_window(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"), ("proof", "ing"), 2000)
-    return best.select("doc", *(F.col(c).cast("int").alias(c) for c in ("first", "last", "score")))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n == Derivation of it ==\nx = y"))).otherwise(F.col("text"))
+    return w.best_window(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("text")), ("proof", "ing"), 2000)
 
 
 @query("SELECT conv_id, turn, length(text) AS n FROM conversations QUALIFY sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) <= 900")
@@ -158,11 +157,11 @@ def w8_round_robin(spark, sf_dir):
     return w.round_robin(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id")
 
 
-@query("""WITH s AS (SELECT conv_id AS doc, turn::INTEGER AS n, text || CASE WHEN turn % 3 = 2 THEN ' see Step ' || (turn - 1) || ' and step 0' ELSE '' END AS text FROM conversations),
-  m AS (SELECT DISTINCT doc, n AS leak, unnest(regexp_extract_all(lower(text), 'step ([0-9]+)', 1))::INTEGER AS n FROM s)
+@query("""WITH s AS (SELECT conv_id AS doc, turn::INTEGER AS n, text || CASE WHEN turn % 3 = 2 THEN ' see Step ' || (turn - 1) || ' and step0, misstep 1' ELSE '' END AS text FROM conversations),
+  m AS (SELECT DISTINCT doc, n AS leak, unnest(regexp_extract_all(text, '(?i)\\bstep\\s*([0-9]+)\\b', 1))::INTEGER AS n FROM s)
   SELECT s.doc, s.n, m.leak FROM s JOIN m ON s.doc = m.doc AND s.n = m.n WHERE leak > s.n""")
 def w10_forward_leaks(spark, sf_dir):
-    extra = F.when(F.col("turn") % 3 == 2, F.concat(F.lit(" see Step "), (F.col("turn") - 1).cast("string"), F.lit(" and step 0"))).otherwise("")
+    extra = F.when(F.col("turn") % 3 == 2, F.concat(F.lit(" see Step "), (F.col("turn") - 1).cast("string"), F.lit(" and step0, misstep 1"))).otherwise("")
     return w.forward_leaks(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").cast("int").alias("n"), F.concat("text", extra).alias("text")))
 
 
@@ -206,10 +205,16 @@ def p13_claims(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(q.claims_of(F.col("text"), "tion"), "|").alias("claims"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars = 0 THEN 'unreadable' WHEN quality IS NULL THEN 'no such node' WHEN contains(lower(text), 'password') THEN 'private' WHEN quality = 0 THEN 'ungrounded' WHEN toxic = 1 THEN 'failing' WHEN n_chars > 10000 THEN 'stale' END AS reason FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, CASE WHEN n_chars = 0 THEN 'unreadable' WHEN quality IS NULL THEN 'predates kind branching' WHEN quality = 1 AND doc_id % 4 = 0 THEN 'definition with no properties'
+    WHEN quality = 1 AND toxic = 1 THEN 'technique stated instead of performed' WHEN doc_id % 7 = 0 THEN 'every step invokes only floor-level trivia'
+    WHEN quality = 0 AND doc_id % 5 > 0 AND doc_id % 3 = 0 THEN 'no substantive invocations, closure check was vacuous' END AS reason FROM documents LEFT JOIN labels USING (doc_id)""")
 def p19_prune_reason(spark, sf_dir):
+    i = F.col("doc_id")
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", q.prune_reason(F.col("n_chars") == 0, F.col("quality").isNotNull(), F.col("quality") != 0, F.col("toxic") != 1, F.lower("text").contains("password"), F.col("n_chars") > 10000).alias("reason"))
+    kind = F.when(F.col("quality") == 1, "definition").when(F.col("quality") == 0, "derivation")
+    trivial = F.when(i % 3 == 0, F.array(F.lit("index_notation"))).otherwise(F.array(F.lit("index_notation"), F.lit("chain_rule")))
+    steps = F.slice(F.array(*[F.struct(trivial.alias("invokes"))] * 4), 1, (i % 5).cast("int"))
+    return d.select("doc_id", q.prune_reason(F.col("n_chars") == 0, kind, i % 4, F.col("toxic") == 1, i % 7 == 0, F.size(steps), q.useful_steps(steps)).alias("reason"))
 
 
 @query("""SELECT conv_id, turn, substr(trim(regexp_replace(text, '[ \\t-\\r]+', ' ', 'g'), ' '), 1, 300) AS line FROM conversations""")
@@ -217,9 +222,10 @@ def f16_excerpt(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", t.one_line(F.col("text")).alias("line"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 > 0 AND o_custkey % 4 = o_orderkey % 4 THEN 'demonstrated' WHEN o_custkey % 4 > 0 THEN 'read' ELSE 'declared' END AS state FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 >= 1 + o_orderkey % 3 AND o_custkey % 4 >= 1 + o_orderkey % 3 THEN 'demonstrated' ELSE 'read' END AS state FROM orders")
 def f23_earned_state(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), t.earned_state(F.col("o_custkey") % 4, F.col("o_orderkey") % 4, F.lit(1)).alias("state"))
+    passed, presented, available = F.col("o_custkey") % 4, F.col("o_orderkey") % 4, 1 + F.col("o_orderkey") % 3
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), t.earned_state(passed, presented, available).alias("state"))
 
 
 @query(f"""WITH s AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Derivation' WHEN 1 THEN 'Proof by it' ELSE 'Proof' END AS title, lower(text || CASE doc_id % 4 WHEN 0 THEN ' It is called a map. It is defined to be so.' WHEN 1 THEN ' substitute and expand' ELSE '' END) AS body FROM documents)
@@ -242,3 +248,25 @@ def f21_expected_kind(spark, sf_dir):
 @query("SELECT doc_id AS doc, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY doc_id")
 def s9_line_counts(spark, sf_dir):
     return lines_of(spark, sf_dir).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_TOK} SELECT doc, count(*) AS n FROM g WHERE n >= 2 GROUP BY doc")
+def a10_available(spark, sf_dir):
+    from ..operators.exercises import available
+
+    return available(_turns(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT p_brand AS brand, min(p_name) AS a, max(p_name) AS b FROM part GROUP BY p_brand)
+  SELECT brand, substr(a, 1, len(list_filter(range(1, length(a) + 1), lambda k: substr(a, 1, k::INTEGER) = substr(b, 1, k::INTEGER)))::INTEGER) AS prefix FROM m""")
+def w13_common_prefix(spark, sf_dir):
+    p = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.array(F.min("p_name"), F.max("p_name")).alias("names"))
+    return p.select("brand", w.common_prefix(F.col("names")).alias("prefix"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 > 0 AND o_custkey % 4 = 0 AND o_custkey % 2 = 0 AS thin FROM orders")
+def p14_thin(spark, sf_dir):
+    def some(n):
+        return F.slice(F.array(*map(F.lit, "abcd")), 1, n.cast("int"))
+
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), q.thin(some(F.col("o_orderkey") % 3), some(F.col("o_custkey") % 4), some(F.col("o_custkey") % 2)).alias("thin"))

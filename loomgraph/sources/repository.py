@@ -84,6 +84,8 @@ def launch_nodes(files: DataFrame) -> DataFrame:
 def code_units(files: DataFrame, limit: int = 120) -> DataFrame:
     """(path, ord, kind, name, doc): the first units of Python sources in path order."""
     units = _rows(files, lambda t: [(k, *u) for k, u in enumerate(parsers.code_units(t)[0])], "path string, ord int, kind string, name string, doc string", r"\.py$")
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    units = units.withColumn("name", F.when(F.col("kind") == "module", stem).otherwise(F.col("name")))
     return units.orderBy("path", "ord").limit(limit)
 
 

@@ -40,8 +40,32 @@ def export_edges(edges: DataFrame, why: DataFrame) -> DataFrame:
 
 
 def strip_private(rows: DataFrame, field: str, project: str, allowed: list[str]) -> DataFrame:
-    """Blanks a field unless the row's project is in the allow-list."""
-    return rows.withColumn(field, F.when(F.col(project).isin(*allowed), F.col(field)))
+    """Blanks a field of rows that belong to a project which is not in the allow-list."""
+    own = F.coalesce(F.col(project), F.lit(""))
+    return rows.withColumn(field, F.when((own == "") | own.isin(*allowed), F.col(field)))
+
+
+def library_gate(excerpts: DataFrame, dependencies: DataFrame, components: DataFrame) -> DataFrame:
+    """excerpts (library, ...) of libraries that the project depends on (name) or a component uses (library)."""
+    used = dependencies.select(F.col("name").alias("library")).unionByName(components.select("library")).where("library <> ''").distinct()
+    return excerpts.join(used, "library", "left_semi")
+
+
+def cited_documents(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """documents (document, ...) that a node (id, sources) cites."""
+    return documents.join(nodes.select(F.explode("sources").alias("document")).distinct(), "document", "left_semi")
+
+
+def export_summary(nodes: DataFrame, edges: DataFrame, documents: DataFrame, root: str) -> DataFrame:
+    """One row beside the exported tables: root, max_depth, max_level, and how many nodes, edges and documents there are.
+
+    ``max_level`` is one below the deepest level that the root reaches, where unreached nodes are drawn.
+    """
+    n = nodes.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.coalesce(F.max("level"), F.lit(1)).alias("max_level"), F.count(F.lit(1)).alias("nodes"))
+    e = edges.agg(F.count(F.lit(1)).alias("edges"))
+    d = documents.agg(F.count(F.lit(1)).alias("documents"))
+    one = [x.withColumn("_k", F.lit(1)) for x in (n, e, d)]  # a row each
+    return one[0].join(one[1], "_k").join(one[2], "_k").select(F.lit(root).alias("root"), "max_depth", "max_level", "nodes", "edges", "documents")
 
 
 def write_json(frame: DataFrame, path: str) -> None:
@@ -80,12 +104,13 @@ def library_slice(sources: DataFrame, pins: DataFrame) -> DataFrame:
     from ..functions.text import header_notice
 
     j = pins.join(sources, "path").withColumn("lines", F.split("text", "\n")).withColumn("notice", header_notice(F.col("text")))
-    bad = F.when((F.col("first") < 1) | (F.col("last") > F.size("lines")) | (F.col("first") > F.col("last")), "bad range").when(F.trim("notice") == "", "no licence notice")
+    bad = F.when((F.col("first") < 1) | (F.col("last") > F.size("lines")) | (F.col("first") > F.col("last")), "bad range").when(F.col("notice").isNull(), "no licence notice")
     checked = j.withColumn("lines", F.when(bad.isNull(), F.col("lines")).otherwise(F.raise_error(F.concat(bad, F.lit(" in "), F.col("path")))))
-    return checked.select("path", "first", "last", F.trim("notice").alias("notice"), F.array_join(F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1), "\n").alias("excerpt"))
+    return checked.select("path", "first", "last", "notice", F.array_join(F.slice("lines", F.col("first"), F.col("last") - F.col("first") + 1), "\n").alias("excerpt"))
 
 
 def holders(sources: DataFrame) -> DataFrame:
     """(line, ord): distinct copyright lines in order of appearance; sources (ord, text)."""
-    lines = sources.select("ord", F.posexplode(F.split("text", "\n")).alias("p", "line")).where(F.lower("line").rlike(r"copyright"))
-    return lines.groupBy(F.trim(F.regexp_replace("line", r"^[ */#]+", "")).alias("line")).agg(F.min(F.struct("ord", "p")).alias("o")).select("line", "o.ord")
+    lines = sources.select("ord", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    line = F.trim(F.regexp_replace(F.regexp_replace("line", r"^[ */#]+", ""), r"\s+", " "))
+    return lines.withColumn("line", line).where(F.col("line").startswith("Copyright")).groupBy("line").agg(F.min(F.struct("ord", "p")).alias("o")).select("line", "o.ord")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.fixed import JUNK_LINKS, TRUSTED_DOMAINS
+from ..functions.fixed import JUNK_LINKS, NOT_A_TITLE, SITE_SUFFIX, TRUSTED_DOMAINS
 
 _SILENT = {"script", "style", "nav", "header", "footer"}
 _BLOCK = {"p", "div", "li", "ul", "ol", "tr", "table", "br", "section", "article", "pre", "blockquote"}
@@ -111,18 +111,23 @@ def pinned_section(docs: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 def external_links(pages: DataFrame, trusted=TRUSTED_DOMAINS, limit: int = 6) -> DataFrame:
-    """pages (page, html) -> (page, place, url, kind): trusted links, one per host and path, kinds in turn."""
+    """pages (page, html) -> (page, place, url, kind, title): trusted links, one per host and path, kinds in turn.
+
+    Links go by the first trusted domain that the URL holds, in the list's order, then by
+    their place on the page; kinds take turns in the order in which that finds them.
+    """
     from ..operators.windows import round_robin
 
-    hrefs = pages.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(r"""href=["'](https?://[^"']+)["']"""), F.lit(1))).alias("ord", "url"))
+    hrefs = pages.select("page", F.posexplode(F.regexp_extract_all("html", F.lit(r"""href=["'](https?://[^"']+)["']"""), F.lit(1))).alias("pos", "url"))
     hrefs = hrefs.where(~F.col("url").rlike(JUNK_LINKS))
-    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    kind = F.lit(None).cast("string")
-    for domain, k in reversed(trusted):
-        kind = F.when(host.contains(domain), k).otherwise(kind)
-    h = hrefs.withColumn("kind", kind).where("kind is not null").withColumn("key", F.regexp_extract("url", r"^https?://([^?#]*)", 1))
+    rank, kind = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for i, (domain, k) in reversed(list(enumerate(trusted))):
+        held = F.col("url").contains(domain)
+        rank, kind = F.when(held, i).otherwise(rank), F.when(held, k).otherwise(kind)
+    h = hrefs.withColumn("kind", kind).where("kind is not null").withColumn("ord", rank.cast("long") * 2**32 + F.col("pos"))
+    h = h.withColumn("key", F.regexp_extract("url", r"^https?://([^?#]*)", 1))
     first = h.groupBy("page", "key").agg(F.min(F.struct("ord", "url", "kind")).alias("f")).select("page", "f.*")
-    return round_robin(first, "page", "kind", "ord", limit).select("page", "place", "url", "kind")
+    return round_robin(first, "page", "kind", "ord", limit).select("page", "place", "url", "kind", title_from_url(F.col("url")).alias("title"))
 
 
 def citation_kind(url: Column) -> Column:
@@ -134,9 +139,49 @@ def citation_kind(url: Column) -> Column:
 
 
 def title_from_url(url: Column) -> Column:
-    """The last path segment as words."""
-    last = F.regexp_extract(url, r"([^/?#]+)/?(?:[?#].*)?$", 1)
-    return F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[a-z]{2,5}$", ""), "[-_+]+", " "))
+    """The last path segment as words and the host, or the host alone."""
+    host = F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)
+    path = F.regexp_replace(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    last = F.regexp_extract(path, r"([^/]*)$", 1)
+    stem = F.regexp_replace(F.when(last == "", host).otherwise(last), r"(?i)\.(pdf|html?|php|aspx)$", "")
+    stem = F.trim(F.regexp_replace(stem, r"[_\-+]+", " "))
+    return F.when(stem == "", host).otherwise(F.concat(stem, F.lit(" \u2014 "), host))
+
+
+def citation_key(url: Column) -> Column:
+    """What identifies the document of a URL in its registry: an arXiv id, a DOI, an ISBN's digits, else null."""
+    arxiv = F.regexp_extract(url, r"(?i)arxiv\.org/(?:abs|pdf)/([\w.\-/]+?)(?:v\d+)?(?:\.pdf)?/?$", 1)
+    doi = F.url_decode(F.regexp_replace(F.regexp_extract(url, r"(?i)doi\.org/(10\.[^?#\s]+)", 1), r"%(?![0-9A-Fa-f]{2})", "%25"))
+    jstor = F.regexp_extract(url, r"(?i)jstor\.org/stable/(\d+)", 1)
+    isbn = F.regexp_replace(F.regexp_extract(url, r"(97[89](?:[-\s]?\d){10})", 1), r"\D", "")
+    return F.when(arxiv != "", arxiv).when(doi != "", doi).when(jstor != "", F.concat(F.lit("10.2307/"), jstor)).when(isbn != "", isbn)
+
+
+def tidy_title(title: Column) -> Column:
+    """A title without a trailing site name, unless that leaves under eight characters."""
+    short = F.trim(F.regexp_replace(title, SITE_SUFFIX, ""))
+    return F.when(F.length(short) >= 8, short).otherwise(title)
+
+
+def cite_pages(pages: DataFrame) -> DataFrame:
+    """pages (url, html) -> (url, title): the page's own title, null where it names no document."""
+    plain = F.regexp_replace(unescape(F.regexp_replace(page_title(F.col("html")), "<[^>]+>", "")), r"\s+", " ")
+    p = pages.select("url", F.trim(plain).alias("t"))
+    good = (F.length("t") >= 4) & ~F.col("t").rlike(NOT_A_TITLE)
+    return p.select("url", F.when(good, F.substring(tidy_title(F.col("t")), 1, 160)).alias("title"))
+
+
+def cite(urls: DataFrame, records: DataFrame) -> DataFrame:
+    """urls (url) and records (key, title, names, year) -> (url, kind, title, byline).
+
+    A record is found by the URL's key in its registry. The byline names three authors at
+    most and the year; a PDF or a URL without a record has no title.
+    """
+    u = urls.select("url", citation_kind(F.col("url")).alias("kind"), citation_key(F.col("url")).alias("key"))
+    j = u.join(records, "key", "left")
+    who = F.concat(F.array_join(F.slice("names", 1, 3), ", "), F.when(F.size("names") > 3, " et al.").otherwise(""))
+    byline = F.concat_ws(" \u00b7 ", F.nullif(who, F.lit("")), F.col("year").cast("string"))
+    return j.select("url", "kind", F.regexp_replace(F.trim("title"), r"\s+", " ").alias("title"), F.when(F.col("title").isNotNull(), byline).alias("byline"))
 
 
 def page_title(source: Column) -> Column:

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as g
 
@@ -79,7 +78,9 @@ def test_aliases_follow_chains_and_end_on_cycles(spark):
     assert dict(g.resolve_aliases(a).collect()) == {"a": "d", "b": "d", "c": "d", "x": "x", "y": "x", "z": "x"}
 
 
-def test_adding_edges_demotes_what_closes_a_cycle(spark):
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_adding_edges_demotes_what_closes_a_cycle(spark, monkeypatch, bound):
+    monkeypatch.setattr(g, "ONE_TASK_EDGES", bound)
     rng = random.Random(3)
     for trial in range(3):
         batch = []
@@ -111,12 +112,17 @@ def test_merging_nodes(spark):
     assert [tuple(r) for r in g.merge_nodes(e, m).collect()] == [("a", "b", "requires")]
 
 
-def test_depths_levels_orphans_and_cycles(spark):
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_depths_levels_orphans_and_cycles(spark, monkeypatch, bound):
+    monkeypatch.setattr(g, "ONE_TASK_EDGES", bound)
     e = frame(spark, CHAIN + [("e", "a")])
     assert dict(g.depths(e).collect()) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4}
     assert dict(g.levels(e, ids(spark, "abcdez"), "e").collect()) == {"e": 0, "d": 1, "a": 1, "c": 2, "b": 3, "z": 4}
+    helped = g.levels(e, ids(spark, "abcdez"), "e", ids(spark, "az"), ids(spark, "z"))
+    assert dict(helped.collect()) == {"e": 0, "d": 1, "a": 1, "c": 2, "b": 3, "z": 1}
+    assert dict(g.levels(e, ids(spark, "ez"), "e", ids(spark, []), ids(spark, "z")).collect())["z"] == 2
     with pytest.raises(g.CycleError):
-        g.depths(frame(spark, [("a", "b"), ("b", "a")]), max_rounds=20)
+        g.depths(frame(spark, [("a", "b"), ("b", "a"), ("b", "c")]))
     n = spark.createDataFrame([("a", "assumed"), ("z", "statement"), ("y", None)], "id string, tier string")
     assert {r.id for r in g.orphans(n, e).collect()} == {"z", "y"}
 
@@ -130,6 +136,11 @@ def test_learning_path_is_by_algorithm(spark):
     e = frame(spark, [("m", "b"), ("k", "a"), ("k", "b")])
     path = g.learning_path(e, ids(spark, "mk"), ids(spark, [])).orderBy("pos").collect()
     assert [r.id for r in path] == ["b", "a", "k", "m"]
+    nodes = spark.createDataFrame([("a", "assumed"), ("b", "assumed"), ("k", "statement")], "id string, tier string")
+    floor = g.floor(nodes, known=ids(spark, "q"), not_known=ids(spark, "b"))
+    assert {r.id for r in floor.collect()} == {"a", "q"}
+    assert [r.id for r in g.learning_path(e, ids(spark, "k"), floor).orderBy("pos").collect()] == ["b", "k"]
+    assert [r.id for r in g.learning_path(e, ids(spark, []), ids(spark, []), ids(spark, "k")).orderBy("pos").collect()] == ["b", "a"]
 
 
 def test_proposals_reject_in_order_and_demoted_edges_use_the_cap(spark):
@@ -138,9 +149,63 @@ def test_proposals_reject_in_order_and_demoted_edges_use_the_cap(spark):
     rows += [("c3", k, "a", x) for k, x in enumerate("cdefg")]
     p = spark.createDataFrame(rows, "cluster string, ord long, src string, dst string")
     out = {(r.cluster, r.ord): (r.status, r.reason) for r in g.merge_proposals(p, nodes, frame(spark, [("a", "h")]), frame(spark, [])).collect()}
-    assert [out[("c1", k)][1] for k in range(1, 8)] == ["unknown source", "unknown target", "self-edge", "floor source", "algorithm source", "dropped", "duplicate"]
+    assert [out[("c1", k)][1] for k in range(1, 8)] == ["unknown source id", "unknown target id", "self-edge", "edge out of a floor node", "edge out of a seed algorithm", "dropped by amendment", "duplicate"]
     assert out[("c1", 0)][0] == "accepted" and out[("c2", 0)][0] == "demoted"
-    assert [out[("c3", k)][0] for k in range(5)] == ["accepted"] * 4 + ["rejected"] and out[("c3", 4)][1] == "over branching cap"
+    assert [out[("c3", k)][0] for k in range(5)] == ["accepted"] * 4 + ["rejected"] and out[("c3", 4)][1] == "over branching cap of 5"
+
+
+def test_proposals_against_python(spark):
+    """Merged ids, duplicates, the cap and demotions in one sequence, as a loop takes them."""
+    rng = random.Random(23)
+    names = [f"n{k}" for k in range(14)]
+    nodes = [(n, "algorithm" if k == 0 else "concept", "assumed" if k == 1 else "statement") for k, n in enumerate(names)]
+    merged = {"m1": "n5", "m2": "m1", "m3": "zz"}
+    there = [("n9", "n3"), ("n3", "n12"), ("n5", "n6")]
+    gone = {("n4", "n7")}
+    rows = [(f"c{k % 4}", k, rng.choice([*names, *merged, "q"]), rng.choice([*names, *merged, "q"])) for k in range(260)]
+    out, taken, count, want = {}, set(), {}, {}
+    for a, b in there:
+        out.setdefault(a, set()).add(b)
+
+    def reaches(a, b):
+        seen, stack = {a}, [a]
+        while stack:
+            for x in out.get(stack.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    stack.append(x)
+        return b in seen
+
+    kind = {n: (t, r_) for n, t, r_ in nodes}
+    for c, k, a, b in sorted(rows):
+        while a in merged:
+            a = merged[a]
+        while b in merged:
+            b = merged[b]
+        tests = [(a not in kind, 0), (b not in kind, 1), (a == b, 2), (kind.get(a, "  ")[1] == "assumed", 3), (kind.get(a, "  ")[0] == "algorithm", 4), ((a, b) in gone, 5), ((a, b) in taken, 6), (count.get(a, 0) >= 5, 7)]
+        hit = next((i for ok, i in tests if ok), None)
+        if hit is not None:
+            want[c, k] = ("rejected", g.REJECTIONS[hit] + (" 5" if hit == 7 else ""))
+            continue
+        taken.add((a, b))
+        count[a] = count.get(a, 0) + 1
+        want[c, k] = ("demoted" if reaches(b, a) else "accepted", None)
+        if want[c, k][0] == "accepted":
+            out.setdefault(a, set()).add(b)
+    p = spark.createDataFrame(rows, "cluster string, ord long, src string, dst string")
+    n = spark.createDataFrame(nodes, "id string, type string, tier string")
+    aliases = spark.createDataFrame(list(merged.items()), "alias string, target string")
+    got = {(r.cluster, r.ord): (r.status, r.reason) for r in g.merge_proposals(p, n, frame(spark, gone), frame(spark, there), aliases=aliases).collect()}
+    assert got == want and {s for s, _ in want.values()} == {"rejected", "accepted", "demoted"}
+
+
+def test_edges_are_added_under_current_names(spark):
+    batch = spark.createDataFrame([("old", "b", 0), ("b", "a", 1)], "src string, dst string, ord int")
+    aliases = spark.createDataFrame([("old", "a")], "alias string, target string")
+    got = {(r.src, r.dst): r.rel for r in g.add_edges(batch, ids(spark, "ab"), aliases).collect()}
+    assert got == {("a", "b"): "requires", ("b", "a"): "related_to"}
+    with pytest.raises(KeyError, match="b"):
+        g.add_edges(batch, ids(spark, "a"), aliases)
 
 
 def test_amendments_list_all_that_cannot_be_applied(spark):
@@ -156,4 +221,5 @@ def test_layer_rules(spark):
     n = spark.createDataFrame([("s", "system"), ("c", "component"), ("x", "algorithm"), ("k", "concept")], "id string, type string")
     e = spark.createDataFrame([("s", "c", "contains"), ("c", "x", "uses"), ("x", "k", "requires"), ("c", "k", "uses"), ("k", "c", "requires"), ("s", "k", "contains"), ("s", "q", "uses")], "src string, dst string, rel string")
     assert {(r.src, r.dst) for r in g.violations(n, e).collect()} == {("c", "k"), ("k", "c"), ("s", "k"), ("s", "q")}
-    assert F.lit(1) is not None
+    e = spark.createDataFrame([("s", "x", "contains"), ("c", "k", "requires"), ("k", "x", "requires"), ("x", "k", "requires"), ("x", "s", "contains")], "src string, dst string, rel string")
+    assert {(r.rule, r.src, r.dst) for r in g.violations(n, e).collect()} == {("contains outside the architecture", "x", "s"), ("requires on a cycle", "k", "x"), ("requires on a cycle", "x", "k")}

@@ -49,10 +49,14 @@ def make():
 
 def test_launch_files():
     first, second = parsers.launch_python(LAUNCH)
-    assert first["param_files"] == ["nav.yaml"] and first["remappings"] == [("in", "/out")] and first["unresolved"] == ["extra"]
-    assert second["package"] is None and second["unresolved"] == ["package"]
+    assert first["param_files"] == ["nav.yaml"] and first["remappings"] == [("in", "/out")] and first["unresolved"] == []
+    assert second["package"] is None and second["executable"] == "e2"
+    (third,) = parsers.launch_python("f = ['a.yaml', 'b.yaml']\nNode(package='p', parameters=[f, LaunchConfiguration('c'), {'x': 1}])\nComposableNode(package='q')")
+    assert third["param_files"] == ["a.yaml"] and third["unresolved"] == ["LaunchConfiguration"]
     assert parsers.launch_python("def (") == []
     (node,) = parsers.launch_xml('<launch><node pkg="a" exec="b" name="c"><param from="p.yaml"/><remap from="x" to="y"/></node></launch>')
+    (other,) = parsers.launch_xml('<launch><node package="a" executable="b"><param from="p.txt"/></node></launch>')
+    assert (other["package"], other["executable"], other["param_files"]) == ("a", "b", [])
     assert node["param_files"] == ["p.yaml"] and node["remappings"] == [("x", "y")]
     assert parsers.launch_xml("<launch>") == []
 
@@ -79,7 +83,7 @@ def repo(spark, tmp_path):
 def test_repository(repo):
     assert {r.path for r in repo.select("path").collect()} >= {"nav/package.xml", "nav/tool.py"} and repo.where("path like 'build%'").count() == 0
     assert dict(repository.dependencies(repo).collect()) == {"core": None, "numpy": "1.26"}
-    assert {(r.kind, r.name) for r in repository.code_units(repo).where("path = 'nav/tool.py'").collect()} == {("module", ""), ("class", "Tool"), ("function", "run")}
+    assert {(r.kind, r.name) for r in repository.code_units(repo).where("path = 'nav/tool.py'").collect()} == {("module", "tool"), ("class", "Tool"), ("function", "run")}
     assert [r.module for r in repository.foreign_imports(repo).collect()] == ["numpy"]
     assert repository.index_files(repo).where("path = 'nav/helper.py'").first()["language"] == "python"
     got = {r.component: (r.package, [x["name"] for x in r.parameters]) for r in repository.components(repo).collect()}
