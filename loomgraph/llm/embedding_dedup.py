@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Scratch
-from .components import connected_components
+from ..operators.components import connected_components
 
 #: Vectors per cell and per block of a product, about; sample of the fit per centroid.
 CELL, BLOCK, SAMPLE = 4096, 1024, 64

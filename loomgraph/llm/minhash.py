@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Scratch, unused, width_for
-from .components import connected_components
+from ..operators.components import connected_components
 
 WORDS = 5
 #: Least number of chunks, and the probability with which a pair at the threshold may exceed the symbol bound.

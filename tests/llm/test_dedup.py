@@ -8,7 +8,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from loomgraph.llm import components, embedding_dedup, exact_dedup, minhash
+from loomgraph.llm import embedding_dedup, exact_dedup, minhash
+from loomgraph.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
