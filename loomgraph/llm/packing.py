@@ -32,7 +32,7 @@ from ..sources.tables import Scratch
 CAPACITY = 4096
 SEPARATOR = 1
 #: Pieces of a length that one ranking task orders, about.
-RANK_ROWS = 1_000_000
+RANK_ROWS = 500
 CACHE_ENTRIES = 400_000
 
 # In texts of these characters alone, normalisation is lower-casing and pre-tokens are

@@ -1,5 +1,9 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
+import struct
+import zlib
+
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
@@ -79,7 +83,14 @@ def test_secret_stage(stages):
 
 def test_packing_stage(stages):
     _, before, after, _ = stages[4]
-    assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before}
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for r in before:
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        want += [(r["doc_id"], k // 4096, k, len(part := ids[k : k + 4096]), zlib.crc32(struct.pack(f"<{len(part)}I", *part))) for k in range(0, len(ids), 4096)]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in after) == sorted(want)
     fill = {}
     for r in after:
         fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -89,6 +100,7 @@ def test_packing_stage(stages):
             assert at == place
             place += n
         assert place <= 4096
+    assert len(fill) <= -(-sum(r["length"] for r in after) // 4096) + 2
 
 
 def test_stages_on_an_empty_table(spark):

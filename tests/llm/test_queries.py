@@ -151,3 +151,10 @@ def test_op10(spark, docs):
         text = ",".join(f"{k}:{x}:{y}" for k, x, y in base)
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (len(a), len(b), len(h), hashlib.sha256(text.encode()).hexdigest())
         assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    for t in ("documents", "labels", "embeddings", "pages"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, f"file://{tmp_path}").count() == 0, name
