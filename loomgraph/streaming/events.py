@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.profile import STATES
 from ..sources.tables import Scratch
 
+_KINDS = ("deny", "reopen", "suspect")
+
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table as a stream; ``path`` may be one file or a folder."""
@@ -35,27 +37,39 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def fold_profile(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Applies the events of one (user, node) in order to its stored entry."""
-    strength, at, denied = state.get if state.exists else (-1, None, False)
-    rows = pd.concat(list(parts)).sort_values("ord")
-    for r in rows.itertuples():
-        if r.action == "mark":
-            denied = False
-            s = STATES.index(r.state)
-            if s >= strength:
-                strength, at = s, r.at
-        elif r.action == "deny":
-            strength, at, denied = -1, None, True
-        elif r.action == "reopen":
-            strength, at = -1, None
-    state.update((strength, at, denied))
-    yield pd.DataFrame([{"user": key[0], "node": key[1], "state": STATES[strength] if strength >= 0 else None, "at": at, "denied": denied, "upto": int(rows["ord"].max())}])
+    """Takes the events of one (user, node) into its state, in whatever order they come.
+
+    The state holds the last ``ord`` of each kind of event and of a mark of each strength
+    (-1 for none yet), so a late event changes an entry just as it would have in its place,
+    and the entries are those of ``operators.profile.fold`` over the same events.
+    """
+    last = list(state.get) if state.exists else [-1, -1, -1, *[-1, None] * len(STATES)]
+    for part in parts:
+        for r in part.itertuples():
+            if r.action == "mark":
+                k = 3 + 2 * STATES.index(r.state)
+                if r.ord > last[k]:
+                    last[k : k + 2] = int(r.ord), r.at
+            elif r.action in _KINDS:
+                k = _KINDS.index(r.action)
+                last[k] = max(last[k], int(r.ord))
+    state.update(tuple(last))
+    deny, reopen, suspect, marks = *last[:3], last[3::2]
+    live = [s for s, o in enumerate(marks) if o > max(deny, reopen)]
+    entry = {"user": key[0], "node": key[1], "state": None, "at": None, "suspect": False, "denied": deny > max(marks), "upto": max(deny, reopen, suspect, *marks)}
+    if live:
+        entry |= {"state": STATES[live[-1]], "at": last[4 + 2 * live[-1]], "suspect": suspect > max(marks[s] for s in live)}
+    yield pd.DataFrame([entry])
 
 
 def profiles(events: DataFrame) -> DataFrame:
-    """Events (user, node, ord, at, action, state) -> updated entries, the state kept per (user, node)."""
+    """Events (user, node, ord, at, action, state) -> updated entries, the state kept per (user, node).
+
+    ``ord`` is 0 or more. Suspicions are events of their own, as ``with_suspicions`` derives them.
+    """
+    kept = ", ".join([*(f"{a} long" for a in _KINDS), *(f"{s} long, {s}_at string" for s in STATES)])
     return events.groupBy("user", "node").applyInPandasWithState(
-        fold_profile, "user long, node long, state string, at string, denied boolean, upto long", "strength int, at string, denied boolean", "update", GroupStateTimeout.NoTimeout
+        fold_profile, "user long, node long, state string, at string, suspect boolean, denied boolean, upto long", kept, "update", GroupStateTimeout.NoTimeout
     )
 
 

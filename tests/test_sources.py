@@ -1,7 +1,10 @@
 """Parsers, repository scans, documents, web texts, sinks and streams."""
 
 import json
+import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +213,22 @@ def test_stream_state_equals_batch(spark, tmp_path):
     last = out.groupBy("user", "node").agg(F.max_by(F.struct("state", "at", "denied"), "_batch").alias("v")).select("user", "node", "v.*")
     got = {tuple(r) for r in last.where("state is not null or denied").collect()}
     assert got == {tuple(r) for r in p.fold(events).select("user", "node", "state", "at", "denied").collect()}
+
+
+def test_late_events_change_a_stream_entry_as_in_their_place(spark):
+    rng = random.Random(5)
+    actions = ["mark", "mark", "mark", "suspect", "reopen", "deny"]
+    rows = [(1, k % 20, k, f"t{k:03}", a, rng.choice(p.STATES) if a == "mark" else None) for k, a in enumerate(rng.choices(actions, k=160))]
+    columns = ["user", "node", "ord", "at", "action", "state"]
+    late = rng.sample(rows, len(rows))
+    states, last = {}, {}
+    for batch in (late[:50], late[50:90], late[90:]):
+        for node, part in pd.DataFrame(batch, columns=columns).groupby("node"):
+            state = states.setdefault(node, SimpleNamespace(exists=False, get=None))
+            state.update = lambda value, state=state: state.__dict__.update(exists=True, get=value)
+            (entry,) = pd.concat(s.fold_profile((1, node), iter([part[:2], part[2:]]), state)).to_dict("records")
+            last[node] = entry
+    got = {(n, e["state"], e["at"], e["suspect"], e["denied"]) for n, e in last.items() if e["state"] or e["denied"]}
+    events = spark.createDataFrame(rows, "user long, node long, ord long, at string, action string, state string")
+    want = {tuple(r) for r in p.fold(events).select("node", "state", "at", "suspect", "denied").collect()}
+    assert got == want and {True, False} == {w[3] for w in want} == {w[4] for w in want}
