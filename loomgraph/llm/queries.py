@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
+from .conversations import OP13_SQL, op13_conversation_repair
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .license_scan import op8_license_scan
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {
     "op2_embedding_near_dedup": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_warc": OP7_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
