@@ -6,6 +6,7 @@ from .byte_bpe import op5_byte_bpe
 from .conversations import OP13_SQL, op13_conversation_repair
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .license_scan import op8_license_scan
 from .minhash import op1_minhash_near_dedup
 from .packing import op9_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {
@@ -32,5 +34,6 @@ ORACLES = {
     "op3_url_filter": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op7_warc": OP7_SQL,
+    "op11_filter_audit": OP11_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
