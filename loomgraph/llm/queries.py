@@ -10,6 +10,7 @@ from .filter_audit import OP11_SQL, op11_filter_audit
 from .license_scan import op8_license_scan
 from .minhash import op1_minhash_near_dedup
 from .packing import op9_best_fit_packing
+from .phrase_fingerprint import op12_phrase_fingerprint
 from .quality import op4_quality_classifier
 from .secret_scan import op10_secret_scan
 from .url_filter import OP3_SQL, op3_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_phrase_fingerprint": op12_phrase_fingerprint,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {
