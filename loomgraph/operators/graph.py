@@ -13,12 +13,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import REJECTIONS
-from ..sources.tables import Scratch, running_total, width_for
-from .components import connected_components
+from ..sources.tables import Scratch, running_total, small
+from . import reachability
 
 MAX_ROUNDS = 10_000
-#: Relations of up to so many edges are peeled in one task instead of by rounds.
-ONE_TASK_EDGES = 1_000_000
+#: Up to so many pairs (two ids each) of a closure's round are broadcast.
+CANDIDATES = 1_000_000
+#: Layers of leaves that one table of a peeling takes off.
+LAYERS = 4
+#: Prerequisites of a node above which the reduction marks what lies below them, not pair by pair.
+HUB = 1000
 
 
 class CycleError(ValueError):
@@ -47,7 +51,11 @@ def closure(edges: DataFrame, roots: DataFrame | None = None, stop: DataFrame |
             break
         known = spark.read.schema(new.schema).parquet(*paths)
         near = new.select("src", F.col("dst").alias("mid")).join(step, "mid").select("src", "dst").distinct()
-        new = scratch.save(near.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(k)), f"d{k}")
+        near = scratch.save(near, f"near{k}")
+        # Few candidates go to the known pairs, so that those are read but not shuffled.
+        old = known.select("src", "dst").join(small(near, CANDIDATES), ["src", "dst"], "left_semi")
+        new = scratch.save(near.join(old, ["src", "dst"], "left_anti").withColumn("hops", F.lit(k)), f"d{k}")
+        scratch.drop(f"near{k}")
         paths.append(scratch.path(f"d{k}"))
     else:
         raise CycleError(f"closure did not settle in {max_rounds} rounds")
@@ -160,14 +168,24 @@ def shortest_chain(edges: DataFrame, src, dst, max_rounds: int = MAX_ROUNDS) ->
     return front.where(F.col("id") == F.lit(dst)).select(F.posexplode("path").alias("pos", "id"))
 
 
-def transitive_reduction(edges: DataFrame, exempt: DataFrame | None = None, reach: DataFrame | None = None) -> DataFrame:
-    """The edges that no longer path replaces; edges out of ``exempt`` nodes (id) all stay."""
+def transitive_reduction(edges: DataFrame, exempt: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """The edges that no longer path replaces; edges out of ``exempt`` nodes (id) all stay.
+
+    Each edge is a question to the reachability index (``labels``, made here if not given):
+    does a path of two edges or more join its ends? Nodes with more than ``HUB`` edges would
+    ask about all pairs of them; there, what lies below the edges' ends is marked by packed
+    labels of the hubs, and a marked end has a longer path.
+    """
     e = edges.select("src", "dst").distinct()
-    reach = closure(e) if reach is None else reach
-    longer = e.select("src", F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-    redundant = e.join(longer, ["src", "dst"], "left_semi")
-    if exempt is not None:
-        redundant = redundant.join(exempt.select(F.col("id").alias("src")).distinct(), "src", "left_anti")
+    asked = e if exempt is None else e.join(exempt.select(F.col("id").alias("src")).distinct(), "src", "left_anti")
+    busy = asked.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    plain = asked.join(busy.where(F.col("n").between(2, HUB)).select("src"), "src", "left_semi")
+    redundant = reachability.holding(plain, e, labels, least=2)
+    hubs = asked.join(busy.where(F.col("n") > HUB).select("src"), "src", "left_semi")
+    if not hubs.isEmpty():
+        words, numbers = reachability.reaching(e, hubs.select(F.col("dst").alias("id"), F.col("src").alias("hub")), "hub", own=False)
+        marked = hubs.join(numbers.withColumnRenamed("hub", "src"), "src").join(words.withColumnRenamed("id", "dst"), ["dst", "bucket"])
+        redundant = redundant.unionByName(marked.where("getbit(word, bit) = 1").select("src", "dst"))
     return e.join(redundant, ["src", "dst"], "left_anti")
 
 
@@ -207,61 +225,34 @@ def learning_path(edges: DataFrame, algorithms: DataFrame, known: DataFrame, nod
     return running_total(first.withColumn("one", F.lit(1)), "at", "one", "place").select(F.col("place").cast("int").alias("pos"), "id")
 
 
-def _peeled(pdf):
-    """Depths of the ends of all edges by peeling leaves; -1 for what lies on or above a cycle."""
-    import numpy as np
-    import pandas as pd
-
-    both, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
-    src, dst = both[: len(pdf)], both[len(pdf) :]
-    left = np.bincount(src, minlength=len(names))
-    order = np.argsort(dst, kind="stable")
-    start = np.searchsorted(dst[order], np.arange(len(names) + 1))
-    depth = np.full(len(names), -1)
-    layer, k = np.flatnonzero(left == 0), 0
-    while len(layer):
-        depth[layer] = k
-        up = np.concatenate([src[order[start[v] : start[v + 1]]] for v in layer])
-        np.subtract.at(left, up, 1)
-        layer, k = np.unique(up[left[up] == 0]), k + 1
-    return pd.DataFrame({"id": names, "depth": depth})
-
-
 def depths(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, depth): edges on the longest path below each node, leaves 0; raises on cycles.
 
-    Leaves are peeled: a node is done in the round after its last child, so each node and
-    each edge is written once, whatever the depth. A small relation is peeled in one task.
+    Leaves are peeled, ``LAYERS`` layers to a table: an edge goes with the layer of its end,
+    and a node lies above the last of its edges to go. Each edge leaves the tables once gone.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "depth")
     e = scratch.save(edges.select("src", "dst").distinct(), "edges")
-    size = e.count()
-    width = width_for(size)
-    every = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
-    every = (every if nodes is None else every.unionByName(nodes.select("id"))).distinct()
-    if size <= ONE_TASK_EDGES:
-        kind = dict(e.dtypes)["src"]
-        own = scratch.save(e.groupBy(F.lit("all").alias("_all")).applyInPandas(_peeled, f"id {kind}, depth int"), "own")
-        if not own.where("depth < 0").isEmpty():
-            raise CycleError("the relation holds a cycle")
-        return every.join(own, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
-    wanted = scratch.save(e.groupBy("src").agg(F.count(F.lit(1)).alias("wanted")), "wanted", width)
-    layer = scratch.save(every.join(wanted.select(F.col("src").alias("id")), "id", "left_anti").withColumn("depth", F.lit(0)), "l0", width)
-    layers, hits = [scratch.path("l0")], []
-    for k in range(1, max_rounds + 1):
-        hit = scratch.save(e.join(layer.select(F.col("id").alias("dst")), "dst").groupBy("src").agg(F.count(F.lit(1)).alias("n")), f"h{k}", width)
-        hits.append(scratch.path(f"h{k}"))
-        so_far = spark.read.schema(hit.schema).parquet(*hits).join(hit.select("src"), "src", "left_semi").groupBy("src").agg(F.sum("n").alias("n"))
-        done = so_far.join(wanted, "src").where("n = wanted").select(F.col("src").alias("id"), F.lit(k).alias("depth"))
-        layer = scratch.save(done, f"l{k}", width)
-        if layer.isEmpty():
+    left, gone = e, []
+    for k in range(max_rounds):
+        now = left.withColumn("depth", F.lit(None).cast("int"))
+        for layer in range(1, LAYERS + 1):
+            inner = now.where("depth is null").select(F.col("src").alias("dst")).distinct().withColumn("inner", F.lit(True))
+            leaf = F.col("depth").isNull() & F.col("inner").isNull()
+            now = now.join(inner, "dst", "left").select("src", "dst", F.when(leaf, k * LAYERS + layer).otherwise(F.col("depth")).alias("depth"))
+        now = scratch.save(now, f"l{k}")
+        gone.append(scratch.path(f"l{k}"))
+        if now.where("depth is not null").isEmpty():
+            if not now.isEmpty():
+                raise CycleError("the relation holds a cycle")
             break
-        layers.append(scratch.path(f"l{k}"))
-    out = spark.read.schema(layer.schema).parquet(*layers)
-    if out.count() < every.count():
-        raise CycleError("the relation holds a cycle")
-    return out
+        left = now.where("depth is null").select("src", "dst")
+    else:
+        raise CycleError(f"peeling did not end in {max_rounds} rounds")
+    above = spark.read.schema(now.schema).parquet(*gone).groupBy(F.col("src").alias("id")).agg(F.max("depth").alias("depth"))
+    every = e.select(F.col("dst").alias("id")) if nodes is None else e.select(F.col("dst").alias("id")).unionByName(nodes.select("id"))
+    return every.distinct().join(above, "id", "full_outer").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame, root, components: DataFrame | None = None, supporting: DataFrame | None = None) -> DataFrame:
@@ -305,9 +296,7 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .when((F.col("rel") == "requires") & ~F.col("dt").isin(*GLOBAL_TYPES), "requires outside the canon")
     )
     needs = edges.where("rel = 'requires'").select("src", "dst").distinct()
-    core = cyclic_core(needs)
-    back = closure(core).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    rings = core.join(back, ["src", "dst"], "left_semi").select(F.lit("requires on a cycle").alias("rule"), "src", "dst")
+    rings = cyclic_edges(needs).select(F.lit("requires on a cycle").alias("rule"), "src", "dst")
     return typed.withColumn("rule", bad).where("rule is not null").select("rule", "src", "dst").unionByName(rings)
 
 
@@ -329,32 +318,11 @@ def merge_nodes(edges: DataFrame, merges: DataFrame) -> DataFrame:
     return out.where("src <> dst").select("src", "dst", "rel").distinct()
 
 
-def _core(pdf):
-    """The edges that peeling from both sides leaves."""
-    while True:
-        kept = pdf[pdf["dst"].isin(pdf["src"]) & pdf["src"].isin(pdf["dst"])]
-        if len(kept) == len(pdf):
-            return kept[["src", "dst"]]
-        pdf = kept
-
-
-def cyclic_core(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """The edges left when nodes without edges in or out are peeled away again and again."""
-    scratch = Scratch(edges.sparkSession, "core")
-    now = scratch.save(edges, "c0")
-    n = now.count()
-    if n <= ONE_TASK_EDGES:
-        kind = dict(edges.dtypes)["src"]
-        left = now.select("src", "dst").groupBy(F.lit("all").alias("_all")).applyInPandas(_core, f"src {kind}, dst {kind}")
-        return scratch.save(now.join(left.distinct(), ["src", "dst"], "left_semi"), "core")
-    for k in range(1, max_rounds):
-        out, into = now.select(F.col("src").alias("dst")).distinct(), now.select(F.col("dst").alias("src")).distinct()
-        now = scratch.save(now.join(out, "dst", "left_semi").join(into, "src", "left_semi"), f"c{k}")
-        m = now.count()
-        if m in (0, n):
-            return now
-        n = m
-    return now
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle, each with its strong component: both ends share it."""
+    own = reachability.strong_components(edges)
+    at = edges.join(own.select(F.col("id").alias("src"), F.col("component").alias("_a")), "src").join(own.select(F.col("id").alias("dst"), F.col("component").alias("_b")), "dst")
+    return at.where("_a = _b").select(*edges.columns, F.col("_a").alias("component"))
 
 
 def add_edges(batch: DataFrame, nodes: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
@@ -363,9 +331,9 @@ def add_edges(batch: DataFrame, nodes: DataFrame | None = None, aliases: DataFra
     Both ends are resolved by ``aliases`` (alias, target) first; an end that is none of the
     ``nodes`` (id) raises, as does a self-edge. An edge that would close a cycle of requires
     edges becomes related_to; of equal edges the first one counts. Only edges within cycles
-    of the whole batch can be demoted; those are found by distributed peeling, and each
-    connected part of that core is folded in order in a group of its own, under an
-    incrementally kept topological order, so an edge that fits the order costs nothing.
+    of the whole batch can be demoted; those are found as its strong components, and each
+    component is folded in order in a group of its own, under an incrementally kept
+    topological order, so an edge that fits the order costs nothing.
     """
     if aliases is not None:
         full = resolve_aliases(aliases)
@@ -380,9 +348,7 @@ def add_edges(batch: DataFrame, nodes: DataFrame | None = None, aliases: DataFra
         raise ValueError("a node can't require itself")
     kind = dict(batch.dtypes)["src"]
     first = batch.groupBy("src", "dst").agg(F.min("ord").alias("ord"))
-    core = cyclic_core(first)
-    parts = connected_components(core.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    placed = core.join(parts.select(F.col("id").alias("src"), F.col("component").alias("_part")), "src")
+    placed = cyclic_edges(first)
 
     def fold(pdf):
         import pandas as pd
@@ -391,7 +357,7 @@ def add_edges(batch: DataFrame, nodes: DataFrame | None = None, aliases: DataFra
         found = demotions(zip(pdf["src"].iloc[order], pdf["dst"].iloc[order]))
         return pd.DataFrame(found, columns=["src", "dst"])
 
-    demoted = placed.groupBy("_part").applyInPandas(fold, f"src {kind}, dst {kind}").withColumn("demoted", F.lit(True))
+    demoted = placed.groupBy("component").applyInPandas(fold, f"src {kind}, dst {kind}").withColumn("demoted", F.lit(True))
     out = first.join(demoted, ["src", "dst"], "left").withColumn("demoted", F.coalesce("demoted", F.lit(False)))
     return out.select("src", "dst", "ord", F.when(F.col("demoted"), "related_to").otherwise("requires").alias("rel"), "demoted")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph as g
+from . import reachability
 
 STATES = ("declared", "read", "demonstrated")
 
@@ -25,12 +25,32 @@ def strength(state: Column) -> Column:
     return out
 
 
+def suspicions(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """(user, node, ord, at): for each node that a user has marked, the user's last reopen below it.
+
+    Only such a suspicion changes an entry: one without a mark has none to flag, and of several
+    the last decides. The search is held in from both sides: it starts at the marked nodes,
+    and among the nodes below them it takes the reopened ones upwards, 64 to a word. Users'
+    reopened nodes are words as well, so a user's mark meets the reopens by one ``and`` per word.
+    """
+    marked = events.where("action = 'mark'").select("user", "node").dropna().distinct()
+    again = events.where("action = 'reopen'").groupBy("user", "node").agg(F.max(F.struct("ord", "at")).alias("last")).dropna()
+    below = reachability.reachable(edges, marked.select(F.col("node").alias("id")).distinct())
+    inner = edges.join(below.select(F.col("id").alias("src")), "src", "left_semi")
+    seeds = again.select(F.col("node").alias("id"), F.col("node").alias("reopened")).distinct()
+    words, numbers = reachability.reaching(inner, seeds, "reopened", back=True, own=False)
+    users = again.join(numbers.withColumnRenamed("reopened", "node"), "node")
+    asked = reachability.packed(users, ["user"]).withColumnRenamed("word", "asked")
+    met = marked.join(words.withColumnRenamed("id", "node"), "node").join(asked, ["user", "bucket"])
+    hits = met.withColumn("word", F.col("word").bitwiseAND(F.col("asked"))).where("word <> 0").select("user", "node", "bucket", "word")
+    cause = users.select("user", "bucket", "bit", "last")
+    found = reachability.unpacked(hits).join(cause, ["user", "bucket", "bit"]).groupBy("user", "node").agg(F.max("last").alias("last"))
+    return found.select("user", "node", "last.ord", "last.at")
+
+
 def with_suspicions(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds a suspect event for every transitive dependent of each reopened node."""
-    again = events.where("action = 'reopen'")
-    roots = again.select(F.col("node").alias("id")).distinct()
-    up = g.dependents(edges, roots).select(F.col("id").alias("node"), "dependent")
-    derived = again.join(up, "node").select("user", F.col("dependent").alias("node"), "ord", "at", F.lit("suspect").alias("action"), F.lit(None).cast("string").alias("state"))
+    """Adds the suspect events that reopened nodes make of entries of what depends on them."""
+    derived = suspicions(events, edges).select("user", "node", "ord", "at", F.lit("suspect").alias("action"), F.lit(None).cast("string").alias("state"))
     return events.select("user", "node", "ord", "at", "action", "state").unionByName(derived)
 
 

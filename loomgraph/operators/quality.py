@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFINES, DERIVATION_TITLE, MOVES, OUT_OF_SCOPE_TITLE, PRUNE_REASONS, UNINFORMATIVE
-from . import graph as g
+from . import reachability
 
 def ungrounded(cites: DataFrame, sources: DataFrame) -> DataFrame:
     """cites (id, cite) and sources (id, source) -> citations without a retrieved source."""
     return cites.select("id", "cite").distinct().join(sources.select("id", F.col("source").alias("cite")).distinct(), ["id", "cite"], "left_anti")
 
 
-def holes(invoked: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
-    """invoked (id, item) -> items outside the closure of id, not known and not id itself."""
-    reach = g.closure(edges, invoked.select("id").distinct()).select(F.col("src").alias("id"), F.col("dst").alias("item"))
-    return invoked.select("id", "item").distinct().where("id <> item").join(reach, ["id", "item"], "left_anti").join(known.select(F.col("id").alias("item")).distinct(), "item", "left_anti").select("id", "item")
+def holes(invoked: DataFrame, edges: DataFrame, known: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """invoked (id, item) -> items outside the closure of id, not known and not id itself.
+
+    Each pair is a question to the reachability index (``labels``, made here if not given).
+    """
+    asked = invoked.select("id", "item").distinct().where("id <> item").join(known.select(F.col("id").alias("item")).distinct(), "item", "left_anti")
+    held = reachability.holding(asked.select(F.col("id").alias("src"), F.col("item").alias("dst")), edges, labels)
+    return asked.join(held.select(F.col("src").alias("id"), F.col("dst").alias("item")), ["id", "item"], "left_anti").select("id", "item")
 
 
 def unsupported(claims: DataFrame, files: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def thin(components: Column, concrete: Column, knobs: Column) -> Column:
     return (F.size(components) > 0) & (F.size(concrete) <= 0) & (F.size(knobs) <= 0)
 
 
-def check_sheets(sheets: DataFrame, sources: DataFrame, edges: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame:
+def check_sheets(sheets: DataFrame, sources: DataFrame, edges: DataFrame, known: DataFrame, ids: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The report of each record (id, kind, expected, grounded, statement, n_symbols, n_properties, steps).
 
     ``steps`` is an array of (n, invokes, cites); properties cite through ``property_cites``.
@@ -75,7 +79,7 @@ def check_sheets(sheets: DataFrame, sources: DataFrame, edges: DataFrame, known:
     unknown = invoked.join(ids.select(F.col("id").alias("item")).distinct(), "item", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("unknown"))
     resolved = invoked.join(ids.select(F.col("id").alias("item")).distinct(), "item", "left_semi")
     useful = resolved.where(~F.col("item").cast("string").isin(*UNINFORMATIVE)).groupBy("id").agg(F.count(F.lit(1)).alias("useful"))
-    hole = holes(resolved, edges, known).groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("holes"))
+    hole = holes(resolved, edges, known, labels).groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("holes"))
     s = sheets.join(bad, "id", "left").join(unknown, "id", "left").join(hole, "id", "left").join(useful, "id", "left")
     n_steps = F.coalesce(F.size("steps"), F.lit(0))
     uncited = F.transform(F.filter("steps", lambda x: F.size(x["cites"]) <= 0), lambda x: x["n"])

@@ -217,6 +217,19 @@ def confirm_flows(flow: DataFrame, owners: DataFrame, linked: DataFrame) -> Data
     return first.join(topics, ["a", "b"], "left").select("a", "b", "relation", "f.confidence", F.coalesce("topics", F.lit("")).alias("topics"), F.col("topics").isNotNull().alias("confirmed"))
 
 
+def components_reaching(uses: DataFrame, edges: DataFrame, project: str | None = None) -> DataFrame:
+    """uses (component, algorithm) -> (component, node): components whose algorithm is a node or requires it.
+
+    Only components whose names begin with ``project``, if given. Components go down the
+    edges (src, dst) packed, 64 to a word, so no closure of the algorithms is listed.
+    """
+    from . import reachability
+
+    own = uses if project is None else uses.where(F.col("component").startswith(project))
+    words, numbers = reachability.reaching(edges, own.select(F.col("algorithm").alias("id"), "component"), "component")
+    return reachability.unpacked(words).join(small(numbers), ["bucket", "bit"]).select("component", F.col("id").alias("node"))
+
+
 def supporting(edges: DataFrame, known: DataFrame) -> DataFrame:
     """(id): ends of edges that are no known node."""
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()

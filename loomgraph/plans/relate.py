@@ -161,9 +161,7 @@ def j17_name_cascade(spark, sf_dir):
   SELECT DISTINCT component, dst AS node FROM u JOIN r ON r.src = algorithm UNION SELECT component, algorithm FROM u""")
 def j18_components_reaching(spark, sf_dir):
     uses = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("c"), F.col("l_suppkey")).alias("component"), F.col("l_partkey").cast("long").alias("algorithm")).distinct()
-    reach = g.closure(requires(spark, sf_dir), uses.select(F.col("algorithm").alias("id"))).select(F.col("src").alias("algorithm"), F.col("dst").alias("node"))
-    own = uses.select("component", F.col("algorithm").alias("node"))
-    return uses.join(reach, "algorithm").select("component", "node").unionByName(own).distinct()
+    return r.components_reaching(uses, requires(spark, sf_dir), "c")
 
 
 @query("""WITH o AS (SELECT 'own' || n_nationkey AS owner, lower(n_name) AS name, (n_nationkey % 4 + 1) || '.' || (n_nationkey % 3 + 1) AS section, n_nationkey AS prio FROM nation),

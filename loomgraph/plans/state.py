@@ -50,8 +50,10 @@ def _fold(events, suspects):
 _PLAIN = _fold("ev", "none AS (SELECT 1)")
 _WITH_DEPENDENTS = _fold(
     "alle",
-    """up AS (SELECT dst AS node, src AS dependent FROM req WHERE src < 40 UNION SELECT up.node, req.src FROM up JOIN req ON req.dst = up.dependent WHERE req.src < 40),
-  alle AS (SELECT "user", node, ord, tm, action, s FROM ev UNION ALL SELECT ev."user", up.dependent, ev.ord, ev.tm, 'suspect', NULL FROM ev JOIN up ON up.node = ev.node WHERE ev.action = 'reopen')""",
+    """own AS (SELECT DISTINCT node FROM ev),
+  up AS (SELECT dst AS node, src AS dependent FROM req JOIN own ON own.node = dst UNION SELECT up.node, req.src FROM up JOIN req ON req.dst = up.dependent),
+  alle AS (SELECT "user", node, ord, tm, action, s FROM ev UNION ALL
+    SELECT ev."user", up.dependent, ev.ord, ev.tm, 'suspect', NULL FROM ev JOIN (SELECT * FROM up WHERE dependent IN (SELECT node FROM own)) up ON up.node = ev.node WHERE ev.action = 'reopen')""",
 )
 
 
