@@ -53,12 +53,12 @@ def display_title(identifier: Column) -> Column:
 
 
 #: White space at either end of a text, as Python strips it.
-_BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
     """The text without white space of any kind at its ends."""
-    return F.regexp_replace(text, f"^{_BLANK}|{_BLANK}$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def trim_sentence(text: Column, limit: int) -> Column:
@@ -70,7 +70,7 @@ def trim_sentence(text: Column, limit: int) -> Column:
     head = F.substring(text, 1, limit)
     back = F.regexp_instr(F.reverse(head), F.lit(r"[ \n]\."))
     stop = F.when(back > 0, F.length(head) - back).otherwise(0)
-    short = F.when(stop - 1 > limit * 0.4, F.substring(head, F.lit(1), stop)).otherwise(F.regexp_replace(head, f"{_BLANK}$", ""))
+    short = F.when(stop - 1 > limit * 0.4, F.substring(head, F.lit(1), stop)).otherwise(F.rtrim(head, F.lit(BLANKS)))
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(short, F.lit(" \u2026")))
 
 

@@ -146,10 +146,39 @@ def source_derives(sections: DataFrame, title: str = DERIVATION_TITLE, out_of_sc
     return sections.select("id").distinct().join(yes, "id", "left").select("id", F.coalesce("derives", F.lit(False)).alias("derives"))
 
 
-def expected_kind(nodes: DataFrame, edges: DataFrame, derives: DataFrame) -> DataFrame:
-    """nodes (id, type) -> (id, expected): techniques, nodes that require a technique and nodes whose source derives them are derivations."""
+def expected_kind(nodes: DataFrame, edges: DataFrame, derives: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """nodes (id, type) -> (id, expected): techniques, nodes that require a technique and nodes whose source derives them are derivations.
+
+    So is everything in ``asked`` (id) or ``derives`` (id, derives) that is no node: nothing says that it is less.
+    """
     tech = nodes.where("type = 'technique'").select(F.col("id").alias("dst"))
     needs = edges.join(tech, "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("needs", F.lit(True))
-    j = nodes.join(needs, "id", "left").join(derives, "id", "left")
-    yes = (F.col("type") == "technique") | F.coalesce("needs", F.lit(False)) | F.coalesce("derives", F.lit(False))
+    ids = derives.select("id") if asked is None else derives.select("id").unionByName(asked.select("id"))
+    every = nodes.select("id", F.coalesce("type", F.lit("")).alias("type")).join(ids.distinct(), "id", "full_outer")
+    j = every.join(needs, "id", "left").join(derives.groupBy("id").agg(F.max("derives").alias("derives")), "id", "left")
+    yes = F.col("type").isNull() | (F.col("type") == "technique") | F.coalesce("needs", F.lit(False)) | F.coalesce("derives", F.lit(False))
     return j.select("id", F.when(yes, "derivation").otherwise("definition").alias("expected"))
+
+
+def statement_suffices(nodes: DataFrame, edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """nodes (id, type, tier) -> (id, suffices): the graph alone asks only for a node's statement.
+
+    It is no technique, requires none and its tier is not derivation; no source is read. What
+    is in ``asked`` (id) and no node has no statement that would do.
+    """
+    structural = expected_kind(nodes, edges, nodes.select("id", F.lit(False).alias("derives")), asked)
+    tiers = nodes.select("id", F.coalesce("tier", F.lit("")).alias("tier"))
+    return structural.join(tiers, "id", "left").select("id", ((F.col("expected") == "definition") & (F.col("tier") != "derivation")).alias("suffices"))
+
+
+def needs_better_sources(records: DataFrame, nodes: DataFrame, edges: DataFrame, derives: DataFrame | None = None) -> DataFrame:
+    """records (id, kind, grounded) -> (id, needs): a derivation is expected and the sources did not carry it.
+
+    The record is a definition, or no source grounds it. A node's own sources count for what
+    is expected only where ``derives`` (id, derives) is given.
+    """
+    ids = records.select("id").distinct()
+    said = ids.withColumn("derives", F.lit(False)) if derives is None else derives
+    expected = expected_kind(nodes, edges, said, ids)
+    short = F.col("kind").eqNullSafe("definition") | ~F.coalesce("grounded", F.lit(False))
+    return records.join(expected, "id").select("id", ((F.col("expected") == "derivation") & short).alias("needs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.fixed import BRIDGE, FLOW_RELATIONS, GENERIC_WORDS, NEVER_EVIDENCE, OUTPUT_NAME, TOPIC, WIRING_FILE
+from ..functions.terms import terms_in
 from ..sources.tables import small
 
 
@@ -26,7 +27,7 @@ def links(ends: DataFrame) -> DataFrame:
     subs = e.where("role in ('subscribes', 'both')").groupBy("component", "topic").agg(F.min(F.struct("ord", "evidence")).alias("e"))
     p = pubs.select(F.col("component").alias("pub"), "topic", F.col("e.evidence").alias("pub_evidence"))
     s = subs.select(F.col("component").alias("sub"), "topic", F.col("e.evidence").alias("sub_evidence"))
-    return p.join(s, "topic").where("pub <> sub").select("pub", "sub", "topic", "pub_evidence", "sub_evidence")
+    return grid_join(p, s, "topic").where("pub <> sub").select("pub", "sub", "topic", "pub_evidence", "sub_evidence")
 
 
 def one_sided(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,7 +40,7 @@ def dataflow(ends: DataFrame) -> DataFrame:
     """(a, b, topics): unordered pairs of components a < b that share topics."""
     e = ends.select("component", "topic").distinct()
     a, b = e.toDF("a", "topic"), e.toDF("b", "topic")
-    return a.join(b, "topic").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("topics"))
+    return grid_join(a, b, "topic").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("topics"))
 
 
 def topic_edges(linked: DataFrame) -> DataFrame:
@@ -118,25 +119,55 @@ def code_endpoints(components: DataFrame, files: DataFrame) -> DataFrame:
     return calls.join(components, "executable").select("component", resolve_topic(F.col("topic"), F.col("remappings")).alias("topic"), "role", evidence.alias("evidence"), F.col("line").alias("ord"))
 
 
-def containing(needles: DataFrame, needle: str, hay: DataFrame, text: str, few: int = 1000) -> DataFrame:
+def containing(needles: DataFrame, needle: str, hay: DataFrame, text: str, at_once: int = 100_000) -> DataFrame:
     """The join of ``needles`` and ``hay`` on ``text`` containing ``needle``, without a product of both.
 
-    Few needles are broadcast. Otherwise a needle's first characters, three at most, are
-    looked up among the distinct pieces of that length of each text, and then the whole
-    needle is tested.
+    An automaton over the needles reads each text once, however many needles there are. It
+    is broadcast, so it takes ``at_once`` of them at most; more are dealt into as many lots by
+    their hashes, each a pass over the texts. Texts that hold no needle end there, and the
+    others meet the needles by equality.
     """
-    held = F.col(text).contains(F.col(needle)) & (F.length(needle) > 0)
-    if needles.limit(few + 1).count() <= few:
-        return hay.join(F.broadcast(needles), held)
-    keyed = needles.where(F.length(needle) > 0).withColumn("_piece", F.substring(needle, 1, 3))
-    sizes = [r[0] for r in keyed.select(F.length("_piece").alias("n")).distinct().collect()]  # three at most
-
-    def cut(n):
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    pieces = F.concat(F.array().cast("array<string>"), *map(cut, sizes))
-    return hay.withColumn("_piece", F.explode(F.array_distinct(pieces))).join(keyed, "_piece").where(held).drop("_piece")
+    own = needles.where(F.length(needle) > 0)
+    words = own.select(needle).distinct()
+    lots = -(-words.count() // at_once)
+    keyed = small(own, at_once)
+    found = []
+    for k in range(lots):
+        terms = [r[0] for r in words.where(F.pmod(F.xxhash64(needle), F.lit(lots)) == k).collect()]
+        hits = hay.withColumn("_held", F.explode(terms_in(hay.sparkSession, text, terms)))
+        found.append(hits.join(keyed, F.col("_held") == F.col(needle)).drop("_held"))
+    if not found:
+        return hay.join(own, F.col(text) == F.col(needle)).limit(0)
+    out = found[0]
+    for frame in found[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def popular(left: DataFrame, right: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, _rows, _cols): keys that join more than ``most`` pairs, with blocks of about the root of ``most`` rows of either side.
+
+    The number of such keys is at most that of the pairs over ``most``.
+    """
+    side = max(1, int(most**0.5))
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l")).join(right.groupBy(key).agg(F.count(F.lit(1)).alias("_r")), key)
+    busy = counts.where(F.col("_l") * F.col("_r") > most)
+    return busy.select(key, F.ceil(F.col("_l") / side).alias("_rows"), F.ceil(F.col("_r") / side).alias("_cols"))
+
+
+def grid_join(left: DataFrame, right: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
+    """The equi-join of two frames on ``key``, popular keys by a grid of blocks.
+
+    A key with more than ``most`` pairs is cut into blocks of rows and of columns; each block
+    of one side goes to all of the other, so no task makes more than about ``most`` pairs of
+    one key. The rows are those of the plain join.
+    """
+    busy = small(popular(left, right, key, most))
+    rows = left.join(busy, key, "left").withColumn("_row", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_rows")), F.lit(0).cast("long")))
+    rows = rows.withColumn("_col", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_cols"), F.lit(1)) - 1))).drop("_rows", "_cols")
+    cols = right.join(busy, key, "left").withColumn("_col", F.coalesce(F.pmod(F.xxhash64(*right.columns), F.col("_cols")), F.lit(0).cast("long")))
+    cols = cols.withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_rows"), F.lit(1)) - 1))).drop("_rows", "_cols")
+    return rows.join(cols, [key, "_row", "_col"]).drop("_row", "_col")
 
 
 def library_endpoints(components: DataFrame, defaults: DataFrame) -> DataFrame:

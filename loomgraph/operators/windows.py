@@ -178,13 +178,14 @@ def budget_take(rows: DataFrame, by: str, order: str, cost: Column, budget: int)
 def extents(headings: DataFrame) -> DataFrame:
     """headings (doc, pos, level) -> with ``stop``: the next heading of the same or a higher rank, null at the end.
 
-    The levels are few, so for each level the nearest later heading is a window minimum; no
-    range join.
+    Read from the end, the nearest heading of each rank or above is the last one seen, so the
+    six windows share one sort and grow by a row at a time: work is linear in a document's headings.
     """
-    after = Window.partitionBy("doc").orderBy("pos").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("doc").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, -1)
+    nearest = {k: F.last(F.when(F.col("level") <= k, F.col("pos")), ignorenulls=True).over(later) for k in range(1, 7)}
     stop = F.lit(None).cast("long")
-    for k in (1, 2, 3, 4, 5, 6):
-        stop = F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("pos"))).over(after)).otherwise(stop)
+    for k, at in nearest.items():
+        stop = F.when(F.col("level") == k, at).otherwise(stop)
     return headings.withColumn("stop", stop)
 
 
@@ -194,6 +195,55 @@ def carry_forward(rows: DataFrame, by: str, order: list, value: Column, name: st
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
+#: A bare key at the left edge, and a name with a value, in lines without comments.
+_SCOPE, _VALUE = r"^([A-Za-z_/*\"'][^:\s]*)\s*:$", r"^\s*([A-Za-z_][\w/]*)\s*:\s*(\S.*)$"
+
+
+def folded_values(lines: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """lines (doc, ln, text) of YAML-like files -> (doc, ln, scope, name, value): their parameters.
+
+    What follows a number sign goes, and so do blank lines. A value with more opening than
+    closing brackets takes the lines after it until they are closed, joined by spaces; a bare
+    key at the left edge outside such a value is the scope of what follows.
+
+    Gaps and islands over a running depth: the sum of the lines' brackets less its least
+    value so far is the depth of what is open, since a depth under zero starts again at zero.
+    A line that opens brackets without being a value counts only inside an open one. Which
+    do is found from below: at first none, then those with something open before them, until
+    no more are found; each round is two windows per document.
+    """
+    from ..sources.tables import Scratch
+
+    scratch = Scratch(lines.sparkSession, "folded")
+    text = F.rtrim(F.substring_index("text", "#", 1), F.lit(t.BLANKS))
+    kept = lines.select("doc", "ln", text.alias("text")).where(t.strip(text) != "")
+    scope, name, value = F.regexp_extract("text", _SCOPE, 1), F.regexp_extract("text", _VALUE, 1), F.regexp_extract("text", _VALUE, 2)
+    opens = F.length(F.translate("text", "]", "")) - F.length(F.translate("text", "[]", ""))
+    closes = F.length(F.translate("text", "[", "")) - F.length(F.translate("text", "[]", ""))
+    rows = kept.select("doc", "ln", "text", scope.alias("scope"), name.alias("name"), value.alias("value"), (opens - closes).alias("step"))
+    rows = rows.withColumn("name", F.when(F.col("value").isin("", "|", ">"), "").otherwise(F.col("name")))
+    rows = scratch.save(rows.withColumn("counts", (F.col("name") != "") | (F.col("step") <= 0)), "r0")
+    up = Window.partitionBy("doc").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc").orderBy("ln")
+    for k in range(1, max_rounds):
+        total = rows.withColumn("sum", F.sum(F.when(F.col("counts"), F.col("step")).otherwise(0)).over(up))
+        depth = total.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(up)))
+        inside = depth.withColumn("inside", F.coalesce(F.lag("depth").over(before) > 0, F.lit(False)))
+        rows = scratch.save(inside.withColumn("fresh", ~F.col("counts") & F.col("inside")).withColumn("counts", F.col("counts") | F.col("inside")).drop("sum", "depth"), f"r{k}")
+        if rows.where("fresh").isEmpty():
+            break
+        rows = rows.drop("inside", "fresh")
+    outside = ~F.col("inside")
+    head = outside & (F.col("name") != "") & (F.col("scope") == "")
+    marked = rows.withColumn("island", F.last(F.when(outside, F.col("ln")), ignorenulls=True).over(up))
+    marked = marked.withColumn("under", F.coalesce(F.last(F.when(outside & (F.col("scope") != ""), F.col("scope")), ignorenulls=True).over(up), F.lit("")))
+    lines_of_value = F.array_sort(F.collect_list(F.struct("ln", F.when(outside, F.col("value")).otherwise(t.strip(F.col("text"))).alias("part"))))
+    islands = marked.groupBy("doc", F.col("island").alias("ln")).agg(F.max(F.when(head, F.struct("under", "name"))).alias("head"), lines_of_value.alias("parts"))
+    whole = F.array_join(F.transform("parts", lambda p: p["part"]), " ")
+    bare = F.regexp_replace("head.under", "^[\"']+|[\"']+$", "")
+    return islands.where("head is not null").select("doc", "ln", bare.alias("scope"), "head.name", whole.alias("value"))
+
+
 def round_robin(rows: DataFrame, by: str, kind: str, order: str, limit: int = 6) -> DataFrame:
     """One row per kind and round, kinds by first occurrence, ``limit`` rows of each group."""
     r = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(by, kind).orderBy(order))).withColumn("_first", F.min(order).over(Window.partitionBy(by, kind)))

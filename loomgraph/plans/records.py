@@ -69,20 +69,20 @@ def a14_reason_samples(spark, sf_dir):
 
 @query("""WITH c AS (SELECT DISTINCT 'c_' || split_part(p_name, ' ', 1) AS component, 'launch/' || split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 5 = 0 THEN '.yaml' ELSE '.launch.py' END AS source FROM part),
   f AS (SELECT DISTINCT component, source, substr(source, 8) AS name FROM c WHERE regexp_matches(source, '[.]launch[.](py|xml|ya?ml)$')),
-  n AS (SELECT 'n' || p_partkey AS id, split_part(p_name, ' ', 2) || '.launch.py' AS file, p_partkey % 3 = 0 AS det, p_partkey % 11 = 0 AS ext FROM part)
+  n AS (SELECT 'n' || p_partkey AS id, split_part(p_name, ' ', (2 - p_partkey % 2)::INTEGER) || '.launch.py' AS file, p_partkey % 3 = 0 AS det, p_partkey % 11 = 0 AS ext FROM part)
   SELECT DISTINCT f.component, n.id FROM f JOIN n ON NOT n.ext AND ((n.det AND f.source = 'launch/' || n.file AND f.name = n.file) OR (NOT n.det AND contains('run ' || n.file || ' now', f.name)))""")
 def j7_launched_by(spark, sf_dir):
     p, words, k = read(spark, sf_dir, "part"), F.split("p_name", " "), F.col("p_partkey")
     components = p.select(F.concat(F.lit("c_"), words[0]).alias("component"), F.concat(F.lit("launch/"), words[0], F.when(k % 5 == 0, ".yaml").otherwise(".launch.py")).alias("source")).distinct()
-    file = F.concat(F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")), F.lit(".launch.py"))
+    file = F.concat(F.coalesce(F.try_element_at(words, (2 - k % 2).cast("int")), F.lit("")), F.lit(".launch.py"))
     coded = k % 3 == 0
     graph = p.select(F.concat(F.lit("n"), k).alias("id"), F.when(coded, file).otherwise(F.concat(F.lit("run "), file, F.lit(" now"))).alias("label"), F.concat(F.lit("launch/"), file).alias("source_file"), coded.alias("deterministic"), (k % 11 == 0).alias("external"))
     return r.launched_by(components, graph)
 
 
-@query("SELECT s_suppkey AS component, coalesce(f, '') AS files FROM supplier LEFT JOIN (SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT 'f' || l_partkey)), ',') AS f FROM lineitem WHERE l_quantity = 50 GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
+@query("SELECT s_suppkey AS component, coalesce(f, '') AS files FROM supplier LEFT JOIN (SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT 'f' || l_partkey)), ',') AS f FROM lineitem GROUP BY l_suppkey) ON l_suppkey = s_suppkey")
 def j23_panels(spark, sf_dir):
-    m = read(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("component"), F.concat(F.lit("f"), "l_partkey").alias("file"))
+    m = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("component"), F.concat(F.lit("f"), "l_partkey").alias("file"))
     return r.panels(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("component")), m)
 
 

@@ -115,14 +115,14 @@ def j8_flows(spark, sf_dir):
     return r.flows(*_flow_parts(spark, sf_dir))
 
 
-@query(f"""WITH {_FLOW}, en AS (SELECT DISTINCT 'c' || (l_suppkey % 20) AS component, '/t' || l_partkey % 50 AS topic, l_returnflag = 'R' AS pub FROM lineitem WHERE l_linenumber < 3),
+@query(f"""WITH {_FLOW}, en AS (SELECT DISTINCT 'c' || (l_suppkey % 20) AS component, '/t' || l_partkey % 50 AS topic, l_returnflag = 'R' AS pub FROM lineitem),
   ln AS (SELECT least(a.component, b.component) AS a, greatest(a.component, b.component) AS b, array_to_string(list_sort(list(DISTINCT a.topic)), ',') AS topics FROM en a JOIN en b ON a.topic = b.topic AND a.component <> b.component AND a.pub AND NOT b.pub GROUP BY 1, 2),
   m AS (SELECT fl.*, o.component AS other_c FROM fl JOIN o ON o.id = other AND o.component <> fl.component),
   f AS (SELECT least(component, other_c) AS a, greatest(component, other_c) AS b, relation, confidence FROM m QUALIFY row_number() OVER (PARTITION BY least(component, other_c), greatest(component, other_c), relation ORDER BY component, ord, confidence) = 1)
   SELECT f.a, f.b, f.relation, f.confidence, coalesce(topics, '') AS topics, topics IS NOT NULL AS confirmed FROM f LEFT JOIN ln ON ln.a = f.a AND ln.b = f.b""")
 def j9_confirmed(spark, sf_dir):
     edges, owners, nodes_ = _flow_parts(spark, sf_dir)
-    li = read(spark, sf_dir, "lineitem").where("l_linenumber < 3")
+    li = read(spark, sf_dir, "lineitem")
     ends = li.select(F.concat(F.lit("c"), F.col("l_suppkey") % 20).alias("component"), F.concat(F.lit("/t"), F.col("l_partkey") % 50).alias("topic"), F.when(F.col("l_returnflag") == "R", "publishes").otherwise("subscribes").alias("role"), F.lit("").alias("evidence"), F.col("l_orderkey").alias("ord"))
     return r.confirm_flows(r.flows(edges, owners, nodes_), owners, r.links(ends))
 
@@ -215,10 +215,22 @@ def j31_assignments(spark, sf_dir):
     return r.covariance_assignments(lines_of(spark, sf_dir).withColumn("text", text))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {_LINES}, w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), tw AS (SELECT right(w, 3) AS term, 2 AS strength FROM w UNION SELECT w, 1 FROM w),
+  te AS (SELECT term, strength, row_number() OVER (ORDER BY strength DESC, term) AS prio FROM tw),
+  u AS (SELECT doc, ln, lower(text) AS low FROM lines WHERE NOT regexp_matches(text, '^\s*(#|//|\*|import\b|from\b\s+\S+\s+import\b|\s*<!--)')),
+  h AS (SELECT doc, prio, list_sort(list(ln)) AS lns FROM u JOIN te ON contains(low, term) GROUP BY doc, prio),
+  st AS (SELECT doc, 0::BIGINT AS k, []::BIGINT[] AS claimed, NULL::BIGINT AS pick FROM (SELECT DISTINCT doc FROM h)
+    UNION ALL SELECT doc, k, CASE WHEN pick IS NULL THEN claimed ELSE list_append(claimed, pick) END, pick FROM (
+      SELECT st.doc, st.k + 1 AS k, claimed, list_filter(h.lns, lambda l: len(list_filter(claimed, lambda c: abs(l - c) <= 5)) = 0)[1] AS pick
+      FROM st LEFT JOIN h ON h.doc = st.doc AND h.prio = st.k + 1 WHERE st.k < (SELECT count(*) FROM te))),
+  sp AS (SELECT doc, pick AS ln, term, row_number() OVER (PARTITION BY doc ORDER BY strength DESC, pick) AS place FROM st JOIN te ON prio = k WHERE pick IS NOT NULL)
+  SELECT doc, 'text' AS path, ln::INTEGER AS ln, term, place::INTEGER AS place, greatest(ln - 5, 1)::INTEGER AS first, (ln + 5)::INTEGER AS last FROM sp WHERE place <= 3""")
 def j29_neighbourhood(spark, sf_dir):
+    """The words of all parts' names, and as parameters their last three letters, in all documents."""
     lines = lines_of(spark, sf_dir).withColumn("path", F.lit("text")).withColumn("rank", F.lit(0))
-    terms = spark.createDataFrame([("licensed", 2, 0), ("token", 2, 1), ("tion", 1, 2), ("the", 1, 3)], "term string, strength int, prio int")
+    words = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term"))
+    both = words.select(F.right("term", F.lit(3)).alias("term"), F.lit(2).alias("strength")).unionByName(words.select("term", F.lit(1).alias("strength"))).distinct()
+    terms = both.select("term", "strength", F.row_number().over(Window.orderBy(F.desc("strength"), "term")).alias("prio"))
     return r.evidence(lines, terms).select("doc", "path", "ln", "term", "place", "first", "last")
 
 

@@ -129,6 +129,37 @@ def w6_carry_forward(spark, sf_dir):
     return w.carry_forward(e, "user_id", ["ts", "event_id"], F.when(F.col("event_type") == "signup", F.col("event_id")), "scope").select("event_id", "scope")
 
 
+#: A document with brackets, keys and comments planted, by document and line.
+_PLANTED = """pl AS (SELECT doc_id AS doc, i AS ln, CASE WHEN (doc_id + i) % 11 = 3 THEN 'node_' || (i % 7) || ':' WHEN (doc_id + i) % 7 = 1 THEN 'gain' || i || ': [1.0, ' || substr(l, 1, 20)
+    WHEN (doc_id + i) % 7 = 2 THEN '  - [' || substr(l, 1, 5) WHEN (doc_id + i) % 7 = 4 THEN '  ' || substr(l, 1, 9) || '] # ' || l WHEN (doc_id + i) % 7 = 5 THEN '  rate_' || i || ' : ' || l ELSE l END AS text
+  FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)))"""
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+
+
+@query(rf"""WITH RECURSIVE {_PLANTED}, c AS (SELECT doc, ln, rtrim(split_part(text, '#', 1), {_BLANKS}) AS x FROM pl),
+  k AS (SELECT doc, ln, x, ltrim(x, {_BLANKS}) AS bare, row_number() OVER (PARTITION BY doc ORDER BY ln) AS n, regexp_extract(x, '^([A-Za-z_/*"''][^:\s]*)\s*:$', 1) AS key,
+    regexp_extract(x, '^\s*([A-Za-z_][\w/]*)\s*:\s*(\S.*)$', 1) AS name, regexp_extract(x, '^\s*([A-Za-z_][\w/]*)\s*:\s*(\S.*)$', 2) AS value,
+    length(x) - length(replace(x, '[', '')) - length(x) + length(replace(x, ']', '')) AS step FROM c WHERE trim(x, {_BLANKS}) <> ''),
+  st AS (SELECT doc, 0::BIGINT AS n, '' AS scope, 0::BIGINT AS depth, NULL::BIGINT AS spot, '' AS name, '' AS part FROM (SELECT DISTINCT doc FROM k)
+    UNION ALL SELECT k.doc, k.n, CASE WHEN st.depth <= 0 AND key <> '' THEN key ELSE scope END,
+      CASE WHEN st.depth > 0 THEN greatest(st.depth + step, 0) WHEN key = '' AND k.name <> '' AND value NOT IN ('|', '>') THEN greatest(step, 0) ELSE 0 END,
+      CASE WHEN st.depth > 0 THEN spot WHEN key = '' AND k.name <> '' AND value NOT IN ('|', '>') THEN k.ln END,
+      CASE WHEN st.depth > 0 THEN st.name ELSE k.name END, CASE WHEN st.depth > 0 THEN bare ELSE value END
+    FROM st JOIN k ON k.doc = st.doc AND k.n = st.n + 1)
+  SELECT doc, spot::INTEGER AS ln, any_value(scope) AS scope, any_value(name) AS name, string_agg(part, ' ' ORDER BY n) AS value FROM st WHERE spot IS NOT NULL GROUP BY doc, spot""")
+def w6_folded_values(spark, sf_dir):
+    text, i = F.col("text"), F.col("doc") + F.col("ln")
+    planted = (
+        F.when(i % 11 == 3, F.concat(F.lit("node_"), F.col("ln") % 7, F.lit(":")))
+        .when(i % 7 == 1, F.concat(F.lit("gain"), "ln", F.lit(": [1.0, "), F.substring(text, 1, 20)))
+        .when(i % 7 == 2, F.concat(F.lit("  - ["), F.substring(text, 1, 5)))
+        .when(i % 7 == 4, F.concat(F.lit("  "), F.substring(text, 1, 9), F.lit("] # "), text))
+        .when(i % 7 == 5, F.concat(F.lit("  rate_"), "ln", F.lit(" : "), text))
+        .otherwise(text)
+    )
+    return w.folded_values(lines_of(spark, sf_dir).withColumn("text", planted))
+
+
 STOP = "[" + ", ".join(f"'{w}'" for w in sorted(CONTENT_STOPWORDS)) + "]"
 _TOK = f"""st AS (SELECT unnest({STOP}) AS w),
   tok AS (SELECT DISTINCT conv_id AS doc, turn AS item, unnest(regexp_extract_all(lower(text), '([a-z_][a-z0-9_]{{2,}})', 1)) AS token FROM conversations),
@@ -237,12 +268,36 @@ def f22_source_derives(spark, sf_dir):
     return q.source_derives(read(spark, sf_dir, "documents").select(i.alias("id"), title.alias("title"), F.concat("text", extra).alias("body")))
 
 
-@query(f"""WITH {REQ} SELECT p_partkey::BIGINT AS id, CASE WHEN p_size % 10 = 0 OR p_partkey % 9 = 0 OR EXISTS (SELECT 1 FROM req JOIN part q ON q.p_partkey = req.dst WHERE req.src = p.p_partkey AND q.p_size % 10 = 0) THEN 'derivation' ELSE 'definition' END AS expected FROM part p""")
+_KINDS = f"""{REQ}, pn AS (SELECT p_partkey::BIGINT AS id, p_size % 10 = 0 AS tech, p_size % 4 = 0 AS whole, p_partkey % 9 = 0 AS derives FROM part WHERE p_partkey % 12 <> 11),
+  al AS (SELECT p_partkey::BIGINT AS id FROM part), k AS (SELECT al.id, pn.id IS NOT NULL AS node, coalesce(tech, FALSE) OR EXISTS (SELECT 1 FROM req JOIN pn q ON q.id = req.dst WHERE req.src = al.id AND q.tech) AS structural, al.id % 9 = 0 AS derives, whole
+  FROM al LEFT JOIN pn ON pn.id = al.id)"""
+
+
+def _canon(spark, sf_dir):
+    """Parts but each twelfth as nodes, and the ids of all."""
+    p, i = read(spark, sf_dir, "part"), F.col("p_partkey").cast("long").alias("id")
+    tier = F.when(F.col("p_size") % 4 == 0, "derivation").otherwise("statement")
+    n = p.where("p_partkey % 12 <> 11").select(i, F.when(F.col("p_size") % 10 == 0, "technique").otherwise("concept").alias("type"), tier.alias("tier"))
+    return n, p.select(i)
+
+
+@query(f"WITH {_KINDS} SELECT id, CASE WHEN NOT node OR structural OR derives THEN 'derivation' ELSE 'definition' END AS expected FROM k")
 def f21_expected_kind(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    i = F.col("p_partkey").cast("long").alias("id")
-    n = p.select(i, F.when(F.col("p_size") % 10 == 0, "technique").otherwise("concept").alias("type"))
-    return q.expected_kind(n, requires(spark, sf_dir), p.select(i, (F.col("p_partkey") % 9 == 0).alias("derives")))
+    n, every = _canon(spark, sf_dir)
+    return q.expected_kind(n, requires(spark, sf_dir), every.select("id", (F.col("id") % 9 == 0).alias("derives")))
+
+
+@query(f"WITH {_KINDS} SELECT id, node AND NOT structural AND NOT whole AS suffices FROM k")
+def p12_statement_suffices(spark, sf_dir):
+    n, every = _canon(spark, sf_dir)
+    return q.statement_suffices(n, requires(spark, sf_dir), every)
+
+
+@query(f"WITH {_KINDS} SELECT id, (NOT node OR structural) AND (id % 5 < 2 OR id % 3 > 0) AS needs FROM k")
+def p12_needs_better_sources(spark, sf_dir):
+    n, every = _canon(spark, sf_dir)
+    records = every.select("id", F.when(F.col("id") % 5 < 2, "definition").otherwise("derivation").alias("kind"), F.when(F.col("id") % 3 == 0, True).when(F.col("id") % 3 == 1, False).alias("grounded"))
+    return q.needs_better_sources(records, n, requires(spark, sf_dir))
 
 
 @query("SELECT doc_id AS doc, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents) GROUP BY doc_id")

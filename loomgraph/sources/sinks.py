@@ -73,8 +73,12 @@ def write_json(frame: DataFrame, path: str) -> None:
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    """The one writer of the curated edges: sorted by cluster, source and target, overwritten whole."""
-    edges.orderBy("cluster", "src", "dst").coalesce(1).write.mode("overwrite").json(path)
+    """The one writer of the curated edges: overwritten whole, sorted by cluster, source and target.
+
+    Files hold successive ranges of that order, each written by a task of its own.
+    """
+    order = ["cluster", "src", "dst"]
+    edges.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").json(path)
 
 
 def append_flags(old: DataFrame, new: DataFrame, round_: int) -> DataFrame:
