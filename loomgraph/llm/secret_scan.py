@@ -14,8 +14,10 @@ Comments and the insides of strings are lexed as text of their own, so what is a
 there counts. A literal is scored by what the names bound to it say (sensitive words,
 whole or as parts of a compound name) and by its own form (length, character classes,
 entropy, a private key's head line); literals above ``THRESHOLD`` become ``lexed`` spans.
-Every step is linear in the text and nothing has a length limit. Three base kinds are
-always reported:
+A value that is made of others keeps references to them and its last
+``WINDOW`` literals, whose forms are judged together; what lies further back is judged with
+the value it came from. So every step is linear in the text, however names take each other's
+values, and nothing has a length limit. Three base kinds are always reported:
 
 * assign: ``(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)``
   in either case of ASCII letters, kept where group 2 has 8 characters or more;
@@ -116,6 +118,54 @@ Span = tuple[int, int]
 WINDOW = 16
 
 
+class Value:
+    """A sequence of literals: its last ones, and the values that it was made of if there are more.
+
+    ``weight`` is what the names bound to it say, the most sensitive one.
+    """
+
+    __slots__ = ("count", "kids", "tail", "weight")
+
+    def __init__(self, tail: tuple[Span, ...], count: int, kids: tuple[Value, ...] = ()):
+        self.tail, self.count, self.kids, self.weight = tail, count, kids, 0.0
+
+
+class Values:
+    """All values of a text, each after those that it was made of."""
+
+    def __init__(self):
+        self.all: list[Value] = []
+
+    def _new(self, *args) -> Value:
+        self.all.append(Value(*args))
+        return self.all[-1]
+
+    def literal(self, span: Span) -> Value:
+        return self._new((span,), 1)
+
+    def joined(self, parts: list[Value]) -> Value | None:
+        """The parts in a row."""
+        if len(parts) < 2:
+            return parts[0] if parts else None
+        count, tail = sum(p.count for p in parts), []
+        for p in reversed(parts):
+            tail = [*p.tail[-(WINDOW - len(tail)) :], *tail]
+            if len(tail) >= WINDOW:
+                break
+        if count <= WINDOW:
+            return self._new(tuple(tail), count)
+        kids = parts if len(parts) <= WINDOW else [self.joined(parts[k : k + WINDOW]) for k in range(0, len(parts), WINDOW)]
+        return self._new(tuple(tail), count, tuple(kids))
+
+
+#: Between two terms: either may be the value.
+_CHOICE = re.compile(r"\?|\|\|")
+CHOICES = frozenset(["or", "else", "and", "orelse", "default"])
+#: Calls whose last argument is the value if there is no other.
+LOOKUPS = frozenset("getenv get getorelse getordefault getattr env environ getproperty getstring config default".split())
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*(?:#[^\n]*)?\n")
+
+
 class Lexer:
     """Tokens of one piece of text and the pairs that they make.
 
@@ -123,8 +173,8 @@ class Lexer:
     whole document, so spans need no shifting for pieces inside comments and strings.
     """
 
-    def __init__(self, text: str, begin: int, end: int, made: int = 0):
-        self.text, self.kind, self.at = text, [], []
+    def __init__(self, text: str, begin: int, end: int, values: Values):
+        self.text, self.kind, self.at, self.values = text, [], [], values
         self.inside: list[Span] = []
         for m in _TOKEN.finditer(text, begin, end):
             kind = m.lastgroup
@@ -139,8 +189,6 @@ class Lexer:
         self.kind.append("end")
         self.at.append((end, end))
         self.begins = [a for a, _ in self.at]
-        #: Literals in the text so far, of all pieces.
-        self.made = made + self.kind.count("string") + self.kind.count("=") + self.kind.count(":")
         #: For an opening mark of a comment, the token after its closing mark.
         self.after: dict[int, int] = {}
         last = None
@@ -187,10 +235,10 @@ class Lexer:
             k = self.after[k]
         return k
 
-    def value(self, k: int, bound: dict[str, list[Span]]) -> tuple[list[Span], int]:
-        """(spans of the literals of the expression at token k, the token after it)."""
+    def value(self, k: int, bound: dict[str, Value]) -> tuple[Value | None, int]:
+        """(literals of the expression at token k, the token after it)."""
         kind, text = self.kind, self.text
-        spans: list[Span] = []
+        parts: list[Value] = []
         while True:
             k = self._skip(k)
             # Casts, brackets and conversion calls before a term.
@@ -205,34 +253,109 @@ class Lexer:
                     break
                 k = self._skip(k)
             if kind[k] == "string":
-                spans.append(self._body(*self.at[k]))
+                parts.append(self.values.literal(self._body(*self.at[k])))
                 k += 1
                 while kind[k] == "string" and self._near(k):  # literals side by side
-                    spans.append(self._body(*self.at[k]))
+                    parts.append(self.values.literal(self._body(*self.at[k])))
                     k += 1
             elif kind[k] == "name":
                 name = text[slice(*self.at[k])]
                 known = bound.get(name) or bound.get(_last(name))
                 if known is None or kind[k + 1] in ("(", "["):
-                    return spans, k
-                if not spans and kind[k + 1] != "+":
-                    return known, k + 1
-                spans += known
-                if len(spans) > 2 * self.made + 64:  # a name added to itself again and again
-                    spans = list(dict.fromkeys(spans))
+                    break
+                parts.append(known)
                 k += 1
             else:
-                return spans, k
+                break
             more = k
             while kind[more] == ")":
                 more += 1
             if kind[more] == "end" and kind[more + 1 : more + 2] == ["+"]:
                 more += 1
             if kind[more] != "+":
-                return spans, k
+                break
             k = more + 1
             if kind[k] == "end" and k + 1 < len(kind):
                 k += 1
+        return self.values.joined(parts), k
+
+    def choices(self, k: int, bound: dict[str, Value]) -> tuple[list[Value], int]:
+        """(values that the expression at token k may have, the token after it) for a choice or a lookup's default."""
+        kind, text = self.kind, self.text
+        found: list[Value] = []
+        depth, offered, asked, calls = 0, False, False, []
+        begin = k
+        while k < len(kind) - 1 and kind[k] not in ("end", ";", "=", ":=", "=>", "+="):
+            gap = text[self.at[k - 1][1] : self.at[k][0]] if k > begin else ""
+            if _CHOICE.search(gap):
+                offered, asked = True, asked or "?" in gap
+            what = kind[k]
+            if what in "([{":
+                calls.append(kind[k - 1] == "name" and k > begin and _last(text[slice(*self.at[k - 1])]).lower() in LOOKUPS)
+                depth += 1
+            elif what in ")]}":
+                depth -= 1
+                if depth < 0:
+                    break
+                calls.pop()
+            elif what == ",":
+                if depth == 0:
+                    break
+                offered = calls[-1]
+            elif what == ":" and asked:
+                offered = True
+            elif what == "name" and text[slice(*self.at[k])].lower() in CHOICES:
+                offered = True
+            elif what == "string":
+                here = offered or (k == begin and kind[k + 1] == "name" and text[slice(*self.at[k + 1])] == "if")
+                if here and (depth == 0 or calls[-1]):
+                    value, after = self.value(k, bound)
+                    found.append(value)
+                    offered, k = False, max(after, k + 1)
+                    continue
+                offered = False
+            elif what == "name" and offered and (depth == 0 or calls[-1]) and kind[k + 1] not in ("(", "["):
+                name = text[slice(*self.at[k])]
+                known = bound.get(name) or bound.get(_last(name))
+                if known is not None:
+                    found.append(known)
+                    offered = False
+            k += 1
+        return found, k
+
+    def targets(self, k: int) -> list[str]:
+        """The names of a tuple that the equals sign at token k assigns to, from the beginning of its line; empty if there is one name."""
+        kind, text = self.kind, self.text
+        names, j = [], k - 1
+        while j >= 0 and kind[j] == "name" and self._near(j + 1):
+            names.append(text[slice(*self.at[j])])
+            if j == 0 or kind[j - 1] in ("end", ";"):
+                return names[::-1] if len(names) > 1 else []
+            if kind[j - 1] != ",":
+                return []
+            j -= 2
+        return []
+
+    def block(self, at: int, end: int, key: int) -> Span | None:
+        """The indented lines of a block scalar that ``|`` or ``>`` at ``at`` opens for the key at ``key``."""
+        m = _BLOCK.match(self.text, at, end)
+        if not m:
+            return None
+        line = self.text.rfind("\n", 0, key) + 1
+        margin = len(self.text[line:key]) - len(self.text[line:key].lstrip(" -"))
+        first, last, at = None, None, m.end()
+        while at < end:
+            stop = self.text.find("\n", at, end)
+            stop = end if stop < 0 else stop
+            row = self.text[at:stop]
+            bare = row.strip()
+            if bare:
+                if len(row) - len(row.lstrip(" \t")) <= margin:
+                    break
+                first = at + row.index(bare) if first is None else first
+                last = at + row.index(bare) + len(bare)
+            at = stop + 1
+        return None if first is None else (first, last)
 
     def bare(self, at: int, end: int) -> Span | None:
         """An unquoted value that begins at ``at``; no call, index or tag."""
@@ -246,15 +369,22 @@ def _last(name: str) -> str:
     return re.split(r"\.|->|::", name)[-1]
 
 
-def pairs(text: str):
-    """(name, spans of its literals, whether the name's own former literals lead) in order."""
-    bound: dict[str, list[Span]] = {}
+def pairs(text: str, values: Values):
+    """(name, value) of every binding in order."""
+    bound: dict[str, Value] = {}
     todo = [(0, len(text))]
-    made = 0
+
+    def bind(name, value):
+        if value is None:
+            bound.pop(name, None)
+            return
+        bound[name] = value
+        bound[_last(name)] = value
+
     for begin, end in todo:
-        lex = Lexer(text, begin, end, made)
-        made = lex.made
+        lex = Lexer(text, begin, end, values)
         todo += lex.inside
+        barren = 0  # tokens before it hold no choice
         kind, at = lex.kind, lex.at
         k = 0
         while k < len(kind) - 1:
@@ -277,28 +407,56 @@ def pairs(text: str):
             if name is None:
                 k += 1
                 continue
+            if what in ("=", ":="):
+                names = lex.targets(k)
+                if names:
+                    own, j = [], k + 1
+                    while len(own) < len(names):
+                        value, j = lex.value(j, bound)
+                        while kind[j] not in (",", "end", ";") and j < len(kind) - 1:
+                            j += 1
+                        own.append(value)
+                        if kind[j] != ",":
+                            break
+                        j += 1
+                    if len(own) == len(names):
+                        for n, value in zip(names, own):
+                            bind(n, value)
+                            if value is not None:
+                                yield n, value
+                        k = max(j, k + 1)
+                        continue
             first = lex._skip(start)
             blank = text[at[start - 1][1] : at[first][0]] if first == start else ""
-            spans, after = lex.value(first, bound)
-            if not spans:
-                # Unquoted: what stands right after the operator on its line.
+            value, after = lex.value(first, bound)
+            more, beyond = lex.choices(first, bound) if "\n" not in blank and first >= barren else ([], after)
+            if not more:
+                barren = max(barren, beyond)
+            else:
+                after = max(after, beyond)
+                for other in more:
+                    yield name, other
+                if value is None:
+                    value = more[0]
+            if value is None:
+                # Unquoted: what stands right after the operator on its line, or a block below it.
                 a = at[start - 1][1]
                 while a < end and text[a] in " \t":
                     a += 1
-                value = lex.bare(a, end)
-                if value and "\n" not in blank:
-                    spans = [value]
-                    after = max(after, bisect_right(lex.begins, value[1] - 1))
-            grown = name in bound and (what == "+=" or text[slice(*at[first])] == name)
-            if what == "+=" and spans:
-                spans = bound.get(name, []) + spans
+                span = lex.bare(a, end)
+                if "\n" in blank:
+                    span = None
+                if span is None and what == ":":
+                    span = lex.block(a, end, at[k - 1][0])
+                if span:
+                    value = values.literal(span)
+                    after = max(after, bisect_right(lex.begins, span[1] - 1))
+            if what == "+=" and value is not None and name in bound:
+                value = values.joined([bound[name], value])
             k = max(after, start) if stated is None else stated  # what stands before the equals sign is a target, too
-            if spans:
-                bound[name] = spans
-                bound[_last(name)] = spans
-                yield name, spans, grown
-            else:
-                bound.pop(name, None)
+            bind(name, value)
+            if value is not None:
+                yield name, value
     for m in _TAG.finditer(text):
         a, b = m.span(2)
         while a < b and text[a].isspace():
@@ -306,7 +464,7 @@ def pairs(text: str):
         while a < b and text[b - 1].isspace():
             b -= 1
         if a < b:
-            yield m[1], [(a, b)], False
+            yield m[1], values.literal((a, b))
 
 
 def lexed_spans(text: str) -> list[Span]:
@@ -314,21 +472,19 @@ def lexed_spans(text: str) -> list[Span]:
     low = text.lower()
     if not any(w in low for w in STEMS):
         return []
+    values = Values()
+    for name, value in pairs(text, values):
+        value.weight = max(value.weight, name_score(name))
     score: dict[Span, float] = {}
-    done: dict[int, tuple[float, list[Span]]] = {}
-    for name, spans, grown in pairs(text):
-        weight = name_score(name)
-        if not weight or done.get(id(spans), (0.0, spans))[0] >= weight:
+    for value in reversed(values.all):  # a value comes before those that are made of it
+        if not value.weight:
             continue
-        if not grown:
-            done[id(spans)] = weight, spans
-        # Values of very many literals are scored by windows; a grown one by its end, the rest has been.
-        for at in range(max(0, len(spans) - WINDOW) if grown else 0, len(spans), WINDOW):
-            part = spans[at : at + WINDOW]
-            form = literal_score("".join(text[a:b] for a, b in part))
-            for s in part:
-                if form and s[1] > s[0]:
-                    score[s] = max(score.get(s, 0.0), weight + form)
+        for kid in value.kids:
+            kid.weight = max(kid.weight, value.weight)
+        form = literal_score("".join(text[a:b] for a, b in value.tail))
+        for s in value.tail:
+            if form and s[1] > s[0]:
+                score[s] = max(score.get(s, 0.0), value.weight + form)
     return sorted(s for s, x in score.items() if x >= THRESHOLD)
 
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import logging
 import struct
 import uuid
 import zlib
@@ -37,6 +38,8 @@ from ..sources.tables import Scratch
 
 MEMBER_BYTES = 4 << 20
 RANGE_BYTES = 4 << 20
+#: Up to so many repeated payloads (some 60 bytes each) are broadcast.
+BROADCAST_SHARED = 1_000_000
 _B32_FROM, _B32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _LOCAL, _CENTRAL, _END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
 _END64, _LOCATOR64 = b"PK\x06\x06", b"PK\x06\x07"
@@ -208,11 +211,18 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0, scratch: Scratch | None
         .groupBy("payload_digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
     )
-    # Only payloads that occur more than once; written, so that the join knows their size.
+    # Only payloads that occur more than once, with their count; pages meet them where they are if a
+    # count allows it. Else those with more than a thousandth of the pages are broadcast, a thousand
+    # at most, so that no task gets the pages of a frequent payload, and the others are shuffled.
     shared = scratch.save(shared, "shared")
-    joined = full.join(shared, "payload_digest", "left")
+    if shared.count() <= BROADCAST_SHARED:
+        joined = full.join(F.broadcast(shared), "payload_digest", "left")
+    else:
+        bound = pages.count() / 1000
+        hot, cold = F.broadcast(shared.where(F.col("n") > bound)), shared.where(F.col("n") <= bound)
+        rest = full.join(hot.select("payload_digest"), "payload_digest", "left_anti")
+        joined = full.join(hot, "payload_digest").unionByName(rest.join(cold, "payload_digest", "left"))
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id",
@@ -346,7 +356,8 @@ def _reachable(path: str) -> bool:
         with open_source(path) as source:
             source.read(1)
         return True
-    except Exception:  # noqa: BLE001  any failure means that Spark's reader is the way
+    except (OSError, ValueError, ImportError, NotImplementedError) as e:  # no such store here: Spark's reader is the way
+        logging.getLogger(__name__).warning("archives are read whole, as %s can't be opened here: %s", path, e)
         return False
 
 

@@ -267,7 +267,7 @@ def test_lexed_secrets_of_random_programs():
         assert {(a, b) for k, a, b in secret_scan.scan(text) if k == "lexed"} == want, text
 
 
-@pytest.mark.parametrize("part", ["\\'", '"""\\"', "/*", "<a ", "key = (", "<secret>", "`'\"", "secret = a + ", "secret[ ", "secret: a[,", "a.b-", "secret=", "key('x', "])
+@pytest.mark.parametrize("part", ["\\'", '"""\\"', "/*", "<a ", "key = (", "<secret>", "`'\"", "secret = a + ", "secret[ ", "secret: a[,", "a.b-", "secret=", "key('x', ", "token = k + 'Abc1'\nk = token + 'Def2'\n", "token = token + token + 'a'\n", "secret = a or b ? ", "key: x ? ", "a, token = ", "token: |\n  "])
 def test_lexing_is_linear(part):
     import time
 
@@ -276,6 +276,41 @@ def test_lexing_is_linear(part):
     assert time.process_time() - began < 20
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "signing_key, other = S, 'x'", "other, signing_key = 'x', S", "api_secret = c ? S : 'y'", "api_secret = c ? 'y' : S;", "auth_token = x or S",
+        "auth_token = x || S", "auth_token = x ?? S", "api_secret = os.getenv('API_SECRET', S)", "api_secret = config.get('a', S)",
+        "api_secret = S if c else 'no'", "api_secret = 'no' if c else S", "k = S\napi_secret = c or k", "api_secret: 'no' if c else S",
+    ],
+)
+def test_choices_defaults_and_tuples(text):
+    secret = "aB3dE5gH7jK9mN1pQ3sT5"
+    text = text.replace("S", "'" + secret + "'") if "API_S" not in text else text.replace(" S)", f" '{secret}')")
+    assert [text[a:b] for k, a, b in secret_scan.scan(text) if k == "lexed"] == [secret]
+
+
+def test_block_scalars():
+    def lexed(t):
+        return [t[a:b] for k, a, b in secret_scan.scan(t) if k == "lexed"]
+
+    secret = "aB3dE5gH7jK9mN1pQ3sT5"
+    assert lexed(f"private_key: |\n  {secret}\n\n  {secret}\nnext: 1") == [f"{secret}\n\n  {secret}"]
+    assert lexed(f"  - signing_key: >-  # folded\n      {secret}\n    other: {secret}") == [secret]
+    assert lexed(f"private_key: |\nnext: {secret}") == [] and lexed("private_key: |") == []
+    assert lexed(f"api_secret = foo(bar, '{secret}')") == [] and lexed("const apiSecret = cond ? A : B") == []
+
+
+def test_names_that_take_each_other_in_turn():
+    """A megabyte of it; every literal is part of both names' values, however far back it was taken."""
+    import time
+
+    text = "".join('token = pass_key + "Abc1"\npass_key = token + "Def2"\n' for _ in range(20_000))
+    began = time.process_time()
+    found = secret_scan.lexed_spans(text)
+    assert time.process_time() - began < 5 and len(found) > 39_990
+
+
 def test_long_literals_are_lexed_whole():
     import random
     import time
@@ -444,6 +479,18 @@ def test_urls_without_rules(spark):
 # -- archives --------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("bound", [warc.BROADCAST_SHARED, 0])
+def test_frequent_payloads(spark, monkeypatch, bound):
+    """Most pages are empty or equal; whether their digests are broadcast or not, the same pages answer."""
+    monkeypatch.setattr(warc, "BROADCAST_SHARED", bound)
+    rows = [(k, f"http://x/{k}", None if k % 3 == 0 else "same" if k % 3 == 1 else f"own {k // 6}") for k in range(60)]
+    first = {}
+    for k, _, html in rows:
+        first.setdefault(html or "", k)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: ("response", None) if first[html or ""] == k else ("revisit", first[html or ""]) for k, _, html in rows}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(9)
     pool = ["<p>a</p>", "", None, "éü" * 50, "x" * 200000]
