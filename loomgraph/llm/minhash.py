@@ -27,7 +27,7 @@ reaches ``percent`` hundredths. The steps:
    by a broadcast.
 
 The number of chunks is the least from 8 up that a pair at the threshold exceeds with
-probability under 1e-5 (6e-6 for 85 with 8 chunks, 4e-6 for 80 with 11), the bit bound is
+probability under 1e-5 (4e-6 for 85 with 8 chunks, 9e-6 for 80 with 11), the bit bound is
 passed with about 1e-5; pairs above the threshold escape far less often. Links below it
 can't come out.
 
