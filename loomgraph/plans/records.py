@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records as r
 from ..sources import sinks
+from ..sources.keyed import KeyedTable
 from ..sources.tables import Scratch, read
 from .bindings import NODES, REQ, nodes, requires
 from .registry import query
@@ -224,7 +225,18 @@ def k5_upsert(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("node"))
     sinks.upsert(c.withColumn("state", F.lit("old")), scratch.path("rows"), "node")
     sinks.upsert(c.where("node < 10").withColumn("state", F.lit("new")), scratch.path("rows"), "node")
-    return spark.read.parquet(scratch.path("rows")).select("id", "state", F.col("node").cast(dict(c.dtypes)["node"]).alias("node"))
+    return KeyedTable(spark, scratch.path("rows"), "node").read().select("id", "state", "node")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey % 11 <> 0 OR c_custkey % 7 = 0")
+def k5_keyed_merge(spark, sf_dir):
+    """All customers by key: each eleventh is dropped, then each seventh comes anew."""
+    table = KeyedTable(spark, Scratch(spark, "keyed").path("rows"), "id")
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    table.merge(c)
+    table.merge(c.limit(0), drop=c.where("id % 11 = 0"))
+    table.merge(c.where("id % 7 = 0").withColumn("balance", F.col("balance") + 1))
+    return table.read()
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 2 END AS turn FROM supplier")
@@ -233,7 +245,7 @@ def k8_resume(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     sinks.resume(s.where("id % 3 = 0"), scratch.path("rows"), "id", lambda x: x.withColumn("turn", F.lit(1)))
     sinks.resume(s, scratch.path("rows"), "id", lambda x: x.withColumn("turn", F.lit(2)))
-    return spark.read.parquet(scratch.path("rows"))
+    return KeyedTable(spark, scratch.path("rows"), "id").read()
 
 
 @query("SELECT doc_id AS id, CASE WHEN quality = 0 AND toxic = 0 THEN 'grounded' WHEN quality = 0 THEN 'error' ELSE 'known_absent' END AS state, CASE WHEN quality = 0 AND toxic = 0 THEN 'found' ELSE 'none' END AS source FROM labels")

@@ -1,12 +1,14 @@
-"""Writers: exports, keyed overwrites, accumulating flags and resumable appends."""
+"""Writers: exports, keyed overwrites, accumulating flags and resumable work."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keyed import KeyedTable
+
 #: Order of tiers in exports; it differs from the order in which they are documented.
 TIER_RANK = {"assumed": 0, "statement": 1, "derivation": 2, "claim": 3}
 STATE_RANK = {"": 0, "declared": 1, "read": 2, "demonstrated": 3}
@@ -86,21 +88,14 @@ def append_flags(old: DataFrame, new: DataFrame, round_: int) -> DataFrame:
     return old.where(F.col("round") < round_).unionByName(new.withColumn("round", F.lit(round_)))
 
 
-def upsert(frame: DataFrame, path: str, key: str) -> None:
-    """Keyed overwrite: one partition folder for each key that ``frame`` has, others untouched."""
-    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def upsert(frame: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Keyed overwrite: the rows of every key that ``frame`` has are replaced by its own, others untouched."""
+    KeyedTable(frame.sparkSession, path, key, buckets).merge(frame)
 
 
-def resume(todo: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame]) -> int:
-    """Does what is not in the Parquet table at ``path`` yet and appends it; returns how many keys it did."""
-    spark: SparkSession = todo.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        todo = todo.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
-    n = todo.select(key).distinct().count()
-    if n:
-        work(todo).write.mode("append").parquet(path)
-    return n
+def resume(todo: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], buckets: int = 64) -> int:
+    """Does what is not in the keyed table at ``path`` yet and adds it, whole or not at all; returns how many keys it did."""
+    return KeyedTable(todo.sparkSession, path, key, buckets).resume(todo, work)
 
 
 def library_slice(sources: DataFrame, pins: DataFrame) -> DataFrame:

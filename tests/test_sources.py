@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import profile as p
 from loomgraph.sources import documents, parsers, repository, sinks, web
+from loomgraph.sources.keyed import KeyedTable
 from loomgraph.streaming import events as s
 
 PARAMS = """# comment
@@ -187,10 +188,10 @@ def test_sinks(spark, tmp_path):
     work = lambda f: f.withColumn("w", F.col("v") * 2)
     assert sinks.resume(rows, f"{at}/r", "k", work) == 2
     assert sinks.resume(rows.unionByName(spark.createDataFrame([("c", 3)], "k string, v int")), f"{at}/r", "k", work) == 1
-    assert sinks.resume(rows, f"{at}/r", "k", work) == 0 and spark.read.parquet(f"{at}/r").count() == 3
+    assert sinks.resume(rows, f"{at}/r", "k", work) == 0 and KeyedTable(spark, f"{at}/r", "k").read().count() == 3
     sinks.upsert(rows, f"{at}/u", "k")
     sinks.upsert(spark.createDataFrame([("a", 9)], "k string, v int"), f"{at}/u", "k")
-    assert dict((r.k, r.v) for r in spark.read.parquet(f"{at}/u").collect()) == {"a": 9, "b": 2}
+    assert dict((r.k, r.v) for r in KeyedTable(spark, f"{at}/u", "k").read().collect()) == {"a": 9, "b": 2}
     old = spark.createDataFrame([("x", 1), ("y", 2)], "flag string, round int")
     assert {(r.flag, r["round"]) for r in sinks.append_flags(old, spark.createDataFrame([("z",)], "flag string"), 2).collect()} == {("x", 1), ("z", 2)}
     src = spark.createDataFrame([("p", "/* Copyright me */\nl2\nl3")], "path string, text string")
