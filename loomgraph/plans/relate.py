@@ -9,7 +9,8 @@ from ..functions import text as t
 from ..functions.fixed import CONTENT_STOPWORDS, GENERIC_WORDS, TECHNIQUE_STOPWORDS
 from ..operators import graph as g
 from ..operators import relate as r
-from ..sources.tables import read
+from ..sources import changes
+from ..sources.tables import Scratch, read
 from .bindings import ENDS, REQ, endpoints, requires
 from .registry import query
 
@@ -234,6 +235,22 @@ def j29_neighbourhood(spark, sf_dir):
     return r.evidence(lines, terms).select("doc", "path", "ln", "term", "place", "first", "last")
 
 
+@query("""WITH b AS (SELECT 'docs/' || (doc_id % 50) || '/' || doc_id || '.md' AS path, text AS t FROM documents WHERE doc_id % 10 <> 3),
+  n AS (SELECT 'docs/' || (doc_id % 50) || '/' || doc_id || '.md' AS path, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 10 <> 4)
+  SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS state, substr(sha256(n.t), 1, 16) AS hash, n.t AS text
+  FROM b FULL JOIN n ON b.path = n.path WHERE b.t IS DISTINCT FROM n.t""")
+def s1_changes(spark, sf_dir):
+    """Documents as files that are read, changed, and read again: the second reading."""
+    scratch = Scratch(spark, "files")
+    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    own = d.withColumn("path", F.concat(F.lit("docs/"), i % 50, F.lit("/"), i, F.lit(".md")))
+    changes.write_files(own.where(i % 10 != 3), scratch.path("repo"))
+    first = changes.changes(spark, scratch.path("repo"), scratch.path("state"), 10_000_000)
+    changes.write_files(own.where(i % 10 == 4).withColumn("text", F.lit(None).cast("string")), scratch.path("repo"))
+    changes.write_files(own.where((i % 10 != 4) & ((i % 7 == 0) | (i % 10 == 3))).withColumn("text", F.when(i % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), scratch.path("repo"))
+    return changes.changes(spark, scratch.path("repo"), scratch.path("state"), 10_000_000).select(*first.columns)
+
+
 @query("""WITH b AS (SELECT doc_id::VARCHAR AS path, substr(sha256(text), 1, 16) AS h FROM documents WHERE doc_id % 10 <> 3),
   n AS (SELECT doc_id::VARCHAR AS path, substr(sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END), 1, 16) AS h FROM documents WHERE doc_id % 10 <> 4)
   SELECT coalesce(b.path, n.path) AS path, CASE WHEN b.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'deleted' ELSE 'changed' END AS state FROM b FULL JOIN n ON b.path = n.path WHERE b.h IS DISTINCT FROM n.h""")
