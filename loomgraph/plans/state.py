@@ -12,6 +12,7 @@ from ..operators import windows as w
 from ..sources import sinks, web
 from ..sources.tables import read
 from ..streaming import events as s
+from ..streaming import readers
 from .bindings import NODES, REQ, nodes, requires
 from .registry import query
 from .windows import STOP
@@ -96,6 +97,16 @@ def stream_profile(spark, sf_dir):
     return last.select("user", "node", "v.state", "v.at", "v.denied")
 
 
+@query(f"{_WITH_DEPENDENTS} SELECT * FROM prof")
+def stream_suspicions(spark, sf_dir):
+    """The profiles of ``t3_reopen`` from a stream of the same events."""
+    under = readers.below(requires(spark, sf_dir), spark.range(40))
+    events = profile_events(s.stream(spark, f"{sf_dir}/events.parquet"))
+    out = s.run_to_table(readers.profiles(events, under), "update", "readers", readers.ROCKSDB)
+    last = out.groupBy("user", "node").agg(F.max_by(F.struct("state", "at", "suspect", "denied"), "_batch").alias("v"))
+    return last.select("user", "node", "v.state", "v.at", "v.suspect", "v.denied").where("state is not null or denied")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     out = s.run_to_table(s.windowed(s.stream(spark, f"{sf_dir}/events.parquet")), "complete", "windows")

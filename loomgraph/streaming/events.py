@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +74,21 @@ def profiles(events: DataFrame) -> DataFrame:
     )
 
 
-def run_to_table(frame: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a streaming query over what is there and returns what it wrote.
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str] | None):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_table(frame: DataFrame, mode: str, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs a streaming query over what is there and returns what it wrote, under settings that it needs.
 
     Each micro-batch goes to a folder of its own, so a batch done twice overwrites itself;
     in complete mode the last batch is the result.
@@ -87,8 +101,9 @@ def run_to_table(frame: DataFrame, mode: str, name: str) -> DataFrame:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(scratch.path(f"out/{number}"))
         last[0] = max(last[0], number)
 
-    q = frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with settings(spark, conf):
+        q = frame.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).start()
+        q.awaitTermination()
     if last[0] < 0:
         return spark.createDataFrame([], frame.schema)
     if mode == "complete":
