@@ -99,3 +99,20 @@ NOT_A_TITLE = (
     r"client challenge|are you a robot|captcha|wyszukiwanie)\b|^[\w.-]+\.[a-z]{2,}$|^(search|computer science|mathematics|statistics|physics)$"
 )
 SITE_SUFFIX = r"\s+(?:\||--)\s+.*$"
+
+# Fixed values. Names in package manifests and launch files, calls that leave a value open, and calls that open topics.
+DEPENDENCY_TAGS = ("depend", "build_depend", "exec_depend", "run_depend")
+PARAMETER_SUFFIXES = (".yaml", ".yml")
+SUBSTITUTIONS = ("LaunchConfiguration", "PathJoinSubstitution", "FindPackageShare", "ParameterFile")
+TOPIC_CALLS = {"create_publisher": "publishes", "create_subscription": "subscribes"}
+
+# Fixed values. Keys of documents in their addresses, which record an address cites, and suffixes of pages.
+ARXIV_KEY = r"(?i)arxiv\.org/(?:abs|pdf)/([\w.\-/]+?)(?:v\d+)?(?:\.pdf)?/?$"
+DOI_KEY = r"(?i)doi\.org/(10\.[^?#\s]+)"
+JSTOR_KEY = r"(?i)jstor\.org/stable/(\d+)"
+ISBN_KEY = r"(97[89](?:[-\s]?\d){10})"
+CITATION_KINDS = (
+    ("arxiv", r"arxiv\.org/(abs|pdf)/"), ("doi", r"(doi\.org/|/doi/)10\."), ("jstor", r"jstor\.org/stable/"),
+    ("isbn", r"isbn[:/=]?[0-9x-]{10,}"), ("pdf", r"\.pdf($|[?#])"),
+)
+PAGE_SUFFIX = r"(?i)\.(pdf|html?|php|aspx)$"

@@ -7,13 +7,16 @@ on the executors.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..operators.windows import folded_values
 from . import parsers
+from .changes import SKIPPED
 
-SKIPPED = (".git", "__pycache__", "node_modules", "build", "install", "log", ".venv")
+#: Where a line ends in a file.
+LINE_ENDS = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 LANGUAGES = {"py": "python", "cpp": "cpp", "hpp": "cpp", "h": "cpp", "cc": "cpp", "sh": "shell", "cmake": "cmake", "yaml": "yaml", "yml": "yaml", "xml": "xml"}
 
 
@@ -53,7 +56,10 @@ def parameters(files: DataFrame) -> DataFrame:
 
     Keyed by the whole path, so files of one name in two folders stay apart.
     """
-    return _rows(files, lambda t: [(k, *r) for k, r in enumerate(parsers.parameters(t))], "path string, ord int, scope string, name string, value string", r"(^|/)(config|params|param)/.*\.ya?ml$")
+    own = files.where(F.col("path").rlike(r"(^|/)(config|params|param)/.*\.ya?ml$"))
+    lines = own.select(F.col("path").alias("doc"), F.posexplode(F.split("text", LINE_ENDS)).alias("ln", "text"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("ln")) - 1
+    return folded_values(lines).select(F.col("doc").alias("path"), place.alias("ord"), "scope", "name", "value")
 
 
 def dependencies(files: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.fixed import JUNK_LINKS, NOT_A_TITLE, SITE_SUFFIX, TRUSTED_DOMAINS
+from ..functions.fixed import ARXIV_KEY, CITATION_KINDS, DOI_KEY, ISBN_KEY, JSTOR_KEY, JUNK_LINKS, NOT_A_TITLE, PAGE_SUFFIX, SITE_SUFFIX, TRUSTED_DOMAINS
 
 _SILENT = {"script", "style", "nav", "header", "footer"}
 _BLOCK = {"p", "div", "li", "ul", "ol", "tr", "table", "br", "section", "article", "pre", "blockquote"}
@@ -132,10 +132,10 @@ def external_links(pages: DataFrame, trusted=TRUSTED_DOMAINS, limit: int = 6) ->
 
 def citation_kind(url: Column) -> Column:
     """Which record a URL cites: arxiv, doi, jstor, isbn, pdf or page."""
-    low = F.lower(url)
-    return (
-        F.when(low.rlike(r"arxiv\.org/(abs|pdf)/"), "arxiv").when(low.rlike(r"(doi\.org/|/doi/)10\."), "doi").when(low.contains("jstor.org/stable/"), "jstor").when(low.rlike(r"isbn[:/=]?[0-9x-]{10,}"), "isbn").when(low.rlike(r"\.pdf($|[?#])"), "pdf").otherwise("page")
-    )
+    kind = F.lit("page")
+    for name, pattern in reversed(CITATION_KINDS):
+        kind = F.when(F.lower(url).rlike(pattern), name).otherwise(kind)
+    return kind
 
 
 def title_from_url(url: Column) -> Column:
@@ -143,17 +143,17 @@ def title_from_url(url: Column) -> Column:
     host = F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
     last = F.regexp_extract(path, r"([^/]*)$", 1)
-    stem = F.regexp_replace(F.when(last == "", host).otherwise(last), r"(?i)\.(pdf|html?|php|aspx)$", "")
+    stem = F.regexp_replace(F.when(last == "", host).otherwise(last), PAGE_SUFFIX, "")
     stem = F.trim(F.regexp_replace(stem, r"[_\-+]+", " "))
     return F.when(stem == "", host).otherwise(F.concat(stem, F.lit(" \u2014 "), host))
 
 
 def citation_key(url: Column) -> Column:
     """What identifies the document of a URL in its registry: an arXiv id, a DOI, an ISBN's digits, else null."""
-    arxiv = F.regexp_extract(url, r"(?i)arxiv\.org/(?:abs|pdf)/([\w.\-/]+?)(?:v\d+)?(?:\.pdf)?/?$", 1)
-    doi = F.url_decode(F.regexp_replace(F.regexp_extract(url, r"(?i)doi\.org/(10\.[^?#\s]+)", 1), r"%(?![0-9A-Fa-f]{2})", "%25"))
-    jstor = F.regexp_extract(url, r"(?i)jstor\.org/stable/(\d+)", 1)
-    isbn = F.regexp_replace(F.regexp_extract(url, r"(97[89](?:[-\s]?\d){10})", 1), r"\D", "")
+    arxiv = F.regexp_extract(url, ARXIV_KEY, 1)
+    doi = F.url_decode(F.regexp_replace(F.regexp_extract(url, DOI_KEY, 1), r"%(?![0-9A-Fa-f]{2})", "%25"))
+    jstor = F.regexp_extract(url, JSTOR_KEY, 1)
+    isbn = F.regexp_replace(F.regexp_extract(url, ISBN_KEY, 1), r"\D", "")
     return F.when(arxiv != "", arxiv).when(doi != "", doi).when(jstor != "", F.concat(F.lit("10.2307/"), jstor)).when(isbn != "", isbn)
 
 

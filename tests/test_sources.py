@@ -25,9 +25,14 @@ planner_node:
 """
 
 
-def test_parameters():
-    assert list(parsers.parameters(PARAMS)) == [("planner_node", "rate", "20.0"), ("planner_node", "weights", "[1.0, 0.0, 0.0, 1.0]"), ("planner_node", "topic", "/cmd_vel"), ("/**", "use_sim", "true")]
-    assert list(parsers.parameters("a: |\n  text\nb: [1,\n2")) == [("", "b", "[1, 2")]
+def test_parameters(spark):
+    def parameters(text):
+        rows = repository.parameters(spark.createDataFrame([("x/config/a.yaml", text)], "path string, text string")).orderBy("ord").collect()
+        assert [r["ord"] for r in rows] == list(range(len(rows)))
+        return [(r["scope"], r["name"], r["value"]) for r in rows]
+
+    assert parameters(PARAMS) == [("planner_node", "rate", "20.0"), ("planner_node", "weights", "[1.0, 0.0, 0.0, 1.0]"), ("planner_node", "topic", "/cmd_vel"), ("/**", "use_sim", "true")]
+    assert parameters("a: |\n  text\nb: [1,\n2") == [("", "b", "[1, 2")]
 
 
 def test_decoding():
@@ -58,11 +63,17 @@ def test_launch_files():
     (third,) = parsers.launch_python("f = ['a.yaml', 'b.yaml']\nNode(package='p', parameters=[f, LaunchConfiguration('c'), {'x': 1}])\nComposableNode(package='q')")
     assert third["param_files"] == ["a.yaml"] and third["unresolved"] == ["LaunchConfiguration"]
     assert parsers.launch_python("def (") == []
+    late = "def f():\n    Node(package='p', parameters=[[join(x, 'in.yaml')], v, 'top.yaml', ['t.txt']], remappings=[['a', 'b'], ('c',), ('d', e), ('f', 'g')], arguments=[x, 'y'])\nNode(executable='first')\nv = join(join('deep.yaml'), 'near.yml')\na = b = 'no.yaml'"
+    one, two = parsers.launch_python(late)
+    assert (one["executable"], one["param_files"]) == ("first", [])
+    assert two["param_files"] == ["near.yml", "top.yaml", "in.yaml"] and two["remappings"] == [("f", "g")] and two["arguments"] == ["y"]
     (node,) = parsers.launch_xml('<launch><node pkg="a" exec="b" name="c"><param from="p.yaml"/><remap from="x" to="y"/></node></launch>')
     (other,) = parsers.launch_xml('<launch><node package="a" executable="b"><param from="p.txt"/></node></launch>')
     assert (other["package"], other["executable"], other["param_files"]) == ("a", "b", [])
     assert node["param_files"] == ["p.yaml"] and node["remappings"] == [("x", "y")]
     assert parsers.launch_xml("<launch>") == []
+    outer, inner = parsers.launch_xml('<launch><param from="free.yaml"/><node pkg="" package="a" type="b" args="x y"><node name="i"><param from="q.yml"/></node></node></launch>')
+    assert (outer["package"], outer["executable"], outer["arguments"], outer["param_files"]) == ("a", "b", ["x", "y"], ["q.yml"]) and inner["param_files"] == ["q.yml"]
 
 
 @pytest.fixture()

@@ -1,6 +1,7 @@
 """Many terms in many lines, popular topics, folded values and heading extents, against plain Python."""
 
 import random
+import re
 import time
 
 import pytest
@@ -8,7 +9,6 @@ import pytest
 from loomgraph.operators import quality as q
 from loomgraph.operators import relate as r
 from loomgraph.operators import windows as w
-from loomgraph.sources import parsers
 
 
 @pytest.mark.parametrize("at_once", [100_000, 7])
@@ -78,13 +78,31 @@ filter_in_value:
 """
 
 
+def values_of(text):
+    """(scope, name, value) of a text: each value takes the fewest following lines that close what it opens."""
+    lines = [x for x in (line.partition("#")[0].rstrip() for line in text.splitlines()) if x.strip()]
+    scope, out, k = "", [], 0
+    while k < len(lines):
+        line, k = lines[k], k + 1
+        key, value = re.fullmatch(r"([A-Za-z_/*\"'][^:\s]*)\s*:", line), re.fullmatch(r"\s*([A-Za-z_][\w/]*)\s*:\s*(\S.*)", line)
+        if key:
+            scope = key[1].strip("\"'")
+        elif value and value[2] not in "|>":
+            taken = [value[2]]
+            while (whole := " ".join(taken)).count("[") > whole.count("]") and k < len(lines):
+                taken.append(lines[k].strip())
+                k += 1
+            out.append((scope, value[1], " ".join(taken)))
+    return out
+
+
 def test_folded_values(spark):
     rng = random.Random(4)
     pieces = ["a: 1", "b: [1", "  c: ]", "- [x", "]", "]]", "[", "top:", "/**:", "# no", "  d: |", "plain words", "e: [[2", "", "  ", "f: [3] # [", "g:", "]["]
     texts = [PARAMETERS, "", "]\n]\nx: [\ny: 2"] + ["\n".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25))) for _ in range(150)]
     lines = [(k, n, line) for k, text in enumerate(texts) for n, line in enumerate(text.splitlines())]
     got = w.folded_values(spark.createDataFrame(lines, "doc int, ln int, text string").repartition(3)).orderBy("doc", "ln").collect()
-    want = [(k, *p) for k, text in enumerate(texts) for p in parsers.parameters(text)]
+    want = [(k, *p) for k, text in enumerate(texts) for p in values_of(text)]
     assert [(x.doc, x.scope, x.name, x.value) for x in got] == want
     assert w.folded_values(spark.createDataFrame([], "doc int, ln int, text string")).count() == 0
 
