@@ -383,13 +383,59 @@ def test_wrapped_notices_are_found_whole():
             notice = "\n".join(mark + x for x in [*lines, line])
             text = "Ravi tuno elo.\n\n" + notice + "\n\nMola kir san."
             found = model.scan(text)
-            assert [f[0] for f in found] == [family], (t, found)
-            _, a, b, p = found[0]
+            own = [f for f in found if f[0] == family]
+            assert len(own) == 1 and len(found) <= 2, (t, found)  # a longer notice may name another licence
+            _, a, b, p = own[0]
             assert text[a:b] in notice and 16 <= a and b <= 16 + len(notice) and p >= license_scan.MIN_PROBABILITY
     long = "word " * 20_000 + "Released under the MIT License. " + "other " * 20_000
     assert [(f, a, b) for f, a, b, _ in model.scan(long)] == [("mit", 0, len(long))]
 
 
+#: Notices by which templates were chosen, with all their families, and paragraphs that are none.
+CHOSEN = [("// SPDX-License-Identifier: MPL-2.0",{"mpl"}),("SPDX-License-Identifier: ISC",{"isc"}),("# SPDX-License-Identifier: CC0-1.0",{"cc0"}),("SPDX-License-Identifier: MIT OR Apache-2.0",{"mit","apache"}),("SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause",{"gpl","bsd"}),("License: MIT",{"mit"}),("Released under GPLv3",{"gpl"}),("GNU GPL v2 or later",{"gpl"}),
+("Distributed under the terms of the Creative Commons Attribution-ShareAlike 4.0 International license.",{"cc-by-sa"}),("Dual licensed under the MIT license and the Apache License, Version 2.0",{"mit","apache"}),
+("// Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or\n// http://www.apache.org/licenses/LICENSE-2.0> or the MIT license\n// <LICENSE-MIT or http://opensource.org/licenses/MIT>, at your\n// option.",{"mit","apache"}),
+('license = "BSD-3-Clause"',{"bsd"}),("This project is available under the LGPLv3.",{"lgpl"}),("Code is MIT licensed.",{"mit"}),("The documentation is licensed under CC-BY-4.0.",{"cc-by"}),("Licensed under the EPL-2.0",{"epl"}),("Copyright (c) 2020 Foo. All rights reserved.",{"proprietary"}),
+("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",{"bsd"}),("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",{"mpl"}),
+("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",{"isc"}),("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation",{"lgpl"}),
+("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published",{"agpl"}),("Distributed under the Boost Software License, Version 1.0.",{"boost"}),("This is free and unencumbered software released into the public domain.",{"unlicense"}),("To the extent possible under law, the author has waived all copyright and related rights to this work.",{"cc0"}),
+("Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. The ASF licenses this file to You under the Apache License, Version 2.0",{"apache"}),("This software is released under the terms of the MIT license, see LICENSE.txt",{"mit"}),("This file is part of Foo. Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License",{"gpl"}),("available under the GNU General Public License v2",{"gpl"}),("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",{"cc-by-nc"}),("license: Apache-2.0",{"apache"}),("Licence: EUPL-1.2",{"eupl"})]
+CHOSEN_OTHERS = ["He got his driver's license in 2019.","License: see below","The MIT campus is in Cambridge.","the license is mandatory","Apache Kafka was designed at LinkedIn","This was not released under the MIT license","The general public was invited","licensing fees apply to all vendors","Copyright law protects authors","BSD sockets are used here","We compared zlib and gzip on version 2.0 of the data","GNU make is required to build","The boost library is needed","Mozilla Firefox 2.0 was released","the commons debate on attribution","artistic freedom and licence to act","the eclipse of 2.0 million people","Permission was granted to copy the file","mit der license von","public domain name registration is open","software is provided by the vendor as agreed","SPDX documents describe packages","redistribution of wealth","the warranty covers two years"]
+#: Ones that were written afterwards, and changed nothing.
+HELD_OUT = [
+    ("This crate is distributed under the terms of both the MIT license and the Apache License (Version 2.0).", {"mit", "apache"}),
+    ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", {"lgpl"}),
+    ("-- SPDX-License-Identifier: EPL-2.0 OR GPL-2.0-only WITH Classpath-exception-2.0", {"epl", "gpl"}),
+    ("Licensed under the terms of the GNU GPL, version 3 or any later version.", {"gpl"}),
+    ("You should have received a copy of the GNU Lesser General Public License along with this library.", {"lgpl"}),
+    ("All code in this repository is released under the MIT licence, Copyright 2019.", {"mit"}),
+    ("Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND", {"apache"}),
+    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation", {"bsd"}),
+    ("Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.", {"cc-by-sa"}),
+    ("Images: CC BY-ND 4.0, see licence: CC-BY-ND-4.0", {"cc-by-nd"}),
+    ("The contents of this file are subject to the terms of the Common Development and Distribution License (the License).", {"cddl"}),
+    ("This package may be used under the terms of the Artistic License 2.0.", {"artistic"}),
+    ("classifiers = ['License :: OSI Approved :: MIT License']", {"mit"}),
+    ("(c) 2001 Example GmbH. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted", {"bsd", "proprietary"}),
+    ("Licensed under the European Union Public Licence, Version 1.2 only.", {"eupl"}),
+    ("This file is in the public domain, released under the Unlicense.", {"unlicense"}),
+]
+HELD_OUT_OTHERS = [
+    "The licence fee for television was raised again.", "Public opinion on general elections is divided under the new law.", "Apache helicopters were delivered in version 2.0 of the programme.",
+    "She was granted permission to use the room free of charge.", "The software license server is down, restart it.", "MIT and Stanford published version 2.0 of the study.",
+    "Please keep this notice on all copies of the letter.", "A creative attribution of the commons was debated.", "All members reserve their rights.", "See the LICENSE file for details.",
+    "The source of the river and the terms of the treaty", "This package is not licensed under the GPL.", "conditions of sale and distribution of copies", "Der Text steht mit anderen unter Vorbehalt.",
+]
+
+
+@pytest.mark.parametrize("notices, others, least", [(CHOSEN, CHOSEN_OTHERS, (0.97, 0.97)), (HELD_OUT, HELD_OUT_OTHERS, (0.9, 0.8))])
+def test_precision_and_recall_of_families(notices, others, least):
+    model = license_scan.train()
+    found = [({f for f, *_ in model.scan(t)}, want) for t, want in notices] + [({f for f, *_ in model.scan(t)}, set()) for t in others]
+    right, wrong, missed = (sum(map(len, x)) for x in zip(*((g & w, g - w, w - g) for g, w in found)))
+    assert right / (right + wrong) >= least[0] and right / (right + missed) >= least[1], [(g, w) for g, w in found if g != w]
+
+
 def test_licence_sample_is_of_distinct_whole_lines(spark):
     first = [f"shared first line {k}" for k in range(10)]
     rows = [(i, f"{first[i % 10]}\nown line {i}\n\n" + "x" * 3000) for i in range(400)] + [(400, None), (401, "")]
