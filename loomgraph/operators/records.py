@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.fixed import LAUNCH_FILE, TELLING
+from . import relate
 from .graph import GLOBAL_TYPES
 from .relate import containing
 
@@ -57,6 +58,44 @@ def reason_samples(rows: DataFrame, key: Column, order: str, limit: int = 6) ->
     return g.select("reason", "n", F.array_join(F.transform("s", lambda x: x["k"]), ",").alias("samples"))
 
 
+def topic_summary(ends: DataFrame) -> DataFrame:
+    """One row: links, their topics, stated endpoints, and endpoints that only one side has (unread, unfed)."""
+    unread, unfed = relate.one_sided(ends)
+    linked = relate.links(ends).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("topic").alias("topics"))
+    counts = [linked, *(x.agg(F.count(F.lit(1)).alias(n)) for x, n in ((ends, "endpoints"), (unread, "unread"), (unfed, "unfed")))]
+    one = [x.withColumn("_k", F.lit(1)) for x in counts]  # a row each
+    out = one[0]
+    for x in one[1:]:
+        out = out.join(x, "_k")
+    return out.drop("_k")
+
+
+def topic_report(ends: DataFrame) -> DataFrame:
+    """(section, topic, component, other, evidence, other_evidence): every link, then what nobody reads, then what nobody feeds."""
+    unread, unfed = relate.one_sided(ends)
+    found = relate.links(ends).select(F.lit("links").alias("section"), "topic", F.col("pub").alias("component"), F.col("sub").alias("other"), F.col("pub_evidence").alias("evidence"), F.col("sub_evidence").alias("other_evidence"))
+    for name, rows in (("unread", unread), ("unfed", unfed)):
+        found = found.unionByName(rows.select(F.lit(name).alias("section"), "topic", "component", "evidence"), allowMissingColumns=True)
+    return found
+
+
+def merge_report(merged: DataFrame, limit: int = 6) -> DataFrame:
+    """Merged proposals (cluster, ord, src, dst, status, reason) -> (status, reason, n, samples): counts, and the first edges of each.
+
+    Samples are ``src -> dst`` by cluster and order, ``limit`` of them; ``more`` counts the others.
+    """
+    w = Window.partitionBy("status", "reason").orderBy("cluster", "ord")
+    edge = F.concat(F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"))
+    ranked = merged.select("status", "reason", edge.alias("edge"), F.row_number().over(w).alias("place"))
+    g = ranked.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= limit, F.struct("place", "edge")))).alias("s"))
+    return g.select("status", "reason", "n", F.array_join(F.transform("s", lambda x: x["edge"]), "; ").alias("samples"), F.greatest(F.col("n") - limit, F.lit(0)).alias("more"))
+
+
+def spans_for(spans: DataFrame, node: str, is_algorithm: bool) -> DataFrame:
+    """spans (id, ...) of library sources that a note on a node may show: all for an algorithm that the library implements, else its own."""
+    return spans if is_algorithm else spans.where(F.col("id") == node)
+
+
 def targets(nodes: DataFrame, sheets: DataFrame, tier: str | None = None, names: list[str] | None = None, failing: bool = False) -> DataFrame:
     """Nodes to generate records for: named ones, failing ones, a tier's, else all without a record."""
     if names:

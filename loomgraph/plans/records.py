@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import generation
 from ..operators import records as r
-from ..sources import sinks
+from ..sources import sinks, web
 from ..sources.keyed import KeyedTable
 from ..sources.tables import Scratch, read
-from .bindings import NODES, REQ, nodes, requires
-from .registry import query
+from . import graph as _graph  # noqa: F401  its queries are registered first
+from .bindings import ENDS, NODES, REQ, endpoints, nodes, requires
+from .registry import ORACLES, QUERIES, query
 
 
 @query("SELECT id, name, CASE WHEN NOT regexp_matches(id, '^[a-z][a-z0-9_]*$') THEN 'bad id' ELSE 'no name' END AS reason FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE replace(lower(p_name), ' ', '_') END AS id, CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_name END AS name FROM part) WHERE NOT regexp_matches(id, '^[a-z][a-z0-9_]*$') OR trim(name) = ''")
@@ -256,3 +258,60 @@ def t7_retry(spark, sf_dir):
     first = lab.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "error").otherwise("known_absent").alias("state"), F.lit("none").alias("source"))
     again = lab.select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 0, "grounded").otherwise("error").alias("state"), F.lit("found").alias("source"))
     return retry(first, again)
+
+
+_MERGED = ORACLES["g14_merge_reasons"]
+
+
+@query(f"""WITH m AS ({_MERGED}), r AS (SELECT *, row_number() OVER (PARTITION BY status, reason ORDER BY cluster, ord) AS place FROM m)
+  SELECT status, reason, count(*) AS n, string_agg(src || ' -> ' || dst, '; ' ORDER BY place) FILTER (WHERE place <= 6) AS samples, greatest(count(*) - 6, 0) AS more FROM r GROUP BY status, reason""")
+def k12_merge_report(spark, sf_dir):
+    return r.merge_report(QUERIES["g14_merge_reasons"](spark, sf_dir))
+
+
+@query(f"""WITH {ENDS}, e AS (SELECT DISTINCT component, topic, role FROM ends), l AS (SELECT p.component AS pub, s.component AS sub, p.topic FROM e p JOIN e s ON p.topic = s.topic AND p.component <> s.component AND p.role = 'publishes' AND s.role = 'subscribes')
+  SELECT (SELECT count(*) FROM l) AS links, (SELECT count(DISTINCT topic) FROM l) AS topics, (SELECT count(*) FROM ends) AS endpoints,
+    (SELECT count(*) FROM ends WHERE role = 'publishes' AND topic NOT IN (SELECT topic FROM ends WHERE role = 'subscribes')) AS unread,
+    (SELECT count(*) FROM ends WHERE role = 'subscribes' AND topic NOT IN (SELECT topic FROM ends WHERE role = 'publishes')) AS unfed""")
+def k12_topic_summary(spark, sf_dir):
+    return r.topic_summary(endpoints(spark, sf_dir))
+
+
+_TALK = """c AS (SELECT conv_id AS id, turn AS place, text FROM conversations), s AS (SELECT *, sum(length(text)) OVER (PARTITION BY id ORDER BY place) AS spent FROM c),
+  t AS (SELECT id, string_agg(text, chr(10) || chr(10) ORDER BY place) AS source FROM s WHERE spent <= 1500 GROUP BY id), v AS (SELECT conv_id AS id, string_agg(role, ', ' ORDER BY turn) AS words FROM conversations GROUP BY conv_id),
+  p AS (SELECT id, 'Subject: talk ' || id || chr(10) || 'May invoke: ' || words || chr(10) || 'Source:' || chr(10) || coalesce(source, '-') AS prompt FROM (SELECT DISTINCT id FROM c) JOIN v USING (id) LEFT JOIN t USING (id))"""
+
+
+def _prompts(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    words = c.select(F.col("conv_id").alias("target"), F.col("turn").alias("place"), F.col("role").alias("id"))
+    nodes_ = c.select(F.col("conv_id").alias("id"), F.concat(F.lit("talk "), "conv_id").alias("name")).distinct()
+    return generation.prompts(nodes_, words, c.select(F.col("conv_id").alias("id"), F.col("turn").alias("place"), "text"), 1500)
+
+
+@query(f"WITH {_TALK} SELECT id, prompt FROM p")
+def f25_prompts(spark, sf_dir):
+    return _prompts(spark, sf_dir)
+
+
+@query(f"""WITH {_TALK}, q AS (SELECT id, CASE WHEN contains(prompt, 'talk 1') THEN 'one' WHEN contains(prompt, 'talk 2') THEN 'bad' WHEN contains(prompt, 'talk 3') THEN 'none' ELSE 'else' END AS k FROM p)
+  SELECT id, CASE k WHEN 'one' THEN 'definition' WHEN 'else' THEN 'other' END AS kind, CASE k WHEN 'bad' THEN 'malformed' WHEN 'none' THEN 'no object' ELSE 'ok' END AS status FROM q""")
+def u1_replies(spark, sf_dir):
+    """Prompts answered by an injected generator, its replies read as records."""
+    answers = {"talk 1": 'Here: ```json\n{"kind": "definition"}\n```', "talk 2": '{"kind": }', "talk 3": "I can't."}
+    replies = generation.complete_all(_prompts(spark, sf_dir), generation.stub(answers, '{"kind": "other"}'))
+    return generation.replies_to_rows(replies, "kind string").select("id", "record.kind", "status")
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, p_partkey % 9 = 5 AS known, p_partkey % 4 = 1 AS named FROM part), t AS (SELECT doc_id, length(text) >= CASE WHEN doc_id % 2 = 0 THEN 350 ELSE 1200 END AS good FROM documents)
+  SELECT n.id, CASE WHEN NOT known AND good THEN 's' || doc_id END AS source, CASE WHEN known THEN 'known_absent' WHEN good THEN 'grounded' ELSE 'ungrounded' END AS state
+  FROM n LEFT JOIN t ON t.doc_id = n.id""")
+def u4_retrieve(spark, sf_dir):
+    """Documents as what retrieval found, by title; some names have only their variant in lower case, some an alias list."""
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("Doc Number "), k).alias("name"))
+    aliases = p.select("id", F.when(F.col("id") % 9 == 5, F.array().cast("array<string>")).when(F.col("id") % 4 == 1, F.array(F.lit("nowhere"), F.concat(F.lit("alias"), "id"))).alias("titles")).where("titles is not null")
+    i = F.col("doc_id")
+    title = F.when(i % 4 == 1, F.concat(F.lit("alias"), i)).when(i % 2 == 0, F.concat(F.lit("Doc Number "), i)).otherwise(F.concat(F.lit("Doc number "), i))
+    sources = read(spark, sf_dir, "documents").select(title.alias("title"), F.concat(F.lit("s"), i).alias("source"), "text", F.when(i % 2 == 0, "derived").alias("kind"))
+    return web.retrieve(p, aliases, sources)
