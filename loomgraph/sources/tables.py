@@ -95,6 +95,37 @@ def small(frame: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+#: A key is hot with more rows than this and than this share of all.
+HOT_ROWS, HOT_SHARE = 10_000, 0.001
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame | None:
+    """(key): keys with so many of the ``total`` rows that one task should not get them all, 1 / HOT_SHARE at most; nothing if there is none."""
+    from pyspark.sql import functions as F
+
+    bound = max(HOT_ROWS, total * HOT_SHARE)
+    if total <= bound:
+        return None
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select(key)
+    hot = Scratch(rows.sparkSession, "hot").save(hot, key)
+    return None if hot.isEmpty() else hot
+
+
+def split_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """The inner join on ``key`` with a side that has a row for each key at most.
+
+    The side's rows of hot keys (at most 1 / HOT_SHARE) are broadcast, so ``rows`` of those
+    keys stay where they are; the others are shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    if hot is None:
+        return rows.join(side, key)
+    few = F.broadcast(hot)
+    near = rows.join(F.broadcast(side.join(few, key, "left_semi")), key)
+    return near.unionByName(rows.join(few, key, "left_anti").join(side, key))
+
+
 def running_total(frame: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """``frame`` with the running sum of ``value`` along ``order``, without one task for all rows.
 

@@ -140,3 +140,26 @@ def test_components_reaching_of_a_project(spark):
     got = {tuple(x) for x in relate.components_reaching(uses, edges, "rig").collect()}
     assert got == {("rig.a", 1), ("rig.a", 5), ("rig.a", 6), ("rig.b", 2), ("rig.b", 6)}
     assert relate.components_reaching(uses, edges).count() == 8
+
+
+@pytest.mark.parametrize("rows", [10_000, 3])
+def test_components_of_hubs(spark, monkeypatch, rows):
+    """A star, a path and random edges; with a low bound most vertices and labels count as hot."""
+    from loomgraph.operators.components import connected_components
+    from loomgraph.sources import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", rows)
+    rng = random.Random(5)
+    pairs = [(1000, k) for k in range(200)] + [(k, k + 1) for k in range(300, 340)] + [(400 + rng.randrange(80), 400 + rng.randrange(80)) for _ in range(60)]
+    root = {v: v for p_ in pairs for v in p_}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long"))
+    assert dict(got.collect()) == {v: find(v) for v in root}
