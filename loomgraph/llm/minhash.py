@@ -48,7 +48,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import Scratch, unused, width_for
+from ..sources import tables
+from ..sources.tables import hot_keys, Scratch, split_join, unused, width_for
 from ..operators.components import connected_components
 
 WORDS = 5
@@ -153,8 +154,8 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> Dat
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _families(nodes: DataFrame, chunks: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(met, families): shared keys (key, chunk, gap, id, hub), and (id, family).
+def _families(nodes: DataFrame, chunks: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(met, families, hot): shared keys (key, chunk, gap, id, hub), (id, family), and keys (key) of very many nodes.
 
     The hub of a key is its member of the least hash. A family is a neighbourhood of the
     graph of nodes and shared keys: two rounds of passing on the least hub. It only decides
@@ -167,13 +168,15 @@ def _families(nodes: DataFrame, chunks: int, scratch: Scratch) -> tuple[DataFram
     ]
     keys = nodes.select("id", F.explode(F.array(*key)).alias("k")).select("id", "k.*")
     first = F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("hub"))).alias("h")
-    busy = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), first).where("m > 1").select("key", "h.hub")
-    met = scratch.save(keys.join(busy, "key"), "met")
+    busy = scratch.save(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), first).where("m > 1").select("key", "h.hub", "m"), "busy")
+    hot = busy.where(F.col("m") > max(tables.HOT_ROWS, nodes.count() * tables.HOT_SHARE)).select("key")  # at most 4 * chunks / HOT_SHARE
+    hot = None if hot.isEmpty() else hot
+    met = scratch.save(split_join(keys, busy.drop("m"), "key", hot).select("key", "id", "chunk", "gap", "hub"), "met")
     width = width_for(met.count())
     near = met.groupBy("id").agg(F.min("hub").alias("label"))
     least = met.select("key", "id").join(near, "id").groupBy("key").agg(F.min("label").alias("label"))
-    families = met.select("key", "id").join(least, "key").groupBy("id").agg(F.min("label").alias("family"))
-    return met, scratch.save(families, "families", width)
+    families = split_join(met.select("key", "id"), least, "key", hot).groupBy("id").agg(F.min("label").alias("family"))
+    return met, scratch.save(families, "families", width), hot
 
 
 def _close(percent: int, chunks: int):
@@ -195,9 +198,11 @@ def _equal(i: int):
 
 def _star_pairs(nodes: DataFrame, met: DataFrame, percent: int, chunks: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of a node and its nearest hubs, near by signature."""
-    signed = nodes.select("id", "n", *_columns(chunks))
-    spokes = met.where("id <> hub").select(F.col("id").alias("spoke"), "hub").distinct()
-    joined = spokes.join(signed.alias("x"), F.col("spoke") == F.col("x.id")).join(signed.alias("y"), F.col("hub") == F.col("y.id"))
+    whole = F.struct("id", "n", *_columns(chunks))
+    spokes = scratch.save(met.where("id <> hub").select(F.col("id").alias("spoke"), "hub").distinct(), "spokes")
+    own = spokes.join(nodes.select(F.col("id").alias("spoke"), whole.alias("x")), "spoke")
+    hubs = nodes.select(F.col("id").alias("hub"), whole.alias("y"))
+    joined = split_join(own, hubs, "hub", hot_keys(spokes, "hub", spokes.count()))
     bits, near = _close(percent, chunks)
     some = joined.where(near).select(F.col("spoke").alias("id"), F.struct(bits.alias("d"), F.col("hub")).alias("h"))
     # A node has four hubs for each chunk at most.
@@ -205,13 +210,13 @@ def _star_pairs(nodes: DataFrame, met: DataFrame, percent: int, chunks: int, scr
     return scratch.save(best.select(F.col("id").alias("a"), F.explode("h.hub").alias("b")), "stars")
 
 
-def _cross_pairs(placed: DataFrame, met: DataFrame, percent: int, chunks: int, scratch: Scratch) -> DataFrame:
+def _cross_pairs(placed: DataFrame, met: DataFrame, hot: DataFrame | None, percent: int, chunks: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a < b, of different families and components that the multi-index join finds, once each."""
     width = width_for(met.count())
     own = met.select("key", "chunk", "gap", "id").join(placed.select("id", "family", "label"), "id")
     mixed = own.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("m"))
     mixed = mixed.where("lo < hi and l1 < l2").select("key", F.ceil(F.col("m") / SIGNATURE_NODES).alias("blocks"))
-    ready = own.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    ready = split_join(own, mixed, "key", hot).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     ready = ready.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     ready = ready.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
     ready = scratch.save(ready.join(placed.select("id", "n", *_columns(chunks)), "id"), "mixed", width)
@@ -421,7 +426,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     known = signed.where("id is not null and n > 0")
     nodes = known.groupBy("set_hi", "set_lo").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in carried))
     nodes = scratch.save(nodes, "nodes")
-    met, families = _families(nodes, chunks, scratch)
+    met, families, hot = _families(nodes, chunks, scratch)
 
     # First round: nodes and hubs.
     placed = families.join(nodes.select("id", "n", *carried), "id")
@@ -433,7 +438,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     labelled = placed.join(first.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = scratch.save(labelled, "labelled", width_for(families.count()))
     inner, dense = _family_pairs(labelled, percent, chunks, scratch)
-    cross = _cross_pairs(labelled, met, percent, chunks, scratch)
+    cross = _cross_pairs(labelled, met, hot, percent, chunks, scratch)
     links = _confirm(docs, labelled, inner.unionByName(cross), dense, percent, chunks, id_col, text_col, scratch, "rest")
     now = nodes.select("id", "set_hi", "set_lo", "copies").join(first, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     now = scratch.save(now, "now")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from loomgraph.llm import embedding_dedup, exact_dedup, minhash
+from loomgraph.sources import tables
 from loomgraph.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,6 +114,7 @@ def test_near_duplicates_match_brute_force(spark, percent, small, monkeypatch):
         monkeypatch.setattr(minhash, "SIGNATURE_NODES", 5)
         monkeypatch.setattr(minhash, "DENSE", -10)
         monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(tables, "HOT_ROWS", 4)  # hot keys, hubs and labels
     rng = random.Random(percent)
     texts = []
     for k in range(6):
