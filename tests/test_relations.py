@@ -52,15 +52,15 @@ def test_endpoint_sources(spark):
     assert {(x.component, x.topic, x.role, x.evidence) for x in r.code_endpoints(comps, files).collect()} == {("c", "/front", "publishes", "src/exe.py:3 create_publisher"), ("c", "/imu", "subscribes", "src/exe.py:4 create_subscription")}
 
 
-def test_containment_by_pieces_agrees_with_all_pairs(spark):
+def test_containment_in_lots_agrees_with_all_pairs(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abc.") for _ in range(rng.randint(0, 6))) for _ in range(60)]
     texts = ["".join(rng.choice("abc.") for _ in range(rng.randint(0, 30))) for _ in range(80)] + ["é" + "a" * 20]
     needles = spark.createDataFrame([(x,) for x in sorted(set(words))], "w string")
     hay = spark.createDataFrame([(x,) for x in sorted(set(texts))], "x string")
     want = {(x, w_) for x in texts for w_ in words if w_ and w_ in x}
-    for few in (1000, 0):
-        got = r.containing(needles, "w", hay, "x", few)
+    for at_once in (1000, 1):
+        got = r.containing(needles, "w", hay, "x", at_once)
         assert sorted((y.x, y.w) for y in got.collect()) == sorted(want)
     assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
 
