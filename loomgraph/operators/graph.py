@@ -484,6 +484,5 @@ def amend(nodes: DataFrame, edges: DataFrame, *, drop: DataFrame | None = None,
 
 def reuse_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, n): algorithms whose closure holds a node, zeros kept; nodes (id, type)."""
-    reach = closure(edges, nodes.where("type = 'algorithm'"))
-    counts = reach.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n"))
+    counts = reachability.counts_above(edges, nodes.where("type = 'algorithm'"))
     return nodes.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))

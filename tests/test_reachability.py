@@ -163,3 +163,25 @@ def test_components_of_hubs(spark, monkeypatch, rows):
         root[max(a, b)] = min(a, b)
     got = connected_components(spark.createDataFrame(pairs, "a long, b long"))
     assert dict(got.collect()) == {v: find(v) for v in root}
+
+
+def test_many_labels_go_layer_by_layer_and_cycles_in_rounds(spark, monkeypatch):
+    """Layers send each word along each step once; both ways list the same pairs and counts."""
+    rounds = []
+    plain = r.spread
+    monkeypatch.setattr(r, "MANY", 70)
+    monkeypatch.setattr(r, "spread", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    edges = [(k, k // 2) for k in range(2, 90)] + [(k, k * 7919 % k if k % 5 else k // 3) for k in range(3, 90)]
+    for extra in ([], [(1, 80)]):
+        want = below(edges + extra)
+        e = frame(spark, edges + extra)
+        rounds.clear()
+        assert sorted(map(tuple, r.pairs(e).collect())) == sorted((a, b) for a in want for b in want[a])
+        assert bool(rounds) == bool(extra)
+        assert {x.id: x.n for x in r.counts_below(e).collect()} == {a: len(b) for a, b in want.items()}
+        roots = spark.createDataFrame([(k,) for k in range(20, 90, 3)], "id long")
+        above = {}
+        for a in range(20, 90, 3):
+            for b in want[a]:
+                above[b] = above.get(b, 0) + 1
+        assert {x.id: x.n for x in r.counts_above(e, roots).collect()} == above
