@@ -8,6 +8,7 @@ from ..functions import text as t
 from ..operators import exercises as x
 from ..operators import graph as g
 from ..operators import profile as p
+from ..operators import reachability
 from ..operators import windows as w
 from ..sources import sinks, web
 from ..sources.tables import read
@@ -158,7 +159,7 @@ def e3_exercises(spark, sf_dir):
   FROM nodes n LEFT JOIN d USING (id) LEFT JOIN c USING (id) LEFT JOIN u USING (id)""")
 def k1_export_nodes(spark, sf_dir):
     n, e = nodes(spark, sf_dir), requires(spark, sf_dir)
-    cost = g.closure(e, n).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("cost"))
+    cost = reachability.counts_below(e, n).withColumnRenamed("n", "cost")
     use = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.countDistinct("l_suppkey").alias("n"))
     profile = n.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, "read").otherwise("declared").alias("state"))
     notes = n.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "mine").otherwise("other").alias("project"), F.lit("because").alias("why"))
