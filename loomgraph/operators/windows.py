@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.fixed import DERIVATION_HEADING, DERIVATION_MARKERS, DISAMBIGUATION_PHRASES, HEADING_BONUS
-from ..sources.tables import running_total
+from ..sources.tables import Scratch, running_total
 
 _HEADING = re.compile(DERIVATION_HEADING)
 
@@ -47,13 +47,19 @@ def mean_curve(items: DataFrame, trials: int = 500, seed: int = 7) -> DataFrame:
     """(k, mean_size): canon size after k seeds, averaged over shuffled orders of the seeds.
 
     A trial's order is that of a hash of the trial and the seed's name, so the orders are
-    made where the rows are and are the same on every cluster.
+    made where the rows are and are the same on every cluster. Items that the same seeds hold
+    come at the same places, so each trial takes one of them and counts all: a kind of items
+    is known by the number of its seeds and two 64-bit sums of their hashes.
     """
     each = items.select("seed").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     drawn = F.md5(F.concat_ws(":", F.lit(seed), "trial", F.col("seed").cast("string")))
     orders = each.withColumn("k", F.row_number().over(Window.partitionBy("trial").orderBy(drawn, "seed")))
-    first = orders.join(items.select("seed", "item").distinct(), "seed").groupBy("trial", "item").agg(F.min("k").alias("k"))
-    added = first.groupBy("trial", "k").agg(F.count(F.lit(1)).alias("added"))
+    held = Scratch(items.sparkSession, "curve").save(items.where("seed is not null").select("seed", "item").distinct(), "held")
+    marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("seed")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "seed")).alias("b")]
+    kinds = held.groupBy("item").agg(*marks).groupBy("n", "a", "b").agg(F.min("item").alias("one"), F.count(F.lit(1)).alias("items"))
+    few = held.join(kinds, F.col("item").eqNullSafe(F.col("one"))).select("seed", "item", "items")
+    first = orders.join(few, "seed").groupBy("trial", "item", "items").agg(F.min("k").alias("k"))
+    added = first.groupBy("trial", "k").agg(F.sum("items").alias("added"))
     full = orders.select("trial", "k").join(added, ["trial", "k"], "left").na.fill(0, ["added"])
     size = F.sum("added").over(Window.partitionBy("trial").orderBy("k"))
     return full.select("trial", "k", size.alias("size")).groupBy("k").agg(F.avg("size").alias("mean_size"))

@@ -185,3 +185,23 @@ def test_many_labels_go_layer_by_layer_and_cycles_in_rounds(spark, monkeypatch):
             for b in want[a]:
                 above[b] = above.get(b, 0) + 1
         assert {x.id: x.n for x in r.counts_above(e, roots).collect()} == above
+
+
+def test_mean_curve_counts_items_of_the_same_seeds_together(spark):
+    """A thousand items held by the same seeds go through the trials as one; a null item counts as one, a null seed holds nothing."""
+    import hashlib
+
+    from loomgraph.operators import windows as w
+
+    held = {("s%d" % s, "i%d" % i) for i in range(1000) for s in range(4) if i % 3 == 0 and s < 2 or i % 3 == 1 and s > 0} | {("s3", None), ("s2", "x")}
+    rows = spark.createDataFrame([*held, (None, "lost")], "seed string, item string")
+    seeds, want = [None, *sorted({s for s, _ in held})], {}
+    for t in range(20):
+        order = sorted(seeds, key=lambda s: (hashlib.md5(":".join(x for x in ("7", str(t), s) if x is not None).encode()).hexdigest(), s or ""))
+        seen = set()
+        for k, s in enumerate(order, 1):
+            seen |= {i for o, i in held if o == s}
+            want[k] = want.get(k, 0) + len(seen) / 20
+    curve = w.mean_curve(rows, 20)
+    assert {r.k: round(r.mean_size, 6) for r in curve.collect()} == {k: round(v, 6) for k, v in want.items()}
+    assert "bit_xor" in curve._jdf.queryExecution().toString()
