@@ -88,7 +88,6 @@ def brief_unknown(described: DataFrame, grouped: DataFrame, algorithms: DataFram
 
 def build_scope(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id): the given nodes and everything that they require."""
-    from .graph import closure
+    from .reachability import reachable
 
-    below = closure(edges, ids).select(F.col("dst").alias("id"))
-    return ids.select("id").unionByName(below).distinct()
+    return reachable(edges, ids).unionByName(ids.where("id is null").select("id").distinct())

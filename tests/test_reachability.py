@@ -205,3 +205,11 @@ def test_mean_curve_counts_items_of_the_same_seeds_together(spark):
     curve = w.mean_curve(rows, 20)
     assert {r.k: round(r.mean_size, 6) for r in curve.collect()} == {k: round(v, 6) for k, v in want.items()}
     assert "bit_xor" in curve._jdf.queryExecution().toString()
+
+
+def test_build_scope_takes_nodes_and_no_pairs(spark, monkeypatch):
+    from loomgraph.operators import architecture
+
+    monkeypatch.setattr(g, "closure", None)
+    got = architecture.build_scope(ids(spark, [5, 7, 7, 99, None]), frame(spark, [(5, 4), (4, 3), (3, 5), (8, 7), (7, 3)]))
+    assert sorted((x.id for x in got.collect()), key=str) == sorted([5, 7, 99, None, 4, 3], key=str)
