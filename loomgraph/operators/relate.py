@@ -313,11 +313,13 @@ def section_owners(refs: DataFrame, owners: DataFrame) -> DataFrame:
 
 def families(nodes: DataFrame, conventions: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (id), conventions (family, root, prio), edges -> (id, family): the first family one of whose roots is the node or requires it."""
-    from .graph import closure
+    from . import reachability
 
-    roots = conventions.select(F.col("root").alias("id")).distinct()
-    below = closure(edges, roots).select(F.col("src").alias("root"), F.col("dst").alias("id")).unionByName(roots.select(F.col("id").alias("root"), "id"))
-    named = below.join(conventions, "root").groupBy("id").agg(F.min(F.struct("prio", "family")).alias("f"))
+    # Families go down the edges as packed labels, numbered in order; a node's lowest bit is the first of them.
+    words, numbers = reachability.reaching(edges, conventions.select(F.col("root").alias("id"), F.struct("prio", "family").alias("f")), "f")
+    lowest = F.bit_count(F.expr("(word & -word) - 1")).cast("int")
+    low = words.withColumn("bit", F.when(F.col("word") == F.lit(-(2**63)), reachability.WORD - 1).otherwise(lowest))
+    named = low.groupBy("id").agg(F.min(F.struct("bucket", "bit")).alias("at")).select("id", "at.bucket", "at.bit").join(small(numbers), ["bucket", "bit"])
     return nodes.select("id").distinct().join(named, "id").select("id", "f.family")
 
 

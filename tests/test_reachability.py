@@ -213,3 +213,11 @@ def test_build_scope_takes_nodes_and_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(g, "closure", None)
     got = architecture.build_scope(ids(spark, [5, 7, 7, 99, None]), frame(spark, [(5, 4), (4, 3), (3, 5), (8, 7), (7, 3)]))
     assert sorted((x.id for x in got.collect()), key=str) == sorted([5, 7, 99, None, 4, 3], key=str)
+
+
+def test_families_take_the_first_label_and_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(g, "closure", None)
+    own = spark.createDataFrame([("f%d" % k, k, k) for k in range(70)] + [("a", 200, 0), ("z", 300, 69)], "family string, root long, prio int")
+    edges = frame(spark, [(k, 400) for k in range(63, 70)] + [(300, 401), (69, 401), (200, 402), (0, 402), (402, 403)])
+    got = {x.id: x.family for x in relate.families(ids(spark, [400, 401, 402, 403, 5, 999, 300]), own, edges).collect()}
+    assert got == {400: "f63", 401: "f69", 402: "a", 403: "a", 5: "f5", 300: "z"}
