@@ -221,3 +221,15 @@ def test_families_take_the_first_label_and_no_pairs(spark, monkeypatch):
     edges = frame(spark, [(k, 400) for k in range(63, 70)] + [(300, 401), (69, 401), (200, 402), (0, 402), (402, 403)])
     got = {x.id: x.family for x in relate.families(ids(spark, [400, 401, 402, 403, 5, 999, 300]), own, edges).collect()}
     assert got == {400: "f63", 401: "f69", 402: "a", 403: "a", 5: "f5", 300: "z"}
+
+
+def test_vocabulary_keeps_no_more_of_a_target_than_its_list(spark, monkeypatch):
+    from loomgraph.operators import generation
+
+    monkeypatch.setattr(g, "closure", None)
+    nodes = spark.createDataFrame([(k, "concept") for k in range(30)], "id long, type string")
+    edges = frame(spark, [(k, k - 1) for k in range(1, 12)] + [(20, 11), (21, 2)])
+    got = {}
+    for x in generation.candidate_vocabulary(edges, nodes, ids(spark, [20, 21, 25]), ("0",), few=4, limit=5).collect():
+        got.setdefault(x.target, {})[x.place] = x.id
+    assert got == {20: dict(enumerate((1, 2, 3, 4, 5), 1)), 21: dict(enumerate(range(5), 1)), 25: dict(enumerate(range(5), 1))}
