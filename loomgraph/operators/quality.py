@@ -16,9 +16,15 @@ def ungrounded(cites: DataFrame, sources: DataFrame) -> DataFrame:
 def holes(invoked: DataFrame, edges: DataFrame, known: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """invoked (id, item) -> items outside the closure of id, not known and not id itself.
 
-    Each pair is a question to the reachability index (``labels``, made here if not given).
+    Few different items go up the edges as packed labels. Else each pair is a question to the
+    reachability index (``labels``, made here if not given).
     """
     asked = invoked.select("id", "item").distinct().where("id <> item").join(known.select(F.col("id").alias("item")).distinct(), "item", "left_anti")
+    items = asked.select("item").dropna().distinct()
+    if labels is None and items.limit(reachability.MANY + 1).count() <= reachability.MANY:
+        words, numbers = reachability.reaching(edges, items.select(F.col("item").alias("id"), "item"), "item", back=True, own=False)
+        met = asked.join(F.broadcast(numbers), "item").join(words, ["id", "bucket"])
+        return asked.join(met.where("getbit(word, bit) = 1").select("id", "item"), ["id", "item"], "left_anti").select("id", "item")
     held = reachability.holding(asked.select(F.col("id").alias("src"), F.col("item").alias("dst")), edges, labels)
     return asked.join(held.select(F.col("src").alias("id"), F.col("dst").alias("item")), ["id", "item"], "left_anti").select("id", "item")
 

@@ -233,3 +233,14 @@ def test_vocabulary_keeps_no_more_of_a_target_than_its_list(spark, monkeypatch):
     for x in generation.candidate_vocabulary(edges, nodes, ids(spark, [20, 21, 25]), ("0",), few=4, limit=5).collect():
         got.setdefault(x.target, {})[x.place] = x.id
     assert got == {20: dict(enumerate((1, 2, 3, 4, 5), 1)), 21: dict(enumerate(range(5), 1)), 25: dict(enumerate(range(5), 1))}
+
+
+def test_holes_of_few_items_ask_no_index(spark, monkeypatch):
+    from loomgraph.operators import quality
+
+    edges = some_graph(5, nodes=30, edges=45)
+    asked = [(a, b) for a in range(30) for b in range(0, 30, 4)] + [(3, 77), (88, 4)]
+    want = sorted((a, b) for a, b in asked if a != b and b != 8 and b not in below(edges).get(a, ()))
+    monkeypatch.setattr(r, "index", None)
+    got = quality.holes(spark.createDataFrame(asked, "id long, item long"), frame(spark, edges), ids(spark, [8]))
+    assert sorted(map(tuple, got.collect())) == want
