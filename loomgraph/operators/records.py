@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.fixed import LAUNCH_FILE, TELLING
+from ..sources.tables import small
 from . import relate
 from .graph import GLOBAL_TYPES
 from .relate import containing
@@ -130,9 +131,11 @@ def owners(reach: DataFrame, aliases: DataFrame, documents: DataFrame) -> DataFr
     """reach (id, needs), aliases (id, title), documents (document, section) -> (id, owner, document, section).
 
     A title ``document#part`` of a prerequisite owns the sections pinned for the document.
+    ``reach`` holds each pair once, so that the rows, far more than its own, need no comparison.
     """
-    a = aliases.select(F.col("id").alias("owner"), t.base_document(F.col("title")).alias("document"))
-    return reach.select("id", F.col("needs").alias("owner")).join(a, "owner").join(documents, "document").select("id", "owner", "document", "section").distinct()
+    a = aliases.select(F.col("id").alias("owner"), t.base_document(F.col("title")).alias("document")).distinct()
+    owned = a.join(documents.select("document", "section").distinct(), "document")
+    return reach.select("id", F.col("needs").alias("owner")).join(small(owned, 2_000_000), "owner").select("id", "owner", "document", "section")
 
 
 def excerpts(spans: DataFrame, parameters: DataFrame, budget: int) -> DataFrame:

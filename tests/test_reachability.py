@@ -244,3 +244,16 @@ def test_holes_of_few_items_ask_no_index(spark, monkeypatch):
     monkeypatch.setattr(r, "index", None)
     got = quality.holes(spark.createDataFrame(asked, "id long, item long"), frame(spark, edges), ids(spark, [8]))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_owners_from_pairs_that_end_at_owners_alone(spark, monkeypatch):
+    """Titles and sections may repeat; only prerequisites with a pinned document are listed."""
+    from loomgraph.operators import records
+
+    monkeypatch.setattr(g, "closure", None)
+    reach = r.pairs(frame(spark, [(3, 2), (2, 1), (3, 1), (4, 3)]), ids(spark, [3, 4]), ids(spark, [1, 3, 3]))
+    assert sorted(map(tuple, reach.collect())) == [(3, 1), (4, 1), (4, 3)]
+    titles = spark.createDataFrame([(1, "d#x"), (1, "d#y"), (3, "e#x")], "id long, title string")
+    documents = spark.createDataFrame([("d", "1"), ("d", "1"), ("d", "2")], "document string, section string")
+    got = records.owners(reach.withColumnsRenamed({"src": "id", "dst": "needs"}), titles, documents)
+    assert sorted(map(tuple, got.collect())) == [(3, 1, "d", "1"), (3, 1, "d", "2"), (4, 1, "d", "1"), (4, 1, "d", "2")]
