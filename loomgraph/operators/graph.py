@@ -23,6 +23,8 @@ CANDIDATES = 1_000_000
 LAYERS = 4
 #: Prerequisites of a node above which the reduction marks what lies below them, not pair by pair.
 HUB = 1000
+#: Nodes of one block of a path whose order is found in one task.
+BLOCK = 100_000
 
 
 class CycleError(ValueError):
@@ -214,17 +216,103 @@ def learning_path(edges: DataFrame, algorithms: DataFrame, known: DataFrame, nod
 
     Every algorithm follows its own prerequisites, unless known. Without any algorithm the
     path is the syllabus of ``node`` (id) itself.
+
+    No syllabus is made: of a set that holds whatever its nodes need, the order of learning is
+    that of all nodes, left to the set. So a node lies under the first algorithm that reaches
+    it, and there in the order of all (``_places``).
     """
     if node is not None and algorithms.isEmpty():
         return syllabus(edges, node, known).select("pos", "id")
-    kind = dict(edges.dtypes)["src"]
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    scratch = Scratch(spark, "path")
+    e = scratch.save(edges.select("src", "dst").dropna().distinct(), "edges")
+    goals = algorithms.select(F.col("id").cast(kind).alias("id")).dropna().distinct()
+    ends = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).unionByName(goals).distinct()
+    seeds = ends.join(goals.select("id", F.col("id").alias("value")), "id", "left")
+    first = reachability.extreme(e.toDF("at", "to"), seeds, scratch, "first", largest=False).where("value is not null")
+    needed = first.join(known.select("id").distinct(), "id", "left_anti").join(in_degree(e), "id", "left")
+    needed = needed.select("id", F.col("value").alias("target"), F.struct((-F.coalesce("weight", F.lit(0))).alias("weight"), "id").alias("at"), F.lit(1).alias("one"))
+    nodes = scratch.save(running_total(needed, "at", "one", "rank").select("id", "target", "rank"), "nodes")
+    number = nodes.select("id", "rank")
+    inner = e.join(number.toDF("src", "at"), "src").join(number.toDF("dst", "to"), "dst").select("at", "to")
+    placed = _places(nodes.select("rank"), scratch.save(inner, "inner"), scratch)
+    if placed is None:
+        return _path_of_each(edges, goals, known)
+    own = (F.col("id") == F.col("target")).alias("own")
+    rows = nodes.join(placed, "rank").select("id", F.struct("target", own, "key", "place").alias("at"), F.lit(1).alias("one"))
+    return running_total(rows, "at", "one", "pos").select(F.col("pos").cast("int").alias("pos"), "id")
+
+
+def _path_of_each(edges: DataFrame, algorithms: DataFrame, known: DataFrame) -> DataFrame:
+    """The path where a cycle is in the way: each algorithm's own syllabus, which may do without the cycle, or raises."""
     each = syllabus(edges, algorithms, known).select("target", "pos", "id")
-    last = algorithms.select(F.col("id").alias("target"), F.lit(2_147_483_647).alias("pos"), F.col("id").cast(kind).alias("id")).distinct()
+    last = algorithms.select(F.col("id").alias("target"), F.lit(2_147_483_647).alias("pos"), "id")
     rows = each.unionByName(last.join(known.select("id").distinct(), "id", "left_anti").select("target", "pos", "id"))
     first = rows.groupBy("id").agg(F.min(F.struct("target", "pos")).alias("at"))
     return running_total(first.withColumn("one", F.lit(1)), "at", "one", "place").select(F.col("place").cast("int").alias("pos"), "id")
 
 
+def _places(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(rank, key, place), by which all nodes (rank) lie in order of learning; nothing if the edges (at, to) hold a cycle.
+
+    The least rank whose prerequisites are out comes next. A node has to wait for the largest
+    rank below it, its own among them: no node that waits for a larger one comes before it.
+    Those that wait for one rank are a block, which begins with that node; a large block falls
+    into blocks in the same way when that node is taken off. So the blocks' keys are in order,
+    and what is left in a block of at most ``BLOCK`` nodes is ordered in one task.
+    """
+    seeds = nodes.select(F.col("rank").alias("id"), F.col("rank").alias("value"))
+    waits = reachability.extreme(edges.select(F.col("to").alias("at"), F.col("at").alias("to")), seeds, scratch, "waits")
+    now = scratch.save(waits.select(F.col("id").alias("rank"), F.array("value").alias("key")), "keys0")
+
+    def within(rows):
+        a, b = rows.select(F.col("rank").alias("at"), F.col("key").alias("_a")), rows.select(F.col("rank").alias("to"), F.col("key").alias("_b"))
+        return edges.join(a, "at").join(b, "to").where("_a = _b").select("at", "to")
+
+    inside = scratch.save(within(now), "inside0")
+    if not reachability.strong_components(inside.toDF("src", "dst")).isEmpty():
+        return None
+    for k in range(1, MAX_ROUNDS):
+        sizes = scratch.save(now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"sizes{k}")
+        large = sizes.where(F.col("n") > BLOCK).select("key")
+        if large.isEmpty():
+            break
+        rest = now.where("rank <> element_at(key, -1)").join(large, "key", "left_semi")
+        rest = scratch.save(rest, f"rest{k}")
+        inside = scratch.save(within(rest), f"split{k}")
+        split = reachability.extreme(inside.select(F.col("to").alias("at"), F.col("at").alias("to")), rest.select(F.col("rank").alias("id"), F.col("rank").alias("value")), scratch, f"waits{k}-")
+        longer = now.join(split.select(F.col("id").alias("rank"), "value"), "rank", "left")
+        now = scratch.save(longer.select("rank", F.when(F.col("value").isNull(), F.col("key")).otherwise(F.concat("key", F.array("value"))).alias("key")), f"keys{k}")
+    blocks = now.join(sizes.select("key"), "key", "left_semi")
+    several = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-blocks.count() // BLOCK)) * 4))
+    needs = within(blocks).groupBy(F.col("at").alias("rank")).agg(F.collect_list("to").alias("needs"))
+
+    def order(pdf):
+        import heapq
+
+        import pandas as pd
+
+        left, users = {}, {}
+        for i, needs in zip(pdf["rank"].tolist(), pdf["needs"]):
+            left[i] = 0 if needs is None else len(needs)
+            for n in () if needs is None else needs.tolist():
+                users.setdefault(n, []).append(i)
+        ready = [i for i, k in left.items() if not k]
+        heapq.heapify(ready)
+        out = []
+        while ready:
+            out.append(heapq.heappop(ready))
+            for u in users.get(out[-1], ()):
+                left[u] -= 1
+                if not left[u]:
+                    heapq.heappush(ready, u)
+        return pd.DataFrame({"rank": out, "place": range(len(out))}, dtype="int64")
+
+    # Blocks that share a task don't need each other, so each is in its own order there.
+    found = blocks.select("rank", several.alias("task")).join(needs, "rank", "left").groupBy("task").applyInPandas(order, "rank long, place long")
+    return now.join(found, "rank", "left").select("rank", "key", F.coalesce("place", F.lit(0)).alias("place"))
+
+
 def depths(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, depth): edges on the longest path below each node, leaves 0; raises on cycles.
 

@@ -139,6 +139,29 @@ def test_learning_path_is_by_algorithm(spark):
     assert [r.id for r in g.learning_path(e, ids(spark, []), ids(spark, []), ids(spark, "k")).orderBy("pos").collect()] == ["b", "a"]
 
 
+def test_learning_path_makes_no_syllabus_without_a_cycle(spark, monkeypatch):
+    """The path of all algorithms is that of their syllabuses, however small the blocks are that one task orders."""
+    rng = random.Random(4)
+    own = list(range(1, 70))
+    rng.shuffle(own)
+    pairs = {(own[i], own[rng.randrange(max(0, i - 12), i)]) for i in range(1, 69) for _ in range(3)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    goals, known = (spark.createDataFrame([(k,) for k in own[a::b]], "id long") for a, b in ((5, 6), (3, 11)))
+    want = [(r.pos, r.id) for r in g._path_of_each(e, goals, known).orderBy("pos").collect()]
+    monkeypatch.setattr(g, "syllabus", None)
+    for block in (100_000, 2):
+        monkeypatch.setattr(g, "BLOCK", block)
+        assert [(r.pos, r.id) for r in g.learning_path(e, goals, known).orderBy("pos").collect()] == want
+
+
+def test_learning_path_past_a_cycle(spark):
+    """A cycle through the algorithm alone is none of its prerequisites; another one raises."""
+    e = frame(spark, [("k", "a"), ("a", "k"), ("a", "b")])
+    assert [r.id for r in g.learning_path(e, ids(spark, "k"), ids(spark, [])).orderBy("pos").collect()] == ["b", "a", "k"]
+    with pytest.raises(Exception, match="cycle"):
+        g.learning_path(frame(spark, [("m", "k"), ("k", "a"), ("a", "k")]), ids(spark, "m"), ids(spark, [])).collect()
+
+
 def test_proposals_reject_in_order_and_demoted_edges_use_the_cap(spark):
     nodes = spark.createDataFrame([(x, "concept", "statement") for x in "abcdefgh"] + [("alg", "algorithm", "derivation"), ("floor", "concept", "assumed")], "id string, type string, tier string")
     rows = [("c1", 0, "b", "a"), ("c1", 1, "zz", "a"), ("c1", 2, "a", "zz"), ("c1", 3, "a", "a"), ("c1", 4, "floor", "a"), ("c1", 5, "alg", "a"), ("c1", 6, "a", "h"), ("c1", 7, "b", "a"), ("c2", 0, "a", "b")]
