@@ -390,28 +390,23 @@ def evidence(lines: DataFrame, terms: DataFrame, gap: int = 5, context: int = 5,
     components reach the node (``reached``). In each file of a doc a term claims its first line that is
     not within ``gap`` lines of one claimed before; the spans of a doc are ranked by file
     rank, strength and path, and ``limit`` of them stay. Only lines that hold a term reach
-    the ordered step, one group per (doc, path).
+    the ordered step, one array per (doc, path), folded by columns alone.
     """
     usable = lines.where(~F.col("text").rlike(NEVER_EVIDENCE)).withColumn("_low", F.lower("text"))
     weak_in_wiring = (F.col("strength") < 2) & F.col("path").rlike(WIRING_FILE)
     wanted = terms if reached else terms.where("strength >= 2")
     found = containing(wanted.withColumn("_term", F.lower("term")), "_term", usable, "_low")
-    hits = found.where(~weak_in_wiring).drop("_low", "_term")
-    kind = dict(lines.dtypes)["doc"]
-
-    def claim(pdf):
-        import pandas as pd
-
-        out, claimed = [], []
-        for (prio, strength, term), own in pdf.sort_values(["prio", "ln"]).groupby(["prio", "strength", "term"], sort=True):
-            for r in own.itertuples():
-                if all(abs(r.ln - c) > gap for c in claimed):
-                    claimed.append(r.ln)
-                    out.append((r.doc, r.path, r.rank, r.ln, term, strength, prio))
-                    break
-        return pd.DataFrame(out, columns=["doc", "path", "rank", "ln", "term", "strength", "prio"])
-
-    spans = hits.groupBy("doc", "path").applyInPandas(claim, f"doc {kind}, path string, rank int, ln int, term string, strength int, prio int")
+    hits = found.where(~weak_in_wiring)
+    hit = F.struct(*(F.col(c).cast("int").alias(c) for c in ("prio", "strength")), "term", *(F.col(c).cast("int").alias(c) for c in ("ln", "rank")))
+    own = hits.groupBy("doc", "path").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
+
+    def claim(spans, h):
+        """The hit becomes a span if its term has none yet and no span is near; a term's hits follow each other."""
+        last = F.get(spans, F.size(spans) - 1)
+        done = F.coalesce((last["prio"] == h["prio"]) & (last["strength"] == h["strength"]) & (last["term"] == h["term"]), F.lit(False))
+        return F.when(done | F.exists(spans, lambda c: F.abs(h["ln"] - c["ln"]) <= gap), spans).otherwise(F.concat(spans, F.array(h)))
+
+    spans = own.select("doc", "path", F.inline(F.aggregate("_hits", F.slice("_hits", 1, 0), claim)))
     best = Window.partitionBy("doc").orderBy("rank", F.desc("strength"), "path", "ln")
     kept = spans.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
     return kept.select("doc", "path", "ln", "term", "place", F.greatest(F.col("ln") - context, F.lit(1)).alias("first"), (F.col("ln") + context).alias("last"))

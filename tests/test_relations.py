@@ -125,6 +125,27 @@ def test_evidence_claims_by_proximity(spark):
     assert [(x.term, x.ln, x["first"], x["last"]) for x in got] == [("rate", 3, 1, 8), ("planner", 15, 10, 20)]
 
 
+def test_evidence_is_folded_by_columns_and_agrees_with_a_loop(spark):
+    rng = random.Random(9)
+    terms = [("ab", 2, 0), ("ba", 2, 1), ("aa", 1, 2), ("bb", 1, 3), ("b", 1, 4)]
+    lines = [(d, f"f{f}.py", f, k, "".join(rng.choice("abc-") for _ in range(4))) for d in "xyz" for f in (0, 1) for k in range(1, 60)]
+    want = set()
+    for d in "xyz":
+        spans = []
+        for f in (0, 1):
+            claimed = []
+            for term, strength, _ in terms:
+                free = [k for dd, _, ff, k, text in lines if (dd, ff) == (d, f) and term in text and all(abs(k - c) > 5 for c in claimed)]
+                if free:
+                    claimed.append(free[0])
+                    spans.append((f, -strength, f"f{f}.py", free[0], term))
+        want |= {(d, path, ln, term, k) for k, (_, _, path, ln, term) in enumerate(sorted(spans)[:3], 1)}
+    f = spark.createDataFrame(lines, "doc string, path string, rank int, ln int, text string")
+    out = r.evidence(f, spark.createDataFrame(terms, "term string, strength int, prio int"))
+    assert {(x.doc, x.path, x.ln, x.term, x.place) for x in out.collect()} == want
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sections_and_notation(spark):
     refs = spark.createDataFrame([(1, "3.1", "see there"), (2, "3.1.2", "see ekf"), (3, "9", "no"), (4, "3", "x")], "ref_id int, number string, text string")
     owners = spark.createDataFrame([("ekf", "kalman", "3.1", 1), ("mpc", "control", "3.2", 2)], "owner string, name string, section string, prio int")
