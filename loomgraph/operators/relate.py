@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.fixed import BRIDGE, FLOW_RELATIONS, GENERIC_WORDS, NEVER_EVIDENCE, OUTPUT_NAME, TOPIC, WIRING_FILE
 from ..functions.terms import terms_in
-from ..sources.tables import small
+from ..sources.tables import Scratch, small
+
+
+#: Pairs that one task makes where they are grouped by their ends, and rows of a key in one list.
+PAIRS, LISTED = 4_000_000, 2_000
 
 
 def distinct_endpoints(ends: DataFrame) -> DataFrame:
@@ -38,18 +42,53 @@ def one_sided(ends: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dataflow(ends: DataFrame) -> DataFrame:
     """(a, b, topics): unordered pairs of components a < b that share topics."""
-    e = ends.select("component", "topic").distinct()
-    a, b = e.toDF("a", "topic"), e.toDF("b", "topic")
-    return grid_join(a, b, "topic").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("topics"))
+    e = Scratch(ends.sparkSession, "dataflow").save(ends.select("component", "topic").distinct(), "ends")
+    met = gathered(e.toDF("a", "topic"), e.toDF("b", "topic"), "topic", lambda a, b: a < b)
+    return met.groupBy("a", "_cut", "b").agg(F.count(F.lit(1)).alias("topics")).select("a", "b", "topics")
 
 
 def topic_edges(linked: DataFrame) -> DataFrame:
     """(pub, sub, n, topics, sentence): links, each once as ``links`` makes them, grouped by pair, topics sorted."""
-    g = linked.groupBy("pub", "sub").agg(F.array_sort(F.collect_list(F.col("topic").cast("string"))).alias("topics"))
+    return _sentences(linked, "pub", "sub")
+
+
+def topic_edges_of(ends: DataFrame) -> DataFrame:
+    """``topic_edges`` of the ``links`` of endpoints (component, topic, role), without the links' evidence."""
+    e = Scratch(ends.sparkSession, "topics").save(ends.select("component", "topic", "role").distinct(), "ends")
+    pubs = e.where("role in ('publishes', 'both')").select(F.col("component").alias("pub"), "topic").distinct()
+    subs = e.where("role in ('subscribes', 'both')").select(F.col("component").alias("sub"), "topic").distinct()
+    return _sentences(gathered(pubs, subs, "topic", lambda p, s: p != s), "pub", "_cut", "sub")
+
+
+def _sentences(linked: DataFrame, *keys: str) -> DataFrame:
+    g = linked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("topic").cast("string"))).alias("topics"))
     joined = F.array_join("topics", ", ")
     return g.select("pub", "sub", F.size("topics").alias("n"), joined.alias("topics"), F.concat(F.col("pub").cast("string"), F.lit(" feeds "), F.col("sub").cast("string"), F.lit(" through "), joined).alias("sentence"))
 
 
+def gathered(left: DataFrame, right: DataFrame, key: str, keep) -> DataFrame:
+    """left (one, key) and right (other, key), each row once -> (one, _cut, other, key): the pairs of a key that ``keep`` takes, laid by (one, _cut).
+
+    The others of a key go in lists of about ``LISTED``, so that a pair is one id in the
+    shuffle, and there are as many tasks as the pairs need, about ``PAIRS`` in each. An
+    other is in one cut, so groups of (one, _cut, other) need no further shuffle.
+    """
+    spark = left.sparkSession
+    one, other = (next(c for c in f.columns if c != key) for f in (left, right))
+    rows = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    loads = Scratch(spark, "gathered").save(left.join(rows, key).groupBy(one).agg(F.sum("_n").alias("_load")), "loads")
+    width = max(spark.sparkContext.defaultParallelism, -(-(loads.agg(F.sum("_load")).first()[0] or 0) // PAIRS))
+    busy = small(loads.where(F.col("_load") > PAIRS).select(one, F.ceil(F.col("_load") / PAIRS).alias("_cuts")))
+    long = small(rows.where(F.col("_n") > LISTED).select(key, F.ceil(F.col("_n") / LISTED).alias("_parts")))
+    part = F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1)))
+    lists = right.join(long, key, "left").groupBy(key, part.alias("_part")).agg(F.collect_list(other).alias("_others"))
+    met = grid_join(left, lists, key, LISTED).join(busy, one, "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(1).cast("long")))
+    met = met.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1)))
+    own = F.filter("_others", lambda o: keep(F.col(one), o) & ((F.col("_cuts") == 1) | (F.pmod(F.xxhash64(o), F.col("_cuts")) == F.col("_cut"))))
+    met = met.select(one, "_cut", key, own.alias("_others")).where(F.size("_others") > 0)
+    return met.repartition(width, one, "_cut").select(one, "_cut", F.explode("_others").alias(other), key)
+
+
 def upstream(linked: DataFrame, names: DataFrame) -> DataFrame:
     """links and names (component) -> (line): who sends each topic that the components read, each line once."""
     text = F.concat(F.lit("- "), F.col("pub").cast("string"), F.lit(" publishes "), F.col("topic").cast("string"), F.lit("; "), F.col("sub").cast("string"), F.lit(" reads it ("), F.col("sub_evidence"), F.lit(")"))

@@ -146,6 +146,21 @@ def test_evidence_is_folded_by_columns_and_agrees_with_a_loop(spark):
     assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pairs_are_gathered_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Pairs cost the shuffle one id, however few fit a task or a list, and are those of the join."""
+    rng = random.Random(6)
+    rows = sorted({(rng.randrange(30), rng.randrange(9) ** 2 // 8, rng.choice(["publishes", "subscribes", "both"])) for _ in range(300)})
+    ends = spark.createDataFrame([(c, t, role, f"e{k}", k) for k, (c, t, role) in enumerate(rows)], "component long, topic long, role string, evidence string, ord long")
+    want = sorted(tuple(x) for x in r.topic_edges(r.links(ends)).collect())
+    on = {(c, t) for c, t, _ in rows}
+    shared = sorted((a, b, sum((a, t) in on and (b, t) in on for t in range(9))) for a in range(30) for b in range(a + 1, 30))
+    for pairs, listed in ((4_000_000, 2_000), (40, 3)):
+        monkeypatch.setattr(r, "PAIRS", pairs)
+        monkeypatch.setattr(r, "LISTED", listed)
+        assert sorted(tuple(x) for x in r.topic_edges_of(ends).collect()) == want
+        assert sorted(tuple(x) for x in r.dataflow(ends).collect()) == [x for x in shared if x[2]]
+
+
 def test_sections_and_notation(spark):
     refs = spark.createDataFrame([(1, "3.1", "see there"), (2, "3.1.2", "see ekf"), (3, "9", "no"), (4, "3", "x")], "ref_id int, number string, text string")
     owners = spark.createDataFrame([("ekf", "kalman", "3.1", 1), ("mpc", "control", "3.2", 2)], "owner string, name string, section string, prio int")
