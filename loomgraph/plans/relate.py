@@ -50,7 +50,7 @@ def j3_unfed(spark, sf_dir):
 @query(f"""WITH {_LINKS}, g AS (SELECT pub, sub, list_sort(list(DISTINCT topic::VARCHAR)) AS ts FROM links GROUP BY pub, sub)
   SELECT pub, sub, len(ts)::INTEGER AS n, array_to_string(ts, ', ') AS topics, pub || ' feeds ' || sub || ' through ' || array_to_string(ts, ', ') AS sentence FROM g""")
 def j22_topic_edges(spark, sf_dir):
-    return r.topic_edges(r.links(endpoints(spark, sf_dir)))
+    return r.topic_edges_of(endpoints(spark, sf_dir))
 
 
 @query(f"WITH {_LINKS} SELECT DISTINCT '- ' || pub || ' publishes ' || topic || '; ' || sub || ' reads it (' || sub_evidence || ')' AS line FROM links WHERE sub IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7)")
