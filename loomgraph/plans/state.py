@@ -93,7 +93,7 @@ def o3_weakest_first(spark, sf_dir):
 
 @query(f"""{_PLAIN} SELECT "user", node, CASE WHEN s >= 0 THEN ['declared', 'read', 'demonstrated'][s + 1] END AS state, tm AS "at", denied FROM fin""")
 def stream_profile(spark, sf_dir):
-    out = s.run_to_table(s.profiles(profile_events(s.stream(spark, f"{sf_dir}/events.parquet"))), "update", "profile")
+    out = s.run_to_table(s.profiles(profile_events(s.stream(spark, f"{sf_dir}/events.parquet"))), "update", "profile", readers.ROCKSDB)
     last = out.groupBy("user", "node").agg(F.max_by(F.struct("state", "at", "denied"), "_batch").alias("v"))
     return last.select("user", "node", "v.state", "v.at", "v.denied")
 

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.profile import STATES
 from ..sources.tables import Scratch
@@ -66,12 +66,25 @@ def fold_profile(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -
 def profiles(events: DataFrame) -> DataFrame:
     """Events (user, node, ord, at, action, state) -> updated entries, the state kept per (user, node).
 
-    ``ord`` is 0 or more. Suspicions are events of their own, as ``with_suspicions`` derives them.
+    ``ord`` is 0 or more. Suspicions are events of their own, as ``with_suspicions`` derives
+    them. All that ``fold_profile`` keeps is the last of something, so the state is an
+    aggregate of maxima, by columns alone.
     """
-    kept = ", ".join([*(f"{a} long" for a in _KINDS), *(f"{s} long, {s}_at string" for s in STATES)])
-    return events.groupBy("user", "node").applyInPandasWithState(
-        fold_profile, "user long, node long, state string, at string, suspect boolean, denied boolean, upto long", kept, "update", GroupStateTimeout.NoTimeout
-    )
+    def last(of, when):
+        return F.max(F.when(when, of))
+
+    kinds = [F.coalesce(last(F.col("ord"), F.col("action") == a), F.lit(-1).cast("long")).alias(f"_{a}") for a in _KINDS]
+    marks = [last(F.struct("ord", "at"), (F.col("action") == "mark") & (F.col("state") == s)).alias(f"_{s}") for s in STATES]
+    kept = events.groupBy("user", "node").agg(*kinds, *marks)
+    order = {s: F.coalesce(F.col(f"_{s}.ord"), F.lit(-1).cast("long")) for s in STATES}
+    marked, ended = F.greatest(*order.values()), F.greatest("_deny", "_reopen")
+    state, at = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for s in STATES:  # the strongest that is live
+        state = F.when(order[s] > ended, s).otherwise(state)
+        at = F.when(order[s] > ended, F.col(f"_{s}.at")).otherwise(at)
+    suspect = (marked > ended) & (F.col("_suspect") > marked)
+    every = F.greatest("_deny", "_reopen", "_suspect", *order.values())
+    return kept.select("user", "node", state.alias("state"), at.alias("at"), suspect.alias("suspect"), (F.col("_deny") > marked).alias("denied"), every.alias("upto"))
 
 
 @contextmanager

@@ -32,6 +32,19 @@ def test_suspicions_whatever_the_batches(spark, tmp_path):
     assert {(r.user, r.node): (r.state, r.at, r.suspect, r.denied) for r in last.collect() if r.state or r.denied} == want
 
 
+def test_profile_stream_is_an_aggregate_whatever_the_batches(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(rng.randrange(3), rng.randrange(8), k, f"2024-01-{1 + k // 10:02d}", *rng.choice([("mark", "declared"), ("mark", "read"), ("mark", "demonstrated"), ("reopen", None), ("deny", None), ("suspect", None)])) for k in range(200)]
+    want = {(r.user, r.node, r.state, r.at, r.suspect, r.denied) for r in p.fold(spark.createDataFrame(rows, EVENTS)).collect()}
+    rng.shuffle(rows)  # late events, too
+    entries = s.profiles(stream_of(spark, tmp_path / "e", [rows[:80], rows[80:150], rows[150:]], EVENTS))
+    assert "InPandas" not in entries._jdf.queryExecution().analyzed().toString()
+    out = s.run_to_table(entries, "update", "test", readers.ROCKSDB)
+    last = out.groupBy("user", "node").agg(F.max_by(F.struct("state", "at", "suspect", "denied"), "_batch").alias("v")).select("user", "node", "v.*")
+    assert out.select("_batch").distinct().count() == 3
+    assert {tuple(r) for r in last.collect() if r.state or r.denied} == want
+
+
 def test_entries_go_stale_by_timers(spark, tmp_path):
     schema = EVENTS + ", ts timestamp"
 
