@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from ..operators.windows import folded_values
 from . import parsers
 from .changes import SKIPPED
+from .tables import width_for
 
 #: Where a line ends in a file.
 LINE_ENDS = "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -40,6 +41,11 @@ def _quoted(text: str) -> str:
     return re.escape(text)
 
 
+def dealt_out(files: DataFrame, each: int = 2_000) -> DataFrame:
+    """The files in tasks of about ``each``, for parsers: small texts may well come from one partition."""
+    return files.repartition(width_for(files.count(), each, files.sparkSession.sparkContext.defaultParallelism))
+
+
 def _rows(files: DataFrame, parse, schema: str, pattern: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -48,7 +54,7 @@ def _rows(files: DataFrame, parse, schema: str, pattern: str) -> DataFrame:
             rows = [(p, *r) for p, t in zip(pdf["path"], pdf["text"]) for r in parse(t or "")]
             yield pd.DataFrame(rows, columns=names)
 
-    return files.where(F.col("path").rlike(pattern)).select("path", "text").mapInPandas(run, schema)
+    return dealt_out(files.where(F.col("path").rlike(pattern)).select("path", "text")).mapInPandas(run, schema)
 
 
 def parameters(files: DataFrame) -> DataFrame:
@@ -84,7 +90,7 @@ def launch_nodes(files: DataFrame) -> DataFrame:
                 rows += [(p, k, n["package"], n["executable"], n["name"], n["param_files"], [{"inside": a, "outside": b} for a, b in n["remappings"]], n["arguments"], n["unresolved"]) for k, n in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "ord", "package", "executable", "name", "param_files", "remappings", "arguments", "unresolved"])
 
-    return files.where(F.col("path").rlike(r"launch[^/]*\.(py|xml)$|\.launch$")).select("path", "text").mapInPandas(run, _NODE)
+    return dealt_out(files.where(F.col("path").rlike(r"launch[^/]*\.(py|xml)$|\.launch$")).select("path", "text")).mapInPandas(run, _NODE)
 
 
 def code_units(files: DataFrame, limit: int = 120) -> DataFrame:

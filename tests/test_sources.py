@@ -217,6 +217,14 @@ def test_sinks(spark, tmp_path):
     assert [r.why for r in sinks.strip_private(private, "why", "project", ["p1"]).orderBy("project").collect()] == ["note", None]
 
 
+def test_parsers_get_their_files_in_many_tasks(spark):
+    files = spark.range(300, numPartitions=1).selectExpr("concat('src/m', id, '.py') AS path", "concat('import n', id) AS text")
+    assert repository.dealt_out(files, 10).rdd.getNumPartitions() == 30
+    assert repository.foreign_imports(files).count() == 300
+    tasks = repository.dealt_out(files).groupBy(F.spark_partition_id()).count()
+    assert tasks.count() > 1
+
+
 def test_stream_state_equals_batch(spark, tmp_path):
     rows = [(k % 3, k % 4, k, f"t{k:03}", ("mark", "deny", "mark", "reopen", "mark")[k % 5], p.STATES[k % 3] if k % 5 in (0, 2, 4) else None) for k in range(120)]
     events = spark.createDataFrame(rows, "user long, node long, ord long, at string, action string, state string")
