@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFINES, DERIVATION_TITLE, MOVES, OUT_OF_SCOPE_TITLE, PRUNE_REASONS, UNINFORMATIVE
+from ..sources.tables import Scratch, small
 from . import reachability
 
 def ungrounded(cites: DataFrame, sources: DataFrame) -> DataFrame:
@@ -19,8 +20,11 @@ def holes(invoked: DataFrame, edges: DataFrame, known: DataFrame, labels: DataFr
     Few different items go up the edges as packed labels. Else each pair is a question to the
     reachability index (``labels``, made here if not given).
     """
-    asked = invoked.select("id", "item").distinct().where("id <> item").join(known.select(F.col("id").alias("item")).distinct(), "item", "left_anti")
-    items = asked.select("item").dropna().distinct()
+    asked = invoked.select("id", "item").distinct().where("id <> item")
+    # An item that many ask for meets what is known once.
+    items = asked.select("item").distinct().join(known.select(F.col("id").alias("item")).distinct(), "item", "left_anti")
+    items = small(Scratch(invoked.sparkSession, "holes").save(items, "items"))
+    asked = asked.join(items, "item", "left_semi")
     if labels is None and items.limit(reachability.MANY + 1).count() <= reachability.MANY:
         words, numbers = reachability.reaching(edges, items.select(F.col("item").alias("id"), "item"), "item", back=True, own=False)
         met = asked.join(F.broadcast(numbers), "item").join(words, ["id", "bucket"])
@@ -82,8 +86,11 @@ def check_sheets(sheets: DataFrame, sources: DataFrame, edges: DataFrame, known:
     cites = step.select("id", F.explode("cites").alias("cite")).unionByName(sheets.select("id", F.explode("property_cites").alias("cite")))
     bad = ungrounded(cites, sources).groupBy("id").agg(F.array_sort(F.collect_list("cite")).alias("ungrounded"))
     invoked = step.select("id", F.explode("invokes").alias("item")).distinct()
-    unknown = invoked.join(ids.select(F.col("id").alias("item")).distinct(), "item", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("unknown"))
-    resolved = invoked.join(ids.select(F.col("id").alias("item")).distinct(), "item", "left_semi")
+    # Many steps invoke few items: each item meets the ids once, so no task gets all that invoke one.
+    met = invoked.select("item").distinct().join(ids.select(F.col("id").alias("item")).distinct(), "item", "left_semi")
+    met = small(Scratch(sheets.sparkSession, "sheets").save(met, "met"))
+    unknown = invoked.join(met, "item", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("unknown"))
+    resolved = invoked.join(met, "item", "left_semi")
     useful = resolved.where(~F.col("item").cast("string").isin(*UNINFORMATIVE)).groupBy("id").agg(F.count(F.lit(1)).alias("useful"))
     hole = holes(resolved, edges, known, labels).groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("holes"))
     s = sheets.join(bad, "id", "left").join(unknown, "id", "left").join(hole, "id", "left").join(useful, "id", "left")

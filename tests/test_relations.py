@@ -1,6 +1,7 @@
 """Joins, windows, guards, state and exercises on small relations."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -355,3 +356,19 @@ def test_generation_stages(spark):
     passages = spark.createDataFrame([("t", 1, "p" * 10), ("t", 2, "q" * 10)], "id string, place int, text string")
     prompt = generation.prompts(spark.createDataFrame([("t", "Tracker")], "id string, name string"), v, passages, budget=15).first()["prompt"]
     assert "Tracker" in prompt and "a, b, c, d, e" in prompt and "q" not in prompt
+
+
+def test_invocations_of_one_item_stay_in_their_tasks(spark):
+    """What all steps invoke meets the ids once, so no join is by the items of all invocations."""
+    from loomgraph.plans import registry
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = registry.QUERIES["d1_check"](spark, "/root/testdata/sf0.001")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    alone = [x for x in plan.splitlines() if re.search(r"Join \[item#\d+L\], ", x)]
+    assert alone and not [x for x in alone if "SortMerge" in x]
+    assert {r["unknown"] for r in out.where("id % 2 = 0").collect()} == {"1000000000"}
