@@ -23,6 +23,8 @@ CANDIDATES = 1_000_000
 LAYERS = 4
 #: Prerequisites of a node above which the reduction marks what lies below them, not pair by pair.
 HUB = 1000
+#: Sources that ask for an end from which its label goes up the edges, not theirs down.
+POPULAR = 1000
 #: Nodes of one block of a path whose order is found in one task.
 BLOCK = 100_000
 
@@ -173,16 +175,23 @@ def shortest_chain(edges: DataFrame, src, dst, max_rounds: int = MAX_ROUNDS) ->
 def transitive_reduction(edges: DataFrame, exempt: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """The edges that no longer path replaces; edges out of ``exempt`` nodes (id) all stay.
 
-    Each edge is a question to the reachability index (``labels``, made here if not given):
-    does a path of two edges or more join its ends? Nodes with more than ``HUB`` edges would
+    An edge is replaced if any end of its source's edges leads to its own end: a question
+    about two nodes, asked once for all sources that share it (``_leading``), or of the
+    reachability index where ``labels`` are given. Nodes with more than ``HUB`` edges would
     ask about all pairs of them; there, what lies below the edges' ends is marked by packed
     labels of the hubs, and a marked end has a longer path.
     """
-    e = edges.select("src", "dst").distinct()
+    scratch = Scratch(edges.sparkSession, "reduction")
+    e = scratch.save(edges.select("src", "dst").distinct(), "edges")
     asked = e if exempt is None else e.join(exempt.select(F.col("id").alias("src")).distinct(), "src", "left_anti")
     busy = asked.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     plain = asked.join(busy.where(F.col("n").between(2, HUB)).select("src"), "src", "left_semi")
-    redundant = reachability.holding(plain, e, labels, least=2)
+    if labels is not None:
+        redundant = reachability.holding(plain, e, labels, least=2)
+    else:
+        each = scratch.save(plain.join(plain.select("src", F.col("dst").alias("via")), "src").select("src", "dst", "via"), "each")
+        led = _leading(each.select(F.col("via").alias("src"), "dst").distinct(), e, scratch)
+        redundant = each.join(led.select(F.col("src").alias("via"), "dst"), ["via", "dst"], "left_semi").select("src", "dst").distinct()
     hubs = asked.join(busy.where(F.col("n") > HUB).select("src"), "src", "left_semi")
     if not hubs.isEmpty():
         words, numbers = reachability.reaching(e, hubs.select(F.col("dst").alias("id"), F.col("src").alias("hub")), "hub", own=False)
@@ -191,6 +200,30 @@ def transitive_reduction(edges: DataFrame, exempt: DataFrame | None = None, labe
     return e.join(redundant, ["src", "dst"], "left_anti")
 
 
+def _leading(pairs: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The different pairs (src, dst) that a path of one edge or more joins, each once.
+
+    Labels go packed, along edges that lead to where they are asked for: of the dsts that most
+    srcs ask for (``POPULAR`` and more, one bucket) up the edges, of the
+    srcs of all other pairs down.
+    """
+    pairs = scratch.save(pairs.select("src", "dst"), "pairs")
+    most = pairs.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= POPULAR)
+    most = F.broadcast(scratch.save(most.orderBy(F.desc("n"), "dst").limit(reachability.WORD).select("dst"), "most"))
+    out = []
+    up, down = pairs.join(most, "dst", "left_semi"), pairs.join(most, "dst", "left_anti")
+    if not most.isEmpty():
+        words, numbers = reachability.reaching(edges, most.select(F.col("dst").alias("id"), "dst"), "dst", back=True, own=False)
+        met = up.join(F.broadcast(numbers), "dst").join(words.withColumnRenamed("id", "src"), ["src", "bucket"])
+        out.append(met.where("getbit(word, bit) = 1").select("src", "dst"))
+    starts = down.select(F.col("src").alias("id"), "src").distinct()
+    inner = edges.join(reachability.reachable(edges, starts).select(F.col("id").alias("src")), "src", "left_semi")
+    words, numbers = reachability.reaching(inner, starts, "src", own=False)
+    met = down.join(numbers, "src").join(words.withColumnRenamed("id", "dst"), ["dst", "bucket"])
+    out.append(met.where("getbit(word, bit) = 1").select("src", "dst"))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def algorithms_under(hierarchy: DataFrame, algorithms: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id): algorithms below each root by contains/uses edges, not passing any.
 

@@ -1,6 +1,7 @@
 """Reachability without pairs, against plain Python on random graphs."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -118,6 +119,17 @@ def test_reduction_with_hubs(spark, monkeypatch, hub):
     assert {tuple(x) for x in g.transitive_reduction(frame(spark, pairs)).collect()} == kept
 
 
+@pytest.mark.parametrize("popular, acyclic", [(1000, True), (3, True), (3, False)])
+def test_reduction_asks_no_index(spark, monkeypatch, popular, acyclic):
+    """Questions go as packed labels, of ends that many ask for upwards; no search of pairs."""
+    monkeypatch.setattr(g, "POPULAR", popular)
+    monkeypatch.setattr(r, "index", None)
+    pairs = some_graph(13, nodes=40, edges=150, acyclic=acyclic)
+    found, n = below(pairs), Counter(a for a, _ in pairs)  # an only edge stays, cycle or not
+    kept = {(a, b) for a, b in pairs if n[a] == 1 or not any((a, m) in pairs and b in found.get(m, ()) for m in range(40))}
+    assert {tuple(x) for x in g.transitive_reduction(frame(spark, pairs)).collect()} == kept
+
+
 def test_reopens_reach_entries_from_both_sides(spark):
     rng = random.Random(8)
     pairs = some_graph(21, nodes=200, edges=320)
