@@ -32,6 +32,20 @@ def test_suspicions_whatever_the_batches(spark, tmp_path):
     assert {(r.user, r.node): (r.state, r.at, r.suspect, r.denied) for r in last.collect() if r.state or r.denied} == want
 
 
+def test_few_dependents_get_suspicions_without_python(spark, tmp_path):
+    rng = random.Random(13)
+    edges = spark.createDataFrame(sorted({(rng.randrange(5, 90), rng.randrange(0, 60)) for _ in range(110)} | {(3, 80), (80, 3)}), "src long, dst long").where("src <> dst")
+    rows = [(rng.randrange(3), rng.randrange(95), k, f"2024-01-{1 + k // 30:02d}", *rng.choice([("mark", "read"), ("mark", "demonstrated"), ("reopen", None), ("deny", None), ("suspect", None)])) for k in range(500)]
+    want = {(r.user, r.node): (r.state, r.at, r.suspect, r.denied) for r in p.fold(p.with_suspicions(spark.createDataFrame(rows, EVENTS), edges)).collect()}
+    assert sum(v[2] for v in want.values()) > 20
+    rng.shuffle(rows)  # late events, too
+    entries = readers.profiles(stream_of(spark, tmp_path / "e", [rows[:200], rows[200:350], rows[350:]], EVENTS), readers.below(edges, spark.range(90)))
+    assert "InPandas" not in entries._jdf.queryExecution().analyzed().toString()
+    out = s.run_to_table(entries, "update", "test", readers.ROCKSDB)
+    last = out.groupBy("user", "node").agg(F.max_by(F.struct("state", "at", "suspect", "denied"), "_batch").alias("v")).select("user", "node", "v.*")
+    assert {(r.user, r.node): (r.state, r.at, r.suspect, r.denied) for r in last.collect() if r.state or r.denied} == want
+
+
 def test_profile_stream_is_an_aggregate_whatever_the_batches(spark, tmp_path):
     rng = random.Random(12)
     rows = [(rng.randrange(3), rng.randrange(8), k, f"2024-01-{1 + k // 10:02d}", *rng.choice([("mark", "declared"), ("mark", "read"), ("mark", "demonstrated"), ("reopen", None), ("deny", None), ("suspect", None)])) for k in range(200)]
