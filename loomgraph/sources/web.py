@@ -13,6 +13,7 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -66,9 +67,20 @@ def plain_text(source: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf(StringType())
-def html_text(source: pd.Series) -> pd.Series:
-    return source.map(plain_text)
+#: Texts of a batch that are Python strings at a time.
+AT_ONCE = 200
+
+
+def plain_texts(source: pa.Array) -> pa.Array:
+    """``plain_text`` of each value, some at a time, so a batch is held as Arrow's bytes alone."""
+    parts = (source.slice(k, AT_ONCE) for k in range(0, len(source), AT_ONCE))
+    done = [pa.array([plain_text(x.as_py()) for x in part], pa.string()) for part in parts]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def html_text(source: pa.Array) -> pa.Array:
+    return plain_texts(source)
 
 
 @F.pandas_udf(StringType())

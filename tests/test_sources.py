@@ -163,6 +163,21 @@ def test_html_and_sections(spark):
     assert spark.range(1).select(web.ascii_slug(F.lit("Caf\xe9 d'Or--2")).alias("s")).first()["s"] == "cafe_d_or_2"
 
 
+def test_a_batch_of_pages_is_not_held_as_strings(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = pa.array([None, HTML, ""] + [f"<p>{k}</p>" + "x" * 10_000 for k in range(2000)])
+    tracemalloc.start()
+    got = web.plain_texts(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000 and got.nbytes > 19_000_000
+    assert got.to_pylist() == [web.plain_text(x) for x in pages.to_pylist()]
+    assert [r.t for r in spark.createDataFrame([(HTML,), (None,)], "h string").select(web.html_text("h").alias("t")).collect()] == [web.plain_text(HTML), ""]
+
+
 def test_retrieval(spark):
     bodies = spark.createDataFrame([("t", json.dumps({"query": {"pages": {"7": {"title": "T", "extract": "long text"}, "-1": {"title": "none"}, "8": {"title": "D", "extract": "D may refer to:"}}}}))], "title string, body string")
     assert [r.id for r in web.encyclopedia(bodies).collect()] == ["7"]
