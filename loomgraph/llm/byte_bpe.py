@@ -3,10 +3,11 @@
 Text is split by the tokenizer's pattern; each match (pre-token) is merged on its own.
 Merging keeps the symbols of a pre-token in a doubly linked list and the candidate
 merges in a rank queue: a bucket per merge rank holds the list positions whose pair has
-that rank, and a hierarchy of 64-bit words marks the non-empty buckets, so find-first-set
+that rank, and a hierarchy of 256-bit words marks the non-empty buckets, so find-first-set
 from the top word yields the lowest rank in a constant number of steps. A position taken
 from a bucket whose pair has changed meanwhile is stale and skipped. Work grows linearly
-with the length of a pre-token, which is what very long ones need.
+with the length of a pre-token, which is what very long ones need. The new pre-tokens of
+many texts go through one queue: their lists end before each other, so no pair is of two.
 
 Pre-tokens recur, so each worker keeps a bounded map from chunks (a run of white space
 and the run of other characters after it) to their ids, in two generations: a full one
@@ -25,6 +26,7 @@ import base64
 import hashlib
 import re
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 _CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Entries of a generation of a worker's map of chunks, and of that of pre-tokens.
 CACHE_ENTRIES = 300_000
+#: Code points of texts that are encoded together, bytes of pre-tokens that are merged together; longer ones are alone.
+TEXT_ROOM, MERGE_ROOM = 1 << 20, 1 << 18
 _BIT = [1 << k for k in range(256)]
 
 
@@ -77,8 +81,18 @@ def explicit(pattern: str, own: dict[str, str]) -> str:
     return re.sub(r"\\p\{[LN]\}|\\s|\\S", lambda k: f"[^{own[chr(92) + 's']}]" if k[0] == r"\S" else f"[{own[k[0]]}]", inside)
 
 
-def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _filled(items: list, room: int) -> Iterator[list]:
+    """Runs of items of at most ``room`` in length together; a longer item is alone."""
+    out, left = [], room
+    for x in items:
+        size = len(x or "")
+        if out and left < size:
+            yield out
+            out, left = [], room
+        out.append(x)
+        left -= size
+    if out:
+        yield out
 
 
 class ByteBPE:
@@ -98,8 +112,14 @@ class ByteBPE:
         self.old_words: dict[str, bytes] = {}
         self.old_tokens: dict[str, bytes] = {}
         self.table = [b""] * self.size
+        # Ranks of single bytes and of pairs of bytes; a byte without one has -2, for it may yet be merged.
+        self.single, self.double = np.full(256, -2), np.full(1 << 16, -1)
         for token, rank in ranks.items():
             self.table[rank] = token
+            if len(token) == 1:
+                self.single[token[0]] = rank
+            elif len(token) == 2:
+                self.double[token[0] << 8 | token[1]] = rank
 
     @classmethod
     def from_file(cls, path: str, pattern: str, own: dict[str, str] | None = None) -> ByteBPE:
@@ -109,27 +129,40 @@ class ByteBPE:
 
     def merge(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
-        get = self.ranks.get
-        whole = get(token)
-        if whole is not None:
-            return [whole]
-        n = len(token)
-        buckets, low, bit = self.buckets, self.low, _BIT
+        whole = self.ranks.get(token)
+        return np.frombuffer(self.merge_all([token])[0], "<u4").tolist() if whole is None else [whole]
+
+    def merge_all(self, tokens: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens that have no rank as a whole, each as little-endian unsigned 32-bit integers."""
+        get, buckets, low, bit = self.ranks.get, self.buckets, self.low, _BIT
         high = 0  # top word of the bitmap; wider than 256 bits for larger vocabularies
-        after = list(range(1, n + 2))  # where the symbol that begins at a position ends
-        before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # the rank that the pair at a position has now
-
-        for i in range(n - 1):
-            r = get(token[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                if r in buckets:
-                    buckets[r].append(i)
-                else:
-                    buckets[r] = [i]
-                    low[r >> 8] |= bit[r & 255]
-                    high |= 1 << (r >> 8)
+        text = b"\0".join(tokens) + b"\0"
+        n = len(text)
+        ends = np.cumsum(np.fromiter(map(len, tokens), "i8", len(tokens)) + 1) - 1
+        # Where the symbol that begins at a position ends, and where the one before it begins. A
+        # pre-token's end has no symbol: a slice that ends at 0 is empty, and has no rank.
+        places = np.arange(1, n + 1)
+        places[ends] = 0
+        after = places.tolist()
+        places = np.arange(-1, n - 1)
+        places[0] = places[ends[:-1] + 1] = -1
+        before = places.tolist()
+        codes = np.frombuffer(text, "u1").astype("i8")
+        first = self.single[codes]
+        first[ends] = -1
+        ids = first.tolist()  # of the symbol that begins at a position, -1 where none does
+        first = np.append(self.double[codes[:-1] << 8 | codes[1:]], -1)
+        first[ends] = first[ends - (ends > 0)] = -1
+        pair = first.tolist()  # the rank that the pair at a position has now
+
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks, starts = np.unique(first[at], return_index=True)
+        at, starts = at.tolist(), [*starts.tolist(), len(at)]
+        for k, r in enumerate(ranks.tolist()):
+            buckets[r] = at[starts[k] : starts[k + 1]]
+            low[r >> 8] |= bit[r & 255]
+            high |= 1 << (r >> 8)
         while high:
             w = (high & -high).bit_length() - 1
             word = low[w]
@@ -140,91 +173,108 @@ class ByteBPE:
             found = buckets.pop(rank)
             if len(found) > 1:
                 found.sort()
-            new = []  # pairs that the merges of this rank make
-            lowest = rank
-            for at, i in enumerate(found):
+            found = iter(found)
+            for i in found:
                 if pair[i] != rank:
                     continue  # stale
-                if lowest < rank:  # a merge made a pair of lower rank, which goes first
-                    new += [(rank, x) for x in found[at:] if pair[x] == rank]
-                    break
                 j = after[i]
                 k = after[j]
                 after[i] = k
                 before[k] = i
-                pair[j] = pair[i] = -1
-                if k < n:
-                    r = get(token[i : after[k]])
-                    if r is not None:
-                        pair[i] = r
-                        new.append((r, i))
-                        if r < lowest:
-                            lowest = r
-                if i:
-                    h = before[i]
-                    r = get(token[h:k])
-                    if r is not None:
-                        pair[h] = r
-                        new.append((r, h))
-                        if r < lowest:
-                            lowest = r
-                    else:
-                        pair[h] = -1
-            for r, i in new:
-                if pair[i] == r:
+                pair[j] = ids[j] = -1
+                ids[i] = lowest = rank
+                pair[i] = r = get(text[i : after[k]], -1)
+                if r >= 0:
                     if r in buckets:
                         buckets[r].append(i)
                     else:
                         buckets[r] = [i]
                         low[r >> 8] |= bit[r & 255]
                         high |= 1 << (r >> 8)
-        out, i = [], 0
-        while i < n:
-            k = after[i]
-            out.append(self.ranks[token[i:k]])
-            i = k
-        return out
-
-    def _ids(self, text: str, pattern) -> bytes:
+                    if r < lowest:
+                        lowest = r
+                h = before[i]
+                if h >= 0:
+                    pair[h] = r = get(text[h:k], -1)
+                    if r >= 0:
+                        if r in buckets:
+                            buckets[r].append(h)
+                        else:
+                            buckets[r] = [h]
+                            low[r >> 8] |= bit[r & 255]
+                            high |= 1 << (r >> 8)
+                        if r < lowest:
+                            lowest = r
+                if lowest < rank:  # a pair of lower rank, which goes first
+                    rest = list(found)
+                    if rest:
+                        buckets[rank] = rest + buckets.get(rank, [])
+                        low[rank >> 8] |= bit[rank & 255]
+                        high |= 1 << (rank >> 8)
+                    break
+        ids = np.array(ids)
+        if (ids < -1).any():
+            raise KeyError("a byte without a rank")
+        counts = [0, *(np.cumsum(ids >= 0)[ends] * 4).tolist()]
+        out = ids[ids >= 0].astype("<u4").tobytes()
+        return [out[counts[k] : counts[k + 1]] for k in range(len(tokens))]
+
+    def _learn(self, parts: dict[str, list[str]]) -> None:
+        """Enters pre-tokens that are not in the map yet."""
+        tokens, new = self.tokens, []
+        for t in {t for p in parts.values() for t in p}.difference(tokens):
+            ids = self.old_tokens.get(t)
+            if ids is None:
+                e = t.encode()
+                whole = self.ranks.get(e)
+                if whole is None:
+                    new.append((t, e))
+                    continue
+                ids = struct.pack("<I", whole)
+            tokens[t] = ids
+        names = iter(new)
+        for group in _filled([e for _, e in new], MERGE_ROOM):
+            for ids in self.merge_all(group):
+                tokens[next(names)[0]] = ids
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         if len(self.tokens) > CACHE_ENTRIES:
             self.old_tokens, self.tokens = self.tokens, {}
-        tokens = self.tokens
-        out = []
-        for token in pattern.findall(text):
-            ids = tokens.get(token)
-            if ids is None:
-                ids = self.old_tokens.get(token)
-                if ids is None:
-                    ids = _pack(self.merge(token.encode()))
-                if len(token) < 64:
-                    tokens[token] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not text.isascii() and self.odd.search(text):  # chunks would cut runs of white space
-            return self._ids(text, self.exact)
         if len(self.words) > CACHE_ENTRIES:
             self.old_words, self.words = self.words, {}
-        words = self.words
-        chunks = _CHUNK.findall(text)
-        try:
-            return b"".join(map(words.__getitem__, chunks))
-        except KeyError:
-            pass
-        old = self.old_words
-        out = []
-        for c in chunks:
-            ids = words.get(c)
-            if ids is None:
-                ids = old.get(c) or self._ids(c, self.pattern)
-                if len(c) < 64:
+        words, parts, chunks = self.words, {}, []
+        for t in texts:
+            if t and not t.isascii() and self.odd.search("".join(set(t))):  # chunks would cut runs of white space
+                parts[t] = self.exact.findall(t)
+                chunks.append([t])
+            else:
+                chunks.append(_CHUNK.findall(t or ""))
+        new = set().union(*chunks).difference(words)
+        for c in new:
+            if c not in parts:
+                ids = self.old_words.get(c)
+                if ids is None:
+                    parts[c] = self.pattern.findall(c)
+                else:
                     words[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        self._learn(parts)
+        for c, p in parts.items():
+            words[c] = b"".join(map(self.tokens.__getitem__, p))
+        out = [b"".join(map(words.__getitem__, c)) for c in chunks]
+        for c, p in parts.items():  # long ones hardly recur
+            if len(c) >= 64:
+                del words[c]
+                for t in p:
+                    if len(t) >= 64:
+                        self.tokens.pop(t, None)
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for group in _filled(texts, TEXT_ROOM) for ids in self._encoded(group)]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -249,7 +299,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for b in batches:
             for part in range(0, b.num_rows, 256):
                 x = b.slice(part, 256)
-                ids = [np.frombuffer(bpe.encode(t), "<u4").astype("i4") for t in x.column(1).to_pylist()]
+                ids = [np.frombuffer(i, "<u4").astype("i4") for i in bpe.encode_all(x.column(1).to_pylist())]
                 yield pa.record_batch([x.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -265,8 +315,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             for part in range(0, b.num_rows, 256):
                 x = b.slice(part, 256)
                 n, of_ids, of_bytes = [], [], []
-                for t in x.column(1).to_pylist():
-                    ids = bpe.encode(t)
+                for ids in bpe.encode_all(x.column(1).to_pylist()):
                     n.append(len(ids) // 4)
                     of_ids.append(hashlib.sha256(ids).hexdigest())
                     of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

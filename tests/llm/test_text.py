@@ -68,6 +68,29 @@ def test_byte_bpe_with_ranks_that_fall_after_a_merge():
     assert own.merge(b"abcdabcbc") == [256, 290, 300]
 
 
+def test_byte_bpe_merges_new_pre_tokens_of_many_texts_together(monkeypatch):
+    own = byte_bpe.ByteBPE.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    enc, runs, merge_all = reference_encoding(own), [], own.merge_all
+    monkeypatch.setattr(own, "merge_all", lambda tokens: runs.append(len(tokens)) or merge_all(tokens))
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeinorstéß\0") for _ in range(rng.randint(1, 12))) for _ in range(60)) for _ in range(300)]
+    texts += [None, "", texts[0], "x" * 400_000, " \u2003 a\u00a0b", *odd_texts(300)]
+    want = [enc.encode_ordinary(t or "") for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode_all(texts)] == want
+    assert len(runs) <= 8 and sum(runs) > 10_000
+    assert own.encode_all(texts[:300]) == [own.encode(t) for t in texts[:300]] and not any(len(t) >= 64 for t in own.tokens | own.words)
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 100)
+    monkeypatch.setattr(byte_bpe, "TEXT_ROOM", 1000)
+    monkeypatch.setattr(byte_bpe, "MERGE_ROOM", 50)
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.encode_all(texts)] == want
+    # Ranks that fall after a merge, beside each other; a byte without a rank that is merged, and one that stays.
+    own = byte_bpe.ByteBPE({bytes([c]): c for c in range(255)} | {b"bc": 300, b"abc": 290, b"cd": 310, b"abcd": 256, b"a\xff": 311}, r"\S+")
+    tokens = [b"abcdabcbc", b"bcbcd", b"cda", b"da\xff", b"bcabcd"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in own.merge_all(tokens)] == [own.merge(t) for t in tokens] == [[256, 290, 300], [300, 300, 100], [310, 97], [100, 311], [300, 256]]
+    with pytest.raises(KeyError):
+        own.merge(b"b\xff")
+
+
 def test_byte_bpe_query(spark, bpe):
     docs = spark.createDataFrame([(1, "a word"), (2, None), (3, ""), (1, "a word")], DOCS).selectExpr("*", "1 as ids", "2 as id")
     rows = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
