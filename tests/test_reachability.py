@@ -271,3 +271,25 @@ def test_owners_from_pairs_that_end_at_owners_alone(spark, monkeypatch):
     documents = spark.createDataFrame([("d", "1"), ("d", "1"), ("d", "2")], "document string, section string")
     got = records.owners(reach.withColumnsRenamed({"src": "id", "dst": "needs"}), titles, documents)
     assert sorted(map(tuple, got.collect())) == [(3, 1, "d", "1"), (3, 1, "d", "2"), (4, 1, "d", "1"), (4, 1, "d", "2")]
+
+
+def test_layers_read_their_band_alone_and_bits_become_rows_in_one_loop(spark, monkeypatch):
+    """A layer's job reads no more than the tables of its band, whatever lies above; labels are listed without interpreted lambdas."""
+    import re
+
+    read, save = {}, r.Scratch.save
+
+    def spy(self, frame, name, width=None):
+        if re.fullmatch(r"layer\d+", name):
+            read[name] = {t for f in frame.inputFiles() for t in re.findall(r"/(layer\d+)/", f)}
+        return save(self, frame, name, width)
+
+    monkeypatch.setattr(r, "MANY", 2)
+    monkeypatch.setattr(r.Scratch, "save", spy)
+    edges = [(k, k - 1) for k in range(1, 16)] + [(k, k * 7919 % k if k % 2 else k // 3) for k in range(2, 16)] + [(40, 15), (41, 15)]
+    want = below(edges)
+    uses = spark.createDataFrame([(f"c{k % 7}", k) for k in [*range(3, 16), 40, 41, 77] * 2], "component string, algorithm long")
+    got = relate.components_reaching(uses, frame(spark, edges))
+    assert sorted(map(tuple, got.collect())) == sorted({(f"c{k % 7}", d) for k in [*range(3, 16), 40, 41, 77] for d in {k} | want.get(k, set())})
+    assert len(read) == 17 and max(map(len, read.values())) < 6
+    assert not re.search(r"lambdafunction\([^,]*getbit", got._jdf.queryExecution().toString())
