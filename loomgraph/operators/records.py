@@ -135,7 +135,21 @@ def owners(reach: DataFrame, aliases: DataFrame, documents: DataFrame) -> DataFr
     """
     a = aliases.select(F.col("id").alias("owner"), t.base_document(F.col("title")).alias("document")).distinct()
     owned = a.join(documents.select("document", "section").distinct(), "document")
-    return reach.select("id", F.col("needs").alias("owner")).join(small(owned, 2_000_000), "owner").select("id", "owner", "document", "section")
+    return reach.select("id", F.col("needs").alias("owner")).join(small(owned, 200_000), "owner").select("id", "owner", "document", "section")
+
+
+def owners_below(edges: DataFrame, roots: DataFrame, aliases: DataFrame, documents: DataFrame) -> DataFrame:
+    """``owners`` of the roots (id) by all paths of edges (src, dst).
+
+    A title's document goes with the packed labels of its node, so pairs meet the pinned
+    documents alone and no table of titles or nodes is broadcast.
+    """
+    from . import reachability
+
+    pinned = documents.select("document", "section").distinct()
+    titled = aliases.select("id", t.base_document(F.col("title")).alias("document")).join(small(pinned.select("document").distinct()), "document", "left_semi")
+    reach = reachability.pairs(edges, roots, titled.select("id", "document"))
+    return reach.join(small(pinned), "document").select(F.col("src").alias("id"), F.col("dst").alias("owner"), "document", "section")
 
 
 def excerpts(spans: DataFrame, parameters: DataFrame, budget: int) -> DataFrame:

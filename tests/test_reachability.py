@@ -293,3 +293,32 @@ def test_layers_read_their_band_alone_and_bits_become_rows_in_one_loop(spark, mo
     assert sorted(map(tuple, got.collect())) == sorted({(f"c{k % 7}", d) for k in [*range(3, 16), 40, 41, 77] for d in {k} | want.get(k, set())})
     assert len(read) == 17 and max(map(len, read.values())) < 6
     assert not re.search(r"lambdafunction\([^,]*getbit", got._jdf.queryExecution().toString())
+
+
+def test_tables_of_many_nodes_are_not_broadcast_because_their_files_are_small(spark, tmp_path):
+    from loomgraph.sources.tables import small
+
+    def joins(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        return {k for k in ("BroadcastHashJoin", "SortMergeJoin") if k in plan}
+
+    spark.range(1000).write.parquet(f"{tmp_path}/ids")
+    every = spark.read.parquet(f"{tmp_path}/ids")
+    edges = every.selectExpr("id src", "id div 2 dst")
+    assert joins(r._sources(edges, every)) == {"SortMergeJoin"} and r._sources(edges, every).count() == 1000
+    assert joins(edges.join(small(every.withColumnRenamed("id", "src"), 999), "src")) == {"SortMergeJoin"}
+    assert joins(edges.join(small(every.withColumnRenamed("id", "src"), 1000), "src")) == {"BroadcastHashJoin"}
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_documents_of_owners_go_with_the_packed_labels(spark, monkeypatch, few):
+    """A title stands for its document; titles and sections may repeat, and a node may have two documents."""
+    from loomgraph.operators import records
+
+    monkeypatch.setattr(r, "INTO", few)
+    monkeypatch.setattr(r, "NAMED", few)
+    titles = spark.createDataFrame([(1, "d#x"), (1, "d#y"), (1, "e"), (3, "none#x"), (2, "e#x"), (9, "d")], "id long, title string")
+    documents = spark.createDataFrame([("d", "1"), ("d", "1"), ("d", "2"), ("e", "7")], "document string, section string")
+    got = records.owners_below(frame(spark, [(3, 2), (2, 1), (3, 1), (4, 3)]), ids(spark, [3, 4, 4]), titles, documents)
+    assert got.columns == ["id", "owner", "document", "section"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, *x) for k in (3, 4) for x in [(1, "d", "1"), (1, "d", "2"), (1, "e", "7"), (2, "e", "7")])
