@@ -25,11 +25,12 @@ def export_nodes(nodes: DataFrame, depth: DataFrame, reuse: DataFrame, cost: Dat
     """The denormalised node relation: a star of left joins with defaults.
 
     nodes (id, name, type, tier), depth (id, depth), reuse (id, n), cost (id, cost), profile
-    (id, state), notes (id, project, why); a note of another project is left blank.
+    (id, state), notes (id, project, why); a note of another project is left blank. Each part may
+    have a row for every node, so none is broadcast, however small its files are.
     """
     j = nodes
     for part in (depth, reuse.withColumnRenamed("n", "reuse"), cost, profile, notes):
-        j = j.join(part, "id", "left")
+        j = j.join(part.hint("merge"), "id", "left")
     return j.select(
         "id", "name", "type", "tier", rank(F.col("tier"), TIER_RANK).alias("tier_rank"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("reuse", F.lit(0)).alias("reuse"), F.coalesce("cost", F.lit(0)).alias("cost"),
         F.coalesce("state", F.lit("")).alias("state"), rank(F.coalesce("state", F.lit("")), STATE_RANK).alias("state_rank"), F.when(F.col("project") == project, F.col("why")).alias("why"),

@@ -322,3 +322,18 @@ def test_documents_of_owners_go_with_the_packed_labels(spark, monkeypatch, few):
     got = records.owners_below(frame(spark, [(3, 2), (2, 1), (3, 1), (4, 3)]), ids(spark, [3, 4, 4]), titles, documents)
     assert got.columns == ["id", "owner", "document", "section"]
     assert sorted(map(tuple, got.collect())) == sorted((k, *x) for k in (3, 4) for x in [(1, "d", "1"), (1, "d", "2"), (1, "e", "7"), (2, "e", "7")])
+
+
+def test_parts_of_an_export_are_not_broadcast_because_their_files_are_small(spark, tmp_path):
+    from loomgraph.sources import sinks
+
+    spark.range(40).write.parquet(f"{tmp_path}/ids")
+    every = spark.read.parquet(f"{tmp_path}/ids")
+    nodes = every.selectExpr("id", "'n' name", "'concept' type", "if(id = 3, 'claim', 'assumed') tier")
+    parts = [every.where("id < 30").selectExpr("id", f"id {name}") for name in ("depth", "n", "cost")]
+    profile, notes = every.where("id % 2 = 0").selectExpr("id", "'read' state"), every.where("id % 3 = 0").selectExpr("id", "if(id = 3, 'mine', 'other') project", "'so' why")
+    got = sinks.export_nodes(nodes, *parts, profile, notes, "mine")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(k, k if k < 30 else 0, "" if k % 2 else "read", 0 if k % 2 else 2, "so" if k == 3 else None, 3 if k == 3 else 0) for k in range(40)}
+    assert {(x.id, x.depth, x.state, x.state_rank, x.why, x.tier_rank) for x in got.collect()} == want
+    assert all(x.depth == x.reuse == x.cost for x in got.collect())
